@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import url_filter
+from tallyloom.llm import packing, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -15,6 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    packed = packing.pack(spark, docs, tokenizer_path(), end_id=2, size=4096, with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
 #: (verdict, host/path) of the contract.
 URL_RULES = [
     ("allow", "org/"),
@@ -47,7 +59,7 @@ from s left join m on s.host = m.host and s.path = m.path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_url_filter,)}
+    return {f.__name__: f for f in (op2_packing, op4_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
