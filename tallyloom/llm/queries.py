@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import packing, secrets, url_filter
+from tallyloom.llm import packing, pii, secrets, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -58,13 +58,18 @@ from s left join m on s.host = m.host and s.path = m.path
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.find(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_url_filter, op9_secrets)}
+    return {f.__name__: f for f in (op2_packing, op4_url_filter, op5_pii, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
