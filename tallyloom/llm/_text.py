@@ -24,17 +24,23 @@ class Words:
     """Words of some texts. hashes: one 64-bit value for each word; first: where each text's words begin
     (one more than texts); starts and ends: the words' bytes in data."""
 
-    def __init__(self, texts: list[bytes], lower: bool):
+    def __init__(self, texts: list[bytes], lower: bool, apart: np.ndarray = SPACE):
         data = b"\n".join(texts) + b"\n"
         self.data = data.translate(LOWER_ASCII) if lower else data
         a = np.frombuffer(self.data, dtype=np.uint8)
-        edge = np.flatnonzero(np.diff(SPACE[a].view(np.int8), prepend=np.int8(1)))
+        edge = np.flatnonzero(np.diff(apart[a].view(np.int8), prepend=np.int8(1)))
         self.starts, self.ends = edge[::2], edge[1::2]
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         at = np.concatenate([[0], np.cumsum(sizes)])
         self.first = np.searchsorted(self.starts, at)
         self.hashes = self._hash()
 
+    def prefixes(self, k: int) -> np.ndarray:
+        """A value of each word's first k bytes (k up to 8; words of fewer or as many bytes: 0)."""
+        padded = self.data + b"\0" * 8
+        eight = np.ndarray(shape=(len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+        return np.where(self.ends - self.starts > k, mix((eight[self.starts] & _MASKS[k]) + np.uint64(k * int(_C1) % 2**64)), np.uint64(0))
+
     def _hash(self) -> np.ndarray:
         n = len(self.starts)
         lens = self.ends - self.starts

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import packing, pii, secrets, url_filter
+from tallyloom.llm import packing, pii, secrets, toxicity, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -63,13 +64,20 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(~toxicity.held_out())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.find(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_url_filter, op5_pii, op9_secrets)}
+    return {f.__name__: f for f in (op2_packing, op4_url_filter, op5_pii, op7_toxicity, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
