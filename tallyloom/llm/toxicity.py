@@ -115,18 +115,22 @@ def _minimise(x: np.ndarray, y: np.ndarray, diff: np.ndarray, rounds: int = 400)
     """Accelerated gradient descent on the regularised loss."""
     n, k = x.shape
     w, v, bias, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
-    smooth = 0.25 * (x.sum(axis=1).max(initial=0) + 1) + 2 * L2
-    if len(diff):
-        smooth += 2 * FAIR * np.linalg.norm(diff, 2) ** 2 / len(diff)
     weight = np.where(y > 0, n / (2 * max(1, y.sum())), n / (2 * max(1, (1 - y).sum()))) ** 0.5
     weight /= weight.mean()
+    u, ub, smooth = np.ones(k), 1.0, 1.0
+    for _ in range(30):  # the loss curves no more than this, by power iteration
+        h = x @ u + ub
+        u, ub = 0.25 * x.T @ (weight * h) / n + 2 * L2 * u + (2 * FAIR * diff.T @ (diff @ u) / len(diff) if len(diff) else 0), 0.25 * (weight * h).sum() / n
+        smooth = np.sqrt(u @ u + ub * ub)
+        u, ub = u / smooth, ub / smooth
+    smooth *= 1.1
     for r in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v + vb, -40, 40)))
         e = weight * (p - y) / n
         g = x.T @ e + 2 * L2 * v
         if len(diff):
             g += 2 * FAIR * diff.T @ (diff @ v) / len(diff)
-        w2, b2 = v - 8 * g / smooth, vb - 8 * e.sum() / smooth
+        w2, b2 = v - g / smooth, vb - e.sum() / smooth
         m = r / (r + 3)
         v, vb = w2 + m * (w2 - w), b2 + m * (b2 - bias)
         w, bias = w2, b2
