@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import packing, pii, secrets, toxicity, url_filter
+from tallyloom.llm import packing, pii, secrets, token_counts, toxicity, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -22,6 +22,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "n_words")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     packed = packing.pack(spark, docs, tokenizer_path(), end_id=2, size=4096, with_ids=False)
@@ -77,7 +82,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_url_filter, op5_pii, op7_toxicity, op9_secrets)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_url_filter, op5_pii, op7_toxicity, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
