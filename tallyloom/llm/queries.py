@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import packing, pii, secrets, token_counts, toxicity, url_filter
+from tallyloom.llm import embedding_dedup, packing, pii, secrets, token_counts, toxicity, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -81,8 +81,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark, _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_url_filter, op5_pii, op7_toxicity, op9_secrets)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_url_filter, op5_pii, op7_toxicity, op9_secrets, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
