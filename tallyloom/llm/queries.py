@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import embedding_dedup, packing, pii, secrets, substring_dedup, token_counts, toxicity, url_filter
+from tallyloom.llm import embedding_dedup, jaccard_join, packing, pii, secrets, substring_dedup, token_counts, toxicity, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -33,6 +33,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.similar(spark, docs).select("doc_id", "n_shingles", "component_id")
+
+
 #: (verdict, host/path) of the contract.
 URL_RULES = [
     ("allow", "org/"),
@@ -91,7 +96,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_url_filter, op5_pii, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
