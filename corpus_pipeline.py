@@ -1,12 +1,82 @@
-"""The corpus pipeline: documents pass the stages in order, each on all that the one before kept."""
+"""The corpus pipeline: documents pass the stages in order, each on all that the one before kept.
+
+Toxic documents go; of each group of near-duplicates the one of the least doc_id stays; documents
+that overlap a benchmark item go; secrets are blotted out of the text (and n_chars follows); what is
+left is packed into windows of 4096 tokens, each source in proportion to its share. Every stage's
+table is written before the next reads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import decontamination, jaccard_join, packing, secrets, toxicity
+from tallyloom.llm._shared import Workspace, ready
+from tallyloom.llm.queries import tokenizer_path
+
+#: Below this size, as written, the list of removed rows is broadcast.
+BROADCAST = 32 << 20
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier scores one half or more."""
+    ready(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels.where(~toxicity.held_out()))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked texts: that of the least doc_id; of rows that repeat it, one."""
+    work = Workspace(spark, "near_duplicates")
+    found = work.write(jaccard_join.similar(spark, docs.select("doc_id", "text")), "found")
+    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
+    gone = work.write(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    if work.size("gone") <= BROADCAST:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1")
+    twice = work.write(twice.select("_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, kept["doc_id"] == twice["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, kept["doc_id"] == twice["_id"], "left_anti").unionByName(once)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that overlap a benchmark item."""
+    return decontamination.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret in their text replaced by its kind in brackets."""
+    ready(spark)
+    found = secrets.find(docs, redacted=True)
+    found = found.withColumn("n_chars", F.when(F.col("redacted") != F.col("text"), F.length("redacted").cast("long")).otherwise(F.col("n_chars")))
+    return found.withColumn("text", F.col("redacted")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document in windows of 4096 tokens, with their ids."""
+    return packing.pack(spark, docs.select("doc_id", "text", "source"), tokenizer_path(), end_id=2, size=4096)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
+#: SQL expresses neither the classifier nor the tokenizer: tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage over the documents of sf_dir."""
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = work.write(stage(spark, docs, sf_dir), name)
+    return docs

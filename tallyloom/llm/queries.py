@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import embedding_dedup, jaccard_join, packing, pii, secrets, substring_dedup, token_counts, toxicity, url_filter
+from tallyloom.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, secrets, substring_dedup, token_counts, toxicity, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -74,6 +74,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(spark, docs, _table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(~toxicity.held_out())
@@ -96,7 +101,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
