@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.functions.dialect import DUCK, SPARK
+from tallyloom.plans import programs, reports
+
+TABLES = ("documents", "labels", "conversations", "events", "pages")
+
+
+def run_plan(spark: SparkSession, sf_dir: str, make: Callable) -> DataFrame:
+    """A plan's SQL over the tables of a folder; views carry the folder in their names, so runs never meet."""
+    text, tag = make(SPARK), f"{abs(hash(sf_dir)):x}"
+    import re
+
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", text):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"{t}_{tag}")
+            text = re.sub(rf"\b{t}\b", f"{t}_{tag}", text)
+    return spark.sql(text)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {n: (lambda spark, sf_dir, make=f: run_plan(spark, sf_dir, make)) for n, f in reports.PLANS.items()}
+    return found | programs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: f(DUCK) for n, f in reports.PLANS.items()} | programs.ORACLES
