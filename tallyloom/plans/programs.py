@@ -1,6 +1,195 @@
-"""Queries whose core is a program rather than SQL: selection, reduction, ingest, archive, streams."""
+"""Queries whose core is a program rather than SQL: selection, reduction, archive, streams."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.functions import scalars as s
+from tallyloom.functions.dialect import DUCK, SPARK
+from tallyloom.operators import archive, reduce, rule_data, selection
+from tallyloom.operators.shell import features
+from tallyloom.plans.corpus import COMMANDS, ctes
+from tallyloom.streaming import ingest
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def corpus(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
+    from tallyloom.plans.registry import run_plan
+
+    return run_plan(spark, sf_dir, lambda d: f"with {ctes(d)} {select}")
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir, f"select call_key, {s.shell_command(SPARK, 'tool_name', 'input_format', 'input_text')} as command from tool_calls").where("command is not null")
+
+
+@query
+def c8_selection(spark, sf_dir):
+    """The verdict on each distinct command, by the rule join, with how many calls gave it."""
+    calls = _commands(spark, sf_dir)
+    n = calls.groupBy("command").agg(F.count("*").alias("calls"))
+    chosen = selection.select_simple(selection.argv(calls), selection.rule_table(spark))
+    return n.join(chosen, "command").select("command", "calls", "verdict", F.array_join("rule_ids", "+").alias("rules"), "reducer")
+
+
+def _rules_values() -> str:
+    q = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::varchar[]"
+    return ", ".join(
+        f"('{p}', '{r['id']}', '{r['action']}', {repr(r['reducer']) if r['reducer'] else 'null'}, {q(r['argv_prefix'])}, {q(r['contains'])})" for r in rule_data.rules() for p in r["programs"]
+    )
+
+
+ORACLES["c8_selection"] = f"""
+with {ctes(DUCK)},
+rules(program, rule_id, action, reducer, prefix, needed) as (values {_rules_values()}),
+c as (select {s.shell_command(DUCK, "tool_name", "input_format", "input_text")} as command, count(*) as calls from tool_calls group by 1 having command is not null),
+a as (select *, string_split(command, ' ') as argv, string_split(command, ' ')[2:] as tail from c),
+h as (select command, rule_id, action, reducer from a join rules on argv[1] = program and tail[1:len(prefix)] = prefix
+  and len(list_filter(needed, lambda q: len(list_filter(tail, lambda w: w = q or (q like '--%' and starts_with(w, q || '='))
+    or (length(q) = 2 and q like '-%' and q <> '--' and length(w) > 2 and w like '-%' and w not like '--%' and contains(w[2:], q[2:2])))) > 0)) = len(needed)),
+g as (select command, count(*) filter (where action = 'passthrough') as guards, count(*) filter (where action <> 'passthrough') as others,
+  string_agg(rule_id, '+' order by rule_id) filter (where action = 'passthrough') as guard_ids, string_agg(rule_id, '+' order by rule_id) filter (where action <> 'passthrough') as other_ids,
+  max(action) as action, max(reducer) as reducer from h group by command)
+select command, calls, case when guards > 0 then 'passthrough' when others > 1 then 'ambiguous' else coalesce(action, 'unsupported') end as verdict,
+  coalesce(case when guards > 0 then guard_ids else other_ids end, '') as rules, case when guards = 0 and others = 1 then reducer end as reducer
+from c left join g using (command)"""
+
+
+@query
+def c9_pack_conflicts(spark, sf_dir):
+    """Rule ids that several packs bring: all their owners are disabled."""
+    own = selection.rule_table(spark).select("rule_id", F.lit("builtin").alias("pack")).distinct()
+    other = own.where("length(rule_id) % 5 = 0").select("rule_id", F.lit("extra").alias("pack"))
+    return own.unionAll(other).groupBy("rule_id").agg(F.count("*").alias("owners")).where("owners > 1")
+
+
+@query
+def c4_features(spark, sf_dir):
+    """Syntax labels of distinct commands that are joined from the corpus's commands."""
+    calls = _commands(spark, sf_dir).select(F.concat_ws(" && ", "command", F.concat(F.lit("cd x; "), "command")).alias("command"))
+    label = F.udf(features, "array<string>")
+    return calls.groupBy("command").agg(F.count("*").alias("calls")).select("command", "calls", F.array_join(label("command"), "+").alias("labels"))
+
+
+@query
+def c12_plans(spark, sf_dir):
+    """Plans for compound commands made from pairs of the corpus's commands."""
+    rows = [(f"cd x && {a} 2>&1 | tail -5",) for a in COMMANDS] + [(f"{a}; {b}",) for a, b in zip(COMMANDS, COMMANDS[1:], strict=False)]
+    return selection.plans(spark.createDataFrame(rows, "command string")).select("command", "reducer", "confidence", F.array_join("transforms", "+").alias("transforms"), "setup_text", "refused")
+
+
+def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eligible results with what the reducer removed; each distinct command is planned once."""
+    select = f"""select r.result_key, c.agent, c.tool_name, {s.shell_command(SPARK, 'tool_name', 'input_format', 'input_text')} as command,
+      {s.succeeded(SPARK, 'is_error', 'output_json')} as succeeded, {s.size_band(SPARK, 'output_text')} as band, output_text
+      from tool_results r join tool_calls c on r.call_key = c.call_key"""
+    results = corpus(spark, sf_dir, select)
+    plans = selection.plans(results).withColumn("family", F.regexp_replace("reducer", "_summary$", "")).where("family is not null")
+    known = results.join(plans, "command")
+    ok = F.when(F.col("confidence") == "complete", F.col("succeeded"))
+    measured = reduce.reduce_results(known.withColumn("succeeded", ok))
+    keys = known.select("result_key", "agent", "tool_name", "family", "band", F.coalesce(F.col("succeeded").cast("string"), F.lit("unknown")).alias("status"))
+    return keys.join(measured, "result_key")
+
+
+@query
+def a6_pruning(spark, sf_dir):
+    """Totals of the pruning report over eligible results."""
+    return _reduced(spark, sf_dir).agg(
+        F.count("*").alias("eligible"), F.count_if("changed").alias("affected"), F.sum("chars").alias("chars"), F.sum("removed_chars").alias("removed_chars"),
+        F.count_if(F.size("lost_terms") > 0).alias("vetoes"), F.round(F.sum("removed_chars") * 100.0 / F.sum("chars"), 6).alias("percent"),
+    )
+
+
+@query
+def a7_pruning_breakdowns(spark, sf_dir):
+    """The same measures by agent, tool, reducer, status and band, in one pass of grouping sets."""
+    r = _reduced(spark, sf_dir)
+    dims = ["agent", "tool_name", "family", "status", "band"]
+    sets = [[d] for d in dims]
+    out = r.groupingSets(sets, *dims).agg(F.grouping_id().alias("gid"), F.count("*").alias("eligible"), F.count_if("changed").alias("affected"), F.sum("chars").alias("chars"), F.sum("removed_chars").alias("removed_chars"))
+    name = F.expr("case gid " + " ".join(f"when {31 - (1 << (4 - i))} then '{d}'" for i, d in enumerate(dims)) + " end")
+    return out.select(name.alias("dimension"), F.coalesce(*dims).alias("member"), "eligible", "affected", "chars", "removed_chars")
+
+
+@query
+def r25_output_cap(spark, sf_dir):
+    """Lengths of texts under the default cap."""
+    cut = F.udf(lambda t: len(reduce.cap(t, 5120, "[output capped]").encode()), "int")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length("text").alias("bytes"), F.when(F.col("text").isNotNull(), cut("text")).alias("capped"))
+
+
+def _archive(spark: SparkSession, sf_dir: str):
+    rows = corpus(spark, sf_dir, "select call_key, output_text from first_results")
+    snaps = rows.select("call_key", F.lit("stdout").alias("subject"), F.lit("before").alias("stage"), F.lit(None).cast("string").alias("completeness"), F.encode("output_text", "UTF-8").alias("body"))
+    return archive.store(snaps)
+
+
+@query
+def k11_archive_roundtrip(spark, sf_dir):
+    """Stored payloads after a verified round trip."""
+    payloads, _ = _archive(spark, sf_dir)
+    return archive.restore(payloads).select("sha256", F.octet_length("body").cast("long").alias("bytes"), F.col("fault").isNull().alias("sound"))
+
+
+ORACLES["k11_archive_roundtrip"] = f"with {ctes(DUCK)} select sha256(output_text) as sha256, max(strlen(output_text)) as bytes, true as sound from first_results group by 1"
+
+
+@query
+def q6_search(spark, sf_dir):
+    """Matches of two words with context, rendered, over the archive."""
+    found = archive.sources(*_archive(spark, sf_dir))
+    return archive.search(found, archive.Search(("error", "warning"), word=True, fold=True)).select("call_key", "matches", F.length("rendering").alias("chars"))
+
+
+@query
+def k13_lifecycle(spark, sf_dir):
+    """Call states from the ordered operations of the event log: a user is a call, an event an operation."""
+    op = "case event_type when 'signup' then 'begin_call' when 'view' then 'result_before' when 'click' then 'result_text' when 'purchase' then 'finish_call' else 'stage_result' end"
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "cast(user_id as string) as call_key", "event_id as seq", f"{op} as operation", "case when event_type in ('view', 'click') then event_type end as subject", "sha2(props, 256) as sha256", "value > 50 as is_error"
+    )
+    return archive.lifecycle(e).withColumn("subjects", F.array_join("subjects", "+"))
+
+
+ORACLES["k13_lifecycle"] = """
+with o as (select cast(user_id as varchar) as call_key, event_id as seq, event_type, case when event_type in ('view', 'click') then event_type end as subject, props, value > 50 as is_error from events),
+c as (select call_key, count(*) as conflicts from (select call_key, subject from o where subject is not null group by call_key, subject having count(distinct props) > 1) group by call_key)
+select o.call_key, case when bool_or(event_type = 'purchase') then 'finished' else 'open' end as status, bool_or(event_type in ('view', 'click', 'purchase')) as executed,
+  arg_max(is_error, seq) filter (where event_type = 'purchase') as is_error, coalesce(string_agg(distinct subject, '+' order by subject), '') as subjects, coalesce(max(c.conflicts), 0) as conflicts
+from o left join c on o.call_key = c.call_key group by o.call_key"""
+
+
+@query
+def s11_committed_frames(spark, sf_dir):
+    """Committed rows of framed streams made from the event log: a user is a stream."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rec = "case event_type when 'signup' then 'source_start' when 'purchase' then 'source_commit' when 'error' then 'source_rollback' when 'view' then 'tool_call' else 'tool_result' end"
+    frames = e.selectExpr("cast(user_id as string) as stream", "event_id as seq", f"{rec} as record", "props as value")
+    return ingest.committed(frames).groupBy("stream", "record").agg(F.count("*").alias("n"))
+
+
+ORACLES["s11_committed_frames"] = """
+with f as (select cast(user_id as varchar) as stream, event_id as seq, case event_type when 'signup' then 'source_start' when 'purchase' then 'source_commit' when 'error' then 'source_rollback'
+  when 'view' then 'tool_call' else 'tool_result' end as record from events),
+s as (select *, count(*) filter (where record = 'source_start') over (partition by stream order by seq) as source from f),
+e as (select stream, source, min(seq) as seq, arg_min(record, seq) as record from s where record in ('source_commit', 'source_rollback') group by stream, source)
+select s.stream, s.record, count(*) as n from s join e on s.stream = e.stream and s.source = e.source
+where s.source > 0 and e.record = 'source_commit' and s.seq < e.seq and s.record <> 'source_start' group by s.stream, s.record"""
+
+
+@query
+def s11_daily_events(spark, sf_dir):
+    """Events by day and type, the same plan that streams run under a watermark."""
+    return ingest.windows(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+ORACLES["s11_daily_events"] = "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by 1, 2"
