@@ -100,9 +100,32 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark, _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+OP3_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from d),
+n as (select d.doc_id, count(g) as n from d left join s on d.doc_id = s.doc_id group by d.doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * o >= 80 * (x.n + y.n - o)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, node) as (select doc_id, doc_id from n union select r.doc_id, e.b from r join e on r.node = e.a)
+select n.doc_id, n.n as n_shingles, min(r.node) as component_id from n join r on n.doc_id = r.doc_id group by n.doc_id, n.n
+"""
+
+OP8_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select doc_id, unnest(generate_series(1, len(w) - 19)) as i, unnest(list_transform(generate_series(1, len(w) - 19), lambda i: array_to_string(w[i:i + 19], ' '))) as g from d where len(w) >= 20),
+f as (select doc_id, i, min(doc_id * 1000000 + i) over (partition by g) < doc_id * 1000000 + i as later from x),
+c as (select distinct doc_id, unnest(range(i, i + 20)) as k from f where later),
+v as (select doc_id, unnest(generate_series(1, len(w))) as k, unnest(w) as word from d where len(w) > 0),
+t as (select v.doc_id, count(c.k) as n_removed, coalesce(string_agg(v.word, ' ' order by v.k) filter (where c.k is null), '') as kept from v left join c on v.doc_id = c.doc_id and v.k = c.k group by v.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join t on d.doc_id = t.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_substring_dedup": OP8_SQL}
