@@ -19,6 +19,7 @@ repeated rows are packed as often as they occur; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from tallyloom.llm._shared import Workspace
 
 WINDOW = 4096
-#: Words kept in a worker's cache of encoded words, and pieces in that of encoded pieces.
-CACHE = 400_000
+#: Words kept in a worker's cache of encoded words, and pieces in that of encoded pieces (about 200 bytes each).
+CACHE = 1_000_000
 #: Weights are whole numbers up to this; a tick is the time in which such a queue sends one token.
 SCALE = 1 << 16
 
@@ -43,6 +44,23 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "᠎", "​", "﻿", "<|")
 #: Libraries agree on the classes and cases of letters up to here; words beyond take the whole tokenizer.
 _PLAIN = "\u024f"
 
+#: Ends a piece's bytes; never part of UTF-8.
+_END = b"\xff"
+
+
+def _alphabet() -> dict[str, int]:
+    """The byte-level files' character for each byte: printable Latin-1 as itself, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+_BYTES = _alphabet()
+
+
+def _raw(token: str) -> bytes:
+    return bytes([_BYTES[c] for c in token])
+
 
 class WordEncoder:
     """Ids of texts by a lower-casing BPE file with word ends, cached by word.
@@ -53,19 +71,16 @@ class WordEncoder:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.pieces = Tokenizer.from_file(path)
-        self.pieces.normalizer = None
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        vocab = self.whole.get_vocab(with_added_tokens=False)
+        ranks = {_raw(t[:-4]) + _END if t.endswith("</w>") and len(t) > 4 else _raw(t): i for t, i in vocab.items()}
+        # ids rise in the order of merges, so they serve as ranks
+        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.findall = regex.compile(_SPLIT).findall
-        self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
-        for token, i in self.whole.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.wide = len(self.ends) > 1 << 16
+        self.wide = max(self.whole.get_vocab().values()) >= 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -81,22 +96,24 @@ class WordEncoder:
         return self.findall(w)
 
     def _learn(self, words: set[str]) -> None:
-        split = {w: self._split(w) for w in words if w.isascii() or max(w) <= _PLAIN}
-        for w in words - split.keys():
-            self.words[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        new = sorted({p for ps in split.values() for p in ps} - self.known.keys())
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            ids = np.array(self.pieces.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            assert len(ends) == len(part)
-            at = 0
-            for p, e in zip(part, ends.tolist(), strict=True):
-                self.known[p] = ids[at:e].tobytes()
-                at = e
-        for w, ps in split.items():
-            self.words[w] = self.known[ps[0]] if len(ps) == 1 else b"".join([self.known[p] for p in ps])
-        if len(self.known) > CACHE:
+        known, one, more = self.known, {}, {}
+        for w in words:
+            low = w.lower()
+            if low.isalpha() and low.isascii():
+                one[w] = low
+            elif w.isascii() or max(w) <= _PLAIN:
+                more[w] = self._split(w)
+            else:
+                self.words[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        new = set(one.values())
+        new.update(*more.values())
+        code, piece = "I" if self.wide else "H", self.piece
+        for p in new - known.keys():
+            known[p] = array(code, piece(p.encode() + _END)).tobytes()
+        self.words.update(zip(one, map(known.__getitem__, one.values()), strict=True))
+        for w, ps in more.items():
+            self.words[w] = b"".join([known[p] for p in ps])
+        if len(known) > CACHE:
             self.known = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -182,27 +199,30 @@ class Mixture:
         return np.minimum(self.totals, (2 * self.weights * t[:, None] + SCALE - 1) // (2 * SCALE))
 
     def sent(self, windows: np.ndarray) -> np.ndarray:
-        """Tokens that each queue has sent when these windows begin."""
+        """Tokens that each queue has sent when these windows (in rising order) begin."""
         goal = np.minimum(np.asarray(windows, np.int64) * self.size, self.all)
-        low = np.zeros(len(goal), np.int64)
         last = int(((2 * self.totals + 1) * SCALE // (2 * self.weights)).max(initial=0)) + 2
-        high = np.full(len(goal), last, np.int64)
-        while (high - low > 1).any():  # the latest tick by which no more than the goal is sent
-            mid = (low + high) // 2
-            fits = self._sent(mid).sum(axis=1) <= goal
-            low, high = np.where(fits, mid, low), np.where(fits, high, mid)
+        ends = goal[[0, -1]]
+        for goals in (ends, goal):  # between the outer windows' ticks lie the others'
+            if goals is ends:
+                low, high = np.zeros(2, np.int64), np.full(2, last, np.int64)
+            else:
+                low, high = np.full(len(goal), low[0], np.int64), np.full(len(goal), low[1] + 1, np.int64)
+            while (high - low > 1).any():  # the latest tick by which no more than the goal is sent
+                mid = (low + high) // 2
+                fits = self._sent(mid).sum(axis=1) <= goals
+                low, high = np.where(fits, mid, low), np.where(fits, high, mid)
         base = self._sent(low)
         room = self._sent(low + 1) - base  # tokens of one tick go in the queues' order
         before = np.cumsum(room, axis=1) - room
         return base + np.clip((goal - base.sum(axis=1))[:, None] - before, 0, room)
 
     def window_of(self, queue: int, token: int) -> int:
-        """The window that holds this token of the queue: the last that begins with no more sent."""
-        low, high = 0, self.windows
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (mid, high) if self.sent(np.array([mid]))[0, queue] <= token else (low, mid)
-        return low
+        """The window that holds this token of the queue."""
+        tick = (2 * token + 1) * SCALE // (2 * int(self.weights[queue]))
+        base, after = self._sent(np.array([tick, tick + 1]))
+        place = int(base.sum()) + int((after - base)[:queue].sum()) + token - int(base[queue])
+        return place // self.size
 
 
 _PIECES = T.StructType(
@@ -224,34 +244,44 @@ def _cutter(mixture: Mixture, order: dict, width: int, with_ids: bool):
     step = max(1, (1 << 19) // len(order)) if order else 1  # windows solved at a time, in bounded memory
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [[] for _ in _PIECES.names]
+        """All pieces of the batch: its documents cut at the edges of the windows."""
         sources = batch.column("source").to_pylist()
         begin = np.asarray(batch.column("base")) + np.asarray(batch.column("at"))
-        n, docs, ids = np.asarray(batch.column("n")), batch.column("doc_id").to_pylist(), batch.column("ids")
-        for s in dict.fromkeys(sources):
-            q, rows = order[s], [i for i, x in enumerate(sources) if x == s]
-            first = mixture.window_of(q, int(begin[rows].min()))
-            last = mixture.window_of(q, int((begin[rows] + n[rows]).max()) - 1)
+        end, found = begin + np.asarray(batch.column("n")), []
+        rows_of: dict = {}
+        for i, x in enumerate(sources):
+            rows_of.setdefault(x, []).append(i)
+        for s, rows in rows_of.items():
+            q, rows = order[s], np.array(rows)
+            first, last = mixture.window_of(q, int(begin[rows].min())), mixture.window_of(q, int(end[rows].max()) - 1)
             for a in range(first, last + 1, step):
                 span = np.arange(a, min(last + 1, a + step) + 1)
                 sent = mixture.sent(span)
                 edges, at = sent[:, q], (sent[1:] - sent[:-1])[:, :q].sum(axis=1)
-                for i in rows:
-                    lo, hi = int(begin[i]), int(begin[i] + n[i])
-                    k = max(0, int(np.searchsorted(edges, lo, side="right")) - 1)
-                    raw = None
-                    while k < len(span) - 1 and edges[k] < hi:
-                        x, y = max(lo, int(edges[k])), min(hi, int(edges[k + 1]))
-                        if x < y:
-                            raw = ids[i].as_py() if raw is None else raw
-                            piece = raw[(x - lo) * width : (y - lo) * width]
-                            wide = np.frombuffer(piece, dtype=f"<u{width}").astype("<u4").tobytes()
-                            row = (docs[i], s, x - lo, y - x, int(n[i]), int(span[k]), int(at[k]) + x - int(edges[k]), piece if with_ids else None, zlib.crc32(wide))
-                            for column, v in zip(out, row, strict=True):
-                                column.append(v)
-                        k += 1
-        types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=_PIECES.names)
+                lo, hi = np.maximum(begin[rows], edges[0]), np.minimum(end[rows], edges[-1])
+                on = np.flatnonzero(lo < hi)
+                k0, k1 = np.searchsorted(edges, lo[on], side="right") - 1, np.searchsorted(edges, hi[on], side="left")
+                row = np.repeat(on, k1 - k0)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(k1 - k0) - (k1 - k0), k1 - k0) + np.repeat(k0, k1 - k0)
+                x, y = np.maximum(lo[row], edges[k]), np.minimum(hi[row], edges[k + 1])
+                some = np.flatnonzero(x < y)
+                row, k, x, y = row[some], k[some], x[some], y[some]
+                found.append(np.stack([rows[row], x - begin[rows[row]], y - x, span[k], at[k] + x - edges[k]]))
+        row, start, length, window, offset = np.concatenate(found, axis=1)
+        by_row = np.lexsort((start, row))
+        row, start, length, window, offset = (v[by_row] for v in (row, start, length, window, offset))
+        ids, pieces, sums, was = batch.column("ids"), [], [], -1
+        for i, a, b in zip(row.tolist(), start.tolist(), (start + length).tolist(), strict=True):
+            if i != was:
+                raw, was = memoryview(ids[i].as_buffer()), i
+                wide = memoryview(np.frombuffer(raw, dtype=f"<u{width}").astype("<u4").tobytes())
+            sums.append(zlib.crc32(wide[4 * a : 4 * b]))
+            if with_ids:
+                pieces.append(bytes(raw[width * a : width * b]))
+        pieces = pa.array(pieces, pa.binary()) if with_ids else pa.nulls(len(row), pa.binary())
+        pick = pa.array(row)
+        columns = [batch.column("doc_id").take(pick), batch.column("source").take(pick), start, length, batch.column("n").take(pick), window, offset, pieces, pa.array(sums, pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=_PIECES.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
