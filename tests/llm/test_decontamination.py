@@ -45,7 +45,7 @@ def brute(rows, items):
 @pytest.mark.parametrize("block", [dc.BLOCK, 50])
 def test_planted(spark, block):
     rows, planted = [], set()
-    for d in range(60):
+    for d in range(40):
         text = words(R.randint(0, 120))
         if d % 2:
             k = R.randrange(6)
@@ -57,7 +57,7 @@ def test_planted(spark, block):
             text[at:at] = [w.upper() + "," if R.random() < 0.3 else w for w in passage]
             planted.add((d, k))
         rows.append((d, " ".join(text)))
-    rows += [(100, None), (101, ""), (102, rows[1][1]), (102, rows[1][1]), (103, "tan " * 30000)]
+    rows += [(100, None), (101, ""), (102, rows[1][1]), (102, rows[1][1]), (103, "tan " * 1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = [(r["doc_id"], r["item_id"]) for r in dc.contaminated(spark, docs, bench, block).collect()]
