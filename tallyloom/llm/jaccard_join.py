@@ -6,8 +6,8 @@ one gram, a text without words has none). Texts of equal sets are one class; the
 * Light sets (up to a boundary) enumerate fixed-size subsets: for every pair of sizes (n, m) that can
   link, all subsets of the least overlap such sets must have. Two sets that meet in a subset link:
   nothing is left to verify.
-* Heavy sets scan inverted lists: each set enters the lists of its prefix, the first n - ceil(0.8 n) + 1
-  grams in one global order, which any linked set must share. In that order frequent grams come last
+* Heavy sets scan inverted lists: each set enters the lists of its prefix, the first n - ceil(0.8 n) + k
+  grams in one global order, of which any linked set must share k (k = 1 + n // 20). In that order frequent grams come last
   (counts over all texts; the most frequent ``HOT`` grams, 12 MB, are broadcast and the rest follow a
   hash), so a passage that many texts share stays out of the lists.
 * The boundary is the largest size whose subsets cost no more than its lists: subsets of a set against
@@ -16,8 +16,8 @@ one gram, a text without words has none). Texts of equal sets are one class; the
 Lists are not expanded into pairs. The members of a list are first compared with one of them, whole
 sets, exactly; linked ones join components, and only members of one list that are still in different
 components are compared, first again by one leader, last all of them. Thus every pair that shares
-a list is verified or already connected, no link between components is lost, and a group of m copies
-costs about m comparisons.
+enough lists is verified or already connected, no link between components is lost, and a group of m
+copies costs about m comparisons.
 
 Edge cases: null and empty texts, and those of white space, have no grams and link with nothing;
 repeated rows link like other copies; a null doc_id takes part and names no component; texts are read
@@ -40,9 +40,13 @@ from tallyloom.llm._shared import Workspace
 from tallyloom.llm._text import Words, chunks, mix, ngram_hashes, odd_constants, utf8
 from tallyloom.llm.components import components
 
-GRAM, HOT, FREQUENT, FLUSH, BUCKET_BYTES, BROADCAST, LEADERS = 5, 1 << 20, 16, 1_500_000, 4_000_000, 32 << 20, 2
+GRAM, HOT, FREQUENT, FLUSH, BUCKET_BYTES, BROADCAST, LEADERS = 5, 1 << 20, 16, 800_000, 3_000_000, 32 << 20, 2
+#: One of so many grams is added to prefixes, to ask for more than one shared list.
+SHARE = 20
 #: Similarity 0.8 as a fraction; sizes that light sets may have at most.
 NUM, DEN, LIGHT_MOST = 4, 5, 14
+#: Grams are counted without these low bits: two that fall together only share a place in the order.
+COARSE = np.uint64(16)
 #: What an entry of a list is (near): of the prefix's tail; of the part that the smaller set of a pair
 #: must share; a subset for two sizes; a subset for sets of one size.
 TAIL, NEAR, ODD, EVEN = 0, 1, 2, 3
@@ -83,13 +87,18 @@ def subset_count(n: int) -> int:
     return sum(comb(n, least_overlap(a, b)) for a, b in partners(n))
 
 
+def shared_least(n: int) -> int:
+    """Lists that a linked pair shares at least, n being the smaller size: the prefixes are longer by that less one."""
+    return 1 + n // SHARE
+
+
 def prefix(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1
+    return min(n, n - -(-NUM * n // DEN) + shared_least(n))
 
 
 def index_prefix(n: int) -> int:
-    """What of the prefix the smaller set of a pair must share."""
-    return n - least_overlap(n, n) + 1
+    """The part of the prefix in which the smaller set of a pair shares that many."""
+    return min(n, n - least_overlap(n, n) + shared_least(n))
 
 
 def boundary(mean_list: float) -> int:
@@ -140,8 +149,9 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[t
         yield list(held.items())
 
 
-def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+def _bucket(keys: np.ndarray, n_buckets: int, bits: int = 64) -> np.ndarray:
+    """Ranges of the keys, so that differences within a bucket are small."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _sorted_put(keys: np.ndarray) -> bytes:
@@ -153,11 +163,10 @@ def _counter(k: int, n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _distinct_sets(batches, k):
-            grams, counts = np.unique(np.concatenate([s for _, s in sets]), return_counts=True)
-            bucket = _bucket(grams, n_buckets)
-            order = np.argsort(bucket, kind="stable")
-            e = runs(bucket[order])
-            cut = [order[a:b] for a, b in itertools.pairwise(e.tolist())]
+            grams, counts = np.unique(np.concatenate([s for _, s in sets]) >> COARSE, return_counts=True)
+            bucket = _bucket(grams, n_buckets, 64 - int(COARSE))
+            e = runs(bucket)
+            cut = [np.arange(a, b) for a, b in itertools.pairwise(e.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(bucket[o[0]]) for o in cut], pa.int32()), pa.array([_sorted_put(grams[o]) for o in cut], pa.binary()), pa.array([put(counts[o], delta=False) for o in cut], pa.binary())],
                 names=["bucket", "grams", "counts"],
@@ -193,7 +202,7 @@ def _lister(k: int, n_buckets: int, light: int, hot: np.ndarray, hot_counts: np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _distinct_sets(batches, k):
             keys, names, sizes, near = [], [], [], []
-            every = np.concatenate([s for _, s in sets])
+            every = np.concatenate([s for _, s in sets]) >> COARSE
             at = np.searchsorted(hot, every)
             at[at == len(hot)] = 0
             weight = np.where(hot[at] == every, hot_counts[at], 0) if len(hot) else np.zeros(len(every), np.int64)
@@ -217,7 +226,7 @@ def _lister(k: int, n_buckets: int, light: int, hot: np.ndarray, hot_counts: np.
                     sizes.append(np.full(p, n))
             keys, names, sizes, near = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes), np.concatenate(near)
             bucket = _bucket(keys, n_buckets)
-            order = np.lexsort((keys, bucket))
+            order = np.argsort(keys, kind="stable")
             e = runs(bucket[order])
             cut = [order[a:b] for a, b in itertools.pairwise(e.tolist())]
             rows = [(int(bucket[o[0]]), _sorted_put(keys[o]), names[o].astype("<i8").tobytes(), put(sizes[o], delta=False), near[o].astype(np.int8).tobytes()) for o in cut]
@@ -255,7 +264,8 @@ def _sets(k: int):
         for b in batches:
             names = b.column("set_id").to_pylist()
             for a in range(0, b.num_rows, 200):
-                out = [(names[a + i], s.tobytes()) for i, s in sets_of(utf8(b.column("text").slice(a, 200)), k)]
+                found = sets_of(utf8(b.column("text").slice(a, 200)), k)
+                out = [(names[a + i], s.tobytes()) for i, s in found if len(s) and class_of(s) == names[a + i]]  # ids may repeat
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["set_id", "grams"])
 
     return run
@@ -275,11 +285,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _can_link(a: str, b: str):
-    """Sizes allow it, and the smaller set has the key where it must."""
-    size = F.expr(f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n)")
-    near = F.expr(f"({a}.n <= {b}.n and {a}.near = {NEAR}) or ({b}.n <= {a}.n and {b}.near = {NEAR})")
-    return size & near
+def _lists_needed() -> str:
+    """SQL: the lists that a linked pair of sizes n <= m shares at least. Of two sets the one whose prefix ends first has
+    all the grams that it shares up to there in both prefixes, and no more beyond than its rest is long."""
+    overlap = f"({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}"
+    rest = lambda x: f"greatest(0, ({NUM} * {x} + {DEN - 1}) div {DEN} - 1 - {{}} div {SHARE})".format(x)
+    return f"greatest(1, {overlap} - greatest({rest('n')}, {rest('m')}))"
 
 
 def similar(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
@@ -320,39 +331,43 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
     links = subsets.join(meet, "key").select(F.col("set_id").alias("a"), "b").where("a <> b").distinct()
     labels = work.write(components(work, links, "components_0"), "labels_0")
 
-    # the sets that need comparing
-    wanted = lists.where(F.col("near") <= NEAR).select("set_id").distinct()
-    chosen = named.where("n > 0").groupBy("set_id").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("_id")).join(wanted, "set_id")
-    chosen = work.write(chosen, "chosen")
-    if work.size("chosen") <= BROADCAST:
-        chosen = F.broadcast(chosen)
-    sets = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"])).select("set_id", "text").mapInArrow(_sets(k), "set_id long, grams binary")
-    sets = work.write(sets.dropDuplicates(["set_id"]), "sets")
-    lists = lists.where(F.col("near") <= NEAR)
-    tried = None
+    # the sets of lists, the most shared first: copies with few changes of their own lead
+    lists = lists.where(F.col("near") <= NEAR).select("key", "set_id", "n")
+    lists = work.write(lists.join(lists.groupBy("set_id").agg(F.count("*").alias("shared")), "set_id"), "ranked")
+    first_doc = F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id"))
+    tried, member = None, F.struct("set_id", "n", "component")
     for step in range(LEADERS + 1):
         own = labels.select(F.col("node").alias("set_id"), "component")
         mine = lists.join(own, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        lead = F.min_by(F.struct("set_id", "n", "near", "component"), F.xxhash64("set_id", F.lit(step)) if step else F.col("set_id"))
-        mixed = mine.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), lead.alias("l")).where("c1 <> c2")
+        best = F.struct(F.xxhash64("set_id", F.lit(step)), "set_id") if step else F.struct("shared", "set_id")
+        mixed = mine.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max_by(member, best).alias("l")).where("c1 <> c2")
         x = mine.join(mixed.select("key", "l"), "key")
         if step < LEADERS:
-            pairs = x.select(F.struct("set_id", "n", "near", "component").alias("o"), "l")
+            pairs = x.select(member.alias("o"), "l")
         else:
-            y = x.select("key", F.struct("set_id", "n", "near", "component").alias("o"))
+            y = x.select("key", member.alias("o"))
             pairs = y.join(y.select("key", F.col("o").alias("l")), "key").where("o.component < l.component")
-        pairs = pairs.where("o.component <> l.component").where(_can_link("o", "l"))
-        pairs = pairs.select(F.least("o.set_id", "l.set_id").alias("a"), F.greatest("o.set_id", "l.set_id").alias("b")).distinct()
+        pairs = pairs.where("o.component <> l.component").where(F.expr(f"{DEN} * least(o.n, l.n) >= {NUM} * greatest(o.n, l.n)"))
+        ends = (F.least("o.set_id", "l.set_id").alias("a"), F.greatest("o.set_id", "l.set_id").alias("b"))
+        pairs = pairs.groupBy(*ends, F.least("o.n", "l.n").alias("n"), F.greatest("o.n", "l.n").alias("m")).agg(F.count("*").alias("lists"))
+        pairs = pairs.where(F.expr(f"lists >= 1 + n div {SHARE}" if step < LEADERS else f"lists >= {_lists_needed()}")).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = work.write(pairs, f"pairs_{step}")
         if pairs.isEmpty():
-            if step == LEADERS:
-                break
             continue
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        chosen = named.join(wanted, "set_id").groupBy("set_id").agg(first_doc.alias("_id"))
+        chosen = work.write(chosen, f"chosen_{step}")
+        if work.size(f"chosen_{step}") <= BROADCAST:
+            chosen = F.broadcast(chosen)
+        sets = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"])).select("set_id", "text").mapInArrow(_sets(k), "set_id long, grams binary")
+        sets = work.write(sets, f"sets_{step}")
         both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("grams").alias("x")), "a")
         both = both.join(sets.select(F.col("set_id").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-        checked = work.write(both.mapInArrow(_verified, "a long, b long, linked boolean"), f"checked_{step}")
+        checked = work.write(both.mapInArrow(_verified, "a long, b long, linked boolean").distinct(), f"checked_{step}")
+        work.drop(f"sets_{step}")
+        work.release()
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
         fresh = checked.where("linked")
         for end in ("a", "b"):  # links between components

@@ -82,7 +82,8 @@ class WordEncoder:
         self.findall = regex.compile(_SPLIT).findall
         self.wide = max(self.whole.get_vocab().values()) >= 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.words: dict[str, bytes] = {}
+        self.code = "I" if self.wide else "H"
+        self.words = _Words(self.word)
         self.known: dict[str, bytes] = {}
 
     def _split(self, word: str) -> list[str]:
@@ -95,42 +96,41 @@ class WordEncoder:
             return [w[:-1], w[-1]]
         return self.findall(w)
 
-    def _learn(self, words: set[str]) -> None:
-        known, one, more = self.known, {}, {}
-        for w in words:
-            low = w.lower()
-            if low.isalpha() and low.isascii():
-                one[w] = low
-            elif w.isascii() or max(w) <= _PLAIN:
-                more[w] = self._split(w)
-            else:
-                self.words[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        new = set(one.values())
-        new.update(*more.values())
-        code, piece = "I" if self.wide else "H", self.piece
-        for p in new - known.keys():
-            known[p] = array(code, piece(p.encode() + _END)).tobytes()
-        self.words.update(zip(one, map(known.__getitem__, one.values()), strict=True))
-        for w, ps in more.items():
-            self.words[w] = b"".join([known[p] for p in ps])
-        if len(known) > CACHE:
-            self.known = {}
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.known[piece] = array(self.code, self.piece(piece.encode() + _END)).tobytes()
+        return ids
+
+    def word(self, word: str) -> bytes:
+        low = word.lower()
+        if low.isalpha() and low.isascii():
+            return self._piece(low)
+        if low.isascii() or max(word) <= _PLAIN:
+            return b"".join([self._piece(p) for p in self._split(word)])
+        return self._whole(word)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        if len(self.words) > CACHE:
-            self.words = {}
-        split = [None if any(c in t for c in _ODD) else t.split() for t in texts]
-        new = {w for ws in split if ws for w in ws} - self.words.keys()
-        if new:
-            self._learn(new)
+        for cache in (self.words, self.known):
+            if len(cache) > CACHE:
+                cache.clear()
         get = self.words.__getitem__
-        return [
-            np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-            if ws is None
-            else b"".join(map(get, ws))
-            for t, ws in zip(texts, split, strict=True)
-        ]
+        return [self._whole(t) if any(map(t.__contains__, _ODD)) else b"".join(map(get, t.split())) for t in texts]
+
+
+class _Words(dict):
+    """Ids by word, worked out when first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
