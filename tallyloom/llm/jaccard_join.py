@@ -285,12 +285,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _lists_needed() -> str:
+def _lists_needed(n: str = "n", m: str = "m") -> str:
     """SQL: the lists that a linked pair of sizes n <= m shares at least. Of two sets the one whose prefix ends first has
     all the grams that it shares up to there in both prefixes, and no more beyond than its rest is long."""
-    overlap = f"({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}"
+    overlap = f"({NUM} * ({n} + {m}) + {NUM + DEN - 1}) div {NUM + DEN}"
     rest = lambda x: f"greatest(0, ({NUM} * {x} + {DEN - 1}) div {DEN} - 1 - {{}} div {SHARE})".format(x)
-    return f"greatest(1, {overlap} - greatest({rest('n')}, {rest('m')}))"
+    return f"greatest(1, {overlap} - greatest({rest(n)}, {rest(m)}))"
 
 
 def similar(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
@@ -335,7 +335,7 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
     lists = lists.where(F.col("near") <= NEAR).select("key", "set_id", "n")
     lists = work.write(lists.join(lists.groupBy("set_id").agg(F.count("*").alias("shared")), "set_id"), "ranked")
     first_doc = F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id"))
-    tried, member = None, F.struct("set_id", "n", "component")
+    tried, member = None, F.struct("set_id", "n", "component", "shared")
     for step in range(LEADERS + 1):
         own = labels.select(F.col("node").alias("set_id"), "component")
         mine = lists.join(own, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -347,6 +347,7 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
         else:
             y = x.select("key", member.alias("o"))
             pairs = y.join(y.select("key", F.col("o").alias("l")), "key").where("o.component < l.component")
+            pairs = pairs.where(F.expr("least(o.shared, l.shared) >= " + _lists_needed("least(o.n, l.n)", "greatest(o.n, l.n)")))
         pairs = pairs.where("o.component <> l.component").where(F.expr(f"{DEN} * least(o.n, l.n) >= {NUM} * greatest(o.n, l.n)"))
         ends = (F.least("o.set_id", "l.set_id").alias("a"), F.greatest("o.set_id", "l.set_id").alias("b"))
         pairs = pairs.groupBy(*ends, F.least("o.n", "l.n").alias("n"), F.greatest("o.n", "l.n").alias("m")).agg(F.count("*").alias("lists"))
