@@ -119,15 +119,15 @@ def _minimise(x: np.ndarray, y: np.ndarray, diff: np.ndarray, rounds: int = 400)
     weight /= weight.mean()
     u, ub, smooth = np.ones(k), 1.0, 1.0
     for _ in range(30):  # the loss curves no more than this, by power iteration
-        h = x @ u + ub
-        u, ub = 0.25 * x.T @ (weight * h) / n + 2 * L2 * u + (2 * FAIR * diff.T @ (diff @ u) / len(diff) if len(diff) else 0), 0.25 * (weight * h).sum() / n
+        h = x @ u.astype(x.dtype) + ub
+        u, ub = 0.25 * x.T @ (weight * h).astype(x.dtype) / n + 2 * L2 * u + (2 * FAIR * diff.T @ (diff @ u) / len(diff) if len(diff) else 0), 0.25 * (weight * h).sum() / n
         smooth = np.sqrt(u @ u + ub * ub)
         u, ub = u / smooth, ub / smooth
     smooth *= 1.1
     for r in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + vb, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x @ v.astype(x.dtype) + vb, -40, 40)))
         e = weight * (p - y) / n
-        g = x.T @ e + 2 * L2 * v
+        g = x.T @ e.astype(x.dtype) + 2 * L2 * v
         if len(diff):
             g += 2 * FAIR * diff.T @ (diff @ v) / len(diff)
         w2, b2 = v - g / smooth, vb - e.sum() / smooth
@@ -143,7 +143,7 @@ def fit_bags(bags: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.nd
     neutral = _bags([_lower(t) for t in terms])
     pairs = pairs + list(zip(neutral, _bags([_lower(swapped(t)) for t in terms]), strict=True))
     size, pos = 1 << BITS, labels > 0
-    count = lambda which: np.bincount(np.concatenate([np.empty(0, np.int64), *[b for b, s in zip(bags, which, strict=True) if s]]), minlength=size)
+    count = lambda which: np.bincount(np.concatenate([np.empty(0, np.int32), *[b for b, s in zip(bags, which, strict=True) if s]]), minlength=size)
     a, b = count(pos), count(~pos)
     na, nb = max(1, pos.sum()), max(1, (~pos).sum())
     with np.errstate(all="ignore"):
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
     texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(rows), "doc_id")  # rows: at most ``sample``
     got = texts.select("doc_id", "label", "text").mapInArrow(_bag_rows, "doc_id long, label int, bag binary, swapped binary").dropDuplicates(["doc_id"]).toArrow()
     order = np.argsort(np.asarray(got.column("doc_id")), kind="stable")
-    read = lambda v: np.frombuffer(v, "<i4").astype(np.int64)
+    read = lambda v: np.frombuffer(v, "<i4")
     raw, other = got.column("bag").to_pylist(), got.column("swapped").to_pylist()
     bags = [read(raw[i]) for i in order]
     pairs = [(read(raw[i]), read(other[i])) for i in order if other[i] is not None]
