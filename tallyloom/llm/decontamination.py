@@ -4,15 +4,17 @@ Tokens are lower-cased words without ASCII punctuation. A seed is a hash of the
 fixed mask; the 0s are ignored, so a passage with substituted words still meets its item at those
 places. The seeds of all benchmark items (test side) are joined with those of every position of every
 text (training side); each hit names a diagonal, on which item and text are compared token by token.
-The overlap is the best stretch around the hits, counting 1 for an equal token and -4 for a
-substituted one (no more than a fifth substituted); it counts as contamination from
-``LEAST`` tokens on, or as long as the item where that is shorter.
+The overlap is the longest stretch of the diagonal with no more than a fifth of its tokens substituted
+that begins and ends with an equal token or is the whole item; it counts as contamination from
+``LEAST`` tokens on, or as long as the item where that is shorter. The masks meet every such stretch:
+one of 13 tokens or more parts into pieces of 13 to 25, one of which has no more than a fifth
+substituted, and wherever a piece's substitutions are, some mask finds a place between them.
 
 The test side's index is an array that every task gets: at most ``BLOCK`` benchmark tokens at a time
 (about 60 MB); a larger benchmark is split into blocks by item and the texts are read once for each.
 
-Edge cases: items of fewer than 12 tokens are sought by runs of ``SHORT`` tokens, those of fewer than
-that match nothing; null and empty texts and items match nothing; repeated rows are each reported;
+Edge cases: items of fewer than ``LEAST`` tokens are sought whole, by the masks ``SHORT_MASKS``; those of
+fewer than ``SHORT`` match nothing; null and empty texts and items match nothing; repeated rows are each reported;
 texts are read whole; an empty benchmark or table gives no rows.
 """
 
@@ -29,8 +31,9 @@ from pyspark.sql import types as T
 from tallyloom.llm._shared import ready
 from tallyloom.llm._text import SPACE, Words, chunks, mix, odd_constants
 
-# 8 of 12 positions each.
-MASKS = ("111010110111", "110111101011", "101101111101")
+# Fixed values, found by search: 6 positions each, 4 for short items.
+MASKS = ("1111011", "110010111", "1011000000111")
+SHORT_MASKS = ("1111", "110011")
 SHORT, LEAST, BLOCK, PENALTY, FILTER_BITS = 6, 13, 500_000, 4, 20
 _APART = SPACE.copy()
 _APART[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
@@ -41,11 +44,11 @@ def _lower(text: str | None) -> bytes:
 
 
 def _seed_shapes() -> list[np.ndarray]:
-    return [np.flatnonzero([c == "1" for c in m]) for m in MASKS] + [np.arange(SHORT)]
+    return [np.flatnonzero([c == "1" for c in m]) for m in MASKS + SHORT_MASKS]
 
 
 SHAPES = _seed_shapes()
-SPANS = [len(m) for m in MASKS] + [SHORT]
+SPANS = [len(m) for m in MASKS + SHORT_MASKS]
 
 
 def seeds(words: np.ndarray, shape: int) -> np.ndarray:
@@ -68,7 +71,9 @@ class Index:
         h, item, offset, shape = [], [], [], []
         for i in range(len(ids)):
             words = self.words[self.first[i] : self.first[i + 1]]
-            for s in [3] if len(words) < SPANS[0] else range(3):
+            if len(words) < SHORT:
+                continue
+            for s in range(len(MASKS)) if len(words) >= LEAST else range(len(MASKS), len(SHAPES)):
                 x = seeds(words, s)
                 h.append(x)
                 item.append(np.full(len(x), i))
@@ -100,17 +105,25 @@ class Index:
         return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
 
     def overlap(self, words: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(first token in the text, length, equal tokens) of the best stretch on a diagonal, if it counts."""
+        """(first token in the text, length, equal tokens) of the longest stretch on a diagonal, if it counts."""
         own = self.words[self.first[item] : self.first[item + 1]]
         a, b = max(0, diagonal), min(len(words), diagonal + len(own))
         equal = words[a:b] == own[a - diagonal : b - diagonal]
+        need = min(LEAST, len(own))
+        n_equal = int(equal.sum())
+        if 5 * n_equal < 4 * need:
+            return None
+        if len(equal) == len(own) and 5 * n_equal >= 4 * len(own):
+            return a, len(own), n_equal
         run = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
-        low = np.minimum.accumulate(run)
-        end = int(np.argmax(run - low))
-        begin = int(np.flatnonzero(run[: end + 1] == low[end])[0])
-        if end - begin < min(LEAST, len(own)):
+        at = np.flatnonzero(equal)
+        reach = np.maximum.accumulate(run[at + 1][::-1])[::-1]  # the most of any end from here on
+        last = np.searchsorted(-reach, -run[at], side="right") - 1  # the last end not below each begin
+        size = at[last] + 1 - at
+        k = int(np.argmax(size))
+        if size[k] < need:
             return None
-        return a + begin, end - begin, int(equal[begin:end].sum())
+        return a + int(at[k]), int(size[k]), int(last[k]) - k + 1
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, length, equal): the longest overlap of each text and item."""

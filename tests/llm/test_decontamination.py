@@ -1,5 +1,6 @@
 """Spaced seeds against planted passages and a brute-force search of all diagonals."""
 
+import itertools
 import random
 
 import numpy as np
@@ -76,3 +77,29 @@ def test_whole_table(spark):
     texts = {d: flat(t) for d, t in rows}
     exact = {(d, k) for k, item in items for d, t in texts.items() if flat(item) in t}
     assert exact <= got and exact
+
+
+def lossless(masks, length, gone):
+    """Whether some mask fits between any ``gone`` substitutions in ``length`` tokens."""
+    places = [{p + j for j, c in enumerate(m) if c == "1"} for m in masks for p in range(length - len(m) + 1)]
+    return all(any(not p & set(x) for p in places) for x in itertools.combinations(range(length), gone))
+
+
+def test_masks():
+    assert all(lossless(dc.MASKS, n, n // 5) for n in (13, 15, 20)) and all(lossless(dc.SHORT_MASKS, n, n // 5) for n in range(dc.SHORT, dc.LEAST))
+
+
+def test_substitutions():
+    own = lambda n: [f"w{i}" for i in range(n)]
+    for n in range(dc.SHORT, 32):
+        index = dc.Index([7], [" ".join(own(n))])
+        cases = [[p] for p in range(n)] + [sorted(R.sample(range(n), n // 5)) for _ in range(30)]
+        texts = [" ".join(words(5) + ["changed" if i in gone else w for i, w in enumerate(own(n))] + words(5)) for gone in cases]
+        assert list(index.find(texts)) == [(i, 0, 5, n, n - len(gone)) for i, gone in enumerate(cases)]
+    part = dc.Index([7], [" ".join(own(40))])
+    text = lambda ws: " ".join(words(4) + ws + words(4))
+    assert list(part.find([text(own(12) + words(3) + own(27)[15:])])) == [(0, 0, 4, 27, 24)]
+    assert list(part.find([text(own(14)[2:])])) == [] and list(part.find([text(own(15)[2:])])) == [(0, 0, 4, 13, 13)]
+    gone = set(R.sample(range(1, 14), 3)) | {15, 16, 17}
+    assert [x[1:4] for x in part.find([text([w if i not in gone else "z" for i, w in enumerate(own(15))])])] == [(0, 4, 15)]
+    assert list(part.find([text([w if i % 2 else "z" for i, w in enumerate(own(40))])])) == []
