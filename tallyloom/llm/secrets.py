@@ -5,9 +5,11 @@ of 6 characters or more; its span is the whole match), ``access`` (AKIA and on,
 more) and ``hex`` (24 or more lower-case hex digits). Matches that fail the length are dropped and
 not retried.
 
-The method adds kind ``named``: each line is lexed into tokens (names, string literals, bare words,
-numbers, punctuation); assignments ``name = value`` in the forms of source code, shell, YAML, INI and JSON become
-name-literal pairs. A value is a concatenation of literals and names; names stand for the constants
+The method adds kind ``named``: each line, with those that an open assignment runs on to, is lexed into
+tokens (names, string literals, bare words, numbers, punctuation); assignments ``name = value`` in the forms
+of source code, shell, YAML, INI and JSON become name-literal pairs, so do ``name: type = literal`` and
+``name["key"] = value`` (a pair of the key). A value on a later line than its operator is a string, a constant
+or the only word of its line. A value is a concatenation of literals and names; names stand for the constants
 assigned to them earlier in the text, so a key put together from parts is seen whole, and the span
 is that of the literals on the assigning line. A pair is a finding if its name's parts are sensitive
 and the literal scores at least ``THRESHOLD``: the name's weight times the literal's likeness to a
@@ -43,7 +45,7 @@ NAME_WEIGHTS = {
 }
 THRESHOLD = 0.5
 _TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<bare>[0-9][A-Za-z0-9_+/.=-]*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+(){},;\[\]])|(?P<space>[ \t]+)|(?P<other>.)"""
+    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<bare>[0-9][A-Za-z0-9_+/.=-]*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+(){},;\[\]])|(?P<space>[ \t\r]+)|(?P<line>\n)|(?P<other>.)"""
 )
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _ASSIGNS = frozenset((":=", "=>", "=", ":"))
@@ -70,59 +72,162 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 3.5) * (0.4 + 0.3 * min(classes - 1, 2)) * min(1.0, n / 12)
 
 
+def _lex(line: str, at: int) -> list[tuple[str, str, int, int, int]]:
+    """(kind, text, start, end, row) of the tokens."""
+    tokens, row = [], 0
+    for m in _TOKEN.finditer(line):
+        if m.lastgroup == "line":
+            row += 1
+        elif m.lastgroup != "space":
+            tokens.append((m.lastgroup, m.group(), at + m.start(), at + m.end(), row))
+    return tokens
+
+
+def _typed(tokens: list, j: int) -> int | None:
+    """Where the value of ``type = value`` begins, if that is what stands at j."""
+    depth, row = 0, tokens[j - 1][4]
+    for k in range(j, len(tokens)):
+        kind, t = tokens[k][:2]
+        if t in _ASSIGNS:
+            return k + 1 if t == "=" and k > j and not depth else None
+        if tokens[k][4] > row and not depth:
+            return None
+        if t in ("[", "(", "<", "{"):
+            depth += 1
+        elif t in ("]", ")", ">", "}"):
+            depth -= 1
+        elif not depth and kind not in ("name", "string") and t not in ("|", "&", "?", "*", ".", "'"):
+            return None
+        if depth < 0:
+            return None
+    return None
+
+
+def _value(tokens: list, j: int, line: str, at: int, constants: dict[str, str]) -> tuple[list[str], int | None, int | None, bool, int]:
+    """(parts, start, end, whether a literal or constant is among them, next token) of the value that begins at j."""
+    value, start, end, literal, inside = [], None, None, False, False
+    none, row, n = (value, None, None, False, j), tokens[j - 1][4], len(tokens)
+    is_key = lambda i: i + 1 < n and tokens[i + 1][1] in _ASSIGNS
+    part = lambda i: tokens[i][0] == "string" or tokens[i][0] == "name" and tokens[i][1] in constants
+
+    def run(i: int) -> int:  # bare values run on to white space
+        e = i + 1
+        while e < n and tokens[e][2] == tokens[e - 1][3] and tokens[e][0] in ("name", "bare", "other"):
+            e += 1
+        return e
+
+    i = j
+    while i < n and tokens[i][1] in ("(", "\\", "+", "-", "|", ">"):
+        inside |= tokens[i][1] == "("
+        i += 1
+    if i >= n or tokens[i][4] > row and is_key(i):
+        return none
+    if (i > j or tokens[i][4] > row) and not part(i):
+        if tokens[i][4] == row or tokens[i][0] not in ("name", "bare"):
+            return none
+        e = run(i)
+        if e < n and tokens[e][4] == tokens[i][4]:
+            return none
+    j = i
+    while j < n:
+        k, t, a, b, row = tokens[j]
+        if k == "string":
+            value.append(t[1:-1])
+            start, end, literal = (a + 1 if start is None else start), b - 1, True
+        elif k == "bare" or k == "name" and t not in constants:
+            e = run(j)
+            b = tokens[e - 1][3]
+            value.append(line[a - at : b - at])
+            start, end, j = (a if start is None else start), b, e - 1
+        elif k == "name":
+            value.append(constants[t])
+            start, end, literal = (a if start is None else start), b, True
+        else:
+            break
+        j += 1
+        i = j
+        while i < n and tokens[i][1] in ("+", "\\"):
+            i += 1
+        plus = any(x[1] == "+" for x in tokens[j:i])
+        if i >= n or tokens[i][4] > row and (is_key(i) or not part(i)):
+            break
+        if plus or k == tokens[i][0] == "string" and (inside or i > j or tokens[i][4] == row) and not is_key(i):
+            j = i
+            continue
+        break
+    return value, start, end, literal, j
+
+
 def _pairs(line: str, at: int, constants: dict[str, str]) -> Iterator[tuple[str, str, int, int]]:
     """(name, value, start, end) of the line's assignments; remembers constants."""
-    tokens = [(m.lastgroup, m.group(), at + m.start(), at + m.end()) for m in _TOKEN.finditer(line) if m.lastgroup != "space"]
+    tokens = _lex(line, at)
     i = 0
     while i < len(tokens) - 2:
-        kind, text, _, _ = tokens[i]
-        if kind not in ("name", "string") or tokens[i + 1][1] not in _ASSIGNS:
+        kind, text = tokens[i][:2]
+        if kind not in ("name", "string"):
             i += 1
             continue
-        name = text[1:-1] if kind == "string" else text
-        j, value, start, end, literal = i + 2, [], None, None, False
-        while j < len(tokens):
-            k, t, a, b = tokens[j]
-            if k == "string":
-                value.append(t[1:-1])
-                start, end, literal = (a + 1 if start is None else start), b - 1, True
-            elif k == "bare" or k == "name" and t not in constants:
-                e = j + 1  # bare values run on to white space
-                while e < len(tokens) and tokens[e][2] == tokens[e - 1][3] and tokens[e][0] in ("name", "bare", "other"):
-                    e += 1
-                t, b = line[a - at : tokens[e - 1][3] - at], tokens[e - 1][3]
-                value.append(t)
-                start, end, j = (a if start is None else start), b, e - 1
-            elif k == "name":
-                value.append(constants[t])
-                start, end, literal = (a if start is None else start), b, True
-            else:
-                break
-            if j + 1 < len(tokens) and tokens[j + 1][1] == "+":
-                j += 2
-                continue
-            j += 1
-            break
+        op, key = i + 1, kind == "string" and i > 0 and tokens[i - 1][1] == "[" and tokens[i + 1][1] == "]"
+        if key or tokens[op][1] in ("?", "!") and tokens[op + 1][1] == ":":
+            op += 1
+        if tokens[op][1] not in _ASSIGNS or op + 1 >= len(tokens):
+            i += 1
+            continue
+        names = [text[1:-1] if kind == "string" else text]
+        first = _typed(tokens, op + 1) if tokens[op][1] == ":" else None
+        got = first and first < len(tokens) and _value(tokens, first, line, at, constants)
+        if got and got[3]:
+            if tokens[first - 2][0] == "name":
+                names.append(tokens[first - 2][1])  # "see: token = literal"
+        else:
+            got = _value(tokens, op + 1, line, at, constants)
+        value, start, end, literal, j = got
         if value:
             joined = "".join(value)
-            if literal or len(value) == 1:
-                constants[name] = joined
-            yield name, joined, start, end
-        i = max(j, i + 2)
+            for name in names:
+                if (literal or len(value) == 1) and not key:
+                    constants[name] = joined
+                yield name, joined, start, end
+        i = max(j, op + 1)
+
+
+_LEADING_PLUS = re.compile(r"""[ \t]+\+[ \t]*["']""")
+
+
+def _logical(text: str) -> Iterator[tuple[int, str]]:
+    """(offset, line) of the lines with assignments, each with the lines that its open value runs on to."""
+    lines, k, at = text.split("\n"), 0, 0
+    while k < len(lines):
+        a, line = k, lines[k]
+        k += 1
+        if "=" in line or ":" in line:
+            last, inside = line, False
+            while k < len(lines):
+                if lines[k].strip():
+                    s = last.rstrip()
+                    head = s.rstrip("(\\|>+- \t")
+                    opened = head.endswith((":", "="))
+                    inside |= opened and s.endswith("(")
+                    quoted = lines[k].lstrip()[0] in "\"'"
+                    if not (opened or s.endswith(("+", "\\")) or inside and quoted or s[-1] in "\"'" and _LEADING_PLUS.match(lines[k])):
+                        break
+                    last = lines[k]
+                k += 1
+            line = "\n".join(lines[a:k])
+            yield at, line
+        at += len(line) + 1
 
 
 def named(text: str) -> list[tuple[int, int]]:
     """Spans of literals assigned to sensitive names."""
-    found, constants, at = [], {}, 0
+    found, constants = [], {}
     if not _QUICK.search(text):
         return found
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            for name, value, s, e in _pairs(line, at, constants):
-                w = name_weight(name)
-                if w and w * literal_score(value) >= THRESHOLD:
-                    found.append((s, e))
-        at += len(line) + 1
+    for at, line in _logical(text):
+        for name, value, s, e in _pairs(line, at, constants):
+            w = name_weight(name)
+            if w and w * literal_score(value) >= THRESHOLD:
+                found.append((s, e))
     return sorted(set(found))
 
 

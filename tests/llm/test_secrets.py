@@ -42,3 +42,30 @@ def test_cases(spark):
     assert len(out) == 6 and sum(r["n_assign"] for r in out) == 1 and sum(r["n_hex"] for r in out) == 1
     assert {r["redacted"][:8] for r in out if r["doc_id"] == 2} == {"[assign]"}
     assert secrets.find(docs.limit(0)).count() == 0
+
+
+def test_forms():
+    a, b, c = "s8Kq2ZxPvT71mWc0", "Zk29sLq81XvbPq7", "Qw83nTy60RbLx5"
+    one = [
+        f'db_password: str = "{a}"', f"const authToken: string = '{a}';", f'apiToken?: string | null = "{a}"', f'private_key: Optional[list[str]] = "{a}"',
+        f'db_password: str =\n    "{a}"', f'settings["private_key"] = "{a}"', f"$conf['db']['passphrase'] = '{a}';", f'["private_key"] = "{a}",',
+        f'private_key =\n  "{a}"', f'private_key = (\n  "{a}"\n)', f'private_key = \\\r\n  "{a}"\r\n', f"private_key:\n\n  {a}\nother: x", f"private_key: >-\n  {a}", f'"private_key":\n  "{a}",',
+        f'auth:\n  "private_key": "{a}"', f"auth:\n  private_key: {a}", f'note: set private_key = "{a}"', f"private_key: {a}\r\nx: y", f'+private_key =\n+  "{a}"', f'private_key = ("{a}")',
+    ]
+    for text in one:
+        assert [text[s:e] for s, e in secrets.named(text)] == [a], text
+        assert a not in secrets.redact(text, secrets.scan(text)[1]), text
+    many = [f'private_key = (\n  "{a}"\n  "{b}"\n)', f'private_key = "{a}" +\n  "{b}"', f"private_key = '{a}'\n    + '{b}';", f'private_key = "{a}" \\\n  "{b}"']
+    for text in many:
+        assert [text[s:e].split(a)[1].split(b)[1] for s, e in secrets.named(text)] == [""], text
+    two = [f"private_key: {a}+\npassword: {c}", f'{{"private_key": "{a}" "password": "{c}"}}', f'+private_key = "{a}"\n+password = "{c}"', f"private_key: {a}\n\\\npassword: {c}"]
+    for text in two:
+        assert [text[s:e] for s, e in secrets.named(text)] == [a, c], text
+    for text in ("The key:\nis under Mat12xyzQ the mat", "token: SecretStringType = None", "auth:\n  - name: x", "token =", "token: (", 'x["token"] =', "token?:", 'token: "', "[[:=\n" * 2000, "a: [" * 5000, "=\n\n" * 5000):
+        assert len(secrets.named(text)) == (1 if "SecretString" in text else 0), text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "[", "]", "(", "?", "+", "\\", "\n", "\r", " ", ":", "=", "=>", '"', "'", "Zk29sLq81XvbPq7", "|", ">", "-", "x", ","]), max_size=16).map("".join))
+def test_any_forms(text):
+    assert all(0 <= s <= e <= len(text) for s, e in secrets.named(text))
