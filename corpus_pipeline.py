@@ -1,6 +1,6 @@
 """The corpus pipeline: documents pass the stages in order, each on all that the one before kept.
 
-Toxic documents go; of each group of near-duplicates the one of the least doc_id stays; documents
+Toxic documents go; of each group of near-duplicates the row of the least doc_id stays; documents
 that overlap a benchmark item go; secrets are blotted out of the text (and n_chars follows); what is
 left is packed into windows of 4096 tokens, each source in proportion to its share. Every stage's
 table is written before the next reads it.
@@ -28,20 +28,24 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts: that of the least doc_id; of rows that repeat it, one."""
+    """One row of each group of linked texts: that of the least doc_id (null after all others); of rows that repeat it, one.
+
+    A row is told by its doc_id and text, as ids may be null or repeated.
+    """
     work = Workspace(spark, "near_duplicates")
-    found = work.write(jaccard_join.similar(spark, docs.select("doc_id", "text")), "found")
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    gone = work.write(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    found = jaccard_join.linked(spark, docs.select("doc_id", "text")).where("first is not null")
+    found = work.write(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "first"), "found")
+    gone = work.write(found.where("not first").select("_id", "_key").distinct(), "gone")
     if work.size("gone") <= BROADCAST:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1")
-    twice = work.write(twice.select("_id"), "twice")
+    own = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    same = lambda t: own[0].eqNullSafe(t["_id"]) & (own[1] == t["_key"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    twice = work.write(found.where("first").groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"), "twice")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, kept["doc_id"] == twice["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == twice["_id"], "left_anti").unionByName(once)
+    once = kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same(twice), "left_anti").unionByName(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ def _named(k: int):
             n, name = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for i, s in sets_of(texts, k):
                 n[i], name[i] = len(s), class_of(s) if len(s) else 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(name)], names=["doc_id", "n", "set_id"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n), pa.array(name)], names=["doc_id", "text_key", "n", "set_id"])
 
     return run
 
@@ -295,9 +295,16 @@ def _lists_needed(n: str = "n", m: str = "m") -> str:
 
 def similar(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for each row of docs (doc_id, text)."""
+    return linked(spark, docs, k).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
+    """``similar`` with text_key (xxhash64 of the text) and first: of a row with links, whether its doc_id (null after
+    all others) and text are the least of its component's; else null."""
     work = Workspace(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = work.write(rows.mapInArrow(_named(k), "doc_id long, n long, set_id long"), "named")
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    named = work.write(keyed.mapInArrow(_named(k), "doc_id long, text_key long, n long, set_id long"), "named")
     texts = rows.select("text").where("text is not null")
 
     # how frequent grams are, and the order that puts frequent ones last
@@ -381,10 +388,13 @@ def similar(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
         labels = work.write(old.unionByName(new), f"labels_{step + 1}")
 
     # back to documents
-    least_id = named.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    least_id = named.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min(row).alias("row"), F.count("*").alias("copies"))
     least_id = least_id.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    linked = least_id.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("texts")).where("texts > 1")
-    known = work.write(least_id.join(linked, "component").select("set_id", "component_id"), "known")
+    groups = least_id.groupBy("component").agg(F.min("least").alias("component_id"), F.min("row").alias("_first"), F.sum("copies").alias("texts")).where("texts > 1")
+    known = work.write(least_id.join(groups, "component").select("set_id", "component_id", "_first"), "known")
     out = named.join(known.withColumn("_n", F.lit(True)), "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("_n"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    has = (F.col("n") > 0) & F.col("_n")
+    component_id = F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id, "text_key", F.when(has, row == F.col("_first")).alias("first"))
 

@@ -47,3 +47,17 @@ def test_repeated_rows(spark):
     rows = [(1, "a b c d e f g h", "en", "s", 15), (1, "a b c d e f g h", "en", "s", 15), (2, "a b c d e f g h", "en", "s", 15), (3, None, None, None, None), (3, None, None, None, None), (4, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in cp.near_duplicate_stage(spark, docs, SF).collect()) == [1, 3, 3, 4]
+
+
+def test_null_and_equal_ids(spark):
+    """Only rows of linked texts go, whatever rows share their id; a group without ids keeps one."""
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcdef")
+    rows = [(None, a), (2, a), (None, b), (None, c), (None, c), (None, c.upper()), (5, d), (5, e), (1, e), (5, f), (5, f), (7, f), (8, a + " z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for limit in (cp.BROADCAST, -1):
+        cp.BROADCAST, old = limit, cp.BROADCAST
+        try:
+            left = sorted(((r["doc_id"] or 0, r["text"].lower()) for r in cp.near_duplicate_stage(spark, docs, SF).collect()))
+        finally:
+            cp.BROADCAST = old
+        assert left == sorted([(2, a), (0, b), (0, c), (5, d), (1, e), (5, f)])
