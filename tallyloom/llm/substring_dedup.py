@@ -13,8 +13,9 @@ smaller than ``BROADCAST`` bytes; else both sides are shuffled.
 
 Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 
-Edge cases: a null text has no words; a null doc_id comes after all others; rows that repeat a doc_id
-count as one document, so equal windows at equal starts of them are not earlier than one another; texts
+Edge cases: a null text has no words; a null doc_id comes after all others; equal windows at equal
+starts of rows that repeat a doc_id are not earlier than one another; marks of such rows (and of those
+without id) carry their text's hash as ``variant``, so that each text loses its own words only; texts
 shorter than a window keep all words; texts are read whole; an empty table gives no rows.
 """
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,32 +72,39 @@ def windows(texts: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray, np.nd
         yield a, h[w.first[doc] + start], doc, start
 
 
-_MARKS = ("hashes", "docs", "counts", "starts", "gone_docs", "gone_counts", "gone_starts")
+_MARKS = ("hashes", "docs", "variants", "counts", "starts", "gone_docs", "gone_variants", "gone_counts", "gone_starts")
 _SENT = T.StructType([T.StructField("bucket", T.IntegerType())] + [T.StructField(n, T.BinaryType()) for n in _MARKS])
 
 
-def _by_doc(doc: np.ndarray, start: np.ndarray) -> list[bytes]:
-    """Packed (documents, counts, starts) of entries sorted by both."""
-    r = runs(doc)
-    return [put(doc[r[:-1]]), put(np.diff(r), delta=False), put(start)]
+def _runs(doc: np.ndarray, variant: np.ndarray) -> np.ndarray:
+    """Where the document or the variant changes, and the length at the end."""
+    return np.union1d(runs(doc), runs(variant)) if variant.any() else runs(doc)
 
 
-def _spread(docs: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(get(docs), get(counts, delta=False)), get(starts)
+def _by_doc(doc: np.ndarray, variant: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """Packed (documents, variants, counts, starts) of entries sorted by document and start."""
+    r = _runs(doc, variant)
+    return [put(doc[r[:-1]]), put(variant[r[:-1]], delta=False) if variant.any() else b"", put(np.diff(r), delta=False), put(start)]
+
+
+def _spread(docs: bytes, variants: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    docs, counts = get(docs), get(counts, delta=False)
+    variants = get(variants, delta=False) if variants else np.zeros(len(docs), np.int64)
+    return np.repeat(docs, counts), np.repeat(variants, counts), get(starts)
 
 
 def _sender(k: int, n_buckets: int):
     def flush(parts: list) -> pa.RecordBatch:
-        h, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((start, doc))
-        h, doc, start = h[order], doc[order], start[order]
-        by_hash = np.argsort(h, kind="stable")  # equal hashes stay in order of (doc, start)
+        h, doc, variant, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((variant, start, doc)) if variant.any() else np.lexsort((start, doc))
+        h, doc, variant, start = h[order], doc[order], variant[order], start[order]
+        by_hash = np.argsort(h, kind="stable")  # equal hashes stay in order of (doc, start, variant)
         r = runs(h[by_hash])
-        first = np.zeros(len(h), bool)
-        first[by_hash[r[:-1]]] = True
         lead = np.repeat(by_hash[r[:-1]], np.diff(r))  # each entry's first, in order of hashes
         later = np.zeros(len(h), bool)
         later[by_hash] = (doc[by_hash] != doc[lead]) | (start[by_hash] != start[lead])
+        first = ~later  # of each variant one
+        first[by_hash[1:][(np.diff(h[by_hash]) == 0) & (np.diff(variant[by_hash]) == 0)]] = False
         bucket = ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = runs(bucket[order])
@@ -104,17 +112,17 @@ def _sender(k: int, n_buckets: int):
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             o = order[a:b]
             f, g = o[first[o]], o[later[o]]
-            rows.append((int(bucket[o[0]]), h[f].tobytes(), *_by_doc(doc[f], start[f]), *_by_doc(doc[g], start[g])))
+            rows.append((int(bucket[o[0]]), h[f].tobytes(), *_by_doc(doc[f], variant[f], start[f]), *_by_doc(doc[g], variant[g], start[g])))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=_SENT.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for b in batches:
-            ids = b.column("doc_id").fill_null(LAST).to_numpy()
+            ids, variants = b.column("doc_id").to_numpy(), b.column("variant").to_numpy()
             for first, h, doc, start in windows(utf8(b.column("text")), k):
                 if len(h):
-                    parts.append((h, ids[first + doc], start))
+                    parts.append((h, ids[first + doc], variants[first + doc], start))
                     held += len(h)
                 if held >= FLUSH:
                     yield flush(parts)
@@ -126,11 +134,11 @@ def _sender(k: int, n_buckets: int):
 
 
 def _marker(table: pa.Table) -> pa.Table:
-    """Of one bucket: (doc_id, starts) of all windows that also start earlier."""
+    """Of one bucket: (doc_id, variant, starts) of all windows that also start earlier."""
     cols = [table.column(n).to_pylist() for n in _MARKS]
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in cols[0]])
-    doc, start = (np.concatenate(x) for x in zip(*(_spread(*x) for x in zip(*cols[1:4], strict=True)), strict=True))
-    gone_doc, gone_start = (np.concatenate(x) for x in zip(*(_spread(*x) for x in zip(*cols[4:], strict=True)), strict=True))
+    doc, variant, start = (np.concatenate(x) for x in zip(*(_spread(*x) for x in zip(*cols[1:5], strict=True)), strict=True))
+    gone_doc, gone_variant, gone_start = (np.concatenate(x) for x in zip(*(_spread(*x) for x in zip(*cols[5:], strict=True)), strict=True))
     order = np.argsort(h, kind="stable")
     same = h[order]
     twice = np.zeros(len(h), bool)
@@ -142,11 +150,12 @@ def _marker(table: pa.Table) -> pa.Table:
     r = runs(h[o])
     lead = np.repeat(o[r[:-1]], np.diff(r))
     later = o[(doc[o] != doc[lead]) | (start[o] != start[lead])]
-    doc, start = np.concatenate([gone_doc, doc[later]]), np.concatenate([gone_start, start[later]])
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    r = runs(doc)
-    return pa.table({"doc_id": pa.array(doc[r[:-1]] if len(doc) else doc, pa.int64()), "starts": pa.ListArray.from_arrays(pa.array(r, pa.int32()), pa.array(start.astype(np.int32)))})
+    doc, variant, start = (np.concatenate([x, y[later]]) for x, y in ((gone_doc, doc), (gone_variant, variant), (gone_start, start)))
+    order = np.lexsort((start, variant, doc)) if variant.any() else np.lexsort((start, doc))
+    doc, variant, start = doc[order], variant[order], start[order]
+    r = _runs(doc, variant)
+    ids = {n: pa.array(x[r[:-1]] if len(x) else x, pa.int64()) for n, x in (("doc_id", doc), ("variant", variant))}
+    return pa.table(ids | {"starts": pa.ListArray.from_arrays(pa.array(r, pa.int32()), pa.array(start.astype(np.int32)))})
 
 
 def _merger(k: int):
@@ -163,19 +172,31 @@ def _merger(k: int):
             last = np.concatenate([at[1:], [len(values)]])[: len(at)] - 1
             per_row = np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=b.num_rows))]).astype(np.int32)
             make = lambda v: pa.ListArray.from_arrays(pa.array(per_row), pa.array(v))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), make(values[at]), make(values[last] + k)], names=["doc_id", "from", "to"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("variant"), make(values[at]), make(values[last] + k)], names=["doc_id", "variant", "from", "to"])
 
     return run
 
 
-def repeats(spark: SparkSession, docs: DataFrame, k: int = WINDOW, work: Workspace | None = None) -> DataFrame:
-    """(doc_id, from, to): the maximal word intervals to remove, of documents that have any. A null id is ``LAST`` here."""
-    work = work or Workspace(spark, "substrings")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    sent = rows.mapInArrow(_sender(k, buckets(rows, BUCKET_BYTES)), _SENT)
-    marks = sent.groupBy("bucket").applyInArrow(_marker, "doc_id long, starts array<int>")
-    by_doc = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    return work.write(by_doc.mapInArrow(_merger(k), "doc_id long, `from` array<bigint>, `to` array<bigint>"), "intervals")
+def _keys(docs: DataFrame, work: Workspace) -> tuple[DataFrame, dict[str, Column]]:
+    """docs, and each row's doc_id (null: ``LAST``) and variant: of rows whose id others have too (or none), the text's hash, else 0."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    shared = docs.select(doc_id.alias("_shared")).groupBy("_shared").count().where("count > 1").select("_shared")
+    shared = work.write(shared, "shared")
+    if shared.isEmpty():
+        return docs, {"doc_id": doc_id, "variant": F.lit(0).cast("long")}
+    if work.size("shared") <= BROADCAST:
+        shared = F.broadcast(shared)
+    variant = F.when(F.col("_shared").isNotNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0))
+    return docs.join(shared, doc_id == F.col("_shared"), "left"), {"doc_id": doc_id, "variant": variant}
+
+
+def repeats(docs: DataFrame, keys: dict[str, Column], k: int, n_buckets: int, work: Workspace) -> DataFrame:
+    """(doc_id, variant, from, to): the maximal word intervals to remove, of texts that have any."""
+    rows = docs.select(*[c.alias(n) for n, c in keys.items()], F.col("text").cast("string").alias("text")).where("text is not null")
+    sent = rows.mapInArrow(_sender(k, n_buckets), _SENT)
+    marks = sent.groupBy("bucket").applyInArrow(_marker, "doc_id long, variant long, starts array<int>")
+    by_doc = marks.groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return work.write(by_doc.mapInArrow(_merger(k), "doc_id long, variant long, `from` array<bigint>, `to` array<bigint>"), "intervals")
 
 
 _KEPT = T.StructType(
@@ -194,12 +215,14 @@ def remove(spark: SparkSession, docs: DataFrame, k: int = WINDOW, with_text: boo
     Columns of the input with these names are replaced.
     """
     work = Workspace(spark, "substrings")
-    found = repeats(spark, docs, k, work).select(F.col("doc_id").alias("_id"), F.col("from").alias("_from"), F.col("to").alias("_to"))
+    cols = [c for c in docs.columns if c not in _KEPT.names]
+    rows, keys = _keys(docs.select(*[F.col(f"`{c}`") for c in cols]), work)
+    n_buckets = buckets(docs.select("doc_id", "text"), BUCKET_BYTES)  # a join's size would be a product
+    found = repeats(rows, keys, k, n_buckets, work).select(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant"), F.col("from").alias("_from"), F.col("to").alias("_to"))
     work.release()
     if work.size("intervals") <= BROADCAST:
         found = F.broadcast(found)
-    cols = [c for c in docs.columns if c not in _KEPT.names]
-    joined = docs.select(*[F.col(f"`{c}`") for c in cols]).join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_id"), "left").drop("_id")
+    joined = rows.join(found, (keys["doc_id"] == F.col("_id")) & (keys["variant"] == F.col("_variant")), "left").drop("_id", "_variant", "_shared")
     schema = T.StructType([docs.schema[c] for c in cols] + list(_KEPT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

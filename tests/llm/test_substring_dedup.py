@@ -46,6 +46,19 @@ def test_small(spark, monkeypatch, flush, limit):
     assert substring_dedup.remove(spark, docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("flush,limit,parts", [(1_500_000, 32 << 20, 1), (40, -1, 6)])
+def test_null_and_equal_ids(spark, monkeypatch, flush, limit, parts):
+    """Rows without id, or that share one, lose the words of their own repeats only."""
+    monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+    monkeypatch.setattr(substring_dedup, "BROADCAST", limit)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    last = substring_dedup.LAST
+    rows = [(1, a), (last, a), (last, b), (last, "x " + a), (2, c), (2, d), (2, "y " + c), (2, c + " z"), (3, c), (2, d), (4, a + " " + b)]
+    docs = spark.createDataFrame([(None if i == last else i, t) for i, t in rows], "doc_id long, text string").repartition(parts)
+    out = substring_dedup.remove(spark, docs).collect()
+    assert sorted((last if x["doc_id"] is None else x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in out) == brute(rows, 20)
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
