@@ -10,7 +10,8 @@ goes on from those deficits. No partition waits for another, and any two agree.
 dry leaves its share to the rest, by weight; all windows but the last are full.
 
 Cost: one pass of the texts; the ids stay where they were written and meet only the small table of
-queue offsets (one row for each input partition and source). The driver holds one row per source.
+queue offsets (one row for each input partition and source). The driver holds one row per queue: one for
+each source, or, of more than ``max_sources``, for the largest, and one that all others share.
 
 Edge cases: null and empty texts give the end token alone; a null source is a queue of its own;
 repeated rows are packed as often as they occur; an empty table gives no rows.
@@ -241,7 +242,8 @@ _PIECES = T.StructType(
 
 
 def _cutter(mixture: Mixture, order: dict, width: int, with_ids: bool):
-    step = max(1, (1 << 19) // len(order)) if order else 1  # windows solved at a time, in bounded memory
+    n_queues = len(mixture.totals)
+    step = max(1, (1 << 19) // n_queues) if n_queues else 1  # windows solved at a time, in bounded memory
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         """All pieces of the batch: its documents cut at the edges of the windows."""
@@ -250,9 +252,9 @@ def _cutter(mixture: Mixture, order: dict, width: int, with_ids: bool):
         end, found = begin + np.asarray(batch.column("n")), []
         rows_of: dict = {}
         for i, x in enumerate(sources):
-            rows_of.setdefault(x, []).append(i)
-        for s, rows in rows_of.items():
-            q, rows = order[s], np.array(rows)
+            rows_of.setdefault(order.get(x, len(order)), []).append(i)  # the shared queue is the last
+        for q, rows in rows_of.items():
+            rows = np.array(rows)
             first, last = mixture.window_of(q, int(begin[rows].min())), mixture.window_of(q, int(end[rows].max()) - 1)
             for a in range(first, last + 1, step):
                 span = np.arange(a, min(last + 1, a + step) + 1)
@@ -306,24 +308,37 @@ def pack(
 
     weights: target proportions of the sources in every window; without them the corpus's own, so
     that all queues end together. Sources without a weight get the least one. ids: little-endian,
-    as wide as the tokenizer needs (null without with_ids). ids_crc32: of 32-bit ids. More than
-    max_sources sources raise an error: pass a coarser column, as no window could hold them all.
+    as wide as the tokenizer needs (null without with_ids). ids_crc32: of 32-bit ids. Of more than
+    max_sources sources those with a weight, then the largest, have queues of their own; the rest share one, by
+    input partition and source, with their sources' weights together.
     """
     work = Workspace(spark, "pack")
     tokens = work.write(tokenize(docs, path, end_id, **columns), "tokens")
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     sums = work.write(sums, "sums")
-    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    totals = by_source.limit(max_sources + 1).collect()
+    weigh = lambda rows: [float(r["n"] if weights is None else weights.get(r["source"], 0)) for r in rows]
+    folded, rest, rest_share = len(totals) > max_sources, 0, 0.0
+    sums = sums.select("part", F.col("source").alias("_source"), "n")
+    queue = ["_source"]
+    if folded:
+        named = F.col("source").isin([x for x in weights or () if x is not None]) | F.lit(None in (weights or ())) & F.col("source").isNull()
+        named = F.coalesce(named, F.lit(False))
+        totals = by_source.orderBy(named.desc(), F.desc("n"), "source").limit(max_sources - 1).collect()
+        own = spark.createDataFrame([(r["source"],) for r in totals], "_own string").withColumn("_has", F.lit(True))
+        others = by_source.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("_own")), "left_anti")
+        rest = others.agg(F.sum("n")).first()[0]
+        rest_share = float(rest) if weights is None else sum(weigh(others.where(named).collect()))
+        sums = sums.join(F.broadcast(own), F.col("_source").eqNullSafe(F.col("_own")), "left")
+        queue = ["_has", "_own"]
     totals.sort(key=lambda r: (r["source"] is not None, r["source"] or ""))
-    share = {r["source"]: float(r["n"] if weights is None else weights.get(r["source"], 0)) for r in totals}
-    top = max(share.values(), default=1) or 1
-    mixture = Mixture([r["n"] for r in totals], [max(1, round(share[r["source"]] / top * SCALE)) for r in totals], size)
+    share, sizes = weigh(totals) + [rest_share] * folded, [r["n"] for r in totals] + [rest] * folded
+    top = max(share, default=1) or 1
+    mixture = Mixture(sizes, [max(1, round(x / top * SCALE)) for x in share], size)
     order = {r["source"]: i for i, r in enumerate(totals)}
-    sums = sums.select("part", F.col("source").alias("_source"), "n")
-    before = F.coalesce(F.expr("sum(n) over (partition by _source order by part rows between unbounded preceding and 1 preceding)"), F.lit(0))
-    bases = work.write(sums.select(F.col("part").alias("_part"), "_source", before.alias("base")), "bases")
+    before = F.expr(f"sum(n) over (partition by {', '.join(queue)} order by part, _source rows between unbounded preceding and 1 preceding)")
+    bases = work.write(sums.select(F.col("part").alias("_part"), "_source", F.coalesce(before, F.lit(0)).alias("base")), "bases")
     placed = tokens.join(bases, (tokens["part"] == bases["_part"]) & tokens["source"].eqNullSafe(bases["_source"]))
     width = encoder(path).dtype.itemsize
     placed = placed.select("doc_id", "source", "base", "at", "n", "ids")

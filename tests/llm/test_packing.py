@@ -76,3 +76,18 @@ def test_round_trip(spark, weights):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert packing.pack(spark, docs, tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("most,weights", [(3, None), (1, None), (4, {"s5": 2, None: 1})])
+def test_many_sources(spark, most, weights):
+    """More sources than queues: all is packed, windows are full, pieces keep their source."""
+    rows = [(i, "some words " * (i % 7 + 1), None if i % 9 == 8 else f"s{i % 9}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(spark, docs, tokenizer_path(), size=64, weights=weights, max_sources=most).collect()
+    got, places = {}, {}
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["source"] == rows[r["doc_id"]][2]
+        got[r["doc_id"]] = got.get(r["doc_id"], []) + np.frombuffer(r["ids"], "<u2").tolist()
+        places.setdefault(r["sequence_id"], []).extend(range(r["offset"], r["offset"] + r["length"]))
+    assert got == {i: whole(t) + [2] for i, t, _ in rows}
+    assert all(sorted(p) == list(range(64 if k < max(places) else len(p))) for k, p in places.items())
