@@ -140,8 +140,7 @@ def plan(command: str) -> dict:
         nonlocal chosen
         if chosen and chosen["reducer"] != rule["reducer"]:
             raise Refused("mixed reducers")
-        limits = ("line_bytes", "failure_line_bytes", "least")
-        chosen = {"reducer": rule["reducer"]} | {k: max(rule[k], chosen[k] if chosen else 0) for k in limits}
+        chosen = {"reducer": rule["reducer"]} | {k: max(rule[k], chosen[k] if chosen else 0) for k in LIMITS}
 
     def stage(s: Simple, piped: bool):
         if is_setup(s.words):
@@ -234,8 +233,12 @@ def select_simple(commands: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+#: What plan() merges by maximum.
+LIMITS = ("line_bytes", "failure_line_bytes", "least")
+
+
 def plans(commands: DataFrame, command: str = "command") -> DataFrame:
-    """command, reducer, confidence, transforms, setup_text, refused of every distinct command."""
+    """command, reducer, confidence, transforms, setup_text, the merged limits, refused of every distinct command."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -243,10 +246,11 @@ def plans(commands: DataFrame, command: str = "command") -> DataFrame:
             for c in b["command"]:
                 try:
                     p = plan(c)
-                    rows.append((c, p["reducer"], p["confidence"], p["transforms"], p["setup_text"], None))
+                    rows.append((c, p["reducer"], p["confidence"], p["transforms"], p["setup_text"], p["line_bytes"], p["failure_line_bytes"], p["least"], None))
                 except Refused as e:
-                    rows.append((c, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["command", "reducer", "confidence", "transforms", "setup_text", "refused"])
+                    rows.append((c, *[None] * 7, str(e)))
+            frame = pd.DataFrame(rows, columns=["command", "reducer", "confidence", "transforms", "setup_text", *LIMITS, "refused"])
+            yield frame.astype(dict.fromkeys(LIMITS, "Int64"))
 
     distinct = commands.select(F.col(command).alias("command")).where("command is not null").distinct()
-    return distinct.mapInPandas(run, "command string, reducer string, confidence string, transforms array<string>, setup_text boolean, refused string")
+    return distinct.mapInPandas(run, "command string, reducer string, confidence string, transforms array<string>, setup_text boolean, line_bytes long, failure_line_bytes long, least long, refused string")
