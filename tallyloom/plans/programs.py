@@ -9,7 +9,7 @@ from tallyloom.functions import scalars as s
 from tallyloom.functions.dialect import DUCK, SPARK
 from tallyloom.operators import archive, reduce, rule_data, selection
 from tallyloom.operators.shell import features
-from tallyloom.plans.corpus import COMMANDS, ctes
+from tallyloom.plans.corpus import ctes
 from tallyloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -81,9 +81,13 @@ def c4_features(spark, sf_dir):
 
 @query
 def c12_plans(spark, sf_dir):
-    """Plans for compound commands made from pairs of the corpus's commands."""
-    rows = [(f"cd x && {a} 2>&1 | tail -5",) for a in COMMANDS] + [(f"{a}; {b}",) for a, b in zip(COMMANDS, COMMANDS[1:], strict=False)]
-    return selection.plans(spark.createDataFrame(rows, "command string")).select("command", "reducer", "confidence", F.array_join("transforms", "+").alias("transforms"), "setup_text", "refused")
+    """Plans for compound commands made from the corpus's commands and pairs of neighbours in a session."""
+    shell = s.shell_command(SPARK, "tool_name", "input_format", "input_text")
+    calls = corpus(spark, sf_dir, f"select session_key, call_key, doc_id, {shell} as command from tool_calls").where("command is not null")
+    pairs = calls.withColumn("next", F.expr("lead(command) over (partition by session_key order by doc_id, call_key, command)"))
+    piped = calls.select(F.concat(F.lit("cd x && "), "command", F.lit(" 2>&1 | tail -5")).alias("command"))
+    rows = piped.unionAll(pairs.where("next is not null").select(F.concat("command", F.lit("; "), "next").alias("command")))
+    return selection.plans(rows).select("command", "reducer", "confidence", F.array_join("transforms", "+").alias("transforms"), "setup_text", "refused")
 
 
 def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:

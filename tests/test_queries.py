@@ -55,3 +55,13 @@ def test_entry_without_llm(tmp_path):
     subprocess.run(["rm", "-r", tmp_path / "tallyloom/llm"], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_plans_of_the_corpus(spark, tmp_path):
+    """Commands come from the tables: those of few documents are planned, no others."""
+    spark.read.parquet(f"{SF}/documents.parquet").where("doc_id in (1, 2, 3, 5, 7)").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    few = [r["command"] for r in QUERIES["c12_plans"](spark, str(tmp_path)).collect()]
+    own = {r["command"] for r in QUERIES["c4_features"](spark, str(tmp_path)).collect()}
+    piped = {c[len("cd x && ") : -len(" 2>&1 | tail -5")] for c in few if c.startswith("cd x && ")}
+    assert piped and {f"{c} && cd x; {c}" for c in piped} == own and len(few) == len(set(few)) < 20
