@@ -11,8 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: What Spark allows one Arrow batch of a Python worker by default, and what the operators here allow.
+ARROW_DEFAULT, ARROW_BYTES = "67108864b", 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package (a cluster gets it by --py-files)."""
+    """Let Python workers on this machine import the package (a cluster gets it by --py-files), and bound the bytes
+    of a batch: several copies of one are held at a time, off the JVM's heap and in the worker. A session that has
+    set its own bound keeps it."""
+    if spark.conf.get(_ARROW) == ARROW_DEFAULT:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)

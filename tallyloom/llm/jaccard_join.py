@@ -15,9 +15,11 @@ one gram, a text without words has none). Texts of equal sets are one class; the
 
 Lists are not expanded into pairs. The members of a list are first compared with one of them, whole
 sets, exactly; linked ones join components, and only members of one list that are still in different
-components are compared, first again by one leader, last all of them. Thus every pair that shares
-enough lists is verified or already connected, no link between components is lost, and a group of m
-copies costs about m comparisons.
+components are compared, first again by one leader, last with each other. In that last round a pair
+is made only in the shortest list that it shares, and there only if both sets are in as many longer
+lists as a link of their sizes still asks for; so what a long list makes is few pairs, not its square.
+Thus every pair that shares enough lists is verified or already connected, no link between components
+is lost, and a group of m copies costs about m comparisons.
 
 Edge cases: null and empty texts, and those of white space, have no grams and link with nothing;
 repeated rows link like other copies; a null doc_id takes part and names no component; texts are read
@@ -32,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm._blobs import buckets, get, put, runs
@@ -293,6 +295,24 @@ def _lists_needed(n: str = "n", m: str = "m") -> str:
     return f"greatest(1, {overlap} - greatest({rest(n)}, {rest(m)}))"
 
 
+def _last_pairs(work: Workspace, entries: DataFrame, apart: Column, ends: tuple, sizes: tuple) -> DataFrame:
+    """(a, b) of sets in different components that share as many lists as a link of their sizes must.
+
+    entries: (key, set_id, n, component, length of the list). rest: the set's lists from this one on, by length. In the
+    first list that a pair shares, neither rest can be less than the lists it must share in all.
+    """
+    by_length = Window.partitionBy("set_id").orderBy(F.desc("length"), F.desc("key"))
+    entries = work.write(entries.select("key", "set_id", "n", "component", F.row_number().over(by_length).alias("rest")), "entries")
+    needed = _lists_needed("least(o.n, l.n)", "greatest(o.n, l.n)")
+    side = entries.select("key", F.struct("set_id", "n", "component", "rest").alias("o"))
+    met = side.join(side.select("key", F.col("o").alias("l")), "key").where("o.set_id < l.set_id").where(apart)
+    met = met.where(F.expr(f"least(o.rest, l.rest) >= {needed}")).select(*ends, *sizes).distinct()
+    held = entries.groupBy("set_id").agg(F.collect_set("key").alias("keys"))
+    met = met.join(held.select(F.col("set_id").alias("a"), F.col("keys").alias("x")), "a")
+    met = met.join(held.select(F.col("set_id").alias("b"), F.col("keys").alias("y")), "b")
+    return met.where(F.expr(f"size(array_intersect(x, y)) >= {_lists_needed()}")).select("a", "b")
+
+
 def similar(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for each row of docs (doc_id, text)."""
     return linked(spark, docs, k).select("doc_id", "n_shingles", "component_id")
@@ -347,18 +367,15 @@ def linked(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
         own = labels.select(F.col("node").alias("set_id"), "component")
         mine = lists.join(own, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         best = F.struct(F.xxhash64("set_id", F.lit(step)), "set_id") if step else F.struct("shared", "set_id")
-        mixed = mine.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max_by(member, best).alias("l")).where("c1 <> c2")
-        x = mine.join(mixed.select("key", "l"), "key")
+        mixed = mine.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max_by(member, best).alias("l"), F.count("*").alias("length")).where("c1 <> c2")
+        ends = (F.least("o.set_id", "l.set_id").alias("a"), F.greatest("o.set_id", "l.set_id").alias("b"))
+        sizes = (F.least("o.n", "l.n").alias("n"), F.greatest("o.n", "l.n").alias("m"))
+        apart = F.expr(f"o.component <> l.component and {DEN} * least(o.n, l.n) >= {NUM} * greatest(o.n, l.n)")
         if step < LEADERS:
-            pairs = x.select(member.alias("o"), "l")
+            pairs = mine.join(mixed.select("key", "l"), "key").select(member.alias("o"), "l").where(apart)
+            pairs = pairs.groupBy(*ends, *sizes).agg(F.count("*").alias("lists")).where(f"lists >= 1 + n div {SHARE}").select("a", "b")
         else:
-            y = x.select("key", member.alias("o"))
-            pairs = y.join(y.select("key", F.col("o").alias("l")), "key").where("o.component < l.component")
-            pairs = pairs.where(F.expr("least(o.shared, l.shared) >= " + _lists_needed("least(o.n, l.n)", "greatest(o.n, l.n)")))
-        pairs = pairs.where("o.component <> l.component").where(F.expr(f"{DEN} * least(o.n, l.n) >= {NUM} * greatest(o.n, l.n)"))
-        ends = (F.least("o.set_id", "l.set_id").alias("a"), F.greatest("o.set_id", "l.set_id").alias("b"))
-        pairs = pairs.groupBy(*ends, F.least("o.n", "l.n").alias("n"), F.greatest("o.n", "l.n").alias("m")).agg(F.count("*").alias("lists"))
-        pairs = pairs.where(F.expr(f"lists >= 1 + n div {SHARE}" if step < LEADERS else f"lists >= {_lists_needed()}")).select("a", "b")
+            pairs = _last_pairs(work, mine.join(mixed.select("key", "length"), "key"), apart, ends, sizes)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = work.write(pairs, f"pairs_{step}")
