@@ -14,7 +14,9 @@ queue offsets (one row for each input partition and source). The driver holds on
 each source, or, of more than ``max_sources``, for the largest, and one that all others share.
 
 Edge cases: null and empty texts give the end token alone; a null source is a queue of its own;
-repeated rows are packed as often as they occur; an empty table gives no rows.
+repeated rows are packed as often as they occur; ids may be null or tie, the order within a queue is
+that of the input; texts are read whole and cut in as many pieces as they need; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm._shared import Workspace
+from tallyloom.llm._shared import Workspace, tidy
 
 WINDOW = 4096
-#: Words kept in a worker's cache of encoded words, and pieces in that of encoded pieces (about 200 bytes each).
-CACHE = 1_000_000
+#: Words kept in a worker's cache of encoded words (about 150 bytes each), and the length of the longest.
+CACHE, LONGEST = 600_000, 64
 #: Weights are whole numbers up to this; a tick is the time in which such a queue sends one token.
 SCALE = 1 << 16
 
@@ -85,7 +87,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.code = "I" if self.wide else "H"
         self.words = _Words(self.word)
-        self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}  # pieces of one plain character
 
     def _split(self, word: str) -> list[str]:
         import unicodedata
@@ -97,18 +99,23 @@ class WordEncoder:
             return [w[:-1], w[-1]]
         return self.findall(w)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self.known[piece] = array(self.code, self.piece(piece.encode() + _END)).tobytes()
-        return ids
+    def _encoded(self, piece: str) -> bytes:
+        return array(self.code, self.piece(piece.encode() + _END)).tobytes()
+
+    def _part(self, piece: str, word: str) -> bytes:
+        """Ids of a piece of a word; plain pieces are words themselves and in the words' cache."""
+        if len(piece) == 1:
+            if piece not in self.signs:
+                self.signs[piece] = self._encoded(piece)
+            return self.signs[piece]
+        return self.words[piece] if piece.isascii() and piece.isalpha() and piece != word else self._encoded(piece)
 
     def word(self, word: str) -> bytes:
         low = word.lower()
         if low.isalpha() and low.isascii():
-            return self._piece(low)
+            return self._encoded(low)
         if low.isascii() or max(word) <= _PLAIN:
-            return b"".join([self._piece(p) for p in self._split(word)])
+            return b"".join([self._part(p, word) for p in self._split(word)])
         return self._whole(word)
 
     def _whole(self, text: str) -> bytes:
@@ -116,21 +123,25 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        for cache in (self.words, self.known):
-            if len(cache) > CACHE:
-                cache.clear()
         get = self.words.__getitem__
         return [self._whole(t) if any(map(t.__contains__, _ODD)) else b"".join(map(get, t.split())) for t in texts]
 
 
 class _Words(dict):
-    """Ids by word, worked out when first asked for."""
+    """Ids by word, worked out when first asked for. When half of ``CACHE`` is full, its words become the older half,
+    of which those asked for again come back and the others go at the next turn."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.encode(word)
+        if len(word) > LONGEST:
+            return self.encode(word)
+        if 2 * len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.pop(word, None) or self.encode(word)
+        self[word] = ids
         return ids
 
 
@@ -286,9 +297,11 @@ def _cutter(mixture: Mixture, order: dict, width: int, with_ids: bool):
         return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=_PIECES.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # a reused worker's, of the tokenising stage
+        tidy()
         for b in batches:
-            for a in range(0, b.num_rows, 2048):
-                yield cut(b.slice(a, 2048))
+            for a in range(0, b.num_rows, 512):
+                yield cut(b.slice(a, 512))
 
     return run
 

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyloom.llm import packing
+from tallyloom.llm import packing, queries
 from tallyloom.llm.queries import tokenizer_path
 
 TEXTS = [None, "", "Hello, World's end!!", "naïve Ärger ÄRGER 123 45", "the the the " * 700, "x" * 3000, "<|endoftext|> a", "Σίσυφος İstanbul", "a\u0085b\x1cc　d ​", "é 日本語 12३", "don't WE'LL I'm"]
@@ -73,6 +73,34 @@ def test_round_trip(spark, weights):
         assert at == 64 or k == max(seqs)
 
 
+def test_cache_turns(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 6)
+    enc = packing.WordEncoder(tokenizer_path())
+    texts = ["a b c, d e. f", "a, b! c d's x2y z", "w" * 100 + " A b", "É é, a b c d e f g h a b"] * 2
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [whole(t) for t in texts]
+    assert len(enc.words) <= 4 and len(enc.words.older) <= 4 and "w" * 100 not in enc.words
+
+
+def test_whole_table(spark):
+    """op2 on all documents: each id in exactly one piece, sequences gapless and full but for the last."""
+    sf = "/root/testdata/sf0.001"
+    want = {r["doc_id"]: [*whole(r["text"]), 2] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = sorted(queries.op2_packing(spark, sf).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    at, sequence, reached = 0, 0, {}
+    for r in rows:
+        if r["sequence_id"] != sequence:
+            assert at == 4096 and r["sequence_id"] == sequence + 1
+            at, sequence = 0, sequence + 1
+        assert r["offset"] == at
+        at += r["length"]
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        ids = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["start"] == reached.get(r["doc_id"], 0) and r["doc_tokens"] == len(want[r["doc_id"]])
+        assert r["length"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        reached[r["doc_id"]] = r["start"] + r["length"]
+    assert reached == {d: len(x) for d, x in want.items()}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert packing.pack(spark, docs, tokenizer_path()).count() == 0
