@@ -51,16 +51,39 @@ def test_cases(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(spark, df.limit(0)).count() == 0
 
 
-def test_estimate_is_unbiased():
-    rng, d = np.random.default_rng(0), 64
-    x, y = (embedding_dedup.unit(rng.standard_normal((1, d)))[0] for _ in range(2))
-    y = embedding_dedup.unit((x + 0.6 * y)[None])[0]
-    errors = []
-    for r in range(300):
-        q = embedding_dedup.rotation(d, r)
-        s = np.sign(x @ q) / math.sqrt(d)
-        errors.append(s @ (y @ q) / (s @ (x @ q)) - x @ y)
-    assert abs(np.mean(errors)) < 0.01
+@pytest.mark.parametrize("d,r", [(64, 2), (64, 4), (33, 3)])
+def test_estimate_is_unbiased(monkeypatch, d, r):
+    """Over many seeds, the estimates from stored codes lie around the product and within their bounds."""
+    ed = embedding_dedup
+    rng = np.random.default_rng(0)
+    x, y = (ed.unit(rng.standard_normal((1, d)))[0] for _ in range(2))
+    y = ed.unit((0.95 * x + math.sqrt(1 - 0.95**2) * ed.unit((y - (y @ x) * x)[None])[0])[None])[0]
+    monkeypatch.setattr(ed, "rotations", lambda *_: r)
+    errors, missed = [], 0
+    for seed in range(400):
+        monkeypatch.setattr(ed, "SEED", seed)
+        ed.rotation.cache_clear()
+        codes = ed.Codes(ed.pack(*ed.encode(np.stack([x, y]), r)), d, 4, 3)
+        errors.append(float(codes.side[0][0] @ codes.side[1][1]) - x @ y)
+        missed += not len(codes.undecided(np.array([0]), np.array([1]), x @ y)[0])
+    ed.rotation.cache_clear()
+    gx, gy = codes.noise[0][0], codes.noise[1][1]
+    sigma = math.sqrt(((gx + gy) * (1 - (x @ y) ** 2) + gx * gy) / (d - 1))
+    assert abs(np.mean(errors)) < 4 * sigma / 20 and 0.7 * sigma < np.std(errors) < 1.3 * sigma and missed <= 1
+
+
+def test_codes_decide(spark):
+    """Most pairs of unrelated vectors are rejected from the codes."""
+    x = embedding_dedup.unit(np.random.default_rng(5).standard_normal((400, 64)))
+    codes = embedding_dedup.Codes(embedding_dedup.pack(*embedding_dedup.encode(x, 2)), 64, 7, 8)
+    i, _ = codes.undecided(np.arange(200), np.arange(200, 400), 0.93)
+    assert len(i) < 0.01 * 200 * 200
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (None, [5.0, -1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(spark, df).collect())
+    assert sorted(got, key=str) == sorted([(0, 0, None, False), (0, 2, 3, False), (0, 2, 3, False), (3, 2, 3, True)], key=str)
 
 
 def test_components(spark):
