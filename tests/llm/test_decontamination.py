@@ -43,8 +43,9 @@ def brute(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [dc.BLOCK, 50])
-def test_planted(spark, block):
+@pytest.mark.parametrize("broadcast", [dc.BROADCAST_ROWS, -1])
+def test_planted(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", broadcast)
     rows, planted = [], set()
     for d in range(40):
         text = words(R.randint(0, 120))
@@ -61,9 +62,9 @@ def test_planted(spark, block):
     rows += [(100, None), (101, ""), (102, rows[1][1]), (102, rows[1][1]), (103, "tan " * 1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = [(r["doc_id"], r["item_id"]) for r in dc.contaminated(spark, docs, bench, block).collect()]
+    found = [(r["doc_id"], r["item_id"]) for r in dc.contaminated(spark, docs, bench).collect()]
     assert set(found) == brute(rows, ITEMS) and planted <= set(found) and found.count((102, 4)) in (0, 2)
-    left = sorted(r["doc_id"] for r in dc.clean(spark, docs, bench, block).collect())
+    left = sorted(r["doc_id"] for r in dc.clean(spark, docs, bench).collect())
     assert left == sorted(d for d, _ in rows if d not in {x for x, _ in found})
     assert dc.contaminated(spark, docs, bench.limit(0)).count() == 0 and dc.clean(spark, docs.limit(0), bench).count() == 0
 
@@ -89,17 +90,36 @@ def test_masks():
     assert all(lossless(dc.MASKS, n, n // 5) for n in (13, 15, 20)) and all(lossless(dc.SHORT_MASKS, n, n // 5) for n in range(dc.SHORT, dc.LEAST))
 
 
-def test_substitutions():
-    own = lambda n: [f"w{i}" for i in range(n)]
+def test_substitutions(spark):
+    """Every substitution that the rule allows is found, at every place: recall 1 on stretches that meet it."""
+    own = lambda n: [f"w{n}x{i}" for i in range(n)]
+    items, rows, want = [], [], []
     for n in range(dc.SHORT, 32):
-        index = dc.Index([7], [" ".join(own(n))])
-        cases = [[p] for p in range(n)] + [sorted(R.sample(range(n), n // 5)) for _ in range(30)]
-        texts = [" ".join(words(5) + ["changed" if i in gone else w for i, w in enumerate(own(n))] + words(5)) for gone in cases]
-        assert list(index.find(texts)) == [(i, 0, 5, n, n - len(gone)) for i, gone in enumerate(cases)]
-    part = dc.Index([7], [" ".join(own(40))])
-    text = lambda ws: " ".join(words(4) + ws + words(4))
-    assert list(part.find([text(own(12) + words(3) + own(27)[15:])])) == [(0, 0, 4, 27, 24)]
-    assert list(part.find([text(own(14)[2:])])) == [] and list(part.find([text(own(15)[2:])])) == [(0, 0, 4, 13, 13)]
-    gone = set(R.sample(range(1, 14), 3)) | {15, 16, 17}
-    assert [x[1:4] for x in part.find([text([w if i not in gone else "z" for i, w in enumerate(own(15))])])] == [(0, 4, 15)]
-    assert list(part.find([text([w if i % 2 else "z" for i, w in enumerate(own(40))])])) == []
+        items.append((n, " ".join(own(n))))
+        for gone in [[p] for p in range(n)] + [sorted(R.sample(range(n), n // 5)) for _ in range(30)]:
+            want.append((len(rows), n, 5, n, n - len(gone), n))
+            rows.append((len(rows), " ".join(words(5) + ["changed" if i in gone else w for i, w in enumerate(own(n))] + words(5))))
+    items += [(40, " ".join(own(40)))]
+    long, gone = own(40), set(R.sample(range(1, 14), 3)) | {15, 16, 17}
+    parts = [
+        (long[:12] + words(3) + long[15:27], (4, 27, 24)), (long[2:14], None), (long[2:15], (4, 13, 13)),
+        ([w if i not in gone else "z" for i, w in enumerate(long[:15])], (4, 15, 12)), ([w if i % 2 else "z" for i, w in enumerate(long)], None),
+    ]
+    for text, found in parts:
+        if found:
+            want.append((len(rows), 40, *found, 40))
+        rows.append((len(rows), " ".join(words(4) + text + words(4))))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r) for r in dc.contaminated(spark, docs, bench).collect()) == want
+
+
+def test_repeats_and_nulls(spark):
+    """Rows without id or with another's, repeated items, and a text that meets more items than one row holds."""
+    text = " ".join(f"v{i}" for i in range(200))
+    items = [(i, " ".join(f"v{j}" for j in range(i, i + 20))) for i in range(30)] + [(5, " ".join(f"v{j}" for j in range(5, 25))), (None, text)]
+    docs = spark.createDataFrame([(None, text, 1), (None, "other words", 2), (3, text, 3), (3, None, 4), (3, "v1 v2 v3", 5)], "doc_id long, text string, id_ long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = [(r["doc_id"], r["item_id"], r["start"]) for r in dc.contaminated(spark, docs, bench).collect()]
+    assert sorted(found, key=str) == sorted([(d, i, i or 0) for d in (None, 3) for i, _ in items], key=str)
+    left = dc.clean(spark, docs, bench)
+    assert left.columns == docs.columns and sorted(r["id_"] for r in left.collect()) == [2, 4, 5]
