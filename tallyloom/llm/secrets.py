@@ -16,7 +16,9 @@ and the literal scores at least ``THRESHOLD``: the name's weight times the liter
 key (length, character classes, entropy). Whole literals that a base span covers aren't repeated.
 
 Edge cases: null and empty texts have no spans; texts are read whole, in time linear in their
-length; offsets are code points, ends exclusive; repeated rows each get theirs.
+length; constants of more than ``LONGEST`` characters are not propagated; offsets are code points, ends
+exclusive; rows with null ids and repeated rows each get theirs; an empty table gives no rows; input
+columns with the result's names (in any case, as Spark compares them) are replaced.
 """
 
 from __future__ import annotations
@@ -44,9 +46,14 @@ NAME_WEIGHTS = {
     "credential": 0.9, "credentials": 0.9, "auth": 0.7, "private": 0.7, "signing": 0.7, "bearer": 0.8, "access": 0.6, "key": 0.7, "salt": 0.5, "webhook": 0.6,
 }
 THRESHOLD = 0.5
-_TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<bare>[0-9][A-Za-z0-9_+/.=-]*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+(){},;\[\]])|(?P<space>[ \t\r]+)|(?P<line>\n)|(?P<other>.)"""
+_STRINGS = {'"': r'''"(?:[^"\\\n]|\\.)*"''', "'": r"""'(?:[^'\\\n]|\\.)*'"""}
+_OTHERS = (
+    r"""(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)|(?P<bare>[0-9][A-Za-z0-9_+/.=-]*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+(){},;\[\]])|(?P<space>[ \t\r]+)|(?P<line>\n)|(?P<other>.)"""
 )
+#: By the quotes that may still open a string.
+_TOKENS = {q: re.compile((f"(?P<string>{'|'.join(_STRINGS[c] for c in q)})|" if q else "") + _OTHERS) for q in ("\"'", '"', "'", "")}
+#: Longer constants stand for nothing: no key is so long, and constants made of constants can't grow without bound.
+LONGEST = 4096
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _ASSIGNS = frozenset((":=", "=>", "=", ":"))
 _QUICK = re.compile(r"[:=]")
@@ -73,13 +80,22 @@ def literal_score(value: str) -> float:
 
 
 def _lex(line: str, at: int) -> list[tuple[str, str, int, int, int]]:
-    """(kind, text, start, end, row) of the tokens."""
-    tokens, row = [], 0
-    for m in _TOKEN.finditer(line):
-        if m.lastgroup == "line":
-            row += 1
-        elif m.lastgroup != "space":
-            tokens.append((m.lastgroup, m.group(), at + m.start(), at + m.end(), row))
+    """(kind, text, start, end, row) of the tokens. A quote that its row doesn't close is a sign like others, and so are
+    the row's further ones of its kind, none of which is closed either: no character is looked at again for each."""
+    tokens, row, pos, quotes = [], 0, 0, "\"'"
+    while pos < len(line):
+        for m in _TOKENS[quotes].finditer(line, pos):
+            kind, pos = m.lastgroup, m.end()
+            if kind == "line":
+                row += 1
+                if len(quotes) < 2:
+                    quotes = "\"'"
+                    break
+            elif kind != "space":
+                tokens.append((kind, m.group(), at + m.start(), at + pos, row))
+                if kind == "other" and m.group() in quotes:
+                    quotes = quotes.replace(m.group(), "")
+                    break
     return tokens
 
 
@@ -186,7 +202,10 @@ def _pairs(line: str, at: int, constants: dict[str, str]) -> Iterator[tuple[str,
             joined = "".join(value)
             for name in names:
                 if (literal or len(value) == 1) and not key:
-                    constants[name] = joined
+                    if len(joined) <= LONGEST:
+                        constants[name] = joined
+                    else:
+                        constants.pop(name, None)
                 yield name, joined, start, end
         i = max(j, op + 1)
 
@@ -293,7 +312,7 @@ def find(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFra
     Columns of the input with these names are replaced.
     """
     made = [n for n in SCHEMA.names if redacted or n != "redacted"]
-    kept = [c for c in docs.columns if c not in made]
+    kept = [c for c in docs.columns if c.lower() not in made]
     schema = T.StructType([docs.schema[c] for c in kept] + [SCHEMA[n] for n in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

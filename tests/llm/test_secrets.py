@@ -1,6 +1,7 @@
 """Secret scanning against the patterns as the contract has them."""
 
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +45,21 @@ def test_cases(spark):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+def test_long_texts():
+    """Time grows with the length: quotes that nothing closes, escapes, openers, constants of constants."""
+    key = "Zk29sLq81XvbPq7"
+    many = ['a="' + '\\"' * 500_000, "a='" + "\\'" * 500_000, 'x="' + "' \"" * 200_000, "token = [" * 100_000, "a:" * 300_000, "= " * 500_000, '"a" + ' * 100_000, "{'a': " * 100_000]
+    for text in many:
+        began = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - began < 15, text[:20]
+    # what comes after an open quote is still read
+    for text in (f"it's so private_key = {key}", f'say "so private_key = {key}', f"it's private_key = \"{key}\"", f'a = "b \' c\nprivate_key = "{key}"'):
+        assert [text[s:e] for s, e in secrets.named(text)] == [key], text
+    doubled = "\n".join(["a = 'abcdefgh1234'"] + ["a = a + a"] * 60 + [f"private_key = '{key}'"])
+    assert doubled[slice(*secrets.named(doubled)[-1])] == key
+
+
 def test_forms():
     a, b, c = "s8Kq2ZxPvT71mWc0", "Zk29sLq81XvbPq7", "Qw83nTy60RbLx5"
     one = [
