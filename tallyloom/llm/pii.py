@@ -10,11 +10,16 @@ sentences with labelled spans, among them phone numbers without ``+`` and cards
 patterns don't take. A text is cut into windows of ``WINDOW`` characters that overlap by half;
 windows without a digit or ``@`` are skipped, as no kind can occur there. Each character takes its
 scores from the window in whose middle it lies most, and one Viterbi pass over each unbroken stretch
-decodes them, so that the windows' answers agree everywhere. A span the model finds is added if it
-meets its kind's own rule (digits, Luhn, parts) and touches no base span.
+decodes them, so that the windows' answers agree everywhere. Stretches of more than ``STRETCH`` windows
+are decoded in parts of that many, each with ``MARGIN`` more windows on both sides; a span belongs to
+the part in whose own characters it begins, and one that overlaps the span before it is dropped. A span the
+model finds is added if it meets its kind's own rule (digits, Luhn, parts) and touches no base span.
+At most ``HELD`` windows are scored at a time, however long a text is.
 
 Edge cases: null and empty texts have no spans; texts are read whole; offsets are code points, ends
-exclusive; repeated rows each get theirs; input columns with the result's names are replaced.
+exclusive; rows with null ids and repeated rows each get theirs; of spans that tie in their start the
+kinds come in the order above; an empty table gives no rows; input columns with the result's names (in
+any case, as Spark compares them) are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 64
+#: Windows of a part of a long stretch, those beside it that are decoded with it, and windows scored at a time.
+STRETCH, MARGIN, HELD = 64, 4, 4096
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -252,16 +259,18 @@ def trained(steps: int = 260, batch: int = 48, seed: int = 7) -> dict[str, np.nd
 
 
 def _viterbi(em: np.ndarray, a: np.ndarray) -> np.ndarray:
-    best, back = em[0].astype(np.float64), np.zeros(em.shape, np.int8)
-    best[2::2] -= 30
-    for k in range(1, len(em)):
-        x = best[:, None] + a
-        back[k] = x.argmax(axis=0)
-        best = x.max(axis=0) + em[k]
-    tags = np.empty(len(em), np.int8)
-    tags[-1] = best.argmax()
-    for k in range(len(em) - 1, 0, -1):
-        tags[k - 1] = back[k, tags[k]]
+    """Best tags [n, t] of n stretches of one length with scores em [n, t, tags]."""
+    best, back = em[:, 0].astype(np.float64), np.zeros(em.shape, np.int8)
+    best[:, 2::2] -= 30
+    rows = np.arange(len(em))
+    for k in range(1, em.shape[1]):
+        x = best[:, :, None] + a
+        back[:, k] = x.argmax(axis=1)
+        best = x.max(axis=1) + em[:, k]
+    tags = np.empty(em.shape[:2], np.int8)
+    tags[:, -1] = best.argmax(axis=1)
+    for k in range(em.shape[1] - 1, 0, -1):
+        tags[:, k - 1] = back[rows, k, tags[:, k]]
     return tags
 
 
@@ -277,45 +286,69 @@ def _meets_rule(kind: str, s: str) -> bool:
     return 9 <= len(d) <= 15 and any(c in "-.() +" for c in s) and not any(c.isalpha() for c in s)
 
 
+def _parts(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(first window, windows, from, to): the parts to decode, and the characters whose spans are theirs."""
+    half, k = WINDOW // 2, None
+    runs: list[list[int]] = []
+    for m in _SIGNAL.finditer(text):
+        h = m.start() // half
+        if h != k:
+            k = h
+            if runs and runs[-1][1] >= h - 2:
+                runs[-1][1] = h
+            else:
+                runs.append([max(0, h - 1), h])
+    for first, last in runs:
+        for a in range(first, last + 1, STRETCH):
+            b = min(a + STRETCH - 1, last)
+            begin, end = max(first, a - MARGIN), min(last, b + MARGIN)
+            yield begin, end - begin + 1, a * half if a > first else 0, (b + 1) * half if b < last else len(text)
+
+
+def _decoded(p: dict, parts: list, windows: list[np.ndarray], out: list[list]) -> None:
+    """Adds the spans of parts (text, length of the text, first window, windows, from, to) with these windows."""
+    half, quarter, blocks = WINDOW // 2, WINDOW // 4, []
+    for a in range(0, len(windows), 512):
+        blocks.append(emissions(p, np.stack(windows[a : a + 512])).astype(np.float32))
+    em, j, by_length = np.concatenate(blocks), 0, {}
+    for part in parts:
+        n = part[3]
+        # the middle half of each window, and the outer quarters of the stretch's ends
+        scores = np.concatenate([em[j, :quarter], em[j : j + n, quarter : quarter + half].reshape(-1, TAGS), em[j + n - 1, quarter + half :]])
+        j += n
+        length = min(len(scores), part[1] - part[2] * half)
+        by_length.setdefault(length, []).append((part, scores[:length]))
+    for length, some in by_length.items():
+        for (i, _, k0, _, begin, end), tags in zip([x[0] for x in some], _viterbi(np.stack([x[1] for x in some]), p["a"]), strict=True):
+            starts = np.flatnonzero(tags % 2 == 1)
+            goes_on = np.append(tags[1:], 0)
+            for s in starts.tolist():
+                e = s + 1
+                while e < length and goes_on[e - 1] == tags[s] + 1:
+                    e += 1
+                if begin <= k0 * half + s < end:
+                    out[i].append((k0 * half + s, k0 * half + e, KINDS[tags[s] // 2]))
+
+
 def model_spans(p: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """What the model finds in each text, before any rule."""
-    half, where, windows = WINDOW // 2, [], []
+    half, parts, windows, out = WINDOW // 2, [], [], [[] for _ in texts]
     for i, t in enumerate(texts):
-        hot = {m.start() // half for m in _SIGNAL.finditer(t)}
-        if hot:
-            c = codes(t)
-            for k in sorted(hot | {h - 1 for h in hot if h}):
+        c = None
+        for k0, n, begin, end in _parts(t):
+            c = codes(t) if c is None else c
+            for k in range(k0, k0 + n):
                 x = c[k * half : k * half + WINDOW]
                 windows.append(np.concatenate([x, np.full(WINDOW - len(x), 32, np.int16)]) if len(x) < WINDOW else x)
-                where.append((i, k))
-    out: list[list] = [[] for _ in texts]
-    quarter, blocks = half // 2, []
-    for a in range(0, len(windows), 512):
-        blocks.append(emissions(p, np.stack(windows[a : a + 512])).astype(np.float32))
-    if not blocks:
-        return out
-    em, a = np.concatenate(blocks), p["a"]
-    j = 0
-    while j < len(where):
-        e = j + 1
-        while e < len(where) and where[e] == (where[j][0], where[e - 1][1] + 1):
-            e += 1
-        i, k0 = where[j]
-        # the middle half of each window, and the outer quarters of the stretch's ends
-        scores = np.concatenate([em[j, :quarter], *em[j:e, quarter : quarter + half], em[e - 1, quarter + half :]])
-        length = min(len(scores), len(texts[i]) - k0 * half)
-        tags = _viterbi(scores[:length], a)
-        k = 0
-        while k < length:
-            if tags[k] % 2 == 1:
-                s = k
-                k += 1
-                while k < length and tags[k] == tags[s] + 1:
-                    k += 1
-                out[i].append((k0 * half + s, k0 * half + k, KINDS[tags[s] // 2]))
-            else:
-                k += 1
-        j = e
+            parts.append((i, len(t), k0, n, begin, end))
+            if len(windows) >= HELD:
+                _decoded(p, parts, windows, out)
+                parts, windows = [], []
+    if parts:
+        _decoded(p, parts, windows, out)
+    for spans in out:
+        spans.sort()
+        spans[:] = [x for k, x in enumerate(spans) if not k or x[0] >= spans[k - 1][1]]
     return out
 
 
@@ -324,12 +357,10 @@ def scan(p: dict, texts: list[str]) -> list[tuple[list, list]]:
     found = []
     for t, extra in zip(texts, model_spans(p, texts), strict=True):
         base = base_spans(t)
-        taken = np.array([(s, e) for s, e, _ in base], np.int64).reshape(-1, 2)
-        added = [
-            (s, e, k)
-            for s, e, k in extra
-            if _meets_rule(k, t[s:e]) and not ((taken[:, 0] < e) & (taken[:, 1] > s)).any() and not (s and t[s - 1].isalnum()) and not t[e : e + 1].isalnum()
-        ]
+        starts = np.array([s for s, _, _ in base], np.int64)
+        reach = np.maximum.accumulate(np.array([0] + [e for _, e, _ in base], np.int64))  # of the first so many spans
+        free = lambda s, e: reach[np.searchsorted(starts, e)] <= s  # noqa: B023, E731
+        added = [(s, e, k) for s, e, k in extra if _meets_rule(k, t[s:e]) and free(s, e) and not (s and t[s - 1].isalnum()) and not t[e : e + 1].isalnum()]
         found.append((base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2]))) if added else base))
     return found
 
@@ -343,12 +374,12 @@ SCHEMA = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [
 
 def find(docs: DataFrame, text: str = "text", model: dict | None = None) -> DataFrame:
     """``docs`` with n_email, n_ip, n_card, n_phone (of all base spans), base_sha256 and spans."""
-    p, kept = model or trained(), [c for c in docs.columns if c not in SCHEMA.names]
+    p, kept = model or trained(), [c for c in docs.columns if c.lower() not in SCHEMA.names]
     schema = T.StructType([docs.schema[c] for c in kept] + list(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
+            for at in range(0, whole.num_rows, 256):  # windows are scored many texts at a time
                 b = whole.slice(at, 256)
                 rows = scan(p, [t or "" for t in b.column(text).to_pylist()])
                 columns = [pa.array([sum(x[2] == k for x in base) for base, _ in rows], pa.int64()) for k in KINDS]

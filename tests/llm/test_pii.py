@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -58,3 +60,23 @@ def test_model(spark):
     out = pii.find(docs, model=p).collect()
     assert len(out) == 5 and sum(x["n_email"] for x in out) == 2 and any("phone:" in x["spans"] for x in out if x["doc_id"] == 2)
     assert pii.find(docs.limit(0), model=p).count() == 0
+
+
+def test_long_texts(monkeypatch):
+    """Bounded memory and linear time however long an unbroken stretch of digits is; parts of a stretch agree with the whole."""
+    p, r = pii.trained(), random.Random(3)
+    tracemalloc.start()
+    began = time.process_time()
+    pii.scan(p, ["1234 5678-9012.3456 " * 5_000, "7" * 100_000, "a@" * 30_000])
+    assert time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    texts = [pii.sentence(r, 9000)[0] for _ in range(3)] + ["", "no figures", "1"]
+    cut = pii.model_spans(p, texts)
+    for size in (1 << 20, 3):
+        monkeypatch.setattr(pii, "HELD", size)
+        assert pii.model_spans(p, texts) == cut
+    monkeypatch.setattr(pii, "STRETCH", 1 << 20)
+    whole = pii.model_spans(p, texts)
+    same = sum(len(set(a) & set(b)) for a, b in zip(cut, whole, strict=True))
+    assert same >= 0.995 * sum(map(len, whole)) and same >= 0.995 * sum(map(len, cut))
+    assert all(a[1] <= b[0] for spans in cut for a, b in zip(spans, spans[1:], strict=False))
