@@ -7,6 +7,10 @@ to the window's hash bucket; a passage that a third of all rows share reaches it
 each task. A bucket's task finds, for every hash, the least (doc_id, start); all other starts are
 marked. Marks meet by document and merge into maximal word intervals [from, to).
 
+Windows are equal when their 64-bit hashes are and their buckets, which come from hashes to another base, are:
+so the bits that tell windows apart grow with the input (by 25 at 100 TB, where less than one false
+pair is to be expected).
+
 Starts travel as packed columns of about ten bytes a window. The intervals (a few for each document
 with repeats) meet the texts in a join that is a broadcast only when their table, as written, is
 smaller than ``BROADCAST`` bytes; else both sides are shuffled.
@@ -32,44 +36,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm._blobs import buckets, get, put, runs
-from tallyloom.llm._shared import Workspace
+from tallyloom.llm._shared import Workspace, free_names
 from tallyloom.llm._text import Words, chunks, mix, utf8
 
 WINDOW, FLUSH, BUCKET_BYTES, BROADCAST = 20, 1_500_000, 3_000_000, 32 << 20
 LAST = 2**63 - 1
-BASE = 0xD1342543DE82EF95
+BASE, BUCKET_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
 @functools.lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     out = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
+    for b in (base, pow(base, -1, 1 << 64)):
         x = np.full(n, b, np.uint64)
         x[:1] = 1
         out.append(np.cumprod(x))
     return tuple(out)
 
 
-def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp hashes of all windows of k words: differences of one running polynomial, shifted back."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    up, down = _powers(1 << max(16, int(len(words)).bit_length()))
+    up, down = _powers(1 << max(16, int(len(words)).bit_length()), base)
     running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * down[: len(words)])])
     return mix((running[k:] - running[:-k]) * up[:n])
 
 
-def windows(texts: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, hashes, text of each window, start of each window) for blocks of texts."""
+def windows(texts: list[bytes], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, hashes, 32 bits of others, text of each window, start of each window) for blocks of texts."""
     for a, b in chunks(texts):
         w = Words(texts[a:b], lower=False)
         h = window_hashes(w.hashes, k)
         count = np.maximum(np.diff(w.first) - k + 1, 0)
         doc = np.repeat(np.arange(b - a), count)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        yield a, h[w.first[doc] + start], doc, start
+        at = w.first[doc] + start
+        other = (window_hashes(w.hashes, k, BUCKET_BASE) >> np.uint64(32)).astype(np.uint32)
+        yield a, h[at], other[at], doc, start
 
 
 _MARKS = ("hashes", "docs", "variants", "counts", "starts", "gone_docs", "gone_variants", "gone_counts", "gone_starts")
@@ -95,9 +101,10 @@ def _spread(docs: bytes, variants: bytes, counts: bytes, starts: bytes) -> tuple
 
 def _sender(k: int, n_buckets: int):
     def flush(parts: list) -> pa.RecordBatch:
-        h, doc, variant, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, other, doc, variant, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.lexsort((variant, start, doc)) if variant.any() else np.lexsort((start, doc))
-        h, doc, variant, start = h[order], doc[order], variant[order], start[order]
+        h, other, doc, variant, start = h[order], other[order], doc[order], variant[order], start[order]
         by_hash = np.argsort(h, kind="stable")  # equal hashes stay in order of (doc, start, variant)
         r = runs(h[by_hash])
         lead = np.repeat(by_hash[r[:-1]], np.diff(r))  # each entry's first, in order of hashes
@@ -105,7 +112,7 @@ def _sender(k: int, n_buckets: int):
         later[by_hash] = (doc[by_hash] != doc[lead]) | (start[by_hash] != start[lead])
         first = ~later  # of each variant one
         first[by_hash[1:][(np.diff(h[by_hash]) == 0) & (np.diff(variant[by_hash]) == 0)]] = False
-        bucket = ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+        bucket = other.astype(np.int64) % n_buckets
         order = np.argsort(bucket, kind="stable")
         edges = runs(bucket[order])
         rows = []
@@ -120,9 +127,9 @@ def _sender(k: int, n_buckets: int):
         parts, held = [], 0
         for b in batches:
             ids, variants = b.column("doc_id").to_numpy(), b.column("variant").to_numpy()
-            for first, h, doc, start in windows(utf8(b.column("text")), k):
+            for first, h, other, doc, start in windows(utf8(b.column("text")), k):
                 if len(h):
-                    parts.append((h, ids[first + doc], variants[first + doc], start))
+                    parts.append((h, other, ids[first + doc], variants[first + doc], start))
                     held += len(h)
                 if held >= FLUSH:
                     yield flush(parts)
@@ -180,14 +187,15 @@ def _merger(k: int):
 def _keys(docs: DataFrame, work: Workspace) -> tuple[DataFrame, dict[str, Column]]:
     """docs, and each row's doc_id (null: ``LAST``) and variant: of rows whose id others have too (or none), the text's hash, else 0."""
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    shared = docs.select(doc_id.alias("_shared")).groupBy("_shared").count().where("count > 1").select("_shared")
+    (name,) = free_names(docs.columns, "shared_id")
+    shared = docs.select(doc_id.alias(name)).groupBy(name).agg(F.count("*").alias("n_")).where("n_ > 1").select(name)
     shared = work.write(shared, "shared")
     if shared.isEmpty():
         return docs, {"doc_id": doc_id, "variant": F.lit(0).cast("long")}
     if work.size("shared") <= BROADCAST:
         shared = F.broadcast(shared)
-    variant = F.when(F.col("_shared").isNotNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0))
-    return docs.join(shared, doc_id == F.col("_shared"), "left"), {"doc_id": doc_id, "variant": variant}
+    variant = F.when(F.col(name).isNotNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0))
+    return docs.join(shared, doc_id == F.col(name), "left"), {"doc_id": doc_id, "variant": variant}
 
 
 def repeats(docs: DataFrame, keys: dict[str, Column], k: int, n_buckets: int, work: Workspace) -> DataFrame:
@@ -215,20 +223,22 @@ def remove(spark: SparkSession, docs: DataFrame, k: int = WINDOW, with_text: boo
     Columns of the input with these names are replaced.
     """
     work = Workspace(spark, "substrings")
-    cols = [c for c in docs.columns if c not in _KEPT.names]
+    cols = [c for c in docs.columns if c.lower() not in _KEPT.names]
     rows, keys = _keys(docs.select(*[F.col(f"`{c}`") for c in cols]), work)
     n_buckets = buckets(docs.select("doc_id", "text"), BUCKET_BYTES)  # a join's size would be a product
-    found = repeats(rows, keys, k, n_buckets, work).select(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant"), F.col("from").alias("_from"), F.col("to").alias("_to"))
+    names = free_names(rows.columns, "id_", "variant_", "from_", "to_")
+    id_, variant_, from_, to_ = names
+    found = repeats(rows, keys, k, n_buckets, work).toDF(*names)
     work.release()
     if work.size("intervals") <= BROADCAST:
         found = F.broadcast(found)
-    joined = rows.join(found, (keys["doc_id"] == F.col("_id")) & (keys["variant"] == F.col("_variant")), "left").drop("_id", "_variant", "_shared")
+    joined = rows.join(found, (keys["doc_id"] == F.col(id_)) & (keys["variant"] == F.col(variant_)), "left").select(*[F.col(f"`{c}`") for c in cols], from_, to_)
     schema = T.StructType([docs.schema[c] for c in cols] + list(_KEPT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, froms, tos in zip(utf8(b.column("text")), b.column("_from").to_pylist(), b.column("_to").to_pylist(), strict=True):
+            for t, froms, tos in zip(utf8(b.column("text")), b.column(from_).to_pylist(), b.column(to_).to_pylist(), strict=True):
                 words, left = t.split(), None
                 if froms:
                     left, at = [], 0
