@@ -2,7 +2,8 @@
 
 Features are hashed words and word beginnings (4 to 6 bytes, which carry coined and inflected forms),
 present or not. ``fit`` takes a bounded sample of labelled rows (``SAMPLE``, the least by a hash of
-their id), keeps the ``FEATURES`` features with the clearest evidence and minimises, in numpy,
+their id), keeps the ``FEATURES`` features with the clearest evidence, counted in Spark, and minimises, in
+numpy on the driver, which gets no more than a bit for each row and kept feature (2 MB),
 
     log loss + L2 |w|^2 + FAIR * mean over swapped pairs (w.x - w.x')^2
 
@@ -11,8 +12,10 @@ group. Neutral sentences about each term join the sample as not toxic, so that a
 nothing. ``score`` sees a text only; ids, labels, languages and sources are no inputs.
 
 Edge cases: null and empty texts score as a text without features does; texts are read whole, in
-blocks; repeated rows each get their score; an empty table of labels gives the prior one half less a
-little; input columns with the result's names are replaced.
+blocks; repeated rows each get their score, rows with a null id too (they count as held out and are never
+learned from); of labels that repeat an id the highest counts, of texts that repeat one the least; features
+that tie in evidence go by number; an empty table of labels gives the prior one half less a little, an
+empty table no rows; input columns with the result's names (in any case, as Spark compares them) are replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.llm._shared import Workspace
 from tallyloom.llm._text import SPACE, Words, chunks, mix
 
 #: Labelled rows to fit on, at most; features kept; weight of the swapped pairs and of |w|^2.
@@ -137,54 +141,87 @@ def _minimise(x: np.ndarray, y: np.ndarray, diff: np.ndarray, rounds: int = 400)
     return w, bias
 
 
-def fit_bags(bags: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model of these distinct-feature arrays; pairs: of a text and its swapped form."""
-    terms = [NEUTRAL[i % len(NEUTRAL)].format(t) for i, t in enumerate(_NEXT)]
-    neutral = _bags([_lower(t) for t in terms])
-    pairs = pairs + list(zip(neutral, _bags([_lower(swapped(t)) for t in terms]), strict=True))
-    size, pos = 1 << BITS, labels > 0
-    count = lambda which: np.bincount(np.concatenate([np.empty(0, np.int32), *[b for b, s in zip(bags, which, strict=True) if s]]), minlength=size)
-    a, b = count(pos), count(~pos)
-    na, nb = max(1, pos.sum()), max(1, (~pos).sum())
-    with np.errstate(all="ignore"):
-        odds = np.log((a + 0.5) / (na - a + 0.5)) - np.log((b + 0.5) / (nb - b + 0.5))
-        z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (na - a + 0.5) + 1 / (nb - b + 0.5))
-    z[(a + b) < 3] = 0
-    kept = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    kept = kept[z[kept] > 3.0]
-    slot = np.full(size, -1, np.int32)
+def evidence(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """How many of its standard errors a feature's log odds ratio is from none, from the rows that have it."""
+    a, b, c, d = (x + F.lit(0.5) for x in (pos, neg, F.lit(n_pos) - pos, F.lit(n_neg) - neg))
+    return F.abs(F.log(a / c) - F.log(b / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, pos, neg): rows of this batch that have the feature."""
+    for b in batches:
+        labels = np.asarray(b.column("label")) > 0
+        counts = []
+        for which in (labels, ~labels):
+            some = [np.frombuffer(x, "<i4") for x, on in zip(b.column("bag").to_pylist(), which, strict=True) if on]
+            counts.append(np.bincount(np.concatenate([np.empty(0, np.int32), *some]), minlength=1 << BITS))
+        on = np.flatnonzero(counts[0] + counts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(counts[0][on]), pa.array(counts[1][on])], names=["feature", "pos", "neg"])
+
+
+def _picked(kept: np.ndarray):
+    """Each row's kept features, and those of its swapped form, as bits."""
+    slot = np.full(1 << BITS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
 
-    def dense(rows):
-        x = np.zeros((len(rows), len(kept)), np.float32)
-        for i, r in enumerate(rows):
-            s = slot[r]
-            x[i, s[s >= 0]] = 1
-        return x
+    def bits(raw: bytes | None) -> bytes | None:
+        if raw is None:
+            return None
+        has, s = np.zeros(len(kept), bool), slot[np.frombuffer(raw, "<i4")]
+        has[s[s >= 0]] = True
+        return np.packbits(has).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [pa.array([bits(x) for x in b.column(n).to_pylist()], pa.binary()) for n in ("bag", "swapped")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *columns], names=["doc_id", "label", "bag", "swapped"])
 
-    x = dense(bags + neutral)
-    y = np.concatenate([pos.astype(float), np.zeros(len(neutral))])
-    diff = dense([p for p, _ in pairs]) - dense([q for _, q in pairs])
-    return Model(kept, *_minimise(x, y, diff))
+    return run
+
+
+def fit_rows(kept: np.ndarray, x: np.ndarray, y: np.ndarray, swaps: np.ndarray) -> Model:
+    """The model of rows x (of 0 and 1, a column for each kept feature) with labels y; swaps: rows of x less their swapped form."""
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[kept] = np.arange(len(kept))
+
+    def dense(texts):
+        out = np.zeros((len(texts), len(kept)), np.float32)
+        for i, bag in enumerate(_bags([_lower(t) for t in texts])):
+            s = slot[bag]
+            out[i, s[s >= 0]] = 1
+        return out
+
+    terms = [NEUTRAL[i % len(NEUTRAL)].format(t) for i, t in enumerate(_NEXT)]
+    neutral = dense(terms)
+    diff = np.concatenate([swaps, neutral - dense([swapped(t) for t in terms])])
+    return Model(kept, *_minimise(np.concatenate([x, neutral]), np.concatenate([y, np.zeros(len(neutral))]), diff))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """docs: doc_id and text; labels: doc_id and label (0, 1; null: left out). Ids may repeat: the highest label counts."""
+    """docs: doc_id and text; labels: doc_id and label (0, 1; null: left out). Ids may repeat."""
+    work = Workspace(docs.sparkSession, "toxicity")
     rows = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("doc_id is not null and label is not null")
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(rows), "doc_id")  # rows: at most ``sample``
-    got = texts.select("doc_id", "label", "text").mapInArrow(_bag_rows, "doc_id long, label int, bag binary, swapped binary").dropDuplicates(["doc_id"]).toArrow()
+    texts = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")  # rows: at most ``sample``
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    bags = work.write(texts.mapInArrow(_bag_rows, "doc_id long, label int, bag binary, swapped binary"), "bags")
+    n_pos, n_neg = (max(1, x or 0) for x in bags.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first())
+    counts = bags.mapInArrow(_counted, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
+    z = evidence(F.col("pos"), F.col("neg"), n_pos, n_neg)
+    kept = np.sort(np.array([r[0] for r in counts.where(z > 3).orderBy(z.desc(), "feature").limit(FEATURES).select("feature").collect()], np.int64))
+    got = bags.mapInArrow(_picked(kept), bags.schema).toArrow()
+    work.drop("bags")
     order = np.argsort(np.asarray(got.column("doc_id")), kind="stable")
-    read = lambda v: np.frombuffer(v, "<i4")
-    raw, other = got.column("bag").to_pylist(), got.column("swapped").to_pylist()
-    bags = [read(raw[i]) for i in order]
-    pairs = [(read(raw[i]), read(other[i])) for i in order if other[i] is not None]
-    return fit_bags(bags, np.asarray(got.column("label"))[order], pairs)
+    bag, other = got.column("bag").to_pylist(), got.column("swapped").to_pylist()
+    spread = lambda raw: np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, count=len(kept)).astype(np.float32) if raw and len(kept) else np.zeros((len(raw), len(kept)), np.float32)
+    x, on = spread([bag[i] for i in order]), [k for k, i in enumerate(order) if other[i] is not None]
+    swaps = x[on] - spread([other[order[k]] for k in on])
+    return fit_rows(kept, x, (np.asarray(got.column("label"))[order] > 0).astype(float), swaps)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from one half on)."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
