@@ -6,9 +6,14 @@ length gives a number of expressions fixed by the rule set. Expressions and rule
 equi-join on the first 32 bits of SHA-256; full digests then confirm the hit, and the longest rule
 wins (host plus path, then the rule that blocks). Native DataFrame operations only.
 
+Distinct pairs of host and path are judged once, so a hot url costs one row; pairs that a rule fits are
+written, and every row looks its verdict up there.
+
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule and gets the
-default verdict; repeated rows each get their verdict; columns of the input that clash with the
-result's names are replaced by the result's.
+default verdict; urls are read whole; rules that tie in length and verdict are told apart by their text;
+rows with null ids and repeated rows each get their verdict; an empty table gives no rows and an empty
+rule table the default; columns of the input that clash with the result's names are replaced by the
+result's, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -18,22 +23,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm._shared import Workspace, free_names
+
+#: Verdicts of distinct host and path that are broadcast (a few hundred bytes each); beyond, Spark shuffles both sides and splits hot urls.
+BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT_VERDICT = "allow"
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds host (ASCII lower case) and path."""
-    has = F.coalesce(F.instr(F.col(url), "://") > 0, F.lit(False))
-    rest = F.when(has, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise("")
-    tail = F.expr("substring(_rest, char_length(_host) + 1)")
-    return (
-        df.withColumn("_rest", rest)
-        .withColumn("_host", F.regexp_extract(F.col("_rest"), r"^[^/?#]*", 0))
-        .withColumn("path", F.regexp_extract(tail, r"^[^?#]*", 0))
-        .withColumn("host", F.translate("_host", UPPER, LOWER))
-        .drop("_rest", "_host")
-    )
+    u = F.col(f"`{url}`").cast("string")
+    at = F.instr(u, "://")
+    rest = F.when(at > 0, F.substring(u, at + 3, F.char_length(u))).otherwise("")
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    path = F.regexp_extract(F.substring(rest, F.char_length(host) + 1, F.char_length(rest)), r"^[^?#]*", 0)
+    return df.withColumns({"host": F.translate(host, UPPER, LOWER), "path": path})
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -78,7 +83,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), (F.col("_v") == "block").alias("b"), "rule", F.col("_v").alias("v"))).alias("_b")
     )
-    best = best.select("host", "path", F.col("_b.rule").alias("rule"), F.col("_b.v").alias("verdict"))
-    return parts.join(best, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in kept], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
-    )
+    rule_, verdict_, host_, path_ = free_names(kept + ["host", "path"], "rule_", "verdict_", "host_", "path_")
+    best = best.select(F.col("host").alias(host_), F.col("path").alias(path_), F.col("_b.rule").alias(rule_), F.col("_b.v").alias(verdict_))
+    best = Workspace(pages.sparkSession, "urls").write(best, "best")
+    if best.count() <= BROADCAST_ROWS:
+        best = F.broadcast(best)
+    judged = parts.join(best, (parts["host"] == best[host_]) & (parts["path"] == best[path_]), "left")
+    return judged.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col(rule_).alias("rule"), F.coalesce(verdict_, F.lit(default)).alias("verdict"))
