@@ -4,11 +4,17 @@ Toxic documents go; of each group of near-duplicates the row of the least doc_id
 that overlap a benchmark item go; secrets are blotted out of the text (and n_chars follows); what is
 left is packed into windows of 4096 tokens, each source in proportion to its share. Every stage's
 table is written before the next reads it.
+
+Edge cases, in every stage but the last with the columns of its input, whatever their names: null and empty
+texts are no secrets' and no item's, score as a text without words does and link with nothing, so they stay;
+rows are told apart by doc_id and text, so rows that share an id (or have none) are judged by their own text,
+and of equal rows that link one stays; of tied copies the least doc_id stays, a null one after all others;
+texts are read whole; an empty table gives an empty one. Packing gives each row its pieces, whatever its id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontamination, jaccard_join, packing, secrets, toxicity
@@ -19,12 +25,23 @@ from tallyloom.llm.queries import tokenizer_path
 BROADCAST = 32 << 20
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """(row, text): all columns but the text in one, so that no operator's result meets a column of its name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def _whole(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of documents again, some of them changed."""
+    back = lambda c: changed.get(c, F.col("text") if c == "text" else F.col(f"row.`{c}`"))
+    return rows.select(*[back(c).alias(c) for c in columns])
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier scores one half or more."""
     ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels.where(~toxicity.held_out()))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return _whole(toxicity.score(_aside(docs), model).where("predicted = 0"), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +73,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in their text replaced by its kind in brackets."""
     ready(spark)
-    found = secrets.find(docs, redacted=True)
-    found = found.withColumn("n_chars", F.when(F.col("redacted") != F.col("text"), F.length("redacted").cast("long")).otherwise(F.col("n_chars")))
-    return found.withColumn("text", F.col("redacted")).select(*docs.columns)
+    found = secrets.find(_aside(docs), redacted=True)
+    n_chars = F.when(F.col("redacted") != F.col("text"), F.length("redacted").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    return _whole(found, docs.columns, text=F.col("redacted"), **({"n_chars": n_chars} if n_chars is not None else {}))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
