@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_decontamination import brute as leaks
 from test_jaccard_join import brute as groups
 
@@ -61,3 +62,18 @@ def test_null_and_equal_ids(spark):
         finally:
             cp.BROADCAST = old
         assert left == sorted([(2, a), (0, b), (0, c), (5, d), (1, e), (5, f)])
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operators' results come through as they are."""
+    rows = [(1, "password = abcdef123456", "en", "s", 23), (2, "plain words here", "en", "s", 16), (2, None, None, None, None)]
+    extra = {"score": "mine", "predicted": "no", "spans": "none", "n_hex": "99", "redacted": "kept", "row": "r", "_id": "i", "component_id": "c", "Spans2": "x"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in extra.items()})
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 3
+        assert all(r[k] == v for r in out.collect() for k, v in extra.items())
+    assert {r["text"] for r in out.collect()} == {"[assign]", "plain words here", None}
+    assert cp.STAGES[4][1](spark, docs, SF).count() == 3
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
