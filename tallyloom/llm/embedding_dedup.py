@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm._shared import Workspace
 from tallyloom.llm.components import components
@@ -69,6 +70,9 @@ def rotations(d: int, bits: int, bands: int) -> int:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -137,8 +141,8 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _coded(bits: int, bands: int):
-    """(vec_id, label, d, vector, key, code, bands): nulls where the vector can't link. vector: the unit vector as packed doubles."""
+def _coded(bits: int, bands: int, kind: str):
+    """(vec_id, label, d, vector, key, code, bands): nulls where the vector can't link. vector: packed as given, in floats or doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,12 +155,11 @@ def _coded(bits: int, bands: int):
                     if v and label is not None and all(c is not None for c in v):
                         a = np.array(v, np.float64)
                         if np.isfinite(a).all() and a.any():
-                            a = a / np.abs(a).max()
-                            d[i], vector[i] = len(a), a / np.linalg.norm(a) + 0.0
+                            d[i], vector[i] = len(a), (a + 0.0).astype(kind)
                             rows_of.setdefault(len(a), []).append(i)
                             key[i] = hashlib.md5(f"{len(a)}:{label}:".encode() + vector[i].tobytes()).digest()
                 for dims, rows in rows_of.items():
-                    signs, factors = encode(np.stack([vector[i] for i in rows]), rotations(dims, bits, bands))
+                    signs, factors = encode(unit(np.stack([vector[i] for i in rows])), rotations(dims, bits, bands))
                     for i, c, x in zip(rows, pack(signs, factors), band_values(signs, bits, bands).tolist(), strict=True):
                         code[i], values[i] = c, x
                 vector = [None if v is None else v.tobytes() for v in vector]
@@ -207,7 +210,7 @@ def _undecided(bits: int, bands: int, threshold: float):
     return run
 
 
-def _links(bits: int, bands: int, threshold: float):
+def _links(bits: int, bands: int, kind: str, threshold: float):
     """Of one pair of blocks, with the vectors: link counts and a spanning forest of the links."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -216,7 +219,7 @@ def _links(bits: int, bands: int, threshold: float):
         count, tree, x, was = np.zeros(len(ids)), [], None, None
         for i, j, rows in _group(table, bits, bands, threshold):
             if rows is not was:
-                x, was, at = np.stack([np.frombuffer(vectors[k], "<f8") for k in rows]), rows, np.empty(len(ids), np.int64)
+                x, was, at = unit(np.stack([np.frombuffer(vectors[k], kind) for k in rows])), rows, np.empty(len(ids), np.int64)
                 at[rows] = np.arange(len(rows))
             ok = np.einsum("ij,ij->i", x[at[i]], x[at[j]]) >= threshold
             i, j = i[ok], j[ok]
@@ -238,7 +241,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     work = Workspace(spark, "embeddings")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     bits, bands = band_plan(rows.count(), threshold, recall)
-    coded = rows.mapInArrow(_coded(bits, bands), "vec_id long, label string, d long, vector binary, key binary, code binary, bands array<bigint>")
+    kind = "<f4" if rows.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
+    coded = rows.mapInArrow(_coded(bits, bands, kind), "vec_id long, label string, d long, vector binary, key binary, code binary, bands array<bigint>")
     coded = work.write(coded.withColumn("row_id", F.monotonically_increasing_id()), "coded")
     # equal vectors of a label: one class, named by one of its rows
     own = F.struct("label", "d", "code", "bands")
@@ -262,7 +266,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         wanted = F.broadcast(wanted)
     fetched = coded.select(F.col("row_id").alias("class_id"), "vector", "label", "d", "code").join(wanted, "class_id")
     fetched = fetched.join(classes.select("class_id", "size"), "class_id")
-    made = undecided.join(fetched, "class_id").groupBy("bucket", "a", "b").applyInArrow(_links(bits, bands, threshold), "x long, y long, n long")
+    made = undecided.join(fetched, "class_id").groupBy("bucket", "a", "b").applyInArrow(_links(bits, bands, kind, threshold), "x long, y long, n long")
     made = work.write(made, "links")
     counts = made.where("y is null").groupBy("x").agg(F.sum("n").alias("links")).withColumnRenamed("x", "class_id")
     labels = components(work, made.where("y is not null").select(F.col("x").alias("a"), F.col("y").alias("b")), "components")
