@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import rule_data
-from tallyloom.operators.shell import WRAPPERS, Refused, Simple, parse, simple_words
+from tallyloom.operators import rule_data, taxonomy
+from tallyloom.operators.shell import WRAPPERS, Refused, Simple, features, parse, simple_words
 
 ASSIGNMENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*=")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*$")
@@ -187,6 +187,41 @@ def plan(command: str) -> dict:
     return chosen | {"confidence": CONFIDENCE[confidence], "transforms": sorted(set(transforms)), "setup_text": setup_text}
 
 
+#: What rules are named by: the pack's name, then the rule's id.
+PACK = "builtin"
+
+
+def choose(command: str) -> dict:
+    """What becomes of a command's output: the simple command's rules first, else the plan for a compound one.
+
+    verdict (reduce, passthrough, ambiguous or unsupported), rule (of a plan: ``compound/`` and its reducer), reducer,
+    confidence, transforms, setup_text, limits; syntax: labels of the command's syntax; and family, kind and suggested
+    reducer under which its results count where they are left as they are.
+    """
+    out = {"verdict": "unsupported", "rule": None, "reducer": None, "confidence": None, "transforms": [], "setup_text": False} | dict.fromkeys(LIMITS)
+    syntax = features(command) or ["simple_command"]
+    out["syntax"] = syntax + ["mixed_syntax"] * (len(syntax) > 1)
+    try:
+        words = simple_words(command)
+        verdict, rules = resolve(words)
+    except Refused:
+        words, verdict, rules = None, "unsupported", []
+    names = sorted({f"{PACK}/{r['id']}" for r in rules})
+    if verdict in ("passthrough", "ambiguous"):
+        group = "guarded" if verdict == "passthrough" else verdict
+        return out | {"verdict": verdict, "family": f"{group}/{'+'.join(names)}", "kind": taxonomy.PASS, "suggested": None}
+    if verdict == "reduce":
+        out |= {"rule": names[0], "reducer": rules[0]["reducer"], "confidence": CONFIDENCE[0]} | {k: rules[0][k] for k in LIMITS}
+    else:
+        try:
+            found = plan(command)
+        except Refused:
+            family, kind, suggested = taxonomy.assess(words)
+            return out | {"family": family, "kind": kind, "suggested": suggested}
+        out |= found | {"rule": f"compound/{found['reducer']}"}
+    return out | {"verdict": "reduce", "family": f"existing/{out['rule']}", "kind": taxonomy.EXISTING, "suggested": out["reducer"]}
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     """The pack, a row for each program of a rule: some 600 short rows, broadcast by their known size."""
     rows = [(p, r["id"], r["action"], r["reducer"], r["argv_prefix"], r["contains"]) for r in rule_data.rules() for p in r["programs"]]
@@ -233,6 +268,31 @@ def select_simple(commands: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def _each(commands: DataFrame, make, schema: str) -> DataFrame:
+    """A row (command, and what make gives) for each distinct command."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(c, *make(c)) for c in b["command"]], columns=["command", *names])
+
+    distinct = commands.select("command").where("command is not null").distinct()
+    return distinct.mapInPandas(run, f"command string, {schema}")
+
+
+def syntax(commands: DataFrame) -> DataFrame:
+    """command, labels of every distinct command."""
+    return _each(commands, lambda c: (features(c),), "labels array<string>")
+
+
+def choices(commands: DataFrame) -> DataFrame:
+    """``choose`` of every distinct command, and how often it occurs."""
+    names = ("verdict", "rule", "reducer", "confidence", "syntax", "family", "kind", "suggested")
+    schema = ", ".join(f"{n} {'array<string>' if n == 'syntax' else 'string'}" for n in names)
+    made = _each(commands, lambda c: tuple(choose(c)[n] for n in names), schema)
+    return made.join(commands.groupBy("command").agg(F.count("*").alias("calls")), "command")
+
+
 #: What plan() merges by maximum.
 LIMITS = ("line_bytes", "failure_line_bytes", "least")
 
