@@ -34,6 +34,9 @@ class Spark:
     def json_str(self, x: str, path: str) -> str:
         return self._variant(x, path, "'STRING'", "string")
 
+    def json_bool(self, x: str, path: str) -> str:
+        return self._variant(x, path, "'BOOLEAN'", "boolean")
+
     def json_has(self, x: str, path: str) -> str:
         return f"(try_variant_get(try_parse_json({x}), '{path}', 'variant') is not null)"
 
@@ -46,6 +49,11 @@ class Spark:
     def explode(self, rel: str, array: str, name: str, keep: str = "*") -> str:
         return f"(select {keep}, {name} from {rel} lateral view explode({array}) x as {name})"
 
+    def unpivot(self, rel: str, columns: dict[str, str], name: str = "measure", value: str = "value") -> str:
+        """A row (name, value) for each of the columns of each row of rel."""
+        pairs = ", ".join(f"'{n}', {c}" for n, c in columns.items())
+        return f"(select {name}, {value} from {rel} lateral view stack({len(columns)}, {pairs}) x as {name}, {value})"
+
     def array(self, *xs: str) -> str:
         return f"array({', '.join(xs)})"
 
@@ -115,6 +123,9 @@ class Duck(Spark):
     def json_str(self, x: str, path: str) -> str:
         return f"case when json_valid({x}) and json_type({x}, '{path}') = 'VARCHAR' then json_extract_string({x}, '{path}') end"
 
+    def json_bool(self, x: str, path: str) -> str:
+        return f"case when json_valid({x}) and json_type({x}, '{path}') = 'BOOLEAN' then cast(json_extract({x}, '{path}') as boolean) end"
+
     def json_has(self, x: str, path: str) -> str:
         return f"(case when json_valid({x}) then json_exists({x}, '{path}') else false end)"
 
@@ -124,6 +135,9 @@ class Duck(Spark):
     def explode(self, rel: str, array: str, name: str, keep: str = "*") -> str:
         return f"(select {keep}, unnest({array}) as {name} from {rel})"
 
+    def unpivot(self, rel: str, columns: dict[str, str], name: str = "measure", value: str = "value") -> str:
+        return f"(select unnest([{', '.join(repr(n) for n in columns)}]) as {name}, unnest([{', '.join(columns.values())}]) as {value} from {rel})"
+
     def array(self, *xs: str) -> str:
         return f"[{', '.join(xs)}]"
 

@@ -7,14 +7,17 @@ from tallyloom.functions.dialect import Spark, pattern
 # Fixed values.
 SHELL_TOOLS = ("bash", "exec_command", "run_terminal_cmd")
 DIAGNOSTIC_TERMS = ("failure", "panic", "error", "warning", "test result")
-TRANSPORT_MARKERS = ("Process exited with code ", "Process running with session ID ", "Command exited with code ", "Command timed out")
+TRANSPORT_MARKERS = ("Process running with session ID", "Command exited with code", "Process exited with code", "timed out")
+TRUNCATION_KEYS = ("truncated", "isTruncated")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SETUP_DIAGNOSTICS = ("cd:", "umask:", "export:", "readonly variable", "not a valid identifier")
 BUDGET, BUDGET_LEAST, BUDGET_POINTS = 704, 256, 1500
 
 
 def shell_command(d: Spark, tool: str, form: str, text: str) -> str:
     """The command a shell tool was given: the text itself, or the JSON input's command, else cmd. A command that is no string gives null."""
-    shell = f"(lower({tool}) in {SHELL_TOOLS} or lower({tool}) like '%shell%')"
+    low = f"translate({tool}, '{UPPER}', '{LOWER}')"
+    shell = f"({low} in {SHELL_TOOLS} or {low} like '%shell%')"
     asked = f"case when {d.json_has(text, '$.command')} then {d.json_str(text, '$.command')} else {d.json_str(text, '$.cmd')} end"
     return f"case when not {shell} then null when {form} = 'text' then {text} else {asked} end"
 
@@ -42,14 +45,45 @@ def has_diagnostic(d: Spark, text: str) -> str:
     return d.rx(text, pattern(list(DIAGNOSTIC_TERMS), "c", True))
 
 
-def result_properties(d: Spark, text: str) -> str:
-    """Labels of a result's text; the first two by bytes, not characters."""
+def host_truncated(d: Spark, json: str) -> str:
+    """Whether JSON somewhere says that it was truncated: a member of that name, true."""
+    said = f'"({"|".join(TRUNCATION_KEYS)})"[ \\t\\r\\n]*:[ \\t\\r\\n]*true'
+    return f"coalesce({d.json_ok(json)} and {d.rx(json, said)}, false)"
+
+
+def exit_code(d: Spark, json: str) -> str:
+    """The first 32-bit exit code at most two details deep, outer ones first; null without one."""
+    fit = lambda v: f"case when {v} between -2147483648 and 2147483647 then {v} end"
+    paths = [f"$.{'details.' * depth}{name}" for depth in range(3) for name in ("exit_code", "exitCode")]
+    return f"coalesce({', '.join(fit(d.json_int(json, p)) for p in paths)})"
+
+
+def completeness(d: Spark, json: str, full: str) -> str:
+    """complete where the host has the whole output or says that it cut nothing; incomplete where it says that it did; else unknown."""
+    inner = ["", "truncation.", "truncation.truncation.", "truncation.details.", "details.", "details.truncation.", "details.details."]
+    said = f"coalesce({', '.join(d.json_bool(json, f'$.{p}truncated') for p in inner)})"
+    return f"case when {full} then 'complete' when {said} then 'incomplete' when not {said} then 'complete' else 'unknown' end"
+
+
+def recovery_marker(text: str, ref: str) -> str:
+    """Whether a text names an archived original and how to search it."""
+    return f"({text} like '%' || {ref} || '%' and {text} like '%search ' || {ref} || '%')"
+
+
+def recovery_command(d: Spark, command: str, program: str) -> str:
+    """Whether a command of plain words searches or reads the archive, and doesn't ask for help."""
+    return f"({d.rx(command, f'^{program} (search|read)( |$)')} and not {d.rx(command, '^[^ ]+ [^ ]+( .*)? (--help|-h)( |$)')})"
+
+
+def result_properties(d: Spark, text: str, json: str) -> str:
+    """Labels of a result's text; line lengths by bytes, not characters."""
     longest = d.longest_line(text)
     return d.compact(
         d.array(
             f"case when {d.octets(text)} > length({text}) then 'non_ascii' end",
             f"case when {longest} > 16384 then 'long_line_16k' end",
             f"case when {longest} > 1048576 then 'oversized_line_1m' end",
+            f"case when {host_truncated(d, json)} then 'host_truncated' end",
             f"case when {d.rx(text, pattern(list(TRANSPORT_MARKERS)))} then 'transport_outcome' end",
         )
     )

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as s
 from tallyloom.functions.dialect import DUCK, SPARK
-from tallyloom.operators import archive, reduce, rule_data, selection
-from tallyloom.operators.shell import features
+from tallyloom.operators import archive, pruning, reduce, rule_data, selection, taxonomy
 from tallyloom.plans.corpus import ctes
 from tallyloom.streaming import ingest
 
@@ -52,13 +51,13 @@ with {ctes(DUCK)},
 rules(program, rule_id, action, reducer, prefix, needed) as (values {_rules_values()}),
 c as (select {s.shell_command(DUCK, "tool_name", "input_format", "input_text")} as command, count(*) as calls from tool_calls group by 1 having command is not null),
 a as (select *, string_split(command, ' ') as argv, string_split(command, ' ')[2:] as tail from c),
-h as (select command, rule_id, action, reducer from a join rules on argv[1] = program and tail[1:len(prefix)] = prefix
+h as (select command, rule_id, action, reducer from a join rules on not regexp_matches(command, '[|&;<>]') and argv[1] = program and tail[1:len(prefix)] = prefix
   and len(list_filter(needed, lambda q: len(list_filter(tail, lambda w: w = q or (q like '--%' and starts_with(w, q || '='))
     or (length(q) = 2 and q like '-%' and q <> '--' and length(w) > 2 and w like '-%' and w not like '--%' and contains(w[2:], q[2:2])))) > 0)) = len(needed)),
 g as (select command, count(*) filter (where action = 'passthrough') as guards, count(*) filter (where action <> 'passthrough') as others,
   string_agg(rule_id, '+' order by rule_id) filter (where action = 'passthrough') as guard_ids, string_agg(rule_id, '+' order by rule_id) filter (where action <> 'passthrough') as other_ids,
   max(action) as action, max(reducer) as reducer from h group by command)
-select command, calls, case when guards > 0 then 'passthrough' when others > 1 then 'ambiguous' else coalesce(action, 'unsupported') end as verdict,
+select command, calls, case when regexp_matches(command, '[|&;<>]') then 'parse_error' when guards > 0 then 'passthrough' when others > 1 then 'ambiguous' else coalesce(action, 'unsupported') end as verdict,
   coalesce(case when guards > 0 then guard_ids else other_ids end, '') as rules, case when guards = 0 and others = 1 then reducer end as reducer
 from c left join g using (command)"""
 
@@ -75,8 +74,8 @@ def c9_pack_conflicts(spark, sf_dir):
 def c4_features(spark, sf_dir):
     """Syntax labels of distinct commands that are joined from the corpus's commands."""
     calls = _commands(spark, sf_dir).select(F.concat_ws(" && ", "command", F.concat(F.lit("cd x; "), "command")).alias("command"))
-    label = F.udf(features, "array<string>")
-    return calls.groupBy("command").agg(F.count("*").alias("calls")).select("command", "calls", F.array_join(label("command"), "+").alias("labels"))
+    n = calls.groupBy("command").agg(F.count("*").alias("calls"))
+    return n.join(selection.syntax(calls), "command").select("command", "calls", F.array_join("labels", "+").alias("labels"))
 
 
 @query
@@ -91,44 +90,184 @@ def c12_plans(spark, sf_dir):
 
 
 def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eligible results with what the reducer removed; each distinct command is planned once."""
+    """Every result with its labels and what the reducers leave of it: the texts are read once and go no further."""
     select = f"""select r.result_key, c.agent, c.tool_name, {s.shell_command(SPARK, 'tool_name', 'input_format', 'input_text')} as command,
-      {s.succeeded(SPARK, 'is_error', 'output_json')} as succeeded, {s.size_band(SPARK, 'output_text')} as band, output_text
-      from tool_results r join tool_calls c on r.call_key = c.call_key"""
-    results = corpus(spark, sf_dir, select)
-    plans = selection.plans(results).withColumn("family", F.regexp_replace("reducer", "_summary$", "")).where("family is not null")
-    known = results.join(plans, "command")
-    ok = F.when(F.col("confidence") == "complete", F.col("succeeded"))
-    measured = reduce.reduce_results(known.withColumn("succeeded", ok))
-    keys = known.select("result_key", "agent", "tool_name", "family", "band", F.coalesce(F.col("succeeded").cast("string"), F.lit("unknown")).alias("status"))
-    return keys.join(measured, "result_key")
+      {s.succeeded(SPARK, 'is_error', 'output_json')} as succeeded, {s.size_band(SPARK, 'output_text')} as band, {s.result_properties(SPARK, 'output_text', 'output_json')} as properties,
+      {s.has_diagnostic(SPARK, 'output_text')} as diagnostic, output_text like '%' || chr(0) || '%' as nul, {s.budget_removal(SPARK, 'length(output_text)')} as removable, output_text
+      from tool_results r join tool_calls c on r.call_key = c.call_key join sessions s on s.session_key = c.session_key"""
+    status = F.when(F.col("succeeded"), "success").when(~F.col("succeeded"), "failure").otherwise("unknown")
+    return pruning.prune(corpus(spark, sf_dir, select)).withColumn("status", status)
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(part * 100.0 / whole, 6))
 
 
 @query
 def a6_pruning(spark, sf_dir):
-    """Totals of the pruning report over eligible results."""
-    return _reduced(spark, sf_dir).agg(
-        F.count("*").alias("eligible"), F.count_if("changed").alias("affected"), F.sum("chars").alias("chars"), F.sum("removed_chars").alias("removed_chars"),
-        F.count_if(F.size("lost_terms") > 0).alias("vetoes"), F.round(F.sum("removed_chars") * 100.0 / F.sum("chars"), 6).alias("percent"),
+    """Totals of the pruning report over all results, in one pass; vetoes by term as one text."""
+    own, shell = F.col("verdict") == "reduce", F.col("verdict").isNotNull()
+    total = lambda c, which=own: F.coalesce(F.sum(F.when(which, F.col(c))), F.lit(0))
+    vetoes = F.concat_ws(",", *[F.concat(F.lit(f"{t}="), F.count_if(own & F.array_contains("lost_terms", t)).cast("string")) for t in s.DIAGNOSTIC_TERMS])
+    r = _reduced(spark, sf_dir).agg(
+        F.count("*").alias("evaluated"), F.sum("chars").alias("evaluated_chars"), F.count_if(shell).alias("shell"), total("chars", shell).alias("shell_chars"), F.count_if(own).alias("eligible"),
+        *[F.count_if(F.col("verdict") == v).alias(v) for v in ("passthrough", "ambiguous", "unsupported")],
+        F.count_if(own & (F.col("status") == "unknown")).alias("unknown_status"), F.count_if(own & F.col("changed")).alias("affected"),
+        *[total(c).alias(c) for c in ("chars", "pruned_chars", "bytes", "pruned_bytes", "lines", "pruned_lines")],
+        F.count_if(own & (F.size("lost_terms") > 0)).alias("vetoes"), vetoes.alias("vetoes_by_term"), F.count_if(own & F.col("changed") & ~F.col("marked")).alias("missing_markers"),
+    )
+    removed = F.col("chars") - F.col("pruned_chars")
+    return r.select(
+        "*", removed.alias("removed_chars"), (F.col("bytes") - F.col("pruned_bytes")).alias("removed_bytes"), F.greatest(F.col("lines") - F.col("pruned_lines"), F.lit(0)).alias("removed_lines"),
+        _share(F.col("affected"), F.col("eligible")).alias("affected_percent"), _share(removed, F.col("chars")).alias("removed_percent"),
+        _share(removed, F.col("shell_chars")).alias("removed_percent_of_shell"), _share(removed, F.col("evaluated_chars")).alias("removed_percent_of_all"),
     )
 
 
 @query
 def a7_pruning_breakdowns(spark, sf_dir):
-    """The same measures by agent, tool, reducer, status and band, in one pass of grouping sets."""
-    r = _reduced(spark, sf_dir)
-    dims = ["agent", "tool_name", "family", "status", "band"]
-    sets = [[d] for d in dims]
-    out = r.groupingSets(sets, *dims).agg(F.grouping_id().alias("gid"), F.count("*").alias("eligible"), F.count_if("changed").alias("affected"), F.sum("chars").alias("chars"), F.sum("removed_chars").alias("removed_chars"))
-    name = F.expr("case gid " + " ".join(f"when {31 - (1 << (4 - i))} then '{d}'" for i, d in enumerate(dims)) + " end")
-    return out.select(name.alias("dimension"), F.coalesce(*dims).alias("member"), "eligible", "affected", "chars", "removed_chars")
+    """Twelve measures of the results that a rule reduces, in nine breakdowns. A result counts under each of its syntax labels and properties."""
+    label = lambda dimension, *members: F.transform(F.array_compact(F.array(*members)), lambda m: F.struct(F.lit(dimension).alias("dimension"), m.alias("member")))
+    each = lambda dimension, members, f=lambda m: m: F.transform(members, lambda m: F.struct(F.lit(dimension).alias("dimension"), f(m).alias("member")))
+    single = [label(d, F.col(c)) for d, c in (("agent", "agent"), ("tool", "tool_name"), ("rule", "rule"), ("reducer", "reducer"), ("status", "status"), ("band", "band"))]
+    many = [each("syntax", F.col("syntax")), each("syntax and status", F.col("syntax"), lambda m: F.concat_ws("/", m, "status")), each("property", F.col("properties"))]
+    r = _reduced(spark, sf_dir).where("verdict = 'reduce'").withColumn("under", F.explode(F.concat(*single, *many)))
+    out = r.groupBy("under.dimension", "under.member").agg(
+        F.count("*").alias("results"), F.count_if(F.col("changed")).alias("affected"), *[F.sum(c).alias(c) for c in ("chars", "pruned_chars")], F.sum(F.expr("chars - pruned_chars")).alias("removed_chars"),
+        F.max("chars").alias("largest"), F.max(F.expr("chars - pruned_chars")).alias("most_removed"), *[F.sum(c).alias(c) for c in ("bytes", "pruned_bytes")], F.sum(F.expr("bytes - pruned_bytes")).alias("removed_bytes"),
+        *[F.sum(c).alias(c) for c in ("lines", "pruned_lines")],
+    )
+    return out
+
+
+def _unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reduced(spark, sf_dir).where("verdict is not null and not changed")
+
+
+@query
+def a9_ceiling_families(spark, sf_dir):
+    """What is left as it is, by family: thirteen measures, the most removable first."""
+    has = lambda p: F.count_if(F.array_contains("properties", p))
+    out = _unchanged(spark, sf_dir).groupBy("family", "kind", "suggested").agg(
+        F.count("*").alias("results"), F.sum("chars").alias("chars"), F.sum("lines").alias("lines"), F.max("chars").alias("largest"), *[F.count_if(F.col("status") == v).alias(v) for v in ("success", "failure", "unknown")],
+        F.count_if(F.col("diagnostic")).alias("diagnostics"), has("non_ascii").alias("non_ascii"), F.count_if(F.col("nul")).alias("nul"), has("oversized_line_1m").alias("oversized"), F.count_if(F.col("removable") > 0).alias("eligible"), F.sum("removable").alias("removable"),
+    )
+    return out.orderBy(F.desc("removable"), "family")
+
+
+@query
+def a9_ceiling_totals(spark, sf_dir):
+    """Totals of the ceiling, and what three scenarios would add: families under review, those and unclear ones, all that is unchanged."""
+    r = _reduced(spark, sf_dir).withColumn("left", F.expr("verdict is not null and not changed"))
+    shell, cut = F.col("verdict").isNotNull(), F.col("changed")
+    total = lambda which, c="chars": F.coalesce(F.sum(F.when(which, F.col(c))), F.lit(0))
+    gone = F.coalesce(F.sum(F.when(cut, F.col("chars") - F.col("pruned_chars"))), F.lit(0))
+    kinds = {"review": ("review_candidate",), "review_and_unclear": ("review_candidate", "unclear"), "unchanged": ("review_candidate", "unclear", "existing_rule", "required_pass_through")}
+    more = []
+    for name, which in kinds.items():
+        own = F.col("left") & F.col("kind").isin(*which)
+        more += [F.count_if(own & (F.col("removable") > 0)).alias(f"{name}_results"), total(own, "removable").alias(f"{name}_chars")]
+    t = r.agg(
+        F.count("*").alias("evaluated"), F.sum("chars").alias("evaluated_chars"), F.count_if(shell).alias("shell"), total(shell).alias("shell_chars"), F.count_if(cut).alias("changed"), gone.alias("removed_chars"),
+        F.count_if(F.col("left")).alias("left_results"), total(F.col("left")).alias("left_chars"), *more,
+    )
+    after = lambda n: F.col("removed_chars") + F.col(f"{n}_chars")
+    shares = [x for n in kinds for x in ((F.col("changed") + F.col(f"{n}_results")).alias(f"{n}_changed"), _share(after(n), F.col("shell_chars")).alias(f"{n}_percent_of_shell"), _share(after(n), F.col("evaluated_chars")).alias(f"{n}_percent_of_all"))]
+    return t.select("*", *shares)
+
+
+@query
+def a9_ceiling_syntax(spark, sf_dir):
+    """Shell results by the syntax of their command and what a budget would remove, the largest first; the command's own labels only."""
+    r = _reduced(spark, sf_dir).where("verdict is not null").withColumn("label", F.explode("syntax")).where("label not in ('simple_command', 'mixed_syntax')")
+    out = r.groupBy("label").agg(F.count("*").alias("results"), F.sum("chars").alias("chars"), F.count_if(F.col("removable") > 0).alias("eligible"), F.sum("removable").alias("removable"))
+    return out.orderBy(F.desc("chars"), "label")
+
+
+#: What is to become of the corpus's commands, by hand: (command, verdict, rule, confidence, family of its unchanged results, kind); None: as usual.
+_CHOICES = [
+    ("rg needle src", "reduce", "builtin/search/rg"), ("grep -rn error logs", "reduce", "builtin/search/grep"), ("git status", "reduce", "builtin/git/status"), ("git diff HEAD~1", "reduce", "builtin/git/diff"),
+    ("git log --oneline -5", "reduce", "builtin/git/log-oneline"), ("cargo test --all", "reduce", "builtin/rust/cargo-test"), ("cargo build", "reduce", "builtin/rust/cargo-build"), ("pytest -q tests", "reduce", "builtin/python/pytest"),
+    ("npm run build", "reduce", "builtin/js/run-build"), ("pnpm lint", "reduce", "builtin/js/lint-alias"), ("ls -la", "reduce", "builtin/filesystem/ls"), ("find . -name x", "reduce", "builtin/filesystem/find"),
+    ("git status --porcelain", "passthrough", "guarded/builtin/guards/git-porcelain+builtin/guards/git-status-porcelain"), ("rg --json needle", "passthrough", "guarded/builtin/guards/rg-json"),
+    ("cargo test --message-format json", "passthrough", "guarded/builtin/guards/cargo-message-format"), ("docker logs web", "reduce", "builtin/ops/docker-logs"), ("kubectl get pods", "reduce", "builtin/ops/kubectl-get"),
+    ("kubectl get pods -o yaml", "passthrough", "guarded/builtin/guards/kubectl-output-short"), ("journalctl -u web", "reduce", "builtin/ops/journalctl"), ("systemctl status web", "reduce", "builtin/ops/systemctl-status"),
+    ("cat notes.txt", "unsupported", "inspection/exact-text"), ("sed -n 1p notes.txt", "unsupported", "inspection/exact-text"), ("python run.py", "unsupported", "script/other"), ("curl -s host/path", "unsupported", "network/response"),
+    ("jq .name data.json", "unsupported", "structured-or-query-output"), ("make test", "reduce", "builtin/build/task-test"), ("ninja", "reduce", "builtin/build/ninja"), ("git grep -n word", "reduce", "builtin/search/git-grep"),
+    ("gh pr list", "reduce", "builtin/gh/pr-list"), ("gh pr list --json id", "passthrough", "guarded/builtin/guards/gh-json"), ("tsc -p .", "reduce", "builtin/js/tsc"), ("eslint .", "reduce", "builtin/js/eslint"),
+    ("uv run pytest", "reduce", "builtin/python/uv-pytest"), ("go test ./...", "reduce", "builtin/go/test"), ("ps aux", "reduce", "builtin/system/ps-aux"), ("df -h", "reduce", "builtin/filesystem/df"),
+    ("echo done", "unsupported", "shell/exact-small-output"), ("rm -rf build", "unsupported", "mutation/command"), ("codex exec review", "reduce", "builtin/reviews/codex-review"), ("tree -J src", "passthrough", "guarded/builtin/guards/tree-json"),
+    ("cd src && cargo test --all", "reduce", "compound/test_summary"), ("rg needle | head -5", "reduce", "compound/search_summary"), ("FOO=1 make test", "reduce", "compound/test_summary"), ("timeout 60 pytest -q", "reduce", "compound/test_summary"),
+    ("set -o pipefail && rg needle | tail -3", "reduce", "compound/search_summary"), ("cargo build || cargo test", "unsupported", "shell/unsupported-syntax"), ("cargo test && git status", "unsupported", "shell/unsupported-syntax"),
+    ("git log -1; git status", "unsupported", "shell/unsupported-syntax"), ("cat notes.txt | wc -l", "unsupported", "shell/unsupported-syntax"), ("git status > out.txt", "unsupported", "shell/unsupported-syntax"),
+    ("for f in a b; do cargo test; done", "unsupported", "shell/unsupported-syntax"), ("./run.sh all", "unsupported", "command/other"), ("bazel test all", "unsupported", "build-driver/test"),
+]
+_REVIEW, _UNCLEAR = ("build-driver/test",), ("script/other", "command/other")
+_SUGGESTED = {"build-driver/test": "test_summary"}
+_CONFIDENCE = {"rg needle | head -5": "final_stage_only"}
+_SYNTAX = {
+    "cd src && cargo test --all": "and_list", "cargo test && git status": "and_list", "rg needle | head -5": "pipeline", "timeout 60 pytest -q": "wrapper", "set -o pipefail && rg needle | tail -3": "pipeline+and_list+mixed_syntax",
+    "cargo build || cargo test": "or_list", "git log -1; git status": "sequence", "cat notes.txt | wc -l": "pipeline", "git status > out.txt": "redirection", "for f in a b; do cargo test; done": "sequence+loop+mixed_syntax", "./run.sh all": "path_invocation",
+}
+
+
+@query
+def c20_choices(spark, sf_dir):
+    """What becomes of each distinct command: its rule or plan, confidence in its status, syntax, and the family of its unchanged results."""
+    return selection.choices(_commands(spark, sf_dir)).select("command", "calls", "verdict", "rule", "reducer", "confidence", F.array_join("syntax", "+").alias("syntax"), "family", "kind", "suggested")
+
+
+def _choice_values() -> str:
+    q = lambda x: "null" if x is None else f"'{x}'"
+    rows = []
+    for command, verdict, name in _CHOICES:
+        reduced = verdict == "reduce"
+        kind = "existing_rule" if reduced else "review_candidate" if name in _REVIEW else "unclear" if name in _UNCLEAR else "required_pass_through"
+        row = (command, verdict, name if reduced else None, (_CONFIDENCE.get(command) or "complete") if reduced else None, _SYNTAX.get(command, "simple_command"), f"existing/{name}" if reduced else name, kind, _SUGGESTED.get(name))
+        rows.append(f"({', '.join(map(q, row))})")
+    return ", ".join(rows)
+
+
+def _rule_reducers() -> str:
+    return ", ".join(f"('builtin/{i}', '{r}_summary')" for i, _, _, r in rule_data.REDUCE)
+
+
+ORACLES["c20_choices"] = f"""
+with {ctes(DUCK)},
+c as (select {s.shell_command(DUCK, "tool_name", "input_format", "input_text")} as command, count(*) as calls from tool_calls group by 1 having command is not null),
+k(command, verdict, rule, confidence, syntax, family, kind, suggested) as (values {_choice_values()}), r(rule, reducer) as (values {_rule_reducers()})
+select command, calls, verdict, k.rule, coalesce(r.reducer, case when k.rule like 'compound/%' then k.rule[10:] end) as reducer, confidence, syntax, family, kind,
+  case when verdict = 'reduce' then coalesce(r.reducer, k.rule[10:]) else suggested end as suggested from c left join k using (command) left join r on k.rule = r.rule"""
+
+
+@query
+def c22_taxonomy(spark, sf_dir):
+    """Distinct commands by the taxonomy alone, as if no rule knew them: a join with its table."""
+    words = selection.argv(_commands(spark, sf_dir)).where("argv is not null")
+    return taxonomy.families(spark, taxonomy.named(words)).select("command", "family", "class", "reducer")
+
+
+ORACLES["c22_taxonomy"] = f"""
+with {ctes(DUCK)},
+c as (select distinct {s.shell_command(DUCK, "tool_name", "input_format", "input_text")} as command from tool_calls),
+w as (select command, string_split(regexp_replace(command, '^(FOO=1|timeout 60) ', ''), ' ') as argv from c where command is not null and not regexp_matches(command, '[|&;<>]')),
+p as (select *, regexp_replace(argv[1], '^.*/', '') as program, coalesce(list_filter(argv[2:], lambda x: not starts_with(x, '-'))[1], '-') as first from w)
+select command, case when program in ('ls', 'find', 'tree', 'df') then 'filesystem/' || program when program = 'ps' then 'system/ps' when program in ('make', 'ninja') then 'build/' || program
+    when program in ('cat', 'sed') then 'inspection/exact-text' when program in ('rg', 'grep') then 'search/unsupported-form' when program = 'curl' then 'network/response' when program = 'jq' then 'structured-or-query-output'
+    when program = 'echo' then 'shell/exact-small-output' when program = 'rm' then 'mutation/command' when program = 'python' then 'script/other' when program in ('cargo', 'go', 'pytest') then 'developer/' || program || '-other'
+    when program = 'docker' then 'container/logs' when program = 'kubectl' then 'cluster/inspection' when program = 'gh' then 'gh/other-inspection' when program = 'git' then 'git/other' when program = 'npm' then 'package/npm-build-task'
+    when program = 'pnpm' then 'package/pnpm-lint-task' when program = 'bazel' then 'build-driver/test' else 'command/other' end as family,
+  case when program in ('ls', 'find', 'tree', 'df', 'ps', 'make', 'ninja', 'docker', 'kubectl', 'gh', 'npm', 'pnpm', 'bazel') then 'review_candidate'
+    when program in ('cat', 'sed', 'rg', 'grep', 'curl', 'jq', 'echo', 'rm') then 'required_pass_through' else 'unclear' end as class,
+  case when program in ('ls', 'find', 'tree', 'df', 'ps', 'kubectl', 'gh') then 'list_summary' when program in ('make', 'ninja', 'npm') then 'build_summary' when program = 'docker' then 'log_summary'
+    when program = 'pnpm' then 'line_filter' when program = 'bazel' then 'test_summary' end as reducer
+from p"""
 
 
 @query
 def r25_output_cap(spark, sf_dir):
-    """Lengths of texts under the default cap."""
-    cut = F.udf(lambda t: len(reduce.cap(t, 5120, "[output capped]").encode()), "int")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length("text").alias("bytes"), F.when(F.col("text").isNotNull(), cut("text")).alias("capped"))
+    """Lengths of texts under the default cap: both ends at character borders with the marker between, by native functions."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length("text").alias("bytes"), F.expr(reduce.capped_length("text", 5120, "[output capped]")).alias("capped"))
 
 
 def _archive(spark: SparkSession, sf_dir: str):

@@ -29,7 +29,7 @@ def measured(d: Spark) -> str:
     return f"""
 measured as (select r.result_key, r.call_key, c.agent, c.tool_name, {s.size_band(d, "output_text")} as band,
   {s.succeeded(d, "is_error", "output_json")} as ok, length(output_text) as chars, {d.octets("output_text")} as bytes, {s.line_count("output_text")} as lines,
-  {s.shell_command(d, "tool_name", "input_format", "input_text")} as command, {s.has_diagnostic(d, "output_text")} as diagnostic, output_text
+  {s.shell_command(d, "tool_name", "input_format", "input_text")} as command, {s.has_diagnostic(d, "output_text")} as diagnostic, output_text, output_json
   from tool_results r join tool_calls c on r.call_key = c.call_key)"""
 
 
@@ -62,7 +62,7 @@ from m group by grouping sets ((agent), (tool_name), (status), (band))"""
 @plan
 def a7_properties(d):
     """Results by property; a result counts under each of its labels."""
-    labels = f"p as (select result_key, bytes, {s.result_properties(d, 'output_text')} as labels from measured)"
+    labels = f"p as (select result_key, bytes, {s.result_properties(d, 'output_text', 'output_json')} as labels from measured)"
     return f"""{over(d, measured(d), labels)}
 select label, count(*) as results, {d.long("sum(bytes)")} as bytes from {d.explode("p", "labels", "label")} x group by label"""
 
@@ -95,14 +95,15 @@ from families group by family"""
 
 @plan
 def a1_stats(d):
-    """Corpus totals as (measure, value)."""
-    return f"""{over(d, "conflicts as (select call_key from tool_results group by call_key having count(*) > 1)")}
-select 'sessions' as measure, count(*) as value from sessions union all select 'calls', count(*) from tool_calls union all select 'results', count(*) from tool_results
-union all select 'calls_without_results', count(*) from tool_calls c where not exists (select 1 from tool_results r where r.call_key = c.call_key)
-union all select 'conflicting_calls', count(*) from conflicts union all select 'error_results', {d.count_if("is_error")} from tool_results
-union all select 'issue_occurrences', {d.long("coalesce(sum(occurrence_count), 0)")} from import_issues
-union all select 'input_chars', {d.long("sum(length(input_text))")} from tool_calls union all select 'output_chars', {d.long("sum(length(output_text))")} from tool_results
-union all select 'structured_chars', {d.long("coalesce(sum(length(output_json)), 0)")} from tool_results"""
+    """Corpus totals as (measure, value): each table is read once, results and calls by key."""
+    more = f"""r as (select call_key, count(*) as n, {d.count_if("is_error")} as errors, sum(length(output_text)) as chars, sum(coalesce(length(output_json), 0)) as structured from tool_results group by call_key),
+c as (select c.call_key, length(c.input_text) as chars, r.n from tool_calls c left join r on r.call_key = c.call_key),
+s as (select count(*) as sessions from sessions), i as (select sum(occurrence_count) as occurrences from import_issues),
+rr as (select sum(n) as results, {d.count_if("n > 1")} as conflicting, sum(errors) as errors, sum(chars) as chars, sum(structured) as structured from r),
+cc as (select count(*) as calls, {d.count_if("n is null")} as unanswered, sum(chars) as chars from c),
+one as (select s.sessions, cc.calls, rr.results, cc.unanswered, rr.conflicting, rr.errors, i.occurrences, cc.chars as input_chars, rr.chars as output_chars, rr.structured from s cross join i cross join rr cross join cc)"""
+    measures = {"sessions": "sessions", "calls": "calls", "results": "results", "calls_without_results": "unanswered", "conflicting_calls": "conflicting", "error_results": "errors", "issue_occurrences": "occurrences", "input_chars": "input_chars", "output_chars": "output_chars", "structured_chars": "structured"}
+    return f"""{over(d, more)} select measure, value from (select measure, {d.long("coalesce(value, 0)")} as value from {d.unpivot("one", measures)} x) y"""
 
 
 @plan
@@ -318,6 +319,54 @@ def p13_word_shapes(d):
     return f"select w, {s.assignment(d, 'w')} as assignment, {s.archive_ref_ok(d, 'w')} as archive_ref from (values {words}) as t(w)"
 
 
+REF = "yr_" + "0123456789abcdef" * 2
+
+
+@plan
+def p11_recovery_markers(d):
+    """Texts that name an archived original, and those that also say how to search it."""
+    marked = f"""m as (select result_key, output_text || case when doc_id % 7 = 0 then ' ref={REF};' else '' end || case when doc_id % 3 = 0 then ' search {REF} x' else '' end
+  || case when doc_id % 5 = 0 then ' search it' else '' end as body from tool_results)"""
+    return f"{over(d, marked)} select result_key, body like '%{REF}%' as named, {s.recovery_marker('body', chr(39) + REF + chr(39))} as marked from m"
+
+
+@plan
+def p27_completeness(d):
+    """What the host says of each result: its exit code and whether its output is whole."""
+    return f"""{over(d)}
+select result_key, {s.exit_code(d, "output_json")} as exit_code, {s.completeness(d, "output_json", "doc_id % 13 = 0")} as completeness, {s.host_truncated(d, "output_json")} as host_truncated from tool_results"""
+
+
+@plan
+def c18_recovery_commands(d):
+    """Commands that search or read the archive itself, which no rule may touch."""
+    asked = """r as (select call_key, case doc_id % 5 when 0 then 'keep search ' || call_key || ' error' when 1 then 'keep read ' || call_key || ' --help' when 2 then 'keep list' when 3 then 'keep read' else input_text end as command from tool_calls)"""
+    return f"{over(d, asked)} select call_key, {s.recovery_command(d, 'command', 'keep')} as recovery from r"
+
+
+@plan
+def k10_import_runs(d):
+    """Runs when the next one opens: those still running failed then; the last that finished gives an agent's state."""
+    runs = """runs as (select session_key as run_key, agent, min(doc_id) as started, max(doc_id) as last, count(*) as n from all_calls group by session_key, agent),
+ended as (select run_key, agent, started, case when n % 3 = 0 then 'running' when n % 3 = 1 then 'complete' else 'failed' end as status, case when n % 3 <> 0 then last end as finished from runs),
+opened as (select *, (select max(last) + 1 from runs) as now from ended)"""
+    return f"""{over(d, runs)} select run_key, agent, {d.long("started")} as started_at, case when status = 'running' then 'failed' else status end as status,
+  {d.long("case when status = 'running' then now else finished end")} as finished_at, row_number() over (partition by agent order by coalesce(finished, now) desc, run_key) = 1 as latest from opened"""
+
+
+@plan
+def j13_reference_collisions(d):
+    """Calls whose reference an earlier call has: all but the first of each reference are to be drawn anew."""
+    refs = "r as (select call_key, doc_id, 'yr_' || cast(doc_id % 137 as string) as archive_ref from tool_calls)"
+    return f"""{over(d, refs)} select call_key, archive_ref, {d.long("n")} as place from (select call_key, archive_ref, row_number() over (partition by archive_ref order by doc_id, call_key) as n from r) x where n > 1"""
+
+
+@plan
+def r24_fingerprints(d):
+    """Texts that are the same bytes: by digest and length, with how often."""
+    return f"{over(d)} select {d.sha('output_text')} as digest, {d.octets('output_text')} as bytes, count(*) as results from tool_results group by 1, 2 having count(*) > 1"
+
+
 @plan
 def p20_line_filter(d):
     """Lines kept by a filter: dropped patterns win, no kept patterns keep all."""
@@ -340,11 +389,10 @@ select {d.count_if(s.has_diagnostic(d, "output_text"))} as diagnostics, {d.count
 
 @plan
 def r3_line_classes(d):
-    """Lines by reducer family and class."""
-    texts = "t as (select result_key, output_text from tool_results)"
-    more = f"l as (select * from {d.lines('t', 'result_key', 'output_text')} x)"
-    parts = " union all ".join(f"select '{f}' as family, {line_class(d, f, 'line')} as class from l" for f in FAMILIES)
-    return f"{over(d, texts, more, f'c as ({parts})')} select family, class, count(*) as lines from c group by family, class"
+    """Lines by reducer family and class: texts are split once, each line is classified by every family in one row."""
+    lines = f"l as (select * from {d.lines('tool_results', 'result_key', 'output_text')} x)"
+    classes = ", ".join(f"{line_class(d, f, 'line')} as {f}" for f in FAMILIES)
+    return f"""{over(d, lines, f"c as (select {classes} from l)")} select family, class, count(*) as lines from {d.unpivot("c", {f: f for f in FAMILIES}, "family", "class")} x group by family, class"""
 
 
 @plan

@@ -42,10 +42,23 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_pruning_breakdowns_add_up(spark):
+def test_pruning_report(spark):
+    """Breakdowns by what each result has once add up to the totals; the ceiling's families to what is unchanged."""
     total = QUERIES["a6_pruning"](spark, SF).first()
-    parts = QUERIES["a7_pruning_breakdowns"](spark, SF).groupBy("dimension").sum("eligible", "removed_chars").collect()
-    assert {(r[1], r[2]) for r in parts} == {(total["eligible"], total["removed_chars"])} and len(parts) == 5
+    rows = QUERIES["a7_pruning_breakdowns"](spark, SF).collect()
+    assert {r["dimension"] for r in rows} == {"agent", "tool", "rule", "reducer", "status", "band", "syntax", "syntax and status", "property"}
+    for d in ("agent", "tool", "rule", "reducer", "status", "band"):
+        own = [r for r in rows if r["dimension"] == d]
+        for part, whole in (("results", "eligible"), ("affected", "affected"), ("chars", "chars"), ("pruned_chars", "pruned_chars"), ("removed_chars", "removed_chars"), ("bytes", "bytes"), ("lines", "lines"), ("pruned_lines", "pruned_lines")):
+            assert sum(r[part] for r in own) == total[whole], (d, part)
+    assert total["eligible"] + total["passthrough"] + total["ambiguous"] + total["unsupported"] == total["shell"] <= total["evaluated"] and total["missing_markers"] == 0
+    totals = QUERIES["a9_ceiling_totals"](spark, SF).first()
+    families = QUERIES["a9_ceiling_families"](spark, SF).collect()
+    assert sum(r["results"] for r in families) == totals["left_results"] == totals["shell"] - totals["changed"] and totals["changed"] == total["affected"]
+    assert sum(r["removable"] for r in families) == totals["unchanged_chars"] and sum(r["chars"] for r in families) == totals["left_chars"]
+    assert [(-r["removable"], r["family"]) for r in families] == sorted((-r["removable"], r["family"]) for r in families)
+    for r in families:
+        assert r["results"] == r["success"] + r["failure"] + r["unknown"]
 
 
 def test_entry_without_llm(tmp_path):
