@@ -1,73 +1,105 @@
-"""Line-delimited logs with offsets: what the text source does not keep.
+"""Line-delimited logs with line numbers, byte offsets, digests and checkpoints, read in Spark's own splits.
 
-A file is one row of the binary source; workers cut it into terminated lines with their number, byte
-offset and digest. An unterminated last line is not yet a record. With a checkpoint table (path, offset,
-prefix_sha256) a file goes on where it was left if its prefix is unchanged, else from the start.
+A file of any size is as many tasks as it has splits. Each task counts the lines and bytes of its splits;
+sums over a file's earlier splits, a row for each, turn them into places in the file. A last line
+without its line feed is not yet a record.
+
+A checkpoint says how far a file was read and what stood there: the sum over its lines of a hash of place
+and digest, which needs no order. Files of the same size and time as their checkpoint are not read;
+of the others, those with an unchanged beginning go on after it, and those without start again (a reset).
+A file that changes while it is read is rejected.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINES = "path string, line_no long, byte_offset long, record string, record_sha256 string, valid boolean, reset boolean"
+CHECKPOINT = "path string, size long, modified timestamp, offset long, lines long, digest decimal(38,0)"
+#: Splits, a short row each, that are broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def files(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """path, content, length, modificationTime of the files below root; links are not followed twice."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-
-
-def _cut(path: str, raw: bytes, offset: int | None, digest: str | None) -> Iterator[tuple]:
-    reset = bool(offset) and (offset > len(raw) or hashlib.sha256(raw[:offset]).hexdigest() != digest)
-    at = 0 if reset or not offset else int(offset)
-    n = raw.count(b"\n", 0, at)
-    while (end := raw.find(b"\n", at)) >= 0:
-        line, n = raw[at:end], n + 1
-        try:
-            text = line.decode()
-            json.loads(text)
-            ok = True
-        except ValueError:
-            text, ok = line.decode(errors="replace"), False
-        if line.strip():
-            yield path, n, at, text, hashlib.sha256(line).hexdigest(), ok, reset
-        at = end + 1
-
-
-def lines(content: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
-    """The terminated lines of files (path, content), those past their checkpoint."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in LINES.split(", ")]
-        for b in batches:
-            for path, raw, offset, digest in b.itertuples(index=False):
-                rows = list(_cut(path, bytes(raw), None if offset is None or offset != offset else int(offset), digest))
-                for i in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[i : i + 10_000], columns=names)
-
-    if checkpoints is None:
-        both = content.select("path", "content", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("string").alias("prefix_sha256"))
-    else:
-        both = content.select("path", "content").join(checkpoints.select("path", "offset", "prefix_sha256"), "path", "left")
-    return both.mapInPandas(run, LINES)
-
-
-def checkpoints(content: DataFrame) -> DataFrame:
-    """path, offset (past the last terminated line), prefix_sha256 of files."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, raw in b.itertuples(index=False):
-                raw = bytes(raw)
-                n = raw.rfind(b"\n") + 1
-                rows.append((path, n, hashlib.sha256(raw[:n]).hexdigest()))
-            yield pd.DataFrame(rows, columns=["path", "offset", "prefix_sha256"])
-
-    return content.select("path", "content").mapInPandas(run, "path string, offset long, prefix_sha256 string")
+    """path, size, modified of the files below root; their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def fresh(listing: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """The files that differ from their checkpoint in size or time, or have none."""
+    return listing.join(checkpoints.select("path", "size", "modified"), ["path", "size", "modified"], "left_anti")
+
+
+def rejected(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, code of the files that changed between two listings, or went: what was read of them doesn't count."""
+    now = after.select("path", F.col("size").alias("_s"), F.col("modified").alias("_m"))
+    gone = before.join(now, "path", "left").where("_s is null or _s <> size or _m <> modified")
+    return gone.select("path", F.lit("source_changed_during_read").alias("code"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their number and offset within their split; a split's lines come in order."""
+    last, line, offset = None, 0, 0
+    for b in batches:
+        size = np.asarray(b.column("bytes")) + 1
+        split = list(zip(b.column("path").to_pylist(), b.column("block").to_pylist(), strict=True))
+        numbers, offsets = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        begin = 0
+        while begin < len(split):
+            end = begin + 1
+            while end < len(split) and split[end] == split[begin]:
+                end += 1
+            if split[begin] != last:
+                last, line, offset = split[begin], 0, 0
+            numbers[begin:end] = line + 1 + np.arange(end - begin)
+            sums = offset + np.cumsum(size[begin:end])
+            offsets[begin:end] = sums - size[begin:end]
+            line, offset, begin = line + end - begin, int(sums[-1]), end
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers), pa.array(offsets)], names=[*b.schema.names, "line_no", "byte_offset"])
+
+
+def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, line_no (from 1), byte_offset, end, bytes, record, size, modified of every terminated line of these files."""
+    text = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_modification_time").alias("modified"), F.col("value").cast("binary").alias("raw"), F.octet_length("value").alias("bytes"),
+    )
+    shape = "path string, block long, size long, modified timestamp, raw binary, bytes int, line_no long, byte_offset long"
+    own = text.mapInArrow(_counted, shape)
+    narrow = text.drop("raw").withColumn("raw", F.lit(None).cast("binary")).select("path", "block", "size", "modified", "raw", "bytes").mapInArrow(_counted, shape)
+    splits = narrow.groupBy("path", "block").agg(F.max("line_no").alias("n"), F.max(F.col("byte_offset") + F.col("bytes") + 1).alias("b"))
+    before = lambda c: F.expr(f"coalesce(sum({c}) over (partition by path order by block rows between unbounded preceding and 1 preceding), 0)")
+    bases = splits.select("path", "block", before("n").alias("lines_before"), before("b").alias("bytes_before"))
+    if splits.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
+    out = own.join(bases, ["path", "block"]).withColumns({"line_no": F.col("line_no") + F.col("lines_before"), "byte_offset": F.col("byte_offset") + F.col("bytes_before")})
+    out = out.withColumn("end", F.col("byte_offset") + F.col("bytes") + 1).where("end <= size")
+    return out.select("path", "line_no", "byte_offset", "end", "bytes", "raw", "size", "modified")
+
+
+def _digest() -> Column:
+    return F.xxhash64("byte_offset", "raw").cast("decimal(20,0)")
+
+
+def checkpoints(scanned: DataFrame) -> DataFrame:
+    """``CHECKPOINT`` rows of scanned files: how far the terminated lines go."""
+    return scanned.groupBy("path", "size", "modified").agg(F.max("end").alias("offset"), F.max("line_no").alias("lines"), F.sum(_digest()).cast("decimal(38,0)").alias("digest"))
+
+
+def lines(scanned: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
+    """``LINES`` of scanned files: those past their checkpoint, or all of a file that was reset. Blank lines are no records."""
+    rows = scanned.withColumn("reset", F.lit(False))
+    if checkpoints is not None:
+        known = checkpoints.select("path", F.col("offset").alias("_o"), F.col("digest").alias("_d"))
+        old = scanned.join(known, "path").groupBy("path", "_o", "_d").agg(F.sum(F.when(F.col("end") <= F.col("_o"), _digest())).alias("_now"), F.max("end").alias("_end"))
+        state = old.select("path", F.col("_o"), (~(F.col("_now").eqNullSafe(F.col("_d")) & (F.col("_end") >= F.col("_o")))).alias("_reset"))
+        rows = scanned.join(state, "path", "left").withColumn("reset", F.coalesce("_reset", F.lit(False))).where("reset or _o is null or byte_offset >= _o")
+    valid = F.expr("is_valid_utf8(cast(raw as string)) and try_parse_json(cast(raw as string)) is not null")
+    blank = F.trim(F.regexp_replace(F.col("raw").cast("string"), r"[\t\r\x0b\x0c]", " ")) == ""
+    return rows.where(~blank).select("path", "line_no", "byte_offset", F.expr("make_valid_utf8(cast(raw as string))").alias("record"), F.sha2("raw", 256).alias("record_sha256"), F.coalesce(valid, F.lit(False)).alias("valid"), "reset")

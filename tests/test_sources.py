@@ -10,20 +10,52 @@ from tallyloom.sources import agents, jsonl
 J = json.dumps
 
 
+def _scan(spark, folder):
+    return jsonl.scan(spark, [r["path"] for r in jsonl.files(spark, str(folder)).collect()])
+
+
 def test_scan_and_resume(spark, tmp_path):
     f = tmp_path / "a" / "b.jsonl"
     f.parent.mkdir()
-    f.write_bytes(b'{"n":1}\n{bad\n\n{"n":2}\n{"n":')
-    files = jsonl.files(spark, str(tmp_path))
-    got = jsonl.lines(files).orderBy("line_no").collect()
-    assert [(r["line_no"], r["byte_offset"], r["valid"]) for r in got] == [(1, 0, True), (2, 8, False), (4, 14, True)]
-    marks = spark.createDataFrame(jsonl.checkpoints(files).collect())
+    f.write_bytes(b'{"n":1}\n{bad\n\n{"n":2}\r\n\xff\n{"n":')
+    scanned = _scan(spark, tmp_path)
+    got = jsonl.lines(scanned).orderBy("line_no").collect()
+    assert [(r["line_no"], r["byte_offset"], r["valid"]) for r in got] == [(1, 0, True), (2, 8, False), (4, 14, True), (5, 23, False)]
+    assert got[2]["record"] == '{"n":2}\r' and got[3]["record_sha256"] == hashlib.sha256(b"\xff").hexdigest()
+    listing = spark.createDataFrame(jsonl.files(spark, str(tmp_path)).collect())
+    marks = spark.createDataFrame(jsonl.checkpoints(scanned).collect(), jsonl.CHECKPOINT)
+    assert [(r["offset"], r["lines"]) for r in marks.collect()] == [(25, 5)] and jsonl.fresh(listing, marks).count() == 0
     f.write_bytes(f.read_bytes() + b'3}\n{"n":4}\n')
-    more = jsonl.lines(jsonl.files(spark, str(tmp_path)), marks).collect()
-    assert [(r["line_no"], json.loads(r["record"])["n"], r["reset"]) for r in more] == [(5, 3, False), (6, 4, False)]
-    f.write_bytes(b'{"n":9}\n{"n":10}\n{"n":11}\n')
-    again = jsonl.lines(jsonl.files(spark, str(tmp_path)), marks).collect()
-    assert len(again) == 3 and all(r["reset"] for r in again)
+    assert [r["code"] for r in jsonl.rejected(listing, jsonl.files(spark, str(tmp_path))).collect()] == ["source_changed_during_read"]
+    assert jsonl.fresh(jsonl.files(spark, str(tmp_path)), marks).count() == 1 and jsonl.rejected(listing, listing).count() == 0
+    more = jsonl.lines(_scan(spark, tmp_path), marks).orderBy("line_no").collect()
+    assert [(r["line_no"], json.loads(r["record"])["n"], r["reset"]) for r in more] == [(6, 3, False), (7, 4, False)]
+    f.write_bytes(b'{"n":9}\n{"n":10}\n{"n":11}\n{"n":12}\n')
+    again = jsonl.lines(_scan(spark, tmp_path), marks).collect()
+    assert len(again) == 4 and all(r["reset"] for r in again)
+
+
+def test_scan_in_splits(spark, tmp_path):
+    """Numbers and offsets are those of the whole file, however many splits it has."""
+    want = {}
+    for name, n in (("x", 500), ("y", 3), ("z", 900)):
+        body = b"".join(b'{"n": "%s"}\n' % (b"v" * (i * 7 % 90)) for i in range(n)) + b"open"
+        (tmp_path / f"{name}.jsonl").write_bytes(body)
+        at = 0
+        for i, line in enumerate(body.split(b"\n")[:-1], 1):
+            want[name, i] = (at, line.decode())
+            at += len(line) + 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        scanned = _scan(spark, tmp_path)
+        got = {(r["path"].rpartition("/")[2][0], r["line_no"]): (r["byte_offset"], r["record"]) for r in jsonl.lines(scanned).collect()}
+        assert scanned.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert got == want
 
 
 def _events(spark, agent, records, path="p"):
