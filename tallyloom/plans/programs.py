@@ -9,7 +9,7 @@ from tallyloom.functions import scalars as s
 from tallyloom.functions.dialect import DUCK, SPARK
 from tallyloom.operators import archive, pruning, reduce, rule_data, selection, taxonomy
 from tallyloom.plans.corpus import ctes
-from tallyloom.streaming import ingest
+from tallyloom.streaming import frames, ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -336,3 +336,51 @@ def s11_daily_events(spark, sf_dir):
 
 
 ORACLES["s11_daily_events"] = "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from events group by 1, 2"
+
+
+@query
+def s12_archive_operations(spark, sf_dir):
+    """Operations of length-prefixed streams made from the event log, checked, and the state of the calls that they give: a user is a stream, four events a call."""
+    op = "case event_type when 'signup' then 'begin_call' when 'view' then 'result_before' when 'click' then 'result_text' when 'purchase' then 'finish_call' else 'close_call' end"
+    message = f"""to_json(named_struct('requestId', event_id, 'schemaVersion', case when event_id % 17 = 0 then 2 else 1 end, 'operation', {op}, 'callId', cast(event_id % 4 as string), 'subject', case when event_type in ('view', 'click') then event_type end,
+      'text', props, 'isError', value > 50, 'session', named_struct('agent', 'a', 'account', case when event_id % 19 <> 0 then 'b' end, 'sourceSessionId', cast(user_id as string))))"""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(user_id as string) as stream", "event_id as seq", f"{message} as message").withColumn("frame", frames.encode(F.col("message")))
+    parts = e.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("seq", "frame"))).alias("f"))
+    content = F.aggregate("f", F.lit(b""), lambda a, x: F.concat(a, x["frame"]))
+    torn = F.when(F.col("stream").cast("long") % 5 == 0, F.expr("substring(content, 1, octet_length(content) - 3)")).otherwise(F.col("content"))
+    streams = parts.select("stream", content.alias("content")).withColumn("content", torn)
+    ops = frames.operations(frames.split(streams))
+    return ops.groupBy(F.coalesce("error", "operation").alias("outcome"), F.col("error").isNull().alias("accepted")).agg(F.count("*").alias("n"), F.countDistinct("stream").alias("streams"), F.count_distinct(F.when(F.col("error").isNull(), F.col("call_key"))).alias("calls"))
+
+
+ORACLES["s12_archive_operations"] = """
+with e as (select *, row_number() over (partition by user_id order by event_id desc) as back from events),
+o as (select user_id, event_id, case when back = 1 and user_id % 5 = 0 then 'truncated frame' when event_id % 17 = 0 then 'unsupported schema version' when event_type not in ('signup', 'view', 'click', 'purchase') then 'unknown operation'
+  when event_id % 19 = 0 then 'no call' end as error, case event_type when 'signup' then 'begin_call' when 'view' then 'result_before' when 'click' then 'result_text' when 'purchase' then 'finish_call' end as operation from e)
+select coalesce(error, operation) as outcome, error is null as accepted, count(*) as n, count(distinct user_id) as streams, count(distinct case when error is null then user_id || '/' || event_id % 4 end) as calls from o group by 1, 2"""
+
+
+@query
+def c21_rules(spark, sf_dir):
+    """The rules as a table: what they match, what they do, and under which limits."""
+    rows = [(r["id"], r["action"], "+".join(r["programs"]), " ".join(r["argv_prefix"]), "+".join(r["contains"]), r["reducer"], r["line_bytes"], r["failure_line_bytes"], r["least"]) for r in rule_data.rules()]
+    return spark.createDataFrame(rows, "rule_id string, action string, programs string, prefix string, needed string, reducer string, line_bytes long, failure_line_bytes long, least long")
+
+
+@query
+def c21_verify(spark, sf_dir):
+    """Every rule against a command made from its own words: what the selection says, and whether the rule is among those it names."""
+    made = [(r["id"], " ".join([r["programs"][0], *r["argv_prefix"], *r["contains"]]), r["action"]) for r in rule_data.rules()]
+    own = spark.createDataFrame(made, "rule_id string, command string, action string")
+    chosen = selection.select_simple(selection.argv(own), selection.rule_table(spark))
+    met = own.join(chosen, "command")
+    return met.groupBy("action", "verdict").agg(F.count("*").alias("rules"), F.count_if(F.array_contains("rule_ids", F.col("rule_id"))).alias("named"))
+
+
+def _verify_values() -> str:
+    """By hand: a guard passes its command through; a rule or a transform decides its own, unless a guard looks at the same words."""
+    guards = sum(r["action"] == "passthrough" for r in rule_data.rules())
+    return f"('passthrough', 'passthrough', {guards}, {guards}), ('reduce', 'reduce', {len(rule_data.REDUCE)}, {len(rule_data.REDUCE)}), ('transform', 'transform', {len(rule_data.TRANSFORM)}, {len(rule_data.TRANSFORM)})"
+
+
+ORACLES["c21_verify"] = f"select * from (values {_verify_values()}) as t(action, verdict, rules, named)"

@@ -52,3 +52,30 @@ def test_stream_equals_batch(spark, tmp_path):
     (folder / "3.jsonl").write_text(frame(("stream_start", None), ("source_start", None), call("a", 9), call("d", 4), ("source_commit", None), ("stream_end", None)))
     ingest.stream_to_table(spark, str(folder), table, str(tmp_path / "ck")).awaitTermination()
     assert {(r["key"], json.loads(r["value"])["x"]) for r in ingest.table(spark, table).collect()} == {("a", 1), ("d", 4)}
+
+
+def test_frames(spark):
+    from tallyloom.streaming import frames
+
+    frame = lambda raw: len(raw).to_bytes(8, "big") + raw
+    good = frame(b'{"a":1}') + frame(b"") + frame("é".encode())
+    streams = [("good", good), ("torn", good[:-1]), ("head", good + b"\0\0"), ("long", frame(b"x") + (1 << 40).to_bytes(8, "big") + b"y"), ("none", b""), ("null", None)]
+    got = {}
+    for r in frames.split(spark.createDataFrame(streams, "stream string, content binary")).orderBy("stream", "seq").collect():
+        got.setdefault(r["stream"], []).append(r["fault"] or bytes(r["message"]).decode())
+    assert got == {"good": ['{"a":1}', "", "é"], "torn": ['{"a":1}', "", "truncated frame"], "head": ['{"a":1}', "", "é", "truncated length"], "long": ["x", "frame too long"]}
+    message = b'{"schemaVersion":1,"command":"rg x","text":"t","exitCode":0,"isError":true}'
+    asked = [("a", frame(message)), ("b", frame(message) * 2), ("c", frame(message.replace(b"1", b"2", 1))), ("d", frame(b'{"schemaVersion":1}'))]
+    out = {r["stream"]: (r["command"], r["succeeded"], r["error"]) for r in frames.requests(spark.createDataFrame(asked, "stream string, content binary")).collect()}
+    assert out["a"] == ("rg x", True, None) and [out[k][2] for k in "bcd"] == ["trailing bytes", "unsupported schema version", "incomplete request"]
+    ops = frames.operations(frames.split(spark.createDataFrame([("s", frame(b'{"schemaVersion":1,"operation":"begin_call","requestId":7,"callId":"c","session":{"agent":"a","account":"b","sourceSessionId":"s"}}') + frame(b"{"))], "stream string, content binary")))
+    assert [r["answer"] for r in frames.acknowledged(ops).orderBy("seq").collect()] == ['{"requestId":7,"ok":true}', '{"ok":false,"error":"invalid message"}']
+
+
+def test_stream_writer(spark, tmp_path):
+    from tallyloom.streaming import frames
+
+    rows = [("a", 1, "stream_start", None), ("a", 2, "issue", '{"key":"k\\"x"}'), ("a", 3, "stream_end", None), ("b", 1, "stream_start", None)]
+    frames.write(spark.createDataFrame(rows, "stream string, seq long, record string, value string"), f"{tmp_path}/out")
+    lines = sorted((tmp_path / "out" / "stream=a").glob("part-*"))
+    assert [x for f in lines for x in f.read_text().splitlines()] == ['{"record":"stream_start"}', '{"record":"issue","value":{"key":"k\\"x"}}', '{"record":"stream_end"}']
