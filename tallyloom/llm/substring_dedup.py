@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm._blobs import buckets, get, put, runs
-from tallyloom.llm._shared import Workspace, free_names
+from tallyloom.llm._shared import Workspace, free_names, tidy
 from tallyloom.llm._text import Words, chunks, mix, utf8
 
-WINDOW, FLUSH, BUCKET_BYTES, BROADCAST = 20, 1_500_000, 3_000_000, 32 << 20
+WINDOW, FLUSH, BUCKET_BYTES, BROADCAST = 20, 1_000_000, 3_000_000, 32 << 20
 LAST = 2**63 - 1
 BASE, BUCKET_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
@@ -82,15 +82,15 @@ _MARKS = ("hashes", "docs", "variants", "counts", "starts", "gone_docs", "gone_v
 _SENT = T.StructType([T.StructField("bucket", T.IntegerType())] + [T.StructField(n, T.BinaryType()) for n in _MARKS])
 
 
-def _runs(doc: np.ndarray, variant: np.ndarray) -> np.ndarray:
+def _runs(doc: np.ndarray, variant: np.ndarray | None) -> np.ndarray:
     """Where the document or the variant changes, and the length at the end."""
-    return np.union1d(runs(doc), runs(variant)) if variant.any() else runs(doc)
+    return runs(doc) if variant is None else np.union1d(runs(doc), runs(variant))
 
 
-def _by_doc(doc: np.ndarray, variant: np.ndarray, start: np.ndarray) -> list[bytes]:
+def _by_doc(doc: np.ndarray, variant: np.ndarray | None, start: np.ndarray) -> list[bytes]:
     """Packed (documents, variants, counts, starts) of entries sorted by document and start."""
     r = _runs(doc, variant)
-    return [put(doc[r[:-1]]), put(variant[r[:-1]], delta=False) if variant.any() else b"", put(np.diff(r), delta=False), put(start)]
+    return [put(doc[r[:-1]]), b"" if variant is None else put(variant[r[:-1]], delta=False), put(np.diff(r), delta=False), put(start)]
 
 
 def _spread(docs: bytes, variants: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,25 +101,31 @@ def _spread(docs: bytes, variants: bytes, counts: bytes, starts: bytes) -> tuple
 
 def _sender(k: int, n_buckets: int):
     def flush(parts: list) -> pa.RecordBatch:
-        h, other, doc, variant, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        columns = list(zip(*parts, strict=True))
         parts.clear()
-        order = np.lexsort((variant, start, doc)) if variant.any() else np.lexsort((start, doc))
-        h, other, doc, variant, start = h[order], other[order], doc[order], variant[order], start[order]
+        h, other, doc, start = (np.concatenate(columns[i]) for i in range(4))
+        variant = np.concatenate([np.zeros(len(x), np.int64) if v is None else v for x, v in zip(columns[0], columns[4], strict=True)]) if any(v is not None for v in columns[4]) else None
+        del columns
+        pick = lambda x, o: None if x is None else x[o]
+        order = np.lexsort((start, doc)) if variant is None else np.lexsort((variant, start, doc))
+        h, other, doc, start, variant = h[order], other[order], doc[order], start[order], pick(variant, order)
         by_hash = np.argsort(h, kind="stable")  # equal hashes stay in order of (doc, start, variant)
         r = runs(h[by_hash])
         lead = np.repeat(by_hash[r[:-1]], np.diff(r))  # each entry's first, in order of hashes
         later = np.zeros(len(h), bool)
         later[by_hash] = (doc[by_hash] != doc[lead]) | (start[by_hash] != start[lead])
         first = ~later  # of each variant one
-        first[by_hash[1:][(np.diff(h[by_hash]) == 0) & (np.diff(variant[by_hash]) == 0)]] = False
-        bucket = other.astype(np.int64) % n_buckets
+        again = np.diff(h[by_hash]) == 0
+        first[by_hash[1:][again if variant is None else again & (np.diff(variant[by_hash]) == 0)]] = False
+        del by_hash, lead, again
+        bucket = (other % np.uint32(n_buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         edges = runs(bucket[order])
         rows = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             o = order[a:b]
             f, g = o[first[o]], o[later[o]]
-            rows.append((int(bucket[o[0]]), h[f].tobytes(), *_by_doc(doc[f], variant[f], start[f]), *_by_doc(doc[g], variant[g], start[g])))
+            rows.append((int(bucket[o[0]]), h[f].tobytes(), *_by_doc(doc[f], pick(variant, f), start[f]), *_by_doc(doc[g], pick(variant, g), start[g])))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=_SENT.names)
 
@@ -129,13 +135,15 @@ def _sender(k: int, n_buckets: int):
             ids, variants = b.column("doc_id").to_numpy(), b.column("variant").to_numpy()
             for first, h, other, doc, start in windows(utf8(b.column("text")), k):
                 if len(h):
-                    parts.append((h, other, ids[first + doc], variants[first + doc], start))
+                    own = variants[first + doc]
+                    parts.append((h, other, ids[first + doc], start.astype(np.int32), own if own.any() else None))
                     held += len(h)
                 if held >= FLUSH:
                     yield flush(parts)
-                    parts, held = [], 0
+                    held = 0
         if parts:
             yield flush(parts)
+        tidy()
 
     return run
 
@@ -158,9 +166,10 @@ def _marker(table: pa.Table) -> pa.Table:
     lead = np.repeat(o[r[:-1]], np.diff(r))
     later = o[(doc[o] != doc[lead]) | (start[o] != start[lead])]
     doc, variant, start = (np.concatenate([x, y[later]]) for x, y in ((gone_doc, doc), (gone_variant, variant), (gone_start, start)))
-    order = np.lexsort((start, variant, doc)) if variant.any() else np.lexsort((start, doc))
+    some = variant.any()
+    order = np.lexsort((start, variant, doc)) if some else np.lexsort((start, doc))
     doc, variant, start = doc[order], variant[order], start[order]
-    r = _runs(doc, variant)
+    r = _runs(doc, variant if some else None)
     ids = {n: pa.array(x[r[:-1]] if len(x) else x, pa.int64()) for n, x in (("doc_id", doc), ("variant", variant))}
     return pa.table(ids | {"starts": pa.ListArray.from_arrays(pa.array(r, pa.int32()), pa.array(start.astype(np.int32)))})
 
