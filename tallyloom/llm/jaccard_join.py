@@ -38,11 +38,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm._blobs import buckets, get, put, runs
-from tallyloom.llm._shared import Workspace
+from tallyloom.llm._shared import Workspace, tidy
 from tallyloom.llm._text import Words, chunks, mix, ngram_hashes, odd_constants, utf8
 from tallyloom.llm.components import components
 
-GRAM, HOT, FREQUENT, FLUSH, BUCKET_BYTES, BROADCAST, LEADERS = 5, 1 << 20, 16, 800_000, 3_000_000, 32 << 20, 2
+GRAM, HOT, FREQUENT, FLUSH, BUCKET_BYTES, BROADCAST, LEADERS = 5, 1 << 20, 16, 500_000, 3_000_000, 32 << 20, 2
 #: One of so many grams is added to prefixes, to ask for more than one shared list.
 SHARE = 20
 #: Similarity 0.8 as a fraction; sizes that light sets may have at most.
@@ -149,6 +149,7 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[t
                 held, size = {}, 0
     if held:
         yield list(held.items())
+    tidy()
 
 
 def _bucket(keys: np.ndarray, n_buckets: int, bits: int = 64) -> np.ndarray:
