@@ -12,7 +12,7 @@ import sqlite3
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.json_text import canonical, key, millis, pruned, rendered, sha256
@@ -25,7 +25,11 @@ _NAMES = [c.split()[0] for c in EVENTS.split(", ")]
 # Record kinds and keys left out of structured output.
 CODEX_CALLS = {"function_call": "arguments", "custom_tool_call": "input", "tool_search_call": "arguments", "web_search_call": "action"}
 CODEX_RESULTS = ("function_call_output", "custom_tool_call_output", "tool_search_output")
-NOISY = frozenset(("stdout", "stderr", "content", "text", "file", "originalFile", "structuredPatch", "image", "base64", "data", "truncation"))
+PI_LEFT_OUT = frozenset(("chunk_id", "command", "completion_notification", "cwd", "final_output", "fullOutputPath", "log_path", "on_exit_wake", "output", "session_id", "tool_time_utc"))
+CLAUDE_LEFT_OUT = frozenset(("content", "newString", "oldString", "originalFile", "outputFile", "persistedOutputPath", "prompt", "stderr", "stdout"))
+PROJECTED = ("stderr", "status", "success", "exit_code", "result", "changes", "action", "query")
+PROJECTED_INPUT = ("invocation", "action", "command", "cmd", "query")
+FAILED = ("failed", "error", "cancelled")
 
 
 def _input(value) -> tuple[str, str]:
@@ -53,7 +57,7 @@ def pi(record: dict) -> Iterator[dict]:
                 form, text = _input(b.get("arguments"))
                 yield _event("call", "toolCall", i, native_call_id=b.get("id"), tool_name=b.get("name"), input_format=form, input_text=text, **base)
     elif m.get("role") == "toolResult":
-        details = pruned(m.get("details"), NOISY)
+        details = pruned(m.get("details"), PI_LEFT_OUT)
         yield _event("result", "toolResult", 0, native_call_id=m.get("toolCallId"), is_error=m.get("isError"), output_text=rendered(m.get("content")), output_json=canonical(details) if details else None, **base)
 
 
@@ -65,13 +69,18 @@ def codex(record: dict) -> Iterator[dict]:
     if kind in CODEX_CALLS:
         form, text = _input(p.get(CODEX_CALLS[kind]))
         yield _event("call", kind, native_call_id=call, at_ms=at, tool_name=p.get("name") or kind.removesuffix("_call"), input_format=form, input_text=text)
-    elif kind in CODEX_RESULTS or kind.endswith(("_end", "_response")):
-        out = p.get("output", p.get("tools", p.get("stdout")))
-        rest = None if kind in CODEX_RESULTS else {k: p[k] for k in ("status", "success", "exit_code", "result", "changes", "action", "query") if p.get(k) is not None}
+    elif kind in CODEX_RESULTS:
+        out = p.get("output", p.get("tools"))
         text = out if isinstance(out, str) else rendered(out)
-        json_text = canonical(out) if out is not None and text is None else canonical(rest) if rest else None
-        error = p.get("is_error") if kind in CODEX_RESULTS else (None if p.get("success") is None else not p["success"])
-        yield _event("result" if kind in CODEX_RESULTS else "projection", kind, native_call_id=call, at_ms=at, is_error=error, output_text=text, output_json=json_text)
+        json_text = canonical(out) if out is not None and text is None else None
+        yield _event("result", kind, native_call_id=call, at_ms=at, is_error=p.get("is_error"), output_text=text, output_json=json_text)
+    elif kind.endswith(("_end", "_response")):
+        out, rest = p.get("output", p.get("stdout")), {k: p[k] for k in PROJECTED if k in p}
+        error = not p["success"] if isinstance(p.get("success"), bool) else p["status"] in FAILED if isinstance(p.get("status"), str) else None
+        used = p.get("invocation") if isinstance(p.get("invocation"), dict) else {}
+        name = f"mcp:{used['server'] if isinstance(used.get('server'), str) else 'unknown'}:{used['tool']}" if isinstance(used.get("tool"), str) else kind.removesuffix("_end").removesuffix("_response")
+        form, given = _input(next((p[k] for k in PROJECTED_INPUT if k in p), {}))
+        yield _event("projection", kind, native_call_id=call, at_ms=at, tool_name=name, input_format=form, input_text=given, is_error=error, output_text=out if isinstance(out, str) else None, output_json=canonical(rest) if rest else None)
 
 
 def claude(record: dict) -> Iterator[dict]:
@@ -83,7 +92,7 @@ def claude(record: dict) -> Iterator[dict]:
             form, text = _input(b.get("input"))
             yield _event("call", "tool_use", i, native_call_id=b.get("id"), tool_name=b.get("name"), input_format=form, input_text=text, **base)
         elif b.get("type") == "tool_result":
-            details = pruned(record.get("toolUseResult"), NOISY) if isinstance(record.get("toolUseResult"), (dict, list)) else None
+            details = pruned(record.get("toolUseResult"), CLAUDE_LEFT_OUT) if isinstance(record.get("toolUseResult"), (dict, list)) else None
             yield _event("result", "tool_result", i, native_call_id=b.get("tool_use_id"), is_error=b.get("is_error"), output_text=rendered(b.get("content")), output_json=canonical(details) if details else None, **base)
 
 
@@ -112,10 +121,19 @@ def events(lines: DataFrame, agent: str) -> DataFrame:
     return out.withColumn("session_id", F.coalesce("session_id", "_session")).drop("_session").where("session_id is not null")
 
 
+def keyed(parts: list[Column], numbers: tuple[int, ...] = ()) -> Column:
+    """``json_text.key`` of columns: SHA-256 over the parts, each after its length; numbers: places of whole numbers."""
+    size = lambda n: F.lpad(F.hex(n.cast("long")), 16, "0")
+    spelled = [F.concat(F.lit("0" * 15 + "8"), size(p)) if i in numbers else F.concat(size(F.octet_length(p)), F.hex(F.encode(p, "UTF-8"))) for i, p in enumerate(parts)]
+    return F.sha2(F.unhex(F.concat(*spelled)), 256)
+
+
 def calls(found: DataFrame, agent: str, user: str = "user") -> DataFrame:
     """Calls with their keys, once each: of repeats the first by file and line."""
-    make = F.udf(lambda s, c, e, i, t: key("call", user, agent, s, c or "", *([e or "", int(i), sha256(t or "")] if agent == "pi" else [])), "string")
-    c = found.where("role = 'call'").withColumn("call_key", make("session_id", "native_call_id", "entry_id", "item", "input_text"))
+    parts = [F.lit("call"), F.lit(user), F.lit(agent), F.col("session_id"), F.coalesce("native_call_id", F.lit(""))]
+    if agent == "pi":  # its ids may repeat on several branches
+        parts += [F.coalesce("entry_id", F.lit("")), F.col("item").cast("long"), F.sha2(F.coalesce("input_text", F.lit("")), 256)]
+    c = found.where("role = 'call'").withColumn("call_key", keyed(parts, numbers=(6,)))
     first = F.min_by(F.struct("path", "line_no", "item", "session_id", "native_call_id", "entry_id", "at_ms", "tool_name", "input_format", "input_text"), F.struct("path", "line_no", "item"))
     return c.groupBy("call_key").agg(first.alias("c"), F.count("*").alias("observations")).select("call_key", "c.*", "observations")
 

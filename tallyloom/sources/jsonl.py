@@ -7,7 +7,7 @@ without its line feed is not yet a record.
 A checkpoint says how far a file was read and what stood there: the sum over its lines of a hash of place
 and digest, which needs no order. Files of the same size and time as their checkpoint are not read;
 of the others, those with an unchanged beginning go on after it, and those without start again (a reset).
-A file that changes while it is read is rejected.
+A file that shrinks, goes or changes while it is read is rejected.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ def fresh(listing: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 
 def rejected(before: DataFrame, after: DataFrame) -> DataFrame:
-    """path, code of the files that changed between two listings, or went: what was read of them doesn't count."""
+    """path, code of the files that went, shrank, or changed at the same size between two listings: what was read of them doesn't count. Growth is no change of what stood there."""
     now = after.select("path", F.col("size").alias("_s"), F.col("modified").alias("_m"))
-    gone = before.join(now, "path", "left").where("_s is null or _s <> size or _m <> modified")
+    gone = before.join(now, "path", "left").where("_s is null or _s < size or (_s = size and _m <> modified)")
     return gone.select("path", F.lit("source_changed_during_read").alias("code"))
 
 

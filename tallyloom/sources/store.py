@@ -55,7 +55,13 @@ def read(spark: SparkSession, base: str, table: str) -> DataFrame | None:
 
 
 def publish(spark: SparkSession, base: str, version: int, tables: dict[str, DataFrame]) -> None:
-    """Write every table's new version, then the manifest that makes them the current ones."""
+    """Write every table's new version, then the manifest that makes them the current ones.
+
+    A version is claimed first, by a file that only one run can create: of two runs with one version the second fails.
+    """
+    fs, claim = _path(spark, f"{base}/claims/{version}")
+    if not fs.createNewFile(claim):
+        raise ValueError(f"version {version} is another run's")
     rows = []
     for name, df in tables.items():
         path = f"{base}/{name}/version={version}"

@@ -58,6 +58,9 @@ def test_store(spark, tmp_path):
     store.publish(spark, base, 1, {"tool_calls": store.merged(None, df(("a", 2), ("a", 1)), "call_key", ("n",))})
     store.publish(spark, base, 2, {"tool_calls": store.merged(store.read(spark, base, "tool_calls"), df(("a", 0), ("b", 5)), "call_key", ("n",))})
     assert {tuple(r) for r in store.read(spark, base, "tool_calls").collect()} == {("a", 1), ("b", 5)}
+    with pytest.raises(ValueError):
+        store.publish(spark, base, 2, {"tool_calls": df(("z", 0))})
+    assert store.read(spark, base, "tool_calls").count() == 2
     assert {tuple(r) for r in store.upserted(df(("a", 1), ("b", 2)), df(("b", 9)), "call_key").collect()} == {("a", 1), ("b", 9)}
     obs = spark.createDataFrame([("s", "a", None), ("s", None, "r1"), ("t", None, "r2"), ("s", "b", None), ("t", "b", None)], "source_item_key string, call_key string, result_key string")
     results = spark.createDataFrame([("r1", "a"), ("r2", "c")], "result_key string, call_key string")

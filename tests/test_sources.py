@@ -4,6 +4,8 @@ import hashlib
 import json
 import sqlite3
 
+from pyspark.sql import functions as F
+
 from tallyloom.functions.json_text import bounded, canonical, key, millis, pruned, rendered
 from tallyloom.sources import agents, jsonl
 
@@ -26,11 +28,13 @@ def test_scan_and_resume(spark, tmp_path):
     marks = spark.createDataFrame(jsonl.checkpoints(scanned).collect(), jsonl.CHECKPOINT)
     assert [(r["offset"], r["lines"]) for r in marks.collect()] == [(25, 5)] and jsonl.fresh(listing, marks).count() == 0
     f.write_bytes(f.read_bytes() + b'3}\n{"n":4}\n')
-    assert [r["code"] for r in jsonl.rejected(listing, jsonl.files(spark, str(tmp_path))).collect()] == ["source_changed_during_read"]
+    assert jsonl.rejected(listing, jsonl.files(spark, str(tmp_path))).count() == 0
     assert jsonl.fresh(jsonl.files(spark, str(tmp_path)), marks).count() == 1 and jsonl.rejected(listing, listing).count() == 0
     more = jsonl.lines(_scan(spark, tmp_path), marks).orderBy("line_no").collect()
     assert [(r["line_no"], json.loads(r["record"])["n"], r["reset"]) for r in more] == [(6, 3, False), (7, 4, False)]
     f.write_bytes(b'{"n":9}\n{"n":10}\n{"n":11}\n{"n":12}\n')
+    assert [r["code"] for r in jsonl.rejected(listing, jsonl.files(spark, str(tmp_path)).withColumn("size", F.lit(5).cast("long"))).collect()] == ["source_changed_during_read"]
+    assert jsonl.rejected(listing, listing.limit(0)).count() == 1
     again = jsonl.lines(_scan(spark, tmp_path), marks).collect()
     assert len(again) == 4 and all(r["reset"] for r in again)
 
@@ -69,7 +73,7 @@ def test_pi(spark):
         {"type": "session", "version": 3, "id": "s"},
         {"type": "message", "id": "a", "message": {"role": "assistant", "content": [call]}},
         {"type": "message", "id": "b", "message": {"role": "assistant", "content": [{"type": "text", "text": "x"}, call | {"arguments": {"command": "pwd"}}]}},
-        {"type": "message", "id": "r", "parentId": "b", "message": {"role": "toolResult", "toolCallId": "c1", "content": [{"type": "text", "text": "one"}, {"type": "image", "data": "x"}], "details": {"stdout": "x", "code": 0, "n": None}}},
+        {"type": "message", "id": "r", "parentId": "b", "message": {"role": "toolResult", "toolCallId": "c1", "content": [{"type": "text", "text": "one"}, {"type": "image", "data": "x"}], "details": {"output": "x", "cwd": "/", "code": 0, "n": None, "m": {"log_path": "y"}}}},
         {"type": "message", "id": "q", "parentId": "zz", "message": {"role": "toolResult", "toolCallId": "c1", "content": "two"}},
         {"type": "message", "id": "u", "message": {"role": "toolResult", "toolCallId": "none", "content": "three"}},
     ]
@@ -78,6 +82,7 @@ def test_pi(spark):
     assert known.count() == 2
     rows = {r["output_text"]: r for r in agents.paired(found, known).collect()}
     own = {r["entry_id"]: r["call_key"] for r in known.collect()}
+    assert own["a"] == key("call", "user", "pi", "s", "c1", "a", 0, hashlib.sha256(b'{"command":"ls"}').hexdigest())
     assert rows["one"]["call_key"] == own["b"] and rows["one"]["output_json"] == '{"code":0}'
     assert rows["two"]["issue"] == "ambiguous_call_id" and rows["three"]["issue"] == "result_without_call"
     assert _events(spark, "pi", [{"type": "session", "version": 2, "id": "s"}, log[1]]).count() == 0
@@ -99,6 +104,8 @@ def test_codex(spark):
     assert {(r["input_format"], r["input_text"]) for r in known.collect()} == {("json", '{"a":2,"b":1}'), ("text", "*** raw")}
     out = agents.reconcile(agents.paired(found, known)).collect()
     assert sorted(r["output_text"] for r in out) == ["done", "x", "y"]
+    tools = {r["tool_name"]: (r["is_error"], json.loads(r["output_json"])) for r in _events(spark, "codex", [log[0], p(type="mcp_tool_call_end", call_id="m", invocation={"server": "s", "tool": "t", "arguments": {}}, status="failed", stderr="bad"), p(type="patch_apply_end", call_id="q", success=True)]).collect()}
+    assert tools == {"mcp:s:t": (True, {"status": "failed", "stderr": "bad"}), "patch_apply": (False, {"success": True})}
     done = json.loads(next(r["output_json"] for r in out if r["output_text"] == "done"))
     assert done["exit_code"] == 0 and done["source_projections"] == [{"native_record_kind": "exec_command_end", "output_text": "other"}]
 
