@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from datetime import datetime
 
 
+_RFC_3339 = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})")
+
+
 def canonical(value) -> str:
     """Keys in byte order, no white space, text unescaped beyond what JSON needs."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -32,11 +36,13 @@ def millis(value) -> int | None:
         return None
     if isinstance(value, (int, float)):
         return int(value)
+    if not _RFC_3339.fullmatch(str(value)):
+        return None
     try:
-        at = datetime.fromisoformat(str(value).replace("Z", "+00:00"))
+        at = datetime.fromisoformat(str(value).upper().replace("Z", "+00:00"))
     except ValueError:
         return None
-    return None if at.tzinfo is None else round(at.timestamp() * 1000)
+    return round(at.timestamp() * 1000)
 
 
 def rendered(content) -> str | None:

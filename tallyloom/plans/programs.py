@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import scalars as s
 from tallyloom.functions.dialect import DUCK, SPARK
 from tallyloom.operators import archive, pruning, reduce, rule_data, selection, taxonomy
+from tallyloom.operators.shell import FEATURES
 from tallyloom.plans.corpus import ctes
 from tallyloom.streaming import frames, ingest
 
@@ -78,6 +79,20 @@ def c4_features(spark, sf_dir):
     return n.join(selection.syntax(calls), "command").select("command", "calls", F.array_join("labels", "+").alias("labels"))
 
 
+def _feature_values() -> str:
+    """By hand: a command's own labels (``_SYNTAX``), and those of the list that it is put in."""
+    own = lambda c: set(_SYNTAX.get(c, "").split("+")) | {"and_list", "sequence"}
+    return ", ".join(f"('{c}', '{'+'.join(f for f in FEATURES if f in own(c))}')" for c, *_ in _CHOICES)
+
+
+def _features_oracle() -> str:
+    return f"""
+with {ctes(DUCK)},
+c as (select {s.shell_command(DUCK, "tool_name", "input_format", "input_text")} as command, count(*) as calls from tool_calls group by 1 having command is not null),
+k(command, labels) as (values {_feature_values()})
+select command || ' && cd x; ' || command as command, calls, labels from c left join k using (command)"""
+
+
 @query
 def c12_plans(spark, sf_dir):
     """Plans for compound commands made from the corpus's commands and pairs of neighbours in a session."""
@@ -211,6 +226,9 @@ _SYNTAX = {
 }
 
 
+ORACLES["c4_features"] = _features_oracle()
+
+
 @query
 def c20_choices(spark, sf_dir):
     """What becomes of each distinct command: its rule or plan, confidence in its status, syntax, and the family of its unchanged results."""
@@ -270,6 +288,13 @@ def r25_output_cap(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length("text").alias("bytes"), F.expr(reduce.capped_length("text", 5120, "[output capped]")).alias("capped"))
 
 
+ORACLES["r25_output_cap"] = """
+with h as (select doc_id, strlen(text) as n, hex(encode(text)) as x from documents),
+a as (select *, list_max(list_filter([2552, 2551, 2550, 2549], lambda b: x[2 * b + 1:2 * b + 2] not between '80' and 'BF')) as head from h),
+b as (select *, n - (5120 - 15 - head) as rest from a)
+select doc_id, n as bytes, cast(case when n <= 5120 then n else head + 15 + n - list_min(list_filter([rest, rest + 1, rest + 2, rest + 3], lambda e: x[2 * e + 1:2 * e + 2] not between '80' and 'BF')) end as integer) as capped from b"""
+
+
 def _archive(spark: SparkSession, sf_dir: str):
     rows = corpus(spark, sf_dir, "select call_key, output_text from first_results")
     snaps = rows.select("call_key", F.lit("stdout").alias("subject"), F.lit("before").alias("stage"), F.lit(None).cast("string").alias("completeness"), F.encode("output_text", "UTF-8").alias("body"))

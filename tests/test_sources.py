@@ -138,6 +138,7 @@ def test_json_rules():
     assert canonical({"b": 1, "a": [1.5, "é"]}) == '{"a":[1.5,"é"],"b":1}'
     assert key("a", "bc") != key("ab", "c") and len(key("x", 1)) == 64
     assert millis("2024-01-01T00:00:00.5Z") == 1704067200500 and millis(5) == 5 and millis("x") is None
+    assert millis("2024-01-01t00:00:00z") == millis("2024-01-01 01:00:00+01:00") == 1704067200000 and not any(map(millis, ("2024-01-01", "20240101T000000Z", "2024-01-01T00:00:00", "2024-W01-1T00:00:00Z", "2024-13-01T00:00:00Z")))
     assert rendered([{"type": "text", "text": "a"}, {"type": "image"}]) == "a" and rendered([]) is None
     assert pruned({"a": None, "b": {"c": []}, "d": {"x": 1, "y": 2}}, frozenset("x")) == {"d": {"y": 2}}
     assert bounded("é" * 400).encode()[:512].decode(errors="ignore") == "é" * 256
