@@ -49,10 +49,10 @@ class Spark:
     def explode(self, rel: str, array: str, name: str, keep: str = "*") -> str:
         return f"(select {keep}, {name} from {rel} lateral view explode({array}) x as {name})"
 
-    def unpivot(self, rel: str, columns: dict[str, str], name: str = "measure", value: str = "value") -> str:
-        """A row (name, value) for each of the columns of each row of rel."""
+    def unpivot(self, rel: str, columns: dict[str, str], name: str = "measure", value: str = "value", keep: str = "") -> str:
+        """A row (name, value) for each of the columns of each row of rel; keep: columns before them."""
         pairs = ", ".join(f"'{n}', {c}" for n, c in columns.items())
-        return f"(select {name}, {value} from {rel} lateral view stack({len(columns)}, {pairs}) x as {name}, {value})"
+        return f"(select {keep}{name}, {value} from {rel} lateral view stack({len(columns)}, {pairs}) x as {name}, {value})"
 
     def array(self, *xs: str) -> str:
         return f"array({', '.join(xs)})"
@@ -135,8 +135,8 @@ class Duck(Spark):
     def explode(self, rel: str, array: str, name: str, keep: str = "*") -> str:
         return f"(select {keep}, unnest({array}) as {name} from {rel})"
 
-    def unpivot(self, rel: str, columns: dict[str, str], name: str = "measure", value: str = "value") -> str:
-        return f"(select unnest([{', '.join(repr(n) for n in columns)}]) as {name}, unnest([{', '.join(columns.values())}]) as {value} from {rel})"
+    def unpivot(self, rel: str, columns: dict[str, str], name: str = "measure", value: str = "value", keep: str = "") -> str:
+        return f"(select {keep}unnest([{', '.join(repr(n) for n in columns)}]) as {name}, unnest([{', '.join(columns.values())}]) as {value} from {rel})"
 
     def array(self, *xs: str) -> str:
         return f"[{', '.join(xs)}]"

@@ -132,8 +132,12 @@ union all select 'orphan_results', count(*) from tool_results r left join tool_c
 union all select 'orphan_observations', count(*) from observations o left join tool_calls c on o.call_key = c.call_key left join tool_results r on o.result_key = r.result_key
   where (o.call_key is not null and c.call_key is null) or (o.result_key is not null and r.result_key is null)
 union all select 'missing_results', count(*) from tool_calls c where not exists (select 1 from tool_results r where r.call_key = c.call_key)
-union all select 'both_or_no_target', count(*) from observations where (call_key is null) = (result_key is null))"""
-    return f"{over(d, more)} select check_name, n, n = 0 or check_name = 'missing_results' as valid from checks"
+union all select 'both_or_no_target', count(*) from observations where (call_key is null) = (result_key is null)
+union all select 'conflicting_results', count(*) from (select call_key from tool_results group by call_key having count(*) > 1) x
+union all select 'repeated_result_keys', count(*) from (select result_key from tool_results group by result_key having count(*) > 1) x
+union all select 'error_issues', count(*) from import_issues where severity = 'error'
+union all select 'unknown_issue_sources', count(*) from import_issues i where not exists (select 1 from observations o where o.source_item_key = i.source_item_key))"""
+    return f"{over(d, more)} select check_name, n, n = 0 or check_name in ('missing_results', 'conflicting_results') as valid from checks"
 
 
 @plan
@@ -231,6 +235,19 @@ incoming as (select source_item_key, max(line_number) as size, count(*) as lines
     return f"{over(d, more)} select i.source_item_key, s.size <> i.size or s.lines <> i.lines as must_reset from incoming i join stored s on i.source_item_key = s.source_item_key"
 
 
+@plan
+def k6_checkpoints(d):
+    """What an import does with each source: nothing, go on where it was, or start again, and why: version, size, time, place, digest and status decide."""
+    more = """stored as (select source_item_key, case when source_item_key = 'src7' then 1 else 2 end as version, max(line_number) as size, count(*) as modified, case when source_item_key = 'src8' then max(line_number) + 900 else max(line_number) end as imported,
+  case when source_item_key <> 'src9' then sum(line_number * line_number) end as digest, case when source_item_key = 'src10' then 'rejected' else 'complete' end as status from observations group by source_item_key),
+incoming as (select o.source_item_key, 2 as version, max(o.line_number) + case when o.source_item_key in ('src11', 'src12') then 40 else 0 end as size, count(*) + case when o.source_item_key = 'src13' then 1 else 0 end as modified,
+  sum(case when o.line_number <= s.imported then o.line_number * o.line_number else 0 end) + case when o.source_item_key = 'src12' then 1 else 0 end as prefix from observations o join stored s on s.source_item_key = o.source_item_key group by o.source_item_key)"""
+    return f"""{over(d, more)}
+select i.source_item_key, case when s.version = i.version and s.size = i.size and s.modified = i.modified and s.imported = i.size and s.status = 'complete' then 'unchanged' when s.version <> i.version then 'reset: version'
+    when s.imported > i.size then 'reset: shorter' when s.digest is null then 'reset: no digest' when s.digest <> i.prefix then 'reset: changed' else 'resume' end as decision,
+  {d.long("case when s.version = i.version and s.imported <= i.size and s.digest = i.prefix then s.imported else 0 end")} as start_at from incoming i join stored s on s.source_item_key = i.source_item_key"""
+
+
 @plan
 def k8_size_check(d):
     """The estimated growth of an import against the limit: twice the payload and a kilobyte a row."""
@@ -406,11 +423,13 @@ select result_key, {d.count_if("class = 'diagnostic'")} as diagnostics, {d.long(
 
 @plan
 def r14_first_examples(d):
-    """The first line for each diversity key (the text before a colon) of a result."""
+    """The first line for each diversity key of a result: before a colon (search, build), before dots (test), the first folder of the last word (list)."""
+    last = "regexp_replace(line, '^.*[ ]', '')"
     more = f"""l as (select * from {d.lines("tool_results", "result_key", "output_text")} x),
-k as (select result_key, line_no, split_part(line, ':', 1) as diversity from l where line <> ''),
-f as (select result_key, diversity, min(line_no) as line_no from k group by result_key, diversity)"""
-    return f"{over(d, more)} select result_key, count(*) as examples, {d.long('sum(line_no)')} as places from f group by result_key"
+k as (select result_key, line_no, split_part(line, ':', 1) as before_colon, split_part(line, '...', 1) as before_dots, case when {last} like '%/%' then split_part({last}, '/', 1) else '' end as folder from l),
+u as (select result_key, line_no, kind, diversity from {d.unpivot("k", {"colon": "before_colon", "dots": "before_dots", "folder": "folder"}, "kind", "diversity", "result_key, line_no, ")} x),
+f as (select result_key, kind, diversity, min(line_no) as line_no from u where diversity <> '' and {d.octets("diversity")} <= 128 group by result_key, kind, diversity)"""
+    return f"{over(d, more)} select result_key, kind, count(*) as examples, {d.long('sum(line_no)')} as places from f group by result_key, kind"
 
 
 @plan
@@ -463,12 +482,27 @@ def a11_archive_stats(d):
 
 @plan
 def a12_archive_verify(d):
-    """Failed checks of the archive with their counts."""
-    more = f"""snaps as (select call_key, case when doc_id % 211 = 0 then 'other' else 'stdout' end as subject, {d.sha("output_text")} as sha256 from tool_results),
-stored as (select distinct sha256 from snaps where length(call_key) <> 2), found as (
-select 'snapshot subject' as problem, count(*) as n from snaps where subject not in ('input', 'result', 'result_text', 'source_output', 'stdout', 'stderr')
-union all select 'snapshot without payload', count(*) from snaps s where not exists (select 1 from stored p where p.sha256 = s.sha256)
-union all select 'payload without snapshot', count(*) from stored p where not exists (select 1 from snaps s where s.sha256 = p.sha256))"""
+    """Failed checks of the archive with their counts: values of calls, snapshots and payloads, and that each refers to one that is there."""
+    more = f"""calls as (select call_key, session_key, case when doc_id % 307 = 0 then 'paused' when doc_id % 3 = 0 then 'open' else 'finished' end as status, 'yr_' || substring({d.sha("call_key")}, 1, case when doc_id % 401 = 0 then 30 else 32 end) as archive_ref,
+  case when doc_id % 3 <> 0 or doc_id % 311 = 0 then doc_id + 5 end as finished_at, doc_id as started_at from tool_calls where doc_id % 293 <> 0),
+snaps as (select call_key, case when doc_id % 211 = 0 then 'other' else 'stdout' end as subject, case when doc_id % 223 = 0 then 'during' else 'before' end as stage, case when doc_id % 227 = 0 then 'half' when doc_id % 2 = 0 then 'complete' else 'unknown' end as completeness,
+  {d.sha("output_text")} as sha256 from tool_results),
+payloads as (select {d.sha("output_text")} as sha256, max({d.octets("output_text")}) as bytes, max(case when doc_id % 229 = 0 then 1 else 0 end) as off, max(case when doc_id % 233 = 0 then 'brotli' else 'zstd' end) as codec from tool_results where length(call_key) <> 2 group by 1),
+found as (select 'call status' as problem, count(*) as n from calls where status not in ('open', 'finished')
+union all select 'call reference', count(*) from calls where length(archive_ref) <> 35
+union all select 'open call with an end', count(*) from calls where status = 'open' and finished_at is not null
+union all select 'finished call without an end', count(*) from calls where status = 'finished' and finished_at is null
+union all select 'call that ends before it starts', count(*) from calls where finished_at < started_at
+union all select 'call without session', count(*) from calls c left join sessions s on c.session_key = s.session_key where s.session_key is null
+union all select 'repeated reference', count(*) from (select archive_ref from calls group by archive_ref having count(*) > 1) x
+union all select 'snapshot subject', count(*) from snaps where subject not in ('input', 'result', 'result_text', 'source_output', 'stdout', 'stderr')
+union all select 'snapshot stage', count(*) from snaps where stage not in ('before', 'after', 'final')
+union all select 'snapshot completeness', count(*) from snaps where completeness not in ('complete', 'incomplete', 'unknown')
+union all select 'snapshot without call', count(*) from snaps s where not exists (select 1 from calls c where c.call_key = s.call_key)
+union all select 'snapshot without payload', count(*) from snaps s where not exists (select 1 from payloads p where p.sha256 = s.sha256)
+union all select 'payload without snapshot', count(*) from payloads p where not exists (select 1 from snaps s where s.sha256 = p.sha256)
+union all select 'payload length', count(*) from payloads p where bytes + off <> bytes
+union all select 'payload codec', count(*) from payloads where codec not in ('none', 'zstd'))"""
     return f"{over(d, more)} select problem, n from found where n > 0"
 
 
