@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, secrets, substring_dedup, token_counts, toxicity, url_filter
@@ -22,6 +22,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _count(spans: str) -> Column:
+    """How many spans a list of them names, the method's with the base ones."""
+    return F.when(F.col(spans) == "", 0).otherwise(F.size(F.split(spans, ","))).cast("long")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "n_words")
@@ -71,7 +76,7 @@ from s left join m on s.host = m.host and s.path = m.path
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.find(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return pii.find(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", _count("spans").alias("n_spans"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.find(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return secrets.find(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", _count("spans").alias("n_spans"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
