@@ -68,7 +68,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         ready(spark)
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
 
     def path(self, table: str) -> str:
         return f"{self.base}/{table}"
@@ -76,6 +76,7 @@ class Workspace:
     def write(self, df: DataFrame, table: str) -> DataFrame:
         """Cut the lineage: a written table is read again by whoever needs it, whatever is lost."""
         path = self.path(table)
+        self.tables.append(table)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -93,6 +94,10 @@ class Workspace:
             fs, p = self._fs(self.path(t))
             fs.delete(p, True)
 
+    def keep(self, *tables: str) -> None:
+        """Drop all tables but these: those that the operator's result still reads."""
+        self.drop(*(t for t in dict.fromkeys(self.tables) if t not in tables))
+
     def release(self) -> None:
         """Let Spark delete the shuffle files of jobs that are over."""
         import gc

@@ -189,7 +189,9 @@ def _overlaps(work: Workspace, docs: DataFrame, benchmark: DataFrame) -> DataFra
     if hits.count() <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     met = rows.join(hits, rows["doc_id"].eqNullSafe(hits["id_"]) & (rows["text_key"] == hits["key_"])).select("doc_id", "text_key", "text", "items")
-    return work.write(met.mapInArrow(_verified, _KEYED), "found")
+    found = work.write(met.mapInArrow(_verified, _KEYED), "found")
+    work.keep("found")
+    return found
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -202,6 +204,7 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     work = Workspace(spark, "clean")
     gone = _overlaps(work, docs, benchmark).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).distinct()
     gone = work.write(gone, "gone")
+    work.keep("gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     same = docs["doc_id"].cast("long").eqNullSafe(gone["id_"]) & (F.xxhash64(docs["text"].cast("string")) == gone["key_"])

@@ -273,6 +273,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     named = classes.select("key", "class_id", "size", "least").join(counts, "class_id", "left")
     named = named.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     named = work.write(named, "named")
+    work.keep("coded", "named")
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(first, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), "component_id")
     out = coded.select("vec_id", "key").join(named, "key", "left")

@@ -1,7 +1,8 @@
 """Self-join of texts on the Jaccard similarity of their word n-grams: a size-aware heavy-light join.
 
 A text's set is its distinct n-grams of lower-cased words, as 64-bit hashes (a text of fewer words is
-one gram, a text without words has none). Texts of equal sets are one class; the join runs on classes.
+one gram, a text without words has none). Texts of equal sets are one class; the join runs on classes,
+which have names of 64 bits (of ten billion different sets some three pairs can be expected to share one).
 
 * Light sets (up to a boundary) enumerate fixed-size subsets: for every pair of sizes (n, m) that can
   link, all subsets of the least overlap such sets must have. Two sets that meet in a subset link:
@@ -411,6 +412,7 @@ def linked(spark: SparkSession, docs: DataFrame, k: int = GRAM) -> DataFrame:
     least_id = least_id.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     groups = least_id.groupBy("component").agg(F.min("least").alias("component_id"), F.min("row").alias("_first"), F.sum("copies").alias("texts")).where("texts > 1")
     known = work.write(least_id.join(groups, "component").select("set_id", "component_id", "_first"), "known")
+    work.keep("named", "known")
     out = named.join(known.withColumn("_n", F.lit(True)), "set_id", "left")
     has = (F.col("n") > 0) & F.col("_n")
     component_id = F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
