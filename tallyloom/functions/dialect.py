@@ -72,6 +72,9 @@ class Spark:
     def count_if(self, x: str) -> str:
         return f"count_if({x})"
 
+    def min_by(self, x: str, y: str) -> str:
+        return f"min_by({x}, {y})"
+
     def be64(self, x: str) -> str:
         return f"lpad(hex({x}), 16, '0')"
 
@@ -153,6 +156,9 @@ class Duck(Spark):
     def div(self, a: str, b: str) -> str:
         return f"(({a}) // ({b}))"
 
+    def min_by(self, x: str, y: str) -> str:
+        return f"arg_min({x}, {y})"
+
     def be64(self, x: str) -> str:
         return f"lpad(printf('%X', {x}), 16, '0')"
 

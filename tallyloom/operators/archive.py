@@ -193,11 +193,17 @@ def search(found: DataFrame, s: Search) -> DataFrame:
 
 
 def lifecycle(operations: DataFrame) -> DataFrame:
-    """call_key, status, executed, is_error, subjects, conflicts of ordered operations (call_key, seq, operation, subject, sha256, is_error).
+    """call_key, status, executed, is_error, subjects, conflicts, misplaced of ordered operations (call_key, seq, operation, subject, sha256, is_error).
 
-    Repeats of an identical operation change nothing; a second content for the same place is a conflict.
+    Repeats of an identical operation change nothing; a second content for the same place is a conflict. Misplaced are
+    operations before their call began (or without it), and results of a finished call that are no final update.
     """
     o = operations
+    at = lambda op: F.min(F.when(F.col("operation") == op, F.col("seq")))
+    ends = o.groupBy("call_key").agg(at("begin_call").alias("begun"), at("finish_call").alias("ended"))
+    early = F.col("begun").isNull() | (F.col("seq") < F.col("begun"))
+    late = (F.col("seq") > F.col("ended")) & ~F.col("operation").isin("finish_call", "update_final_result", "begin_call")
+    odd = o.join(ends, "call_key").where(early | F.coalesce(late, F.lit(False))).groupBy("call_key").agg(F.count("*").alias("misplaced"))
     last = F.max_by("is_error", F.struct("seq")).alias("is_error")
     state = o.groupBy("call_key").agg(
         F.max(F.col("operation") == "finish_call").alias("finished"),
@@ -207,5 +213,5 @@ def lifecycle(operations: DataFrame) -> DataFrame:
     flag = o.where("operation in ('finish_call', 'update_final_result')").groupBy("call_key").agg(last)
     clash = o.where("subject is not null and operation <> 'update_final_result'").groupBy("call_key", "subject", "operation").agg(F.countDistinct("sha256").alias("n")).where("n > 1")
     clash = clash.groupBy("call_key").agg(F.count("*").alias("conflicts"))
-    out = state.join(flag, "call_key", "left").join(clash, "call_key", "left")
-    return out.select("call_key", F.when(F.col("finished"), "finished").otherwise("open").alias("status"), "executed", "is_error", "subjects", F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+    out = state.join(flag, "call_key", "left").join(clash, "call_key", "left").join(odd, "call_key", "left")
+    return out.select("call_key", F.when(F.col("finished"), "finished").otherwise("open").alias("status"), "executed", "is_error", "subjects", F.coalesce("conflicts", F.lit(0)).alias("conflicts"), F.coalesce("misplaced", F.lit(0)).alias("misplaced"))

@@ -330,10 +330,12 @@ def k13_lifecycle(spark, sf_dir):
 
 ORACLES["k13_lifecycle"] = """
 with o as (select cast(user_id as varchar) as call_key, event_id as seq, event_type, case when event_type in ('view', 'click') then event_type end as subject, props, value > 50 as is_error from events),
-c as (select call_key, count(*) as conflicts from (select call_key, subject from o where subject is not null group by call_key, subject having count(distinct props) > 1) group by call_key)
+c as (select call_key, count(*) as conflicts from (select call_key, subject from o where subject is not null group by call_key, subject having count(distinct props) > 1) group by call_key),
+w as (select *, min(seq) filter (where event_type = 'signup') over (partition by call_key) as begun, min(seq) filter (where event_type = 'purchase') over (partition by call_key) as ended from o),
+m as (select call_key, count(*) as misplaced from w where begun is null or seq < begun or (ended is not null and seq > ended and event_type in ('view', 'click', 'error')) group by call_key)
 select o.call_key, case when bool_or(event_type = 'purchase') then 'finished' else 'open' end as status, bool_or(event_type in ('view', 'click', 'purchase')) as executed,
-  arg_max(is_error, seq) filter (where event_type = 'purchase') as is_error, coalesce(string_agg(distinct subject, '+' order by subject), '') as subjects, coalesce(max(c.conflicts), 0) as conflicts
-from o left join c on o.call_key = c.call_key group by o.call_key"""
+  arg_max(is_error, seq) filter (where event_type = 'purchase') as is_error, coalesce(string_agg(distinct subject, '+' order by subject), '') as subjects, coalesce(max(c.conflicts), 0) as conflicts, coalesce(max(m.misplaced), 0) as misplaced
+from o left join c on o.call_key = c.call_key left join m on o.call_key = m.call_key group by o.call_key"""
 
 
 @query

@@ -273,9 +273,9 @@ select call_key, subject, stage, count(*) as staged, count(distinct sha256) > 1
 
 @plan
 def k14_sessions(d):
-    """Sessions with the first start that is known."""
-    more = "starts as (select session_key, case when doc_id % 4 <> 0 then doc_id * 1000 end as started_at_ms from tool_calls)"
-    return f"{over(d, more)} select session_key, min(started_at_ms) as started_at_ms, count(*) as calls from starts group by session_key"
+    """Sessions with the first start that is known, in the order in which calls came."""
+    more = "starts as (select session_key, doc_id, case when doc_id % 4 <> 0 then (doc_id * 7919) % 100003 end as started_at_ms from tool_calls)"
+    return f"{over(d, more)} select session_key, {d.min_by('started_at_ms', 'doc_id')} filter (where started_at_ms is not null) as started_at_ms, count(*) as calls from starts group by session_key"
 
 
 @plan
