@@ -215,3 +215,8 @@ def lifecycle(operations: DataFrame) -> DataFrame:
     clash = clash.groupBy("call_key").agg(F.count("*").alias("conflicts"))
     out = state.join(flag, "call_key", "left").join(clash, "call_key", "left").join(odd, "call_key", "left")
     return out.select("call_key", F.when(F.col("finished"), "finished").otherwise("open").alias("status"), "executed", "is_error", "subjects", F.coalesce("conflicts", F.lit(0)).alias("conflicts"), F.coalesce("misplaced", F.lit(0)).alias("misplaced"))
+
+
+def media_type(body: str) -> str:
+    """SQL: the type that a stored stream is given: text where its bytes are UTF-8."""
+    return f"case when is_valid_utf8(cast({body} as string)) then 'text/plain; charset=utf-8' else 'application/octet-stream' end"

@@ -10,14 +10,16 @@ import json
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values.
 SCHEMA_VERSION, MOST_RULES, MOST_PROGRAMS, MOST_TOKENS = 1, 10_000, 32, 64
 ACTIONS, REDUCERS = ("reduce", "transform", "passthrough"), tuple(f"{x}_summary" for x in ("search", "diff", "test", "build", "log", "status", "list")) + ("line_filter",)
 RULE_FIELDS, MATCH_FIELDS = {"id", "match", "action", "reducer", "transform", "success", "failure", "schema_version", "description"}, {"program", "argv_prefix", "argv_contains_all"}
-LIMITS = {"max_line_bytes": (1, 1 << 20), "max_output_bytes": (1, 1 << 20), "min_savings_bytes": (0, 1 << 20), "min_savings_basis_points": (0, 10_000)}
+LIMITS = {"max_line_bytes": (1, 1 << 20), "max_output_bytes": (704, 4 << 20), "min_savings_bytes": (0, 1 << 20), "min_savings_basis_points": (0, 10_000)}
+#: Bytes of a reduction that don't depend on its rule: records, samples, fingerprints and keys of two collectors, and buffers.
+STATE_BYTES = 336_512
 _ID = re.compile(r"[a-z0-9][a-z0-9._/-]{0,127}")
 
 
@@ -99,3 +101,20 @@ def usable(packs: DataFrame) -> DataFrame:
     """Rules of several compiled packs without those whose id two packs claim: all owners lose them."""
     owners = packs.groupBy("rule_id").agg(F.countDistinct("pack_id").alias("n")).where("n > 1")
     return packs.join(owners, "rule_id", "left_anti")
+
+
+def memory_bound(rules: DataFrame) -> Column:
+    """Bytes that a reduction by a rule holds at most: rows with line_bytes, failure_line_bytes, output_bytes, failure_output_bytes, pattern_bytes.
+
+    The raw text until it is longer than a summary, five sections of both summaries, a line and its samples, the patterns.
+    """
+    line, outputs = F.greatest(rules["line_bytes"], rules["failure_line_bytes"]), (rules["output_bytes"], rules["failure_output_bytes"])
+    return F.greatest(*outputs) + 5 * (outputs[0] + outputs[1]) + 12 * line + rules["pattern_bytes"] + STATE_BYTES
+
+
+def overlaps(table: DataFrame) -> DataFrame:
+    """left, right: rules that aren't guards, share a program and have prefixes of which one begins the other: they can match one command."""
+    t = table.where("action <> 'passthrough'").select("program", "rule_id", "prefix")
+    pairs = t.toDF("program", "left", "p").join(t.toDF("program", "right", "q"), "program").where("left < right")
+    begins = "slice(p, 1, least(size(p), size(q))) = slice(q, 1, least(size(p), size(q)))"
+    return pairs.where(begins).select("left", "right").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as s
 from tallyloom.functions.dialect import DUCK, SPARK
-from tallyloom.operators import archive, pruning, reduce, rule_data, selection, taxonomy
+from tallyloom.operators import archive, pack, pruning, reduce, rule_data, selection, taxonomy
 from tallyloom.operators.shell import FEATURES
 from tallyloom.plans.corpus import ctes
 from tallyloom.streaming import frames, ingest
@@ -311,6 +311,18 @@ def k11_archive_roundtrip(spark, sf_dir):
 ORACLES["k11_archive_roundtrip"] = f"with {ctes(DUCK)} select sha256(output_text) as sha256, max(strlen(output_text)) as bytes, true as sound from first_results group by 1"
 
 
+@query
+def p16_media_types(spark, sf_dir):
+    """The media type of the first bytes of each text: cut inside a character they are no text."""
+    cut = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "substring(encode(text, 'UTF-8'), 1, cast(7 + doc_id % 50 as int)) as body")
+    return cut.select("doc_id", F.octet_length("body").alias("bytes"), F.expr(archive.media_type("body")).alias("media_type"))
+
+
+ORACLES["p16_media_types"] = """
+with h as (select doc_id, 7 + doc_id % 50 as cut, strlen(text) as n, hex(encode(text)) as x from documents)
+select doc_id, cast(least(n, cut) as integer) as bytes, case when n > cut and x[2 * cut + 1:2 * cut + 2] between '80' and 'BF' then 'application/octet-stream' else 'text/plain; charset=utf-8' end as media_type from h"""
+
+
 @query
 def q6_search(spark, sf_dir):
     """Matches of two words with context, rendered, over the archive."""
@@ -389,9 +401,11 @@ select coalesce(error, operation) as outcome, error is null as accepted, count(*
 
 @query
 def c21_rules(spark, sf_dir):
-    """The rules as a table: what they match, what they do, and under which limits."""
+    """The rules as a table: what they match, what they do, under which limits, and the memory that takes at most."""
     rows = [(r["id"], r["action"], "+".join(r["programs"]), " ".join(r["argv_prefix"]), "+".join(r["contains"]), r["reducer"], r["line_bytes"], r["failure_line_bytes"], r["least"]) for r in rule_data.rules()]
-    return spark.createDataFrame(rows, "rule_id string, action string, programs string, prefix string, needed string, reducer string, line_bytes long, failure_line_bytes long, least long")
+    table = spark.createDataFrame(rows, "rule_id string, action string, programs string, prefix string, needed string, reducer string, line_bytes long, failure_line_bytes long, least long")
+    full = table.withColumns({"output_bytes": F.lit(reduce.Policy.output), "failure_output_bytes": F.lit(reduce.Policy.output), "pattern_bytes": F.lit(0)})
+    return full.withColumn("memory_bound", F.when(F.col("action") == "reduce", pack.memory_bound(full))).drop("output_bytes", "failure_output_bytes", "pattern_bytes")
 
 
 @query

@@ -33,6 +33,14 @@ def test_pack(spark, tmp_path):
         pack.load(write(tmp_path / "c", [RULE], rules=["../a/0.json"]))
 
 
+def test_lint(spark):
+    shape = "rule_id string, program string, action string, prefix array<string>"
+    rows = [("a", "x", "reduce", ["p"]), ("b", "x", "reduce", ["p", "q"]), ("c", "x", "reduce", ["q"]), ("d", "y", "reduce", ["p"]), ("e", "x", "passthrough", []), ("f", "y", "transform", []), ("f", "x", "transform", ["q", "r"])]
+    assert {tuple(r) for r in pack.overlaps(spark.createDataFrame(rows, shape)).collect()} == {("a", "b"), ("c", "f"), ("d", "f")}
+    limits = spark.createDataFrame([(16384, 32768, 704, 704, 0), (10, 5, 1000, 704, 7)], "line_bytes long, failure_line_bytes long, output_bytes long, failure_output_bytes long, pattern_bytes long")
+    assert [r[0] for r in limits.select(pack.memory_bound(limits)).collect()] == [704 + 7040 + 12 * 32768 + 336512, 1000 + 8520 + 120 + 7 + 336512]
+
+
 CASES = [
     ("ls -la", "filesystem/ls"), ("docker -H h logs x", "container/logs"), ("kubectl -n a get pods", "cluster/inspection"), ("git -C d reflog", "git/reflog"), ("git", "git/no-subcommand"),
     ("pnpm run lint", "package/pnpm-lint-task"), ("npm install x", "package/mutation"), ("cargo fmt", "developer/cargo-other"), ("/usr/bin/python x.py", "script/other"), ("./script", "command/other"), ("nothing", "command/other"),
