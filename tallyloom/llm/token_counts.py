@@ -8,20 +8,22 @@ costs the least score less 10, and neighbouring unknown characters count as one.
 
 A text's words part at Unicode white space and get the mark ``▁`` in front, as that library's
 WhitespaceSplit and Metaspace do; the count of a text is the sum over its words, so each distinct
-word is worked out once and remembered (``CACHE`` words at most in a worker).
+word is worked out once and remembered (``CACHE`` words at most in a worker, none of them long).
 
 No installed file is a unigram model: ``vocabulary`` takes the pieces of the 32k byte-pair file in
 their order and scores rank r with -log(r + 2), Zipf's law; nothing is trained. Any list of
 (piece, score) serves.
 
-Edge cases: null and empty texts and texts of white space count 0; texts are read whole; repeated rows
-each get their count; an empty table gives no rows; input columns with the result's names are replaced.
+Edge cases: null and empty texts and texts of white space count 0; texts are read whole, and so are words
+of any length; rows with null ids and repeated rows each get their count; an empty table gives no rows;
+input columns with the result's names (in any case, as Spark compares them) are replaced.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 500_000
+#: Words that a worker remembers, and the length of the longest.
+CACHE, LONGEST = 500_000, 256
 MARK, UNKNOWN_COST = "▁", 10.0
 #: str.split parts at these, which Unicode does not count as white space.
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -58,14 +61,18 @@ class Counter(dict):
 
     def pieces(self, word: str) -> int:
         n = len(word)
-        best, count, last_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, hit in self.trie.iter(word):
-            ends[end].append(hit)
+        kinds = ("d", "l", "b") if n > LONGEST else None  # a long word's state is packed
+        best, count, last_unknown = (array(k, [0]) * (n + 1) for k in kinds) if kinds else ([0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1))
+        hits = self.trie.iter(word)
+        end, hit = next(hits, (n, None))
         for e in range(n):
+            found = []
+            while end == e:
+                found.append(hit)
+                end, hit = next(hits, (n, None))
             top, c, u = None, 0, False
             single = False
-            for length, s in sorted(ends[e], reverse=True):  # the earliest start first
+            for length, s in sorted(found, reverse=True):  # the earliest start first
                 x = best[e + 1 - length] + s
                 single |= length == 1
                 if top is None or x > top:
@@ -78,9 +85,11 @@ class Counter(dict):
         return count[n]
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        n = self[word] = self.pieces(MARK + word.replace(" ", MARK))
+        n = self.pieces(MARK + word.replace(" ", MARK))
+        if len(word) <= LONGEST:
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = n
         return n
 
     def count(self, text: str | None) -> tuple[int, int]:
@@ -108,7 +117,7 @@ def _counter_of(path: str) -> Counter:
 
 def count(docs: DataFrame, path: str | None = None, pieces: list[tuple[str, float]] | None = None, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens and n_words, by the vocabulary at path or the pieces given."""
-    kept = [c for c in docs.columns if c not in ("n_tokens", "n_words")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "n_words")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_words")])
     fixed = tuple(pieces) if pieces is not None else None
 

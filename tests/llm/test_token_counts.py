@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tallyloom.llm import token_counts
+from tallyloom.llm import queries, token_counts
 from tallyloom.llm.queries import tokenizer_path
 
 
@@ -31,10 +31,19 @@ def test_real():
     counter, want = token_counts.Counter(REAL), library(REAL)
     for t in ["Hello world, this is it.", "naïve Übermut 123,456 日本語テキスト", "", "  ", "x" * 500, "a b　c", "🙂🙂 ok 🙂", "the " * 50]:
         assert counter.count(t)[0] == want(t), t
-    import duckdb
 
-    for (t,) in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' limit 40").fetchall():
-        assert counter.count(t)[0] == want(t)
+
+def test_whole_table(spark):
+    """op1 on all documents against the library's own counts."""
+    sf, want = "/root/testdata/sf0.001", library(REAL)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in queries.op1_token_counts(spark, sf).collect()} == {d: want(t or "") for d, t in texts.items()}
+
+
+def test_long_words():
+    counter = token_counts.Counter(SMALL)
+    for word in ("ab" * 600 + "xyé" * 100, "x" * 3000):
+        assert counter.count(word)[0] == library(SMALL)(word) and word not in counter
 
 
 def test_cases(spark):
