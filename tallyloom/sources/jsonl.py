@@ -31,6 +31,13 @@ def files(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def discover(spark: SparkSession, root: str, agent: str) -> DataFrame:
+    """The files of an agent below root: its logs, for one that keeps stores these and their transcripts."""
+    if agent != "cursor":
+        return files(spark, root)
+    return files(spark, root, "{store.db,*.jsonl}").where("path like '%/store.db' or path rlike '/agent-transcripts/[^/]+[.]jsonl$'")
+
+
 def fresh(listing: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """The files that differ from their checkpoint in size or time, or have none."""
     return listing.join(checkpoints.select("path", "size", "modified"), ["path", "size", "modified"], "left_anti")

@@ -39,6 +39,15 @@ def test_scan_and_resume(spark, tmp_path):
     assert len(again) == 4 and all(r["reset"] for r in again)
 
 
+def test_discovery(spark, tmp_path):
+    for name in ("a/store.db", "a/agent-transcripts/s.jsonl", "b/other.jsonl", "b/agent-transcripts/x/t.jsonl", "b/notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}\n")
+    found = lambda agent: sorted(r["path"].split(f"{tmp_path}/")[1] for r in jsonl.discover(spark, str(tmp_path), agent).collect())
+    assert found("cursor") == ["a/agent-transcripts/s.jsonl", "a/store.db"]
+    assert found("pi") == ["a/agent-transcripts/s.jsonl", "b/agent-transcripts/x/t.jsonl", "b/other.jsonl"]
+
+
 def test_scan_in_splits(spark, tmp_path):
     """Numbers and offsets are those of the whole file, however many splits it has."""
     want = {}
