@@ -81,7 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(s, e, "email") for s, e in emails(text)] if "@" in text else []
     if _SIGNAL.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
                 found.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:

@@ -16,7 +16,8 @@ and the literal scores at least ``THRESHOLD``: the name's weight times the liter
 key (length, character classes, entropy). Whole literals that a base span covers aren't repeated.
 
 Edge cases: null and empty texts have no spans; texts are read whole, in time linear in their
-length; constants of more than ``LONGEST`` characters are not propagated; offsets are code points, ends
+length and in memory that doesn't grow with what constants stand for (a constant is kept, and scored once, as the
+counts of its characters); those of more than ``LONGEST`` characters are not propagated; offsets are code points, ends
 exclusive; rows with null ids and repeated rows each get theirs; an empty table gives no rows; input
 columns with the result's names (in any case, as Spark compares them) are replaced.
 """
@@ -54,6 +55,8 @@ _OTHERS = (
 _TOKENS = {q: re.compile((f"(?P<string>{'|'.join(_STRINGS[c] for c in q)})|" if q else "") + _OTHERS) for q in ("\"'", '"', "'", "")}
 #: Longer constants stand for nothing: no key is so long, and constants made of constants can't grow without bound.
 LONGEST = 4096
+#: Characters in which a path or a placeholder is told from a key.
+HEAD = 8
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _ASSIGNS = frozenset((":=", "=>", "=", ":"))
 _QUICK = re.compile(r"[:=]")
@@ -66,19 +69,41 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHTS.get(p, 0.0) for p in [*parts, *pairs]), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: how much a literal looks like a key rather than a word, a path or a placeholder."""
-    n = len(value)
-    if n < 8 or any(c.isspace() for c in value) or value.startswith(("http://", "https://", "/", "./", "${", "<", "{{", "%")):
-        return 0.0
-    counts = Counter(value)
-    if len(counts) <= 3:
+class _Literal:
+    """What the score needs of a literal: its first characters, its length, how often it has each character."""
+
+    __slots__ = ("counts", "head", "n", "score")
+
+    def __init__(self, head: str, n: int, counts: dict[str, int]):
+        self.head, self.n, self.counts, self.score = head, n, counts, _likeness(head, n, counts)
+
+
+def _likeness(head: str, n: int, counts: dict[str, int]) -> float:
+    if n < 8 or len(counts) <= 3 or head.startswith(("http://", "https://", "/", "./", "${", "<", "{{", "%")) or any(c.isspace() for c in counts):
         return 0.0
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    classes = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
+    classes = sum((any(c.islower() for c in counts), any(c.isupper() for c in counts), any(c.isdigit() for c in counts), any(not c.isalnum() for c in counts)))
     return min(1.0, entropy / 3.5) * (0.4 + 0.3 * min(classes - 1, 2)) * min(1.0, n / 12)
 
 
+def _together(parts: list[str | _Literal]) -> _Literal:
+    """The literal that the parts make, none of which is copied; one that is a constant by itself is that constant."""
+    if len(parts) == 1 and isinstance(parts[0], _Literal):
+        return parts[0]
+    head, n, counts = "", 0, Counter()
+    for p in parts:
+        if len(head) < HEAD:
+            head += (p if isinstance(p, str) else p.head)[: HEAD - len(head)]
+        n += len(p) if isinstance(p, str) else p.n
+        counts.update(p if isinstance(p, str) else p.counts)
+    return _Literal(head, n, counts)
+
+
+def literal_score(value: str) -> float:
+    """0 to 1: how much a literal looks like a key rather than a word, a path or a placeholder."""
+    return _together([value]).score
+
+
 def _lex(line: str, at: int) -> list[tuple[str, str, int, int, int]]:
     """(kind, text, start, end, row) of the tokens. A quote that its row doesn't close is a sign like others, and so are
     the row's further ones of its kind, none of which is closed either: no character is looked at again for each."""
@@ -119,7 +144,7 @@ def _typed(tokens: list, j: int) -> int | None:
     return None
 
 
-def _value(tokens: list, j: int, line: str, at: int, constants: dict[str, str]) -> tuple[list[str], int | None, int | None, bool, int]:
+def _value(tokens: list, j: int, line: str, at: int, constants: dict[str, _Literal]) -> tuple[list[str | _Literal], int | None, int | None, bool, int]:
     """(parts, start, end, whether a literal or constant is among them, next token) of the value that begins at j."""
     value, start, end, literal, inside = [], None, None, False, False
     none, row, n = (value, None, None, False, j), tokens[j - 1][4], len(tokens)
@@ -174,7 +199,7 @@ def _value(tokens: list, j: int, line: str, at: int, constants: dict[str, str])
     return value, start, end, literal, j
 
 
-def _pairs(line: str, at: int, constants: dict[str, str]) -> Iterator[tuple[str, str, int, int]]:
+def _pairs(line: str, at: int, constants: dict[str, _Literal]) -> Iterator[tuple[str, _Literal, int, int]]:
     """(name, value, start, end) of the line's assignments; remembers constants."""
     tokens = _lex(line, at)
     i = 0
@@ -199,14 +224,14 @@ def _pairs(line: str, at: int, constants: dict[str, str]) -> Iterator[tuple[str,
             got = _value(tokens, op + 1, line, at, constants)
         value, start, end, literal, j = got
         if value:
-            joined = "".join(value)
+            whole = _together(value)
             for name in names:
                 if (literal or len(value) == 1) and not key:
-                    if len(joined) <= LONGEST:
-                        constants[name] = joined
+                    if whole.n <= LONGEST:
+                        constants[name] = whole
                     else:
                         constants.pop(name, None)
-                yield name, joined, start, end
+                yield name, whole, start, end
         i = max(j, op + 1)
 
 
@@ -245,7 +270,7 @@ def named(text: str) -> list[tuple[int, int]]:
     for at, line in _logical(text):
         for name, value, s, e in _pairs(line, at, constants):
             w = name_weight(name)
-            if w and w * literal_score(value) >= THRESHOLD:
+            if w and w * value.score >= THRESHOLD:
                 found.append((s, e))
     return sorted(set(found))
 

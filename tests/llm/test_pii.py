@@ -31,6 +31,13 @@ def test_base(text):
     assert pii.base_spans(text) == plain(text)
 
 
+def test_long_numbers():
+    """Parts of thousands of digits are numbers like others."""
+    zeros = "0" * 5000
+    assert pii.base_spans(f"build {zeros}.1.2.3 or {zeros}256.1.2.3") == [(6, 5012, "ip")]
+    assert pii.base_spans(f"1.{zeros}25.{zeros}.255") == [(0, 10009, "ip")] and pii.base_spans("9" * 6000 + ".1.2.3") == []
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in pii.trained(steps=1, batch=2).items()}

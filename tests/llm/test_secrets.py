@@ -2,6 +2,7 @@
 
 import re
 import time
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,6 +61,25 @@ def test_long_texts():
     assert doubled[slice(*secrets.named(doubled)[-1])] == key
 
 
+def test_constants_cost_once():
+    """A long constant named over and over: its characters are neither joined nor scored again."""
+    key = "Zk29sLq81XvbPq7" * 273
+    forms = [f'K="{key}"\nA=' + "+".join("K" * 500_000), f'K="{key}"\n' + "\n".join(f"secret_{i}=K" for i in range(120_000)), f'K="{key[:4000]}"\n' + "\n".join(f"secret_{i}=K+'x'" for i in range(90_000))]
+    for text in forms:
+        peak, began = 0, time.process_time()
+        tracemalloc.start()
+        secrets.scan(text[:200_000])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60_000_000, (text[:9], peak)
+        began = time.process_time()
+        found = secrets.named(text)
+        assert time.process_time() - began < 10, (text[-20:], time.process_time() - began)
+        assert len(found) == text.count("\n") * ("secret_" in text)
+    joined = "a = 'Zk29s'\nb = 'Lq81Xvb'\nprivate_key = a + b + a"
+    assert secrets.named(joined) and secrets.literal_score("Zk29sLq81XvbZk29s") >= 0.5
+
+
 def test_forms():
     a, b, c = "s8Kq2ZxPvT71mWc0", "Zk29sLq81XvbPq7", "Qw83nTy60RbLx5"
     one = [
