@@ -1,4 +1,4 @@
-"""The queries op1 to op10: thin contracts over the operators of this subpackage, with their SQL."""
+"""The numbered queries: thin contracts over the operators of this subpackage, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, secrets, substring_dedup, token_counts, toxicity, url_filter
+from tallyloom.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, secrets, sharding, substring_dedup, token_counts, toxicity, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -105,6 +105,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark, _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    size, crc = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    dealt = sharding.shard(spark, docs.select("doc_id", size.alias("size"), crc.alias("text_crc32")), shards=40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 OP3_SQL = rf"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
@@ -129,7 +136,7 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup, op12_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
