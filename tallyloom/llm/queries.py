@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, secrets, sharding, substring_dedup, token_counts, toxicity, url_filter
+from tallyloom.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, prefix_trie, secrets, sharding, substring_dedup, token_counts, toxicity, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -112,6 +112,10 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.of_lent(spark, _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 OP3_SQL = rf"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
@@ -134,10 +138,31 @@ t as (select v.doc_id, count(c.k) as n_removed, coalesce(string_agg(v.word, ' '
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join t on d.doc_id = t.doc_id
 """
 
+#: CRC-32 of the conversation's number in decimals, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))))"""
+
+OP13_SQL = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (select conv_id, list(length(role) || ':' || role || text order by turn nulls first, role, text) as s,
+  list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) order by turn nulls first, role, text) as w from t group by conv_id),
+b as (select *, conv_id - conv_id % 20 as base, {_CRC} % 4 as h from o),
+r as (select c.conv_id, case when c.base = c.conv_id then c.s else list_concat(coalesce(o.s[1:h], []), c.s[h + 1:]) end as s,
+  case when c.base = c.conv_id then c.w else list_concat(coalesce(o.w[1:h], []), c.w[h + 1:]) end as w from b c left join o on o.conv_id = c.base),
+n as (select conv_id, unnest(range(len(s) + 1)) as d, s, w from r),
+g as (select d, s[1:d] as p, min(conv_id) as conv_id, count(*) as n_convs, coalesce(any_value(w[d]), 0) as words,
+  coalesce(string_agg(conv_id, ',' order by conv_id) filter (len(s) = d), '') as ends from n group by d, s[1:d]),
+k as (select d - 1 as d, p[1:d - 1] as p, count(*) as n_children from g where d > 0 group by all),
+f as (select g.*, coalesce(n_children, 0) as n_children from g left join k on g.d = k.d and g.p = k.p),
+u as (select a.d, a.p, sum((x.n_convs - 1) * x.words) as saved, count(*) filter (x.n_children = 0) as leaves from f a join f x on x.d >= a.d and x.p[1:a.d] = a.p group by a.d, a.p)
+select f.conv_id, cast(f.d as bigint) as depth, q.conv_id as parent_conv_id, f.n_convs, f.n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, sha256(f.ends) as ends_sha256
+from f join u on f.d = u.d and f.p = u.p left join g q on q.d = f.d - 1 and q.p = f.p[1:f.d - 1]
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup, op12_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup, op12_sharding, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_substring_dedup": OP8_SQL, "op13_prefix_trie": OP13_SQL}
