@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, prefix_trie, secrets, sharding, substring_dedup, token_counts, toxicity, url_filter
+from tallyloom.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, prefix_trie, secrets, sharding, structure_repair, substring_dedup, token_counts, toxicity, url_filter
 from tallyloom.llm._shared import ready
 
 
@@ -105,6 +105,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark, _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return structure_repair.repair(spark, structure_repair.damaged(turns))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     size, crc = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -161,7 +166,7 @@ from f join u on f.d = u.d and f.p = u.p left join g q on q.d = f.d - 1 and q.p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup, op12_sharding, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_jaccard_join, op4_url_filter, op5_pii, op6_decontamination, op7_toxicity, op8_substring_dedup, op9_secrets, op10_embedding_dedup, op11_structure_repair, op12_sharding, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op9_secrets": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     "op10_embedding_dedup": {"vec_id", "n_links", "component_id", "kept"},
+    "op11_structure_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
     "op12_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op13_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
 }
