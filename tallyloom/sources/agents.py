@@ -121,6 +121,36 @@ def events(lines: DataFrame, agent: str) -> DataFrame:
     return out.withColumn("session_id", F.coalesce("session_id", "_session")).drop("_session").where("session_id is not null")
 
 
+def followed(lines: DataFrame, agent: str) -> DataFrame:
+    """Events of lines that carry their file's first record (path, byte_offset, raw, head), one line at a time: what a stream can do.
+
+    Offsets stand for line numbers: they have the same order. Lines that are no records, and files without a session, have no events.
+    """
+    read, header = ADAPTERS[agent], HEADERS[agent]
+
+    def record(raw: bytes | None):
+        try:
+            r = json.loads(raw or b"")
+        except ValueError:
+            return None
+        return r if isinstance(r, dict) else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads: dict[bytes, str | None] = {}
+        for b in batches:
+            rows = []
+            for path, at, raw, first in b[["path", "byte_offset", "raw", "head"]].itertuples(index=False):
+                if first not in heads:
+                    heads = {first: header(record(first) or {})}  # lines of a file come together
+                for e in read(record(raw) or {}):
+                    e["session_id"] = e.get("session_id") or heads[first]
+                    if e["session_id"]:
+                        rows.append({"path": path, "line_no": at} | e)
+            yield pd.DataFrame(rows, columns=_NAMES).astype(object).where(lambda x: x.notna(), None)
+
+    return lines.where("kind = 'line'").mapInPandas(run, EVENTS)
+
+
 def keyed(parts: list[Column], numbers: tuple[int, ...] = ()) -> Column:
     """``json_text.key`` of columns: SHA-256 over the parts, each after its length; numbers: places of whole numbers."""
     size = lambda n: F.lpad(F.hex(n.cast("long")), 16, "0")
@@ -128,12 +158,17 @@ def keyed(parts: list[Column], numbers: tuple[int, ...] = ()) -> Column:
     return F.sha2(F.unhex(F.concat(*spelled)), 256)
 
 
-def calls(found: DataFrame, agent: str, user: str = "user") -> DataFrame:
-    """Calls with their keys, once each: of repeats the first by file and line."""
+def call_key(agent: str, user: str = "user") -> Column:
+    """The key of an event's call."""
     parts = [F.lit("call"), F.lit(user), F.lit(agent), F.col("session_id"), F.coalesce("native_call_id", F.lit(""))]
     if agent == "pi":  # its ids may repeat on several branches
         parts += [F.coalesce("entry_id", F.lit("")), F.col("item").cast("long"), F.sha2(F.coalesce("input_text", F.lit("")), 256)]
-    c = found.where("role = 'call'").withColumn("call_key", keyed(parts, numbers=(6,)))
+    return keyed(parts, numbers=(6,))
+
+
+def calls(found: DataFrame, agent: str, user: str = "user") -> DataFrame:
+    """Calls with their keys, once each: of repeats the first by file and line."""
+    c = found.where("role = 'call'").withColumn("call_key", call_key(agent, user))
     first = F.min_by(F.struct("path", "line_no", "item", "session_id", "native_call_id", "entry_id", "at_ms", "tool_name", "input_format", "input_text"), F.struct("path", "line_no", "item"))
     return c.groupBy("call_key").agg(first.alias("c"), F.count("*").alias("observations")).select("call_key", "c.*", "observations")
 

@@ -7,12 +7,15 @@ operations are checked as rows; requests for a reduction are streams of exactly
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators import lifecycle
+
 # Fixed values.
 OPERATION_BYTES, REQUEST_BYTES, SCHEMA = 256 << 20, 4 << 20, 1
 OPERATIONS = ("begin_call", "result_before", "result_text", "stage_result", "finish_call", "update_final_result")
@@ -56,6 +59,39 @@ def split(streams: DataFrame, limit: int = OPERATION_BYTES) -> DataFrame:
     return streams.select(F.col("stream").cast("string").alias("stream"), "content").mapInArrow(run, "stream string, seq long, message binary, fault string")
 
 
+DECODED = "stream string, seq long, request_id long, call_key string, message string, fault string"
+
+
+def decoded(streams: DataFrame, limit: int = OPERATION_BYTES) -> DataFrame:
+    """``DECODED`` rows of operations in streams (stream, content). A message that is no operation ends its stream, as broken
+    frames do: its row has the fault, and nothing after it counts."""
+
+    def read(raw: bytes | None, fault: str | None) -> tuple[int | None, str | None, str | None, str | None]:
+        if fault:
+            return None, None, None, fault
+        try:
+            text = raw.decode()
+            op = json.loads(text)
+        except ValueError:
+            return None, None, None, "invalid message"
+        return (op["requestId"], lifecycle.call_key(op), text, None) if lifecycle.well_formed(op) else (None, None, None, "invalid operation")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ended = None
+        for b in batches:
+            rows = []
+            for stream, seq, raw, fault in zip(*(b.column(c).to_pylist() for c in ("stream", "seq", "message", "fault")), strict=True):
+                if stream != ended or seq == 1:
+                    ended = None
+                    row = read(raw, fault)
+                    rows.append((stream, seq, *row))
+                    ended = stream if row[3] else None
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], names=[c.split()[0] for c in DECODED.split(", ")])
+
+    return split(streams, limit).mapInArrow(run, DECODED)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * 4
     kinds = (pa.string(), pa.int64(), pa.binary(), pa.string())
