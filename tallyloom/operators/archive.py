@@ -167,11 +167,11 @@ def read_bytes(raw: bytes, start: int, end: int) -> bytes:
 
 
 def sources(payloads: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """call_key, subject, body of each call's best source: its streams, else its result's text, else the host's output."""
+    """call_key, subject, completeness, body of each call's best source: its streams, else its result's text, else the host's output."""
     rank = F.expr("case when subject in ('stdout', 'stderr') then 1 when subject = 'result_text' then 2 when subject = 'source_output' then 3 end")
     own = snapshots.where("stage = 'before'").withColumn("_rank", rank).where("_rank is not null")
     best = own.groupBy("call_key").agg(F.min("_rank").alias("_rank"))
-    return own.join(best, ["call_key", "_rank"]).join(restore(payloads).where("fault is null"), "sha256").select("call_key", "subject", "body")
+    return own.join(best, ["call_key", "_rank"]).join(restore(payloads).where("fault is null"), "sha256").select("call_key", "subject", F.coalesce("completeness", F.lit("complete")).alias("completeness"), "body")
 
 
 def search(found: DataFrame, s: Search) -> DataFrame:

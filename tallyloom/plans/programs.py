@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as s
 from tallyloom.functions.dialect import DUCK, SPARK
-from tallyloom.operators import archive, pack, pruning, reduce, rule_data, selection, taxonomy
+from tallyloom.operators import archive, lifecycle, pack, pruning, reduce, rule_data, search, selection, taxonomy
 from tallyloom.operators.shell import FEATURES
 from tallyloom.plans.corpus import ctes
 from tallyloom.streaming import frames, ingest
@@ -330,6 +330,36 @@ def q6_search(spark, sf_dir):
     return archive.search(found, archive.Search(("error", "warning"), word=True, fold=True)).select("call_key", "matches", F.length("rendering").alias("chars"))
 
 
+#: What the user types: two patterns, words in any case, no context, at most five matches.
+TYPED = ("REF", "-e", "error", "-e", "warning", "-w", "-i", "-C", "0", "-m", "5")
+
+
+@query
+def q1_joint_search(spark, sf_dir):
+    """A search as it is typed, over all sources of every call: matches of all of them, where the first is, and whether the rendering keeps its budget."""
+    rows = corpus(spark, sf_dir, "select doc_id, call_key, output_text from first_results")
+    kinds = [("doc_id % 3 = 0", "stdout", None, "output_text"), ("doc_id % 3 = 0", "stderr", None, "'an error in ' || call_key || chr(10) || 'done'"), ("doc_id % 3 = 1", "result_text", "incomplete", "output_text"), ("doc_id % 3 = 2", "source_output", None, "output_text"), ("doc_id % 3 <> 2", "source_output", None, "'error and warning'")]
+    snaps = None
+    for where, subject, completeness, body in kinds:
+        own = rows.where(where).selectExpr("call_key", f"'{subject}' as subject", "'before' as stage", f"cast({repr(completeness) if completeness else 'null'} as string) as completeness", f"encode({body}, 'UTF-8') as body")
+        snaps = own if snaps is None else snaps.unionByName(own)
+    found = archive.sources(*archive.store(snaps)).withColumn("archive_ref", F.concat(F.lit("yr_"), F.substring(F.sha2("call_key", 256), 1, 32)))
+    _, s = search.parse(TYPED)
+    out = search.joint(found, s, most_bytes=2048, most_lines=24)
+    return out.select("call_key", "matches", "first", (F.octet_length("rendering") <= 2048).alias("fits"), F.col("rendering").startswith("[search: ref=yr_").alias("headed"))
+
+
+ORACLES["q1_joint_search"] = f"""
+with {ctes(DUCK)},
+l as (select * from {DUCK.lines("first_results", "doc_id, call_key", "output_text")} x),
+h as (select doc_id, call_key, line_no from l where regexp_matches(line, '(?i)\\b(?:error|warning)\\b')),
+n as (select doc_id, call_key, count(*) as n, min(line_no) as line from h group by all),
+e as (select doc_id, call_key from first_results where doc_id % 3 = 0)
+select coalesce(n.call_key, e.call_key) as call_key, coalesce(n, 0) + case when e.doc_id is null then 0 else 1 end as matches,
+  case when n is null then 'stderr:1' else case coalesce(n.doc_id, e.doc_id) % 3 when 0 then 'stdout:' when 1 then 'result_text:' else 'source_output:' end || line end as first, true as fits, true as headed
+from n full join e on n.call_key = e.call_key"""
+
+
 @query
 def k13_lifecycle(spark, sf_dir):
     """Call states from the ordered operations of the event log: a user is a call, an event an operation."""
