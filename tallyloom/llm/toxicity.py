@@ -115,6 +115,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _pull(diff: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The gradient of the penalty on score changes; in the precision of the rows, so that they aren't copied."""
+    return 2 * FAIR * (diff.T @ (diff @ w.astype(diff.dtype))).astype(float) / len(diff) if len(diff) else np.zeros(len(w))
+
+
 def _minimise(x: np.ndarray, y: np.ndarray, diff: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on the regularised loss."""
     n, k = x.shape
@@ -124,16 +129,14 @@ def _minimise(x: np.ndarray, y: np.ndarray, diff: np.ndarray, rounds: int = 400)
     u, ub, smooth = np.ones(k), 1.0, 1.0
     for _ in range(30):  # the loss curves no more than this, by power iteration
         h = x @ u.astype(x.dtype) + ub
-        u, ub = 0.25 * x.T @ (weight * h).astype(x.dtype) / n + 2 * L2 * u + (2 * FAIR * diff.T @ (diff @ u) / len(diff) if len(diff) else 0), 0.25 * (weight * h).sum() / n
+        u, ub = 0.25 * x.T @ (weight * h).astype(x.dtype) / n + 2 * L2 * u + _pull(diff, u), 0.25 * (weight * h).sum() / n
         smooth = np.sqrt(u @ u + ub * ub)
         u, ub = u / smooth, ub / smooth
     smooth *= 1.1
     for r in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v.astype(x.dtype) + vb, -40, 40)))
         e = weight * (p - y) / n
-        g = x.T @ e.astype(x.dtype) + 2 * L2 * v
-        if len(diff):
-            g += 2 * FAIR * diff.T @ (diff @ v) / len(diff)
+        g = x.T @ e.astype(x.dtype) + 2 * L2 * v + _pull(diff, v)
         w2, b2 = v - g / smooth, vb - e.sum() / smooth
         m = r / (r + 3)
         v, vb = w2 + m * (w2 - w), b2 + m * (b2 - bias)
@@ -179,8 +182,8 @@ def _picked(kept: np.ndarray):
     return run
 
 
-def fit_rows(kept: np.ndarray, x: np.ndarray, y: np.ndarray, swaps: np.ndarray) -> Model:
-    """The model of rows x (of 0 and 1, a column for each kept feature) with labels y; swaps: rows of x less their swapped form."""
+def _neutral(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of sentences that name a group and say nothing of it, and those less their swapped form."""
     slot = np.full(1 << BITS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
 
@@ -192,9 +195,22 @@ def fit_rows(kept: np.ndarray, x: np.ndarray, y: np.ndarray, swaps: np.ndarray)
         return out
 
     terms = [NEUTRAL[i % len(NEUTRAL)].format(t) for i, t in enumerate(_NEXT)]
-    neutral = dense(terms)
-    diff = np.concatenate([swaps, neutral - dense([swapped(t) for t in terms])])
-    return Model(kept, *_minimise(np.concatenate([x, neutral]), np.concatenate([y, np.zeros(len(neutral))]), diff))
+    rows = dense(terms)
+    return rows, rows - dense([swapped(t) for t in terms])
+
+
+def fit_rows(kept: np.ndarray, x: np.ndarray, y: np.ndarray, swaps: np.ndarray) -> Model:
+    """The model of rows x (of 0 and 1, a column for each kept feature) with labels y; swaps: rows of x less their swapped form."""
+    neutral, diff = _neutral(kept)
+    return Model(kept, *_minimise(np.concatenate([x, neutral]), np.concatenate([y, np.zeros(len(neutral))]), np.concatenate([swaps, diff])))
+
+
+def _unpacked(rows: list[bytes], out: np.ndarray) -> None:
+    """Rows of bits as the first rows of an array, a few at a time."""
+    for a in range(0, len(rows), 512):
+        some = rows[a : a + 512]
+        if out.shape[1]:
+            out[a : a + len(some)] = np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1), axis=1, count=out.shape[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
@@ -213,10 +229,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
     work.drop("bags")
     order = np.argsort(np.asarray(got.column("doc_id")), kind="stable")
     bag, other = got.column("bag").to_pylist(), got.column("swapped").to_pylist()
-    spread = lambda raw: np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, count=len(kept)).astype(np.float32) if raw and len(kept) else np.zeros((len(raw), len(kept)), np.float32)
-    x, on = spread([bag[i] for i in order]), [k for k, i in enumerate(order) if other[i] is not None]
-    swaps = x[on] - spread([other[order[k]] for k in on])
-    return fit_rows(kept, x, (np.asarray(got.column("label"))[order] > 0).astype(float), swaps)
+    on = [k for k, i in enumerate(order) if other[i] is not None]
+    neutral, turned = _neutral(kept)
+    # both arrays are made once, at their full size
+    x, diff = np.empty((len(order) + len(neutral), len(kept)), np.float32), np.empty((len(on) + len(neutral), len(kept)), np.float32)
+    _unpacked([bag[i] for i in order], x)
+    _unpacked([other[order[k]] for k in on], diff)
+    x[len(order) :], diff[len(on) :] = neutral, turned
+    for a in range(0, len(on), 512):
+        np.subtract(x[on[a : a + 512]], diff[a : min(a + 512, len(on))], out=diff[a : min(a + 512, len(on))])
+    y = (np.asarray(got.column("label"))[order] > 0).astype(float)
+    return Model(kept, *_minimise(x, np.concatenate([y, np.zeros(len(neutral))]), diff))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
