@@ -63,14 +63,6 @@ select command, calls, case when regexp_matches(command, '[|&;<>]') then 'parse_
 from c left join g using (command)"""
 
 
-@query
-def c9_pack_conflicts(spark, sf_dir):
-    """Rule ids that several packs bring: all their owners are disabled."""
-    own = selection.rule_table(spark).select("rule_id", F.lit("builtin").alias("pack")).distinct()
-    other = own.where("length(rule_id) % 5 = 0").select("rule_id", F.lit("extra").alias("pack"))
-    return own.unionAll(other).groupBy("rule_id").agg(F.count("*").alias("owners")).where("owners > 1")
-
-
 @query
 def c4_features(spark, sf_dir):
     """Syntax labels of distinct commands that are joined from the corpus's commands."""
@@ -311,18 +303,6 @@ def k11_archive_roundtrip(spark, sf_dir):
 ORACLES["k11_archive_roundtrip"] = f"with {ctes(DUCK)} select sha256(output_text) as sha256, max(strlen(output_text)) as bytes, true as sound from first_results group by 1"
 
 
-@query
-def p16_media_types(spark, sf_dir):
-    """The media type of the first bytes of each text: cut inside a character they are no text."""
-    cut = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "substring(encode(text, 'UTF-8'), 1, cast(7 + doc_id % 50 as int)) as body")
-    return cut.select("doc_id", F.octet_length("body").alias("bytes"), F.expr(archive.media_type("body")).alias("media_type"))
-
-
-ORACLES["p16_media_types"] = """
-with h as (select doc_id, 7 + doc_id % 50 as cut, strlen(text) as n, hex(encode(text)) as x from documents)
-select doc_id, cast(least(n, cut) as integer) as bytes, case when n > cut and x[2 * cut + 1:2 * cut + 2] between '80' and 'BF' then 'application/octet-stream' else 'text/plain; charset=utf-8' end as media_type from h"""
-
-
 @query
 def q6_search(spark, sf_dir):
     """Matches of two words with context, rendered, over the archive."""
@@ -415,7 +395,7 @@ def s12_archive_operations(spark, sf_dir):
       'text', props, 'isError', value > 50, 'session', named_struct('agent', 'a', 'account', case when event_id % 19 <> 0 then 'b' end, 'sourceSessionId', cast(user_id as string))))"""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(user_id as string) as stream", "event_id as seq", f"{message} as message").withColumn("frame", frames.encode(F.col("message")))
     parts = e.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("seq", "frame"))).alias("f"))
-    content = F.aggregate("f", F.lit(b""), lambda a, x: F.concat(a, x["frame"]))
+    content = F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["frame"])), ""))
     torn = F.when(F.col("stream").cast("long") % 5 == 0, F.expr("substring(content, 1, octet_length(content) - 3)")).otherwise(F.col("content"))
     streams = parts.select("stream", content.alias("content")).withColumn("content", torn)
     ops = frames.operations(frames.split(streams))
@@ -429,29 +409,3 @@ o as (select user_id, event_id, case when back = 1 and user_id % 5 = 0 then 'tru
 select coalesce(error, operation) as outcome, error is null as accepted, count(*) as n, count(distinct user_id) as streams, count(distinct case when error is null then user_id || '/' || event_id % 4 end) as calls from o group by 1, 2"""
 
 
-@query
-def c21_rules(spark, sf_dir):
-    """The rules as a table: what they match, what they do, under which limits, and the memory that takes at most."""
-    rows = [(r["id"], r["action"], "+".join(r["programs"]), " ".join(r["argv_prefix"]), "+".join(r["contains"]), r["reducer"], r["line_bytes"], r["failure_line_bytes"], r["least"]) for r in rule_data.rules()]
-    table = spark.createDataFrame(rows, "rule_id string, action string, programs string, prefix string, needed string, reducer string, line_bytes long, failure_line_bytes long, least long")
-    full = table.withColumns({"output_bytes": F.lit(reduce.Policy.output), "failure_output_bytes": F.lit(reduce.Policy.output), "pattern_bytes": F.lit(0)})
-    return full.withColumn("memory_bound", F.when(F.col("action") == "reduce", pack.memory_bound(full))).drop("output_bytes", "failure_output_bytes", "pattern_bytes")
-
-
-@query
-def c21_verify(spark, sf_dir):
-    """Every rule against a command made from its own words: what the selection says, and whether the rule is among those it names."""
-    made = [(r["id"], " ".join([r["programs"][0], *r["argv_prefix"], *r["contains"]]), r["action"]) for r in rule_data.rules()]
-    own = spark.createDataFrame(made, "rule_id string, command string, action string")
-    chosen = selection.select_simple(selection.argv(own), selection.rule_table(spark))
-    met = own.join(chosen, "command")
-    return met.groupBy("action", "verdict").agg(F.count("*").alias("rules"), F.count_if(F.array_contains("rule_ids", F.col("rule_id"))).alias("named"))
-
-
-def _verify_values() -> str:
-    """By hand: a guard passes its command through; a rule or a transform decides its own, unless a guard looks at the same words."""
-    guards = sum(r["action"] == "passthrough" for r in rule_data.rules())
-    return f"('passthrough', 'passthrough', {guards}, {guards}), ('reduce', 'reduce', {len(rule_data.REDUCE)}, {len(rule_data.REDUCE)}), ('transform', 'transform', {len(rule_data.TRANSFORM)}, {len(rule_data.TRANSFORM)})"
-
-
-ORACLES["c21_verify"] = f"select * from (values {_verify_values()}) as t(action, verdict, rules, named)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.functions.dialect import DUCK, SPARK
-from tallyloom.plans import programs, reports
+from tallyloom.plans import library, programs, reports  # noqa: F401  library adds its queries to those of programs
 
 TABLES = ("documents", "labels", "conversations", "events", "pages")
 

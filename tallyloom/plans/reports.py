@@ -330,12 +330,6 @@ def p12_budget(d):
     return f"{over(d)} select result_key, length(output_text) as chars, {s.budget_removal(d, 'length(output_text)')} as removed from tool_results"
 
 
-@plan
-def p13_word_shapes(d):
-    words = ", ".join(f"('{w}')" for w in ("A=1", "_x=", "9a=1", "a-b=1", "FOO", "yr_" + "0" * 32, "yr_" + "G" * 32))
-    return f"select w, {s.assignment(d, 'w')} as assignment, {s.archive_ref_ok(d, 'w')} as archive_ref from (values {words}) as t(w)"
-
-
 REF = "yr_" + "0123456789abcdef" * 2
 
 
