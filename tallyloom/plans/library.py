@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as s
-from tallyloom.functions.dialect import DUCK, SPARK
+from tallyloom.functions.dialect import DUCK
 from tallyloom.operators import archive, lifecycle, pack, reduce, rule_data, selection
 from tallyloom.plans.corpus import ctes
 from tallyloom.plans.programs import ORACLES, _commands, corpus, query
@@ -73,7 +73,7 @@ def k16_prune(spark, sf_dir):
 @query
 def r20_gate(spark, sf_dir):
     """Whether a log summary of each result replaces its text (``reduce.reduce_text``), and whether its length says so (the gate in SQL)."""
-    rows = corpus(spark, sf_dir, "select result_key, output_text from tool_results").repartition(spark.sparkContext.defaultParallelism)
+    rows = corpus(spark, sf_dir, "select result_key, output_text from tool_results", deal=True)
 
     def run(batches):
         policy = reduce.Policy()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as s
 from tallyloom.functions.dialect import DUCK, SPARK
-from tallyloom.operators import archive, lifecycle, pack, pruning, reduce, rule_data, search, selection, taxonomy
+from tallyloom.operators import archive, pruning, reduce, rule_data, search, selection, taxonomy
 from tallyloom.operators.shell import FEATURES
 from tallyloom.plans.corpus import ctes
 from tallyloom.streaming import frames, ingest
@@ -21,10 +21,10 @@ def query(f):
     return f
 
 
-def corpus(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, select: str, deal: bool = False) -> DataFrame:
     from tallyloom.plans.registry import run_plan
 
-    return run_plan(spark, sf_dir, lambda d: f"with {ctes(d)} {select}")
+    return run_plan(spark, sf_dir, lambda d: f"with {ctes(d)} {select}", deal)
 
 
 def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
       {s.has_diagnostic(SPARK, 'output_text')} as diagnostic, output_text like '%' || chr(0) || '%' as nul, {s.budget_removal(SPARK, 'length(output_text)')} as removable, output_text
       from tool_results r join tool_calls c on r.call_key = c.call_key join sessions s on s.session_key = c.session_key"""
     status = F.when(F.col("succeeded"), "success").when(~F.col("succeeded"), "failure").otherwise("unknown")
-    return pruning.prune(corpus(spark, sf_dir, select)).withColumn("status", status)
+    return pruning.prune(corpus(spark, sf_dir, select, deal=True)).withColumn("status", status)
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -317,7 +317,7 @@ TYPED = ("REF", "-e", "error", "-e", "warning", "-w", "-i", "-C", "0", "-m", "5"
 @query
 def q1_joint_search(spark, sf_dir):
     """A search as it is typed, over all sources of every call: matches of all of them, where the first is, and whether the rendering keeps its budget."""
-    rows = corpus(spark, sf_dir, "select doc_id, call_key, output_text from first_results")
+    rows = corpus(spark, sf_dir, "select doc_id, call_key, output_text from first_results", deal=True)
     kinds = [("doc_id % 3 = 0", "stdout", None, "output_text"), ("doc_id % 3 = 0", "stderr", None, "'an error in ' || call_key || chr(10) || 'done'"), ("doc_id % 3 = 1", "result_text", "incomplete", "output_text"), ("doc_id % 3 = 2", "source_output", None, "output_text"), ("doc_id % 3 <> 2", "source_output", None, "'error and warning'")]
     snaps = None
     for where, subject, completeness, body in kinds:
