@@ -17,6 +17,7 @@ from tallyloom.operators import archive, lifecycle, pack, reduce, rule_data, sel
 from tallyloom.plans.corpus import ctes
 from tallyloom.plans.programs import ORACLES, _commands, corpus, query
 from tallyloom.sources import jsonl, store
+from tallyloom.streaming import automaton
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -304,3 +305,36 @@ select call_key, count(*) filter (ok) as taken, count(*) filter (not ok) as refu
   case when max(b0) is null then null when max(f0) is not null then 'finished' else 'started' end as status, arg_max(err, seq) filter (ok and kind not in ('signup', 'view', 'click')) as is_error,
   case when max(b0) is not null then max(a0) is not null end as executed, max(seq) filter (ok and kind not in ('signup', 'view', 'click', 'error')) as finished_at_ms,
   case when max(b0) is not null then 2 + count(distinct v0) + count(distinct t0) + count(distinct a0) end as snapshots, greatest(max(b0), max(v0), max(t0), max(a0)) as last_captured from o group by call_key"""
+
+
+# Framed streams, through the automaton.
+
+
+@query
+def s11_automaton(spark, sf_dir):
+    """Streams that are framed by the events' places, a user each: what breaks each, and what was committed until then (``automaton``)."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
+    own = e.selectExpr("cast(user_id as string) as stream", "event_id + 1 as seq", "event_type", "row_number() over (partition by user_id order by event_id) as n")
+    record = """case when seq % 397 = 0 then 'stream_end' when n % 5 = 1 then 'source_start' when n % 5 in (2, 3) then case event_type when 'view' then 'tool_call' when 'click' then 'tool_result' else 'session' end
+      when n % 5 = 4 then case event_type when 'purchase' then 'source_rollback' else 'source_commit' end else 'source_root' end"""
+    ends = own.groupBy("stream").agg(F.max("seq").alias("last")).selectExpr("stream", "inline(array(struct(0L as seq, 'stream_start' as record), struct(last + 1 as seq, 'stream_end' as record)))").where("seq = 0 or cast(stream as bigint) % 7 <> 0")
+    rows = automaton.placed(own.selectExpr("stream", "seq", f"{record} as record").unionByName(ends), part=1000)
+    kept = automaton.committed(rows).groupBy("stream").agg(F.count("*").alias("committed"), F.countDistinct("source").alias("sources"))
+    every = rows.select("stream").distinct()
+    return every.join(automaton.faults(rows), "stream", "left").join(kept, "stream", "left").fillna(0, ["committed", "sources"])
+
+
+ORACLES["s11_automaton"] = f"""
+with o as (select cast(user_id as varchar) as stream, event_id + 1 as seq, event_type, row_number() over (partition by user_id order by event_id) as n from events where user_id is not null),
+r as (select stream, seq, case when seq % 397 = 0 then 'stream_end' when n % 5 = 1 then 'source_start' when n % 5 in (2, 3) then 'record' when n % 5 = 4 then case event_type when 'purchase' then 'source_rollback' else 'source_commit' end else 'source_root' end as record from o
+  union all select stream, 0, 'stream_start' from o group by stream union all select stream, max(seq) + 1, 'stream_end' from o where cast(stream as bigint) % 7 <> 0 group by stream),
+k as (select *, case record when 'stream_start' then 1 when 'stream_end' then 2 when 'source_start' then 3 when 'source_commit' then 4 when 'source_rollback' then 4 when 'source_root' then 5 else 6 end as k, row_number() over (partition by stream order by seq) as i from r),
+l as (select stream, list(k order by seq) as ks from k group by stream),
+p as (select k.*, list_reduce(list_prepend(0::bigint, l.ks[1:i - 1]), lambda s, c: {automaton.NEXT}[c][s + 1]) as place from k join l on k.stream = l.stream),
+q as (select *, {automaton.NEXT}[k][place + 1] as after, sum(case when k = 3 then 1 else 0 end) over (partition by stream order by seq) as source from p),
+f as (select stream, min(seq) as seq, arg_min(case when k = 2 and place = 2 then 'stream ended before its source committed' else {automaton.FAULTS}[k] end, seq) as fault from q where place <> 4 and after = 4 group by stream
+  union all select stream, null, case max_by(after, seq) when 2 then 'stream ended with an active source' else 'stream ended without a completion record' end from q group by stream having max_by(after, seq) not in (3, 4)),
+d as (select stream, source from q where record = 'source_commit' and place = 2),
+c as (select q.stream, q.source from q join d on q.stream = d.stream and q.source = d.source where k = 6 and place = 2 union all select stream, source from q where k = 5 and place = 1),
+n as (select stream, count(*) as committed, count(distinct source) as sources from c group by stream)
+select s.stream, f.seq, f.fault, coalesce(committed, 0) as committed, coalesce(sources, 0) as sources from (select distinct stream from k) s left join f on s.stream = f.stream left join n on s.stream = n.stream"""
