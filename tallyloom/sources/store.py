@@ -1,11 +1,17 @@
 """The imported tables as a set of Parquet folders that change by whole versions.
 
-A run writes its new table versions beside the old ones and then publishes a manifest; readers see the
-last manifest only, so a run that fails leaves nothing behind. Merges are first-wins: a stored key stays.
+A run writes its new tables beside the old ones, in folders of its own, and then puts the next number into the log: a
+file that names the folder of every table, written aside and renamed into place, which only one run can do. Readers take the
+log's last entry only. So a run that dies leaves folders that nobody reads and blocks no one; of two runs that began at one entry
+the second loses the rename, and ``commit`` works its change out again over what the first left. Merges are first-wins: a stored key stays.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +42,8 @@ def without_source(observations: DataFrame, results: DataFrame, calls: DataFrame
     return others, left, calls.join(gone, "call_key", "left_anti")
 
 
-def _manifest(spark: SparkSession, base: str) -> dict[str, str]:
-    fs, path = _path(spark, f"{base}/manifests")
-    if not fs.exists(path):
-        return {}
-    last = spark.read.json(f"{base}/manifests").groupBy("table").agg(F.max_by("path", "version").alias("path")).collect()
-    return {r["table"]: r["path"] for r in last}
+class Conflict(ValueError):
+    """Another run has this version."""
 
 
 def _path(spark: SparkSession, name: str):
@@ -49,25 +51,85 @@ def _path(spark: SparkSession, name: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def current(spark: SparkSession, base: str) -> tuple[int, dict[str, str]]:
+    """(version, folder of each table) of the log's last entry; version 0 without any."""
+    fs, log = _path(spark, f"{base}/log")
+    if not fs.exists(log):
+        return 0, {}
+    versions = [int(f.getPath().getName().removesuffix(".json")) for f in fs.listStatus(log) if f.getPath().getName().endswith(".json")]
+    if not versions:
+        return 0, {}
+    last = max(versions)
+    text = "".join(r["value"] for r in spark.read.text(f"{base}/log/{last:020d}.json").collect())  # one line
+    return last, json.loads(text)
+
+
+def _enter(spark: SparkSession, base: str, version: int, tables: dict[str, str]) -> None:
+    """Put an entry into the log, if no other run has."""
+    fs, aside = _path(spark, f"{base}/log/{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside)
+    out.write((json.dumps(tables) + "\n").encode())
+    out.close()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    none = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    none[0] = next(x for x in kind.getEnumConstants() if x.toString() == "NONE")
+    entry = jvm.org.apache.hadoop.fs.Path(f"{base}/log/{version:020d}.json")
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(entry), none)
+    except Exception as e:
+        if fs.exists(entry):
+            fs.delete(aside, False)
+            raise Conflict(f"version {version} is another run's") from e
+        raise
+
+
 def read(spark: SparkSession, base: str, table: str) -> DataFrame | None:
-    found = _manifest(spark, base).get(table)
+    found = current(spark, base)[1].get(table)
     return spark.read.parquet(found) if found else None
 
 
 def publish(spark: SparkSession, base: str, version: int, tables: dict[str, DataFrame]) -> None:
-    """Write every table's new version, then the manifest that makes them the current ones.
-
-    A version is claimed first, by a file that only one run can create: of two runs with one version the second fails.
-    """
-    fs, claim = _path(spark, f"{base}/claims/{version}")
-    if not fs.createNewFile(claim):
-        raise ValueError(f"version {version} is another run's")
-    rows = []
+    """Write tables and make them the given version, the next one after what they were worked out from. Tables that aren't given stay."""
+    before, known = current(spark, base)
+    if version <= before:
+        raise Conflict(f"version {version} is another run's")
+    run, found = uuid.uuid4().hex, dict(known)
     for name, df in tables.items():
-        path = f"{base}/{name}/version={version}"
-        df.write.mode("overwrite").parquet(path)
-        rows.append((name, version, path))
-    spark.createDataFrame(rows, "table string, version long, path string").coalesce(1).write.mode("append").json(f"{base}/manifests")
+        found[name] = f"{base}/{name}/version={version}-{run}"
+        df.write.parquet(found[name])
+    _enter(spark, base, version, found)
+
+
+def commit(spark: SparkSession, base: str, change: Callable[[Callable[[str], DataFrame | None]], dict[str, DataFrame]], tries: int = 8) -> int:
+    """Apply a change to the tables and give the version that it made. change: from a reader of tables to the tables that change; it runs again when another run was first."""
+    for left in reversed(range(tries)):
+        version, known = current(spark, base)
+        reader = lambda name: spark.read.parquet(known[name]) if name in known else None  # noqa: E731, B023
+        try:
+            publish(spark, base, version + 1, change(reader))
+            return version + 1
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError
+
+
+def swept(spark: SparkSession, base: str, keep: int = 1) -> int:
+    """Delete the folders that none of the last ``keep`` entries names, left by runs that died or were followed by others; how many. Only while no run writes."""
+    version, _ = current(spark, base)
+    fs, root = _path(spark, base)
+    named = set()
+    for v in range(max(1, version - keep + 1), version + 1):
+        named |= set(json.loads("".join(r["value"] for r in spark.read.text(f"{base}/log/{v:020d}.json").collect())).values())
+    gone = 0
+    for table in fs.listStatus(root) if fs.exists(root) else []:
+        if table.getPath().getName() != "log":
+            for folder in fs.listStatus(table.getPath()):
+                if f"{base}/{table.getPath().getName()}/{folder.getPath().getName()}" not in named:
+                    fs.delete(folder.getPath(), True)
+                    gone += 1
+    return gone
 
 
 def growth(results: DataFrame) -> DataFrame:

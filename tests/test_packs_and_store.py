@@ -1,6 +1,7 @@
 """Rule packs, the taxonomy, and the versioned tables of the import."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -77,3 +78,37 @@ def test_store(spark, tmp_path):
     t = spark.createDataFrame([("s", 1, 0, "x", "1"), ("s", 2, 0, "y", "2")], "session_id string, line_no long, item long, tool_name string, input_text string")
     u = spark.createDataFrame([("s", 5, 0, "x", "1"), ("s", 6, 0, "y", "3"), ("s", 7, 0, "z", "")], t.schema)
     assert [x["verdict"] for x in store.transcript_check(t, u).orderBy("place").collect()] == ["validated", "mismatch", "count"]
+
+
+def test_commits(spark, tmp_path):
+    """Writers at once, one that dies, a reader in between: every change is in, once."""
+    base, cols = str(tmp_path / "t"), "call_key string, n long"
+    df = lambda *r: spark.createDataFrame(list(r), cols)
+    more = lambda k, n: lambda old: {"tool_calls": store.merged(old("tool_calls"), df((k, n)), "call_key", ("n",))}
+    assert store.commit(spark, base, more("a", 1)) == 1
+    with ThreadPoolExecutor(3) as pool:
+        versions = sorted(pool.map(lambda k: store.commit(spark, base, more(k, 2)), "bcd"))
+    assert versions == [2, 3, 4] and {tuple(r) for r in store.read(spark, base, "tool_calls").collect()} == {("a", 1), ("b", 2), ("c", 2), ("d", 2)}
+
+    before = store.read(spark, base, "tool_calls")  # goes on seeing what it began with
+
+    def dies(old):
+        df(("x", 0)).write.parquet(f"{base}/tool_calls/version=5-dead")
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        store.commit(spark, base, dies)
+    assert store.commit(spark, base, more("e", 3)) == 5 and before.count() == 4 and store.read(spark, base, "tool_calls").count() == 5
+    seen = []
+
+    def slow(old):
+        if not seen:  # another run comes first
+            seen.append(store.commit(spark, base, more("f", 4)))
+        return more("g", 5)(old)
+
+    assert store.commit(spark, base, slow) == 7 and store.read(spark, base, "tool_calls").count() == 7
+    with pytest.raises(store.Conflict):
+        store.commit(spark, base, lambda old: seen.append(store.commit(spark, base, more(f"h{len(seen)}", 0))) or more("i", 0)(old), tries=2)
+    store.commit(spark, base, lambda old: {"sessions": df(("s", 1))})
+    assert store.read(spark, base, "tool_calls").count() == 9 and store.read(spark, base, "sessions").count() == 1
+    assert store.swept(spark, base) > 3 and store.read(spark, base, "tool_calls").count() == 9
