@@ -8,11 +8,12 @@ result or a projection of one, with the native ids that its format gives.
 from __future__ import annotations
 
 import json
+import os
 import sqlite3
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.json_text import canonical, key, millis, pruned, rendered, sha256
@@ -254,6 +255,27 @@ def _fields(raw: bytes) -> Iterator[tuple[int, bytes]]:
             i += {1: 8, 5: 4}.get(tag & 7, len(raw))
 
 
+def _cursor_events_of(path: str, n: int, session: str, message) -> list[dict]:
+    """Events of one message of a conversation store."""
+    rows, content = [], message.get("content") if isinstance(message, dict) else None
+    for i, b in enumerate(x for x in (content if isinstance(content, list) else []) if isinstance(x, dict)):
+        base = {"path": path, "line_no": n, "session_id": session}
+        if b.get("type") == "tool-call":
+            form, text = _input(b.get("args"))
+            rows.append(base | _event("call", "tool-call", i, native_call_id=b.get("toolCallId"), tool_name=b.get("toolName"), input_format=form, input_text=text))
+        elif b.get("type") == "tool-result":
+            out = b.get("result")
+            rows.append(base | _event("result", "tool-result", i, native_call_id=b.get("toolCallId"), output_text=out if isinstance(out, str) else None, output_json=None if isinstance(out, str) or out is None else canonical(out)))
+    return rows
+
+
+def _cursor_message(path: str, n: int, session: str, raw: bytes) -> list[dict]:
+    try:
+        return _cursor_events_of(path, n, session, json.loads(raw))
+    except ValueError:
+        return []
+
+
 def cursor_store(path: str, raw: bytes) -> list[dict]:
     """Events of one SQLite conversation store, in the order of its root record."""
     db = sqlite3.connect(":memory:")
@@ -268,14 +290,7 @@ def cursor_store(path: str, raw: bytes) -> list[dict]:
             message = json.loads(blobs.get(blob, b""))
         except ValueError:
             continue
-        for i, b in enumerate(x for x in (message.get("content") if isinstance(message, dict) and isinstance(message.get("content"), list) else []) if isinstance(x, dict)):
-            base = {"path": path, "line_no": n, "session_id": head.get("agentId") or path}
-            if b.get("type") == "tool-call":
-                form, text = _input(b.get("args"))
-                rows.append(base | _event("call", "tool-call", i, native_call_id=b.get("toolCallId"), tool_name=b.get("toolName"), input_format=form, input_text=text))
-            elif b.get("type") == "tool-result":
-                out = b.get("result")
-                rows.append(base | _event("result", "tool-result", i, native_call_id=b.get("toolCallId"), output_text=out if isinstance(out, str) else None, output_json=None if isinstance(out, str) or out is None else canonical(out)))
+        rows += _cursor_events_of(path, n, head.get("agentId") or path, message)
     return rows
 
 
@@ -288,3 +303,94 @@ def cursor_events(content: DataFrame) -> DataFrame:
                 yield pd.DataFrame(cursor_store(path, bytes(raw)), columns=_NAMES).astype(object).where(lambda x: x.notna(), None)
 
     return content.select("path", "content").mapInPandas(run, EVENTS)
+
+
+def _table(spark: SparkSession, root: str, table: str, columns: str, glob: str) -> DataFrame:
+    from tallyloom.sources.sqlite_rows import FORMAT, SqliteRows
+
+    spark.dataSource.register(SqliteRows)
+    return spark.read.format(FORMAT).schema(f"path string, row long, {columns}").option("table", table).option("glob", glob).load(root)
+
+
+def cursor_stores(spark: SparkSession, root: str) -> DataFrame:
+    """``cursor_events`` of all stores below a folder, a blob at a time: a store's root record gives the order of its blobs, in a join; no task holds a store."""
+    blobs = _table(spark, root, "blobs", "id string, data binary", "store.db")
+    meta = _table(spark, root, "meta", "key string, value string", "store.db").where("key = '0'")
+    head = F.unhex("value").cast("string")
+    heads = meta.select("path", F.get_json_object(head, "$.latestRootBlobId").alias("root"), F.coalesce(F.get_json_object(head, "$.agentId"), F.col("path")).alias("session"))
+
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(path, v.hex(), k) for path, raw in b[["path", "data"]].itertuples(index=False) for k, v in enumerate(dict.fromkeys(v for f, v in _fields(bytes(raw)) if f == 1 and len(v) == 32))]
+            yield pd.DataFrame(rows, columns=["path", "id", "place"])
+
+    own = heads.select("path", F.col("root").alias("id"))
+    places = blobs.join(own, ["path", "id"]).select("path", "data").mapInPandas(ordered, "path string, id string, place long")
+    there = places.join(blobs.select("path", "id"), ["path", "id"], "full").withColumn("rest", F.col("place").isNull())
+    numbered = there.withColumn("line_no", F.expr("row_number() over (partition by path order by rest, place, id)").cast("long")).select("path", "id", "line_no")
+    rows = blobs.join(numbered, ["path", "id"]).join(heads.select("path", "session"), "path", "left").select("path", "line_no", F.coalesce("session", "path").alias("session"), "data")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [e for path, n, session, raw in b[["path", "line_no", "session", "data"]].itertuples(index=False) for e in _cursor_message(path, n, session, bytes(raw or b""))]
+            yield pd.DataFrame(out, columns=_NAMES).astype(object).where(lambda x: x.notna(), None)
+
+    return rows.mapInPandas(read, EVENTS)
+
+
+def threads(spark: SparkSession, root: str, glob: str = "state*.sqlite") -> DataFrame:
+    """session_id, started_at_ms, working_directory, provider, model of the host's table of threads, which fills what rollouts leave out."""
+    found = _table(spark, root, "threads", "id string, created_at_ms long, created_at long, cwd string, model_provider string, model string", glob)
+    return found.select(F.col("id").alias("session_id"), F.coalesce("created_at_ms", F.col("created_at") * 1000).alias("started_at_ms"), F.col("cwd").alias("working_directory"), F.col("model_provider").alias("provider"), "model")
+
+
+def codex_sessions(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """session_id, started_at_ms, working_directory, provider, model of rollouts (lines with their number and record); known: ``threads``, for what a header lacks."""
+    at = lambda p: F.get_json_object("record", f"$.payload.{p}")
+    heads = lines.where("line_no = 1 and valid").where(F.get_json_object("record", "$.type") == "session_meta")
+    own = heads.select(at("id").alias("session_id"), at("timestamp").alias("t"), at("cwd").alias("working_directory"), at("model_provider").alias("provider"), at("model").alias("model")).where("session_id is not null")
+    own = own.groupBy("session_id").agg(*[F.min(c).alias(c) for c in ("t", "working_directory", "provider", "model")])
+    own = own.withColumn("started_at_ms", F.expr("try_cast(t as timestamp)").cast("double") * 1000).withColumn("started_at_ms", F.round("started_at_ms").cast("long"))
+    names = ("started_at_ms", "working_directory", "provider", "model")
+    if known is None:
+        return own.select("session_id", *names)
+    k = known.select("session_id", *[F.col(c).alias(f"{c}_") for c in names])
+    return own.join(k, "session_id", "left").select("session_id", *[F.coalesce(c, f"{c}_").alias(c) for c in names])
+
+
+SAVED = "Full output saved to: "
+
+
+def referenced(results: DataFrame, root: str) -> DataFrame:
+    """Results (with output_text) whose text names a file of saved output below ``root``, in a folder ``tool-results``: the file's text in its place.
+
+    Links are followed before a path is judged. A path outside, a file that isn't there and one that is no text leave the result as it is, with
+    reference_issue saying so. Only files that a result names are opened, by the task that has the result.
+    """
+    path = F.trim(F.regexp_extract("output_text", SAVED + r"([^\r\n]*)", 1))
+    named = results.withColumn("_path", F.when(F.col("output_text").contains(SAVED) & (path != ""), path))
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in results.schema)}, reference_issue string"
+    base = root.removeprefix("file://").removeprefix("file:")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inside = os.path.realpath(base)
+        for b in batches:
+            texts, issues = [], []
+            for text, name in b[["output_text", "_path"]].itertuples(index=False):
+                real, issue = os.path.realpath(name), None
+                if not real.startswith(inside + os.sep) or "tool-results" not in real.split(os.sep):
+                    issue = "outside"
+                else:
+                    try:
+                        with open(real, encoding="utf-8", newline="") as f:
+                            text = f.read()
+                    except UnicodeDecodeError:
+                        issue = "not text"
+                    except OSError:
+                        issue = "missing"
+                texts.append(text)
+                issues.append(issue)
+            yield b.drop(columns="_path").assign(output_text=texts, reference_issue=issues)
+
+    plain = named.where("_path is null").drop("_path").withColumn("reference_issue", F.lit(None).cast("string"))
+    return plain.unionByName(named.where("_path is not null").mapInPandas(read, schema))
