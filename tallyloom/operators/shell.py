@@ -148,6 +148,7 @@ def features(source: str) -> list[str]:
             quote = None if quote else '"'
         elif two == "$(" or c == "`":
             found.add("command_substitution")
+            i += two == "$("  # its parenthesis opens no subshell
         elif c == "$":
             found.add("parameter_expansion")
         elif quote is None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as s
-from tallyloom.functions.dialect import DUCK
+from tallyloom.functions.dialect import DUCK, SPARK
 from tallyloom.operators import archive, lifecycle, pack, reduce, rule_data, selection
 from tallyloom.plans.corpus import ctes
 from tallyloom.plans.programs import ORACLES, _commands, corpus, query
@@ -338,3 +338,75 @@ d as (select stream, source from q where record = 'source_commit' and place = 2)
 c as (select q.stream, q.source from q join d on q.stream = d.stream and q.source = d.source where k = 6 and place = 2 union all select stream, source from q where k = 5 and place = 1),
 n as (select stream, count(*) as committed, count(distinct source) as sources from c group by stream)
 select s.stream, f.seq, f.fault, coalesce(committed, 0) as committed, coalesce(sources, 0) as sources from (select distinct stream from k) s left join f on s.stream = f.stream left join n on s.stream = n.stream"""
+
+
+# Shell words, labels and options, over variants of the corpus's commands.
+
+_PLAIN = "not regexp_matches(command, '[|&;<>]')"
+
+
+@query
+def c2_words(spark, sf_dir):
+    """The corpus's simple commands with every word plain, quoted in either way or escaped: the words that come out."""
+    simple = corpus(spark, sf_dir, f"select distinct {s.shell_command(SPARK, 'tool_name', 'input_format', 'input_text')} as command, doc_id % 4 as k from tool_calls").where("command is not null and not command rlike '[|&;<>]'")
+    word = """case (i + k) % 4 when 0 then w when 1 then concat("'", w, "'") when 2 then concat('"', w, '"') else regexp_replace(w, '(.)', '\\\\\\\\$1') end"""
+    spelled = simple.select(F.expr(f"array_join(transform(split(command, ' '), (w, i) -> {word}), ' ')").alias("command"))
+    return selection.argv(spelled).select("command", F.array_join("argv", "|").alias("words"))
+
+
+_SHELL = s.shell_command(DUCK, "tool_name", "input_format", "input_text")
+ORACLES["c2_words"] = f"""
+with {ctes(DUCK)},
+c as (select distinct {_SHELL} as command, doc_id % 4 as k from tool_calls),
+p as (select * from c where command is not null and {_PLAIN})
+select distinct array_to_string(list_transform(string_split(command, ' '), lambda w, i: case (i - 1 + k) % 4 when 0 then w when 1 then '''' || w || '''' when 2 then '"' || w || '"' else regexp_replace(w, '(.)', chr(92) || chr(92) || chr(92) || '1', 'g') end), ' ') as command,
+  array_to_string(string_split(command, ' '), '|') as words from p"""
+
+#: Ways to put a command into others, and the labels of each, by hand.
+_AROUND = [
+    ("{} | cat", "pipeline"), ("{} && true", "and_list"), ("{} || true", "or_list"), ("{}; true", "sequence"), ("{} &", "background"), ("{}\ntrue", "multiline"), ("echo $HOME; {}", "sequence+parameter_expansion"),
+    ("echo $(pwd); {}", "sequence+command_substitution"), ("{} > out", "redirection"), ("{} # note", "comment"), ("cat <<EOF\n{}\nEOF", "multiline+redirection+heredoc"), ("while true; do {}; done", "sequence+loop"),
+    ("if true; then {}; fi", "sequence+conditional"), ("f() {{ {}; }}", "sequence+function"), ("( {} )", "subshell"), ("/usr/bin/nice {}", "path_invocation"), ("env {}", "wrapper"), ("bash -c '{}'", "nested_shell"), ("echo 'open; {}", "parser_failure"),
+]
+
+
+@query
+def c4_labels(spark, sf_dir):
+    """All syntax labels (``shell.features``): the corpus's simple commands put into others in nineteen ways, calls by label."""
+    shaped = " ".join(f"when {k} then {_concat(t)}" for k, (t, _) in enumerate(_AROUND))
+    calls = corpus(spark, sf_dir, f"select {s.shell_command(SPARK, 'tool_name', 'input_format', 'input_text')} as command, doc_id from tool_calls").where("command is not null and not command rlike '[|&;<>/]' and not command like 'timeout %'")
+    calls = calls.select(F.expr(f"case doc_id % {len(_AROUND)} {shaped} end").alias("command"))
+    n = calls.groupBy("command").agg(F.count("*").alias("calls"))
+    return n.join(selection.syntax(calls), "command").select(F.explode("labels").alias("label"), "calls").groupBy("label").agg(F.sum("calls").alias("calls"), F.count("*").alias("commands"))
+
+
+def _concat(template: str) -> str:
+    """SQL of a template with the command in it."""
+    before, after = template.replace("{{", "\0").replace("}}", "\1").split("{}")
+    q = lambda x: "'" + x.replace("\0", "{").replace("\1", "}").replace("'", "\\'").replace("\n", "\\n") + "'"
+    return f"concat({q(before)}, command, {q(after)})"
+
+
+ORACLES["c4_labels"] = f"""
+with {ctes(DUCK)},
+c as (select {_SHELL} as command, doc_id % {len(_AROUND)} as k from tool_calls),
+l(k, labels) as (values {', '.join(f"({k}, '{x}')" for k, (_, x) in enumerate(_AROUND))}),
+u as (select command, c.k, unnest(string_split(labels, '+')) as label from c join l on c.k = l.k where command is not null and not regexp_matches(command, '[|&;<>/]') and command not like 'timeout %')
+select label, count(*) as calls, count(distinct (command, k)) as commands from u group by label"""
+
+#: Global options that stand before a program's words.
+_GLOBAL = {"git": "git -C /x --no-pager", "cargo": "cargo +nightly"}
+
+
+@query
+def c5_options(spark, sf_dir):
+    """The corpus's commands with reviewed global options before their words: what the rules say of each."""
+    calls = _commands(spark, sf_dir).where("command rlike '^(git|cargo) [^|&;<>]*$'").select("command").distinct()
+    made = calls.select("command", F.expr(f"case when command like 'git %' then concat('{_GLOBAL['git']}', substring(command, 4)) else concat('{_GLOBAL['cargo']}', substring(command, 6)) end").alias("given"))
+    chosen = selection.select_simple(selection.argv(made.select(F.col("given").alias("command"))), selection.rule_table(spark)).withColumnRenamed("command", "given")
+    return made.join(chosen, "given").select("command", "given", "verdict", F.array_join("rule_ids", "+").alias("rules"))
+
+
+ORACLES["c5_options"] = f"""
+with s as ({ORACLES['c8_selection']})
+select command, case when command like 'git %' then '{_GLOBAL['git']}' || substr(command, 4) else '{_GLOBAL['cargo']}' || substr(command, 6) end as given, verdict, rules from s where regexp_matches(command, '^(git|cargo) [^|&;<>]*$')"""
