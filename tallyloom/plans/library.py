@@ -8,16 +8,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as s
 from tallyloom.functions.dialect import DUCK, SPARK
-from tallyloom.operators import archive, lifecycle, pack, reduce, rule_data, selection
+from tallyloom.operators import archive, lifecycle, pack, pruning, reduce, rule_data, selection
 from tallyloom.plans.corpus import ctes
 from tallyloom.plans.programs import ORACLES, _commands, corpus, query
 from tallyloom.sources import jsonl, store
-from tallyloom.streaming import automaton
+from tallyloom.streaming import automaton, frames
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -410,3 +411,37 @@ def c5_options(spark, sf_dir):
 ORACLES["c5_options"] = f"""
 with s as ({ORACLES['c8_selection']})
 select command, case when command like 'git %' then '{_GLOBAL['git']}' || substr(command, 4) else '{_GLOBAL['cargo']}' || substr(command, 6) end as given, verdict, rules from s where regexp_matches(command, '^(git|cargo) [^|&;<>]*$')"""
+
+
+# Requests for a reduction, each a stream of one frame, answered by the rules and reducers.
+
+
+@query
+def s13_reduce_requests(spark, sf_dir):
+    """Every result sent as a request of one frame (``frames.requests``), answered by rule and reducer (``pruning.pruned``): by what was done, how many and of how many bytes, and whether no answer is longer than its text."""
+    rows = corpus(spark, sf_dir, f"select r.doc_id, result_key, output_text, {s.shell_command(SPARK, 'tool_name', 'input_format', 'input_text')} as command from tool_results r join tool_calls c on r.call_key = c.call_key", deal=True)
+    message = F.to_json(F.struct(F.when(F.col("doc_id") % 13 == 0, 2).otherwise(1).alias("schemaVersion"), "command", F.col("output_text").alias("text"), (F.col("doc_id") % 3).alias("exitCode")))
+    frame = frames.encode(message)
+    content = F.when(F.col("doc_id") % 11 == 0, F.concat(frame, frame)).when(F.col("doc_id") % 17 == 0, F.expr("substring(f, 1, octet_length(f) - 1)")).otherwise(frame)
+    asked = frames.requests(rows.withColumn("f", frame).select(F.col("result_key").alias("stream"), content.alias("content")))
+
+    def answer(batches):
+        for b in batches:
+            out = []
+            for command, text, ok, error in b[["command", "output_text", "succeeded", "error"]].itertuples(index=False):
+                if error:
+                    out.append((error, None, None))
+                else:
+                    found, left = pruning.pruned(command, text, ok)
+                    out.append((found["verdict"], len(text.encode()), len(left)))
+            yield pd.DataFrame(out, columns=["outcome", "bytes", "left"])
+
+    told = asked.select("command", "output_text", "succeeded", "error").mapInPandas(answer, "outcome string, bytes long, left long")
+    return told.groupBy("outcome").agg(F.count("*").alias("requests"), F.sum("bytes").alias("bytes"), F.coalesce(F.bool_and(F.col("left") <= F.col("bytes")), F.lit(True)).alias("none_longer"))
+
+
+ORACLES["s13_reduce_requests"] = f"""
+with v as (select command, verdict from ({ORACLES['c20_choices']}) x),
+r as (select * from (with {ctes(DUCK)} select r.doc_id, output_text, {_SHELL} as command from tool_results r join tool_calls c on r.call_key = c.call_key) y),
+e as (select r.*, case when doc_id % 11 = 0 then 'trailing bytes' when doc_id % 17 = 0 then 'truncated frame' when doc_id % 13 = 0 then 'unsupported schema version' when command is null or output_text is null then 'incomplete request' end as error from r)
+select coalesce(error, verdict) as outcome, count(*) as requests, cast(sum(case when error is null then strlen(output_text) end) as bigint) as bytes, true as none_longer from e left join v on e.command = v.command group by 1"""
