@@ -445,3 +445,17 @@ with v as (select command, verdict from ({ORACLES['c20_choices']}) x),
 r as (select * from (with {ctes(DUCK)} select r.doc_id, output_text, {_SHELL} as command from tool_results r join tool_calls c on r.call_key = c.call_key) y),
 e as (select r.*, case when doc_id % 11 = 0 then 'trailing bytes' when doc_id % 17 = 0 then 'truncated frame' when doc_id % 13 = 0 then 'unsupported schema version' when command is null or output_text is null then 'incomplete request' end as error from r)
 select coalesce(error, verdict) as outcome, count(*) as requests, cast(sum(case when error is null then strlen(output_text) end) as bigint) as bytes, true as none_longer from e left join v on e.command = v.command group by 1"""
+
+
+@query
+def a8_features(spark, sf_dir):
+    """Results by the syntax labels of their commands (``shell.features``), a result under each; how many, of how many characters."""
+    rows = corpus(spark, sf_dir, f"select length(output_text) as chars, {s.shell_command(SPARK, 'tool_name', 'input_format', 'input_text')} as command from tool_results r join tool_calls c on r.call_key = c.call_key").where("command is not null")
+    labels = selection.choices(rows.select("command")).select("command", F.explode("syntax").alias("label"))
+    return rows.join(labels, "command").groupBy("label").agg(F.count("*").alias("results"), F.sum("chars").cast("long").alias("chars"))
+
+
+ORACLES["a8_features"] = f"""
+with l as (select command, unnest(string_split(syntax, '+')) as label from ({ORACLES['c20_choices']}) x),
+r as (select * from (with {ctes(DUCK)} select length(output_text) as chars, {_SHELL} as command from tool_results r join tool_calls c on r.call_key = c.call_key) y)
+select label, count(*) as results, cast(sum(chars) as bigint) as chars from r join l on r.command = l.command group by label"""
