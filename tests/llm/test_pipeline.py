@@ -34,6 +34,8 @@ def test_stages(spark, tmp_path):
     near = [r for r in tables[1] if any(w in (r[1] or "").lower() for w in ("a", "e"))]
     bad = {d for d, _ in leaks([(r[0], r[1]) for r in near if len(r[1]) <= 600], bench)}
     assert not bad & {r[0] for r in tables[2]} and set(tables[2]) <= set(tables[1])
+    gone = [(r[0], r[1]) for r in tables[1] if r[0] not in {x[0] for x in tables[2]} and len(r[1]) <= 3000]
+    assert gone and {d for d, _ in leaks(gone, bench)} == {d for d, _ in gone} and len(tables[2]) > 0.8 * len(tables[1])  # no clean document goes
     for old, new in zip(sorted(tables[2]), sorted(tables[3]), strict=True):
         spans = secrets.scan(old[1])[1]
         assert new[1] == (secrets.redact(old[1], spans)) and bool(spans) == bool(re.search(r"\[(assign|access|hex|named)\]", new[1]))
