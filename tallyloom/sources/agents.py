@@ -215,9 +215,17 @@ def merge_outputs(rows: list[dict]) -> list[dict]:
     return [out]
 
 
+#: Characters that JSON escapes by number: such texts take the way of calls with several records.
+_NUMBERED = r"[\x00-\x07\x0b\x0e-\x1f]"
+
+
 def reconcile(results: DataFrame) -> DataFrame:
-    """call_key, returned_at_ms, is_error, output_text, output_json, result_sha256, result_key after merging each call's records."""
+    """call_key, returned_at_ms, is_error, output_text, output_json, result_sha256, result_key after merging each call's records.
+
+    A call with one record, as nearly all are, is that record; only calls with several are folded in Python.
+    """
     schema = "call_key string, returned_at_ms long, is_error boolean, output_text string, output_json string, result_sha256 string, result_key string"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
@@ -225,10 +233,19 @@ def reconcile(results: DataFrame) -> DataFrame:
         for r in merge_outputs(rows):
             digest = sha256(canonical({"is_error": r["is_error"], "json": r["output_json"], "text": r["output_text"]}))
             out.append((r["call_key"], r["at_ms"], r["is_error"], r["output_text"], r["output_json"], digest, key("result", r["call_key"], bytes.fromhex(digest))))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        return pd.DataFrame(out, columns=names)
 
     cols = ("call_key", "role", "native_kind", "at_ms", "line_no", "item", "is_error", "output_text", "output_json")
-    return results.where("call_key is not null").select(*cols).groupBy("call_key").applyInPandas(run, schema)
+    own = results.where("call_key is not null").select(*cols)
+    odd = F.coalesce(F.col("output_text").rlike(_NUMBERED), F.lit(False)) | F.coalesce(F.col("output_json").rlike(_NUMBERED), F.lit(False))
+    calls = own.groupBy("call_key").agg((F.count("*") + F.count_if(odd)).alias("n"), F.min_by(F.struct(*cols[1:]), F.struct("line_no", "item")).alias("r"))
+    one = calls.where("n = 1").select("call_key", F.col("r.at_ms").alias("returned_at_ms"), "r.is_error", "r.output_text", "r.output_json")
+    text = F.to_json(F.struct(F.col("is_error"), F.col("output_json").alias("json"), F.col("output_text").alias("text")), {"ignoreNullFields": "false"})
+    one = one.withColumn("result_sha256", F.sha2(text, 256))
+    sized = lambda c: F.concat(F.lpad(F.hex(F.octet_length(c).cast("long")), 16, "0"), F.hex(F.encode(c, "UTF-8")))
+    one = one.withColumn("result_key", F.sha2(F.unhex(F.concat(sized(F.lit("result")), sized(F.col("call_key")), F.lit("0" * 14 + "20"), "result_sha256")), 256))
+    several = own.join(calls.where("n > 1").select("call_key"), "call_key", "left_semi").groupBy("call_key").applyInPandas(run, schema)
+    return one.select(*names).unionByName(several)
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes]]:

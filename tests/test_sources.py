@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import sqlite3
 
 from pyspark.sql import functions as F
@@ -151,3 +152,19 @@ def test_json_rules():
     assert rendered([{"type": "text", "text": "a"}, {"type": "image"}]) == "a" and rendered([]) is None
     assert pruned({"a": None, "b": {"c": []}, "d": {"x": 1, "y": 2}}, frozenset("x")) == {"d": {"y": 2}}
     assert bounded("é" * 400).encode()[:512].decode(errors="ignore") == "é" * 256
+
+
+def test_single_records_as_folds(spark):
+    """Calls with one record, worked out by Spark, are what the fold makes of them."""
+    r = random.Random(4)
+    texts = [None, "", "plain", 'quote " back \\ slash /', "line\nfeed\ttab\r\x08\x0c", "é 日 🙂", "\x01 control", "\x7f", "</x> & '"]
+    rows = [(f"c{i}", r.choice(["result", "projection"]), "k", r.choice([None, i]), i, 0, r.choice([None, True, False]), r.choice(texts), r.choice([None, '{"a":1}', '{"b":"\\u0001"}'])) for i in range(150)]
+    rows += [(f"c{i}", "projection", "k", 9, 500 + i, 0, None, "other", None) for i in range(0, 150, 10)]
+    df = spark.createDataFrame(rows, "call_key string, role string, native_kind string, at_ms long, line_no long, item long, is_error boolean, output_text string, output_json string")
+    got = {x["call_key"]: tuple(x) for x in agents.reconcile(df).collect()}
+    names = df.columns
+    for c in {x[0] for x in rows}:
+        (m,) = agents.merge_outputs([dict(zip(names, x, strict=True)) for x in rows if x[0] == c])
+        digest = agents.sha256(agents.canonical({"is_error": m["is_error"], "json": m["output_json"], "text": m["output_text"]}))
+        assert got[c] == (c, m["at_ms"], m["is_error"], m["output_text"], m["output_json"], digest, agents.key("result", c, bytes.fromhex(digest)))
+    assert len(got) == 150
