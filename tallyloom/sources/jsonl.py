@@ -110,3 +110,25 @@ def lines(scanned: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame
     valid = F.expr("is_valid_utf8(cast(raw as string)) and try_parse_json(cast(raw as string)) is not null")
     blank = F.trim(F.regexp_replace(F.col("raw").cast("string"), r"[\t\r\x0b\x0c]", " ")) == ""
     return rows.where(~blank).select("path", "line_no", "byte_offset", F.expr("make_valid_utf8(cast(raw as string))").alias("record"), F.sha2("raw", 256).alias("record_sha256"), F.coalesce(valid, F.lit(False)).alias("valid"), "reset")
+
+
+def decisions(scanned: DataFrame, checkpoints: DataFrame, version: int = 1) -> DataFrame:
+    """path, decision (new, resume or reset), start, message of scanned files against their checkpoints (with a version, or of this one).
+
+    A reset starts at 0 and says why: another version of the reader or a file shorter than what was read of it, no digest, lines that end
+    before the checkpoint does, or other bytes before it.
+    """
+    known = checkpoints.select("path", F.col("offset").alias("_o"), F.col("digest").alias("_d"), (F.col("version") if "version" in checkpoints.columns else F.lit(version)).alias("_v"))
+    now = scanned.join(known, "path", "left").groupBy("path", "_o", "_d", "_v").agg(F.max("size").alias("size"), F.max("end").alias("end"), F.sum(F.when(F.col("end") <= F.col("_o"), _digest())).cast("decimal(38,0)").alias("now"))
+    message = F.when((F.col("_v") != version) | (F.col("_o") > F.col("size")), "source identity changed").when(F.col("_d").isNull(), "no digest of the checkpoint").when(F.col("end") < F.col("_o"), "lines end before the checkpoint").when(~F.col("now").eqNullSafe(F.col("_d")), "bytes before the checkpoint changed")
+    message = F.when(F.col("_o").isNotNull(), message)
+    decision = F.when(F.col("_o").isNull(), "new").when(F.col("message").isNotNull(), "reset").otherwise("resume")
+    return now.withColumn("message", message).select("path", decision.alias("decision"), F.when(decision == "resume", F.col("_o")).otherwise(F.lit(0)).alias("start"), "message")
+
+
+def issues(decided: DataFrame, read: DataFrame) -> DataFrame:
+    """path, code, line_no, byte_offset, record_sha256, message of an import: resets, and lines (``lines``) that are no JSON."""
+    none = lambda kind: F.lit(None).cast(kind)
+    resets = decided.where("decision = 'reset'").select("path", F.lit("checkpoint_reset").alias("code"), none("long").alias("line_no"), none("long").alias("byte_offset"), none("string").alias("record_sha256"), "message")
+    bad = read.where("not valid").select("path", F.lit("malformed_jsonl").alias("code"), "line_no", "byte_offset", "record_sha256", F.lit("no JSON").alias("message"))
+    return resets.unionByName(bad)

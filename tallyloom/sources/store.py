@@ -148,3 +148,24 @@ def transcript_check(calls: DataFrame, transcript: DataFrame) -> DataFrame:
     b = transcript.select("session_id", place.alias("place"), F.struct("tool_name", "input_text").alias("b"))
     verdict = F.when(F.col("a").isNull() | F.col("b").isNull(), "count").when(F.col("a") == F.col("b"), "validated").otherwise("mismatch")
     return a.join(b, ["session_id", "place"], "full").select("session_id", "place", verdict.alias("verdict"))
+
+
+def transcript_records(calls: DataFrame, transcript: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, issues) of transcripts' tool uses against stored calls, by position.
+
+    calls: (session_id, line_no, item, call_key, tool_name, input_text); transcript: without call_key. A use that is its place's call
+    observes that call. A line with a use that isn't, or that has no call left, is one issue (its first); a session whose transcript ends before
+    its calls do is one more. Sessions without calls are no transcript's.
+    """
+    place = F.expr("row_number() over (partition by session_id order by line_no, item)")
+    a = calls.select("session_id", place.alias("place"), "call_key", F.struct("tool_name", "input_text").alias("a"))
+    known = calls.groupBy("session_id").agg(F.count("*").alias("calls"))
+    b = transcript.select("session_id", place.alias("place"), "line_no", "item", F.struct(F.coalesce("tool_name", F.lit("")).alias("tool_name"), "input_text").alias("b"))
+    met = b.join(known, "session_id").join(a, ["session_id", "place"], "left").withColumn("same", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))
+    observations = met.where("same").select("session_id", "call_key", (F.col("place") - 1).alias("sequence_number"), "line_no", F.col("item").alias("content_index"), F.lit("transcript.tool_use").alias("native_record_kind"))
+    message = F.when(F.col("place") > F.col("calls"), "more calls than the store has").otherwise("a call that the store has otherwise")
+    wrong = met.where("not same").groupBy("session_id", "line_no").agg(F.min_by(message, "item").alias("message"))
+    short = b.groupBy("session_id").agg(F.count("*").alias("n")).join(known, "session_id").where("n < calls")
+    issues = wrong.select("session_id", F.lit("cursor_transcript_mismatch").alias("code"), "line_no", "message")
+    issues = issues.unionByName(short.select("session_id", F.lit("cursor_transcript_count_mismatch").alias("code"), F.lit(None).cast("long").alias("line_no"), F.lit("fewer calls than the store has").alias("message")))
+    return observations, issues

@@ -8,7 +8,7 @@ import sqlite3
 from pyspark.sql import functions as F
 
 from tallyloom.functions.json_text import bounded, canonical, key, millis, pruned, rendered
-from tallyloom.sources import agents, jsonl
+from tallyloom.sources import agents, jsonl, store
 
 J = json.dumps
 
@@ -168,3 +168,37 @@ def test_single_records_as_folds(spark):
         digest = agents.sha256(agents.canonical({"is_error": m["is_error"], "json": m["output_json"], "text": m["output_text"]}))
         assert got[c] == (c, m["at_ms"], m["is_error"], m["output_text"], m["output_json"], digest, agents.key("result", c, bytes.fromhex(digest)))
     assert len(got) == 150
+
+
+def test_decisions_and_issues(spark, tmp_path):
+    """Every reason for which a file starts again, and the lines that are no records."""
+    texts = {"same": "{}\n{}\n", "grown": "{}\n{}\n", "short": "{}\n{}\n{}\n", "other": "{}\n{}\n", "open": "{}\n{}\n", "digest": "{}\n", "version": "{}\n"}
+    for n, t in texts.items():
+        (tmp_path / f"{n}.jsonl").write_text(t)
+    paths = [str(tmp_path / f"{n}.jsonl") for n in texts]
+    known = jsonl.checkpoints(jsonl.scan(spark, paths)).withColumn("version", F.when(F.col("path").contains("/version."), 0).otherwise(1)).withColumn("digest", F.when(~F.col("path").contains("/digest."), F.col("digest")))
+    rows, shape = known.collect(), known.schema
+    (tmp_path / "grown.jsonl").write_text("{}\n{}\nbroken\n")
+    (tmp_path / "short.jsonl").write_text("{}\n")
+    (tmp_path / "other.jsonl").write_text("[]\n{}\n")
+    (tmp_path / "open.jsonl").write_text("{}\n{} ")
+    (tmp_path / "new.jsonl").write_text("nothing\n")
+    scanned = jsonl.scan(spark, [*paths, str(tmp_path / "new.jsonl")])
+    decided = jsonl.decisions(scanned, spark.createDataFrame(rows, shape))
+    name = lambda p: p.rsplit("/", 1)[1].split(".")[0]
+    assert {name(r["path"]): (r["decision"], r["start"], r["message"]) for r in decided.collect()} == {
+        "same": ("resume", 6, None), "grown": ("resume", 6, None), "new": ("new", 0, None), "short": ("reset", 0, "source identity changed"), "other": ("reset", 0, "bytes before the checkpoint changed"),
+        "open": ("reset", 0, "lines end before the checkpoint"), "digest": ("reset", 0, "no digest of the checkpoint"), "version": ("reset", 0, "source identity changed"),
+    }
+    found = jsonl.issues(decided, jsonl.lines(scanned, spark.createDataFrame(rows, shape)))
+    assert sorted((r["code"], name(r["path"]), r["line_no"] or 0) for r in found.collect()) == [("checkpoint_reset", n, 0) for n in ("digest", "open", "other", "short", "version")] + [("malformed_jsonl", "grown", 3), ("malformed_jsonl", "new", 1)]
+
+
+def test_transcripts(spark):
+    """A transcript's tool uses observe the stored calls or are issues: another call, more, fewer."""
+    calls = [(s, i, 0, f"{s}{i}", "sh", f"{i}") for s in "abcd" for i in range(1, 4)]
+    used = [("a", 1, 0, "sh", "1"), ("a", 1, 1, "sh", "2"), ("a", 5, 0, "sh", "3"), ("b", 1, 0, "sh", "1"), ("b", 2, 0, "sh", "x"), ("b", 2, 1, "zz", "3"), ("c", 1, 0, "sh", "1"), ("d", 1, 0, "sh", "1"), ("d", 2, 0, "sh", "2"), ("d", 3, 0, "sh", "3"), ("d", 4, 0, "sh", "4"), ("d", 4, 1, "sh", "5"), ("d", 9, 0, None, "6"), ("e", 1, 0, "sh", "1")]
+    seen, issues = store.transcript_records(spark.createDataFrame(calls, "session_id string, line_no long, item long, call_key string, tool_name string, input_text string"), spark.createDataFrame(used, "session_id string, line_no long, item long, tool_name string, input_text string"))
+    assert sorted((r["call_key"], r["sequence_number"], r["line_no"], r["content_index"]) for r in seen.collect()) == [("a1", 0, 1, 0), ("a2", 1, 1, 1), ("a3", 2, 5, 0), ("b1", 0, 1, 0), ("c1", 0, 1, 0), ("d1", 0, 1, 0), ("d2", 1, 2, 0), ("d3", 2, 3, 0)]
+    more, other, fewer = "more calls than the store has", "a call that the store has otherwise", "fewer calls than the store has"
+    assert sorted((r["session_id"], r["line_no"] or 0, r["message"]) for r in issues.collect()) == [("b", 2, other), ("c", 0, fewer), ("d", 4, more), ("d", 9, more)]
