@@ -459,3 +459,56 @@ ORACLES["a8_features"] = f"""
 with l as (select command, unnest(string_split(syntax, '+')) as label from ({ORACLES['c20_choices']}) x),
 r as (select * from (with {ctes(DUCK)} select length(output_text) as chars, {_SHELL} as command from tool_results r join tool_calls c on r.call_key = c.call_key) y)
 select label, count(*) as results, cast(sum(chars) as bigint) as chars from r join l on r.command = l.command group by label"""
+
+
+@query
+def r18_summaries(spark, sf_dir):
+    """What every summary of every result says of its text (``reduce.summarise``, three families): its lines and diagnostic terms; and whether it keeps its budget."""
+    rows = corpus(spark, sf_dir, "select result_key, output_text from tool_results", deal=True)
+
+    def run(batches):
+        policy = reduce.Policy()
+        for b in batches:
+            out = []
+            for key, text in b.itertuples(index=False):
+                for family in ("log", "test", "search"):
+                    small = reduce.summarise(family, text.encode(), policy, False)
+                    head = small.split(b"]", 1)[0].decode().removeprefix(f"[summary: {family}; source_lines=").split("; source_terms=")
+                    out.append((key, family, int(head[0]), head[1] if len(head) > 1 else "", len(small) <= policy.output))
+            yield pd.DataFrame(out, columns=["result_key", "family", "source_lines", "terms", "fits"])
+
+    return rows.mapInPandas(run, "result_key string, family string, source_lines long, terms string, fits boolean")
+
+
+_TERMS = " || ".join(f"case when contains(lower(output_text), '{t}') then ',{t}' else '' end" for t in s.DIAGNOSTIC_TERMS)
+ORACLES["r18_summaries"] = f"""
+with {ctes(DUCK)},
+l as (select result_key, len(string_split(output_text, chr(10))) - case when output_text like '%' || chr(10) then 1 else 0 end as n, {_TERMS} as terms from tool_results)
+select result_key, family, n as source_lines, substr(terms, 2) as terms, true as fits from l, (values ('log'), ('test'), ('search')) f(family)"""
+
+
+@query
+def q9_read_bytes(spark, sf_dir):
+    """A range of bytes of every call's stored output (``archive.sources``, ``archive.read_bytes``), or why there is none."""
+    rows = corpus(spark, sf_dir, "select call_key, output_text from first_results", deal=True)
+    snaps = rows.select("call_key", F.lit("result_text").alias("subject"), F.lit("before").alias("stage"), F.lit("complete").alias("completeness"), F.encode("output_text", "UTF-8").alias("body"))
+    found = archive.sources(*archive.store(snaps)).select("call_key", "body")
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for key, raw in b.itertuples(index=False):
+                start = int(key) % 1000
+                try:
+                    out.append((key, archive.read_bytes(bytes(raw), start, start + 24).hex(), None))
+                except ValueError as e:
+                    out.append((key, None, str(e)))
+            yield pd.DataFrame(out, columns=["call_key", "bytes", "error"])
+
+    return found.mapInPandas(cut, "call_key string, bytes string, error string")
+
+
+ORACLES["q9_read_bytes"] = f"""
+with {ctes(DUCK)}
+select call_key, case when strlen(output_text) >= doc_id % 1000 + 24 then lower(substr(hex(encode(output_text)), 2 * (doc_id % 1000) + 1, 48)) end as bytes,
+  case when strlen(output_text) < doc_id % 1000 + 24 then 'range beyond the source' end as error from first_results"""
