@@ -17,7 +17,7 @@ from tallyloom.functions.dialect import DUCK, SPARK
 from tallyloom.operators import archive, lifecycle, pack, pruning, reduce, rule_data, selection
 from tallyloom.plans.corpus import ctes
 from tallyloom.plans.programs import ORACLES, _commands, corpus, query
-from tallyloom.sources import jsonl, store
+from tallyloom.sources import agents, jsonl, store
 from tallyloom.streaming import automaton, frames
 
 
@@ -512,3 +512,70 @@ ORACLES["q9_read_bytes"] = f"""
 with {ctes(DUCK)}
 select call_key, case when strlen(output_text) >= doc_id % 1000 + 24 then lower(substr(hex(encode(output_text)), 2 * (doc_id % 1000) + 1, 48)) end as bytes,
   case when strlen(output_text) < doc_id % 1000 + 24 then 'range beyond the source' end as error from first_results"""
+
+
+# Logs of three agents, written from the documents and read back by their adapters.
+
+_HEADS = {
+    "codex": "named_struct('type', 'session_meta', 'payload', named_struct('id', session))",
+    "pi": "named_struct('type', 'session', 'version', 3, 'id', session)",
+    "claude": "named_struct('type', 'summary', 'sessionId', session)",
+}
+_CALLS = {
+    "codex": "named_struct('type', 'response_item', 'payload', named_struct('type', 'function_call', 'call_id', id, 'name', 'exec_command', 'arguments', concat('{\"cmd\":\"', lang, '\"}')))",
+    "pi": "named_struct('type', 'message', 'id', concat('c', id), 'message', named_struct('role', 'assistant', 'content', array(named_struct('type', 'toolCall', 'id', id, 'name', 'bash', 'arguments', named_struct('command', lang)))))",
+    "claude": "named_struct('type', 'assistant', 'sessionId', session, 'uuid', concat('c', id), 'message', named_struct('content', array(named_struct('type', 'tool_use', 'id', id, 'name', 'Bash', 'input', named_struct('command', lang)))))",
+}
+_RESULTS = {
+    "codex": "named_struct('type', 'response_item', 'payload', named_struct('type', 'function_call_output', 'call_id', id, 'output', text))",
+    "pi": "named_struct('type', 'message', 'id', concat('r', id), 'parentId', concat('c', id), 'message', named_struct('role', 'toolResult', 'toolCallId', id, 'isError', doc_id % 7 = 0, 'content', text))",
+    "claude": "named_struct('type', 'user', 'sessionId', session, 'message', named_struct('content', array(named_struct('type', 'tool_result', 'tool_use_id', id, 'is_error', doc_id % 7 = 0, 'content', text))))",
+}
+
+
+@query
+def s6_agent_logs(spark, sf_dir):
+    """Logs of three agents: every document a call and its result (some without the other, some results ahead of their calls), scanned, read, paired and merged (``jsonl``, ``agents``)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "cast(doc_id as string) as id", "coalesce(text, '') as text", "lang", "element_at(array('codex', 'pi', 'claude'), cast(doc_id % 3 + 1 as int)) as agent", "source")
+    docs = docs.withColumn("session", F.concat_ws("/", "agent", "source"))
+    heads = docs.select("agent", "session").distinct()
+    out, folder = None, scratch(spark, "s6")
+    for agent in ("codex", "pi", "claude"):
+        own, head = docs.where(F.col("agent") == agent), heads.where(F.col("agent") == agent)
+        early = F.when(F.col("doc_id") % 10 == 4, -1).otherwise(1)
+        lines = head.select("session", F.lit(-1).cast("long").alias("n"), F.lit(0).alias("k"), F.expr(f"to_json({_HEADS[agent]})").alias("value"))
+        lines = lines.unionByName(own.where("doc_id % 83 <> 0").select("session", F.col("doc_id").alias("n"), F.lit(0).alias("k"), F.expr(f"to_json({_CALLS[agent]})").alias("value")))
+        lines = lines.unionByName(own.where("doc_id % 89 <> 0").select("session", F.col("doc_id").alias("n"), early.alias("k"), F.expr(f"to_json({_RESULTS[agent]})").alias("value")))
+        lines.repartition("session").sortWithinPartitions("session", "n", "k").select("session", "value").write.partitionBy("session").text(f"{folder}/{agent}")
+        paths = [r["path"] for r in jsonl.files(spark, f"{folder}/{agent}", "part-*.txt").select("path").collect()]  # a file for each source
+        if not paths:
+            continue
+        found = agents.events(jsonl.lines(jsonl.scan(spark, paths)), agent)
+        results = agents.paired(found, agents.calls(found, agent))
+        merged = agents.reconcile(results).select("call_key", F.col("is_error").alias("failed"), F.sha2(F.col("output_text"), 256).alias("digest"))
+        told = results.join(merged, "call_key", "left").select(F.lit(agent).alias("agent"), "session_id", "native_call_id", "issue", F.octet_length("output_text").cast("long").alias("bytes"), "failed", "digest")
+        out = told if out is None else out.unionByName(told)
+    return out if out is not None else spark.createDataFrame([], "agent string, session_id string, native_call_id string, issue string, bytes long, failed boolean, digest string")
+
+
+ORACLES["s6_agent_logs"] = """
+with d as (select doc_id, coalesce(text, '') as text, source, case doc_id % 3 when 0 then 'codex' when 1 then 'pi' else 'claude' end as agent from documents where doc_id % 89 <> 0)
+select agent, agent || '/' || source as session_id, cast(doc_id as varchar) as native_call_id, case when doc_id % 83 = 0 then 'result_without_call' end as issue, strlen(text) as bytes,
+  case when doc_id % 83 <> 0 and agent <> 'codex' then doc_id % 7 = 0 end as failed, case when doc_id % 83 <> 0 then sha256(text) end as digest from d"""
+
+
+@query
+def k7_commits(spark, sf_dir):
+    """Calls and results committed in three versions (``store.commit``, ``store.merged``), read back: every key once, as its first version had it."""
+    base = scratch(spark, "k7")
+    calls, results = corpus(spark, sf_dir, "select call_key, doc_id, tool_name from tool_calls"), corpus(spark, sf_dir, "select result_key, call_key, length(output_text) as chars from tool_results")
+    for turn in range(3):
+        part = calls.where(F.col("doc_id") % 3 <= turn).select("call_key", F.lit(turn).alias("version"), "tool_name")
+        store.commit(spark, base, lambda old, part=part, turn=turn: {"tool_calls": store.merged(old("tool_calls"), part, "call_key", ("version",)), **({"tool_results": results} if turn == 1 else {})})
+    left = store.read(spark, base, "tool_results").groupBy("call_key").agg(F.sum("chars").alias("chars"))
+    return store.read(spark, base, "tool_calls").join(left, "call_key", "left")
+
+
+ORACLES["k7_commits"] = f"""
+with {ctes(DUCK)}, r as (select call_key, cast(sum(length(output_text)) as bigint) as chars from tool_results group by call_key)
+select c.call_key, doc_id % 3 as version, tool_name, chars from tool_calls c left join r on c.call_key = r.call_key"""
