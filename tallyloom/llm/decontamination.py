@@ -12,9 +12,11 @@ substituted, and wherever a piece's substitutions are, some mask finds a place b
 
 Before the join the training side passes a bit filter of the test side's seeds (16 bits a seed, 16 MB at
 most, whatever the benchmark's size), so few seeds of texts travel: those of hits and one in 16 or less of
-the rest. Spark splits seeds that are frequent in the join. Hits meet the texts by doc_id and text hash, in
-a broadcast only where their table has no more than ``BROADCAST_ROWS`` rows; the driver holds the filter
-alone.
+the rest. Spark splits seeds that are frequent in the join. Where a text repeats one token over and over, the
+places farther than the longest item from both ends of the run are left out: the item meets the same tokens there as at the
+places that are kept, so none of them is the first of the longest. Hits meet the texts by doc_id and text hash, in
+a broadcast only where their table has no more than ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` (token hashes, which hardly
+compress); the driver holds the filter alone.
 
 Edge cases: items of fewer than ``LEAST`` tokens are sought whole, by the masks ``SHORT_MASKS``; those of
 fewer than ``SHORT`` match nothing; null and empty texts and items match nothing; rows without doc_id,
@@ -44,6 +46,7 @@ SHORT, LEAST, PENALTY = 6, 13, 4
 FILTER_LEAST, FILTER_MOST, PIECE = 16, 27, 19
 #: Rows of texts with hits that are broadcast (a few items' tokens each); items of a text are in so many rows at most.
 BROADCAST_ROWS, SPREAD = 50_000, 8
+BROADCAST_BYTES = 16 << 20
 _APART = SPACE.copy()
 _APART[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
@@ -123,21 +126,33 @@ def _piece(table: pa.Table) -> pa.Table:
     return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
-def _training_side(power: int, taken: np.ndarray):
-    """(doc_id, text_key, seed, place) of texts' seeds that pass the filter."""
+def runs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every word where the run of equal words that it is in begins, and where it ends; runs end with their text (first: where texts begin)."""
+    n = len(words)
+    new = np.ones(n, bool)
+    new[1:] = words[1:] != words[:-1]
+    new[first[first < n]] = True
+    starts = np.flatnonzero(new)
+    which = np.cumsum(new) - 1
+    return starts[which], np.append(starts[1:], n)[which]
+
+
+def _training_side(power: int, taken: np.ndarray, longest: int):
+    """(doc_id, text_key, seed, place) of texts' seeds that pass the filter, but for those deep inside a run of one word. longest: tokens of an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             low = [_lower(t) for t in b.column("text").to_pylist()]
             for a, z in chunks(low):
                 w = Words(low[a:z], lower=False, apart=_APART)
+                begin, end = runs(w.hashes, w.first)
                 found = []
                 for s in range(len(SHAPES)):
                     x = seeds(w.hashes, s)
                     slot = (x >> np.uint64(64 - power)).astype(np.int64)
                     at = np.flatnonzero(taken[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
                     text = np.searchsorted(w.first, at, side="right") - 1
-                    inside = at + SPANS[s] <= w.first[text + 1]
+                    inside = (at + SPANS[s] <= w.first[text + 1]) & ((at - begin[at] <= longest) | (end[at] - at - SPANS[s] <= longest))
                     at, text = at[inside], text[inside]
                     found.append((x[at].view(np.int64), text, at - w.first[text]))
                 h, text, place = (np.concatenate(v) for v in zip(*found, strict=True))
@@ -181,12 +196,13 @@ def _overlaps(work: Workspace, docs: DataFrame, benchmark: DataFrame) -> DataFra
     taken = np.zeros(max(1 << PIECE, 1 << power) >> 3, np.uint8)
     for r in slots.groupBy("piece").applyInArrow(_piece, "piece long, bits binary").collect():  # 16 MB at most
         taken[r["piece"] << PIECE >> 3 : (r["piece"] + 1) << PIECE >> 3] = np.frombuffer(r["bits"], np.uint8)
-    hits = rows.mapInArrow(_training_side(power, taken), "doc_id long, text_key long, seed long, place long").join(tests, "seed")
+    longest = (items.agg(F.max(F.octet_length("tokens"))).first()[0] or 0) // 8
+    hits = rows.mapInArrow(_training_side(power, taken, longest), "doc_id long, text_key long, seed long, place long").join(tests, "seed")
     hits = hits.groupBy("doc_id", "text_key", "item").agg(F.array_sort(F.collect_set(F.col("place") - F.col("offset"))).alias("diagonals"))
     hits = hits.join(items, "item").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(SPREAD)))
     hits = hits.groupBy("doc_id", "text_key", "part").agg(F.collect_list(F.struct("item_id", "tokens", "diagonals")).alias("items"))
     hits = work.write(hits.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "items"), "hits")
-    if hits.count() <= BROADCAST_ROWS:
+    if work.size("hits") <= BROADCAST_BYTES and hits.count() <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     met = rows.join(hits, rows["doc_id"].eqNullSafe(hits["id_"]) & (rows["text_key"] == hits["key_"])).select("doc_id", "text_key", "text", "items")
     found = work.write(met.mapInArrow(_verified, _KEYED), "found")

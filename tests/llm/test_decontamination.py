@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -123,3 +124,28 @@ def test_repeats_and_nulls(spark):
     assert sorted(found, key=str) == sorted([(d, i, i or 0) for d in (None, 3) for i, _ in items], key=str)
     left = dc.clean(spark, docs, bench)
     assert left.columns == docs.columns and sorted(r["id_"] for r in left.collect()) == [2, 4, 5]
+
+
+def test_runs_of_one_word(spark):
+    """A long run of one word meets an item that repeats it at its ends only; the overlap is the first of the longest all the same."""
+    item = ["x"] * 40
+    mixed = ["a", "b"] + ["x"] * 20 + ["c", "d"] + ["x"] * 9 + ["e"]
+    items = [(1, " ".join(item)), (2, " ".join(mixed)), (3, " ".join(["x"] * 7)), (4, " ".join(words(30)))]
+    rows = [(1, " ".join(["x"] * 160_000)), (2, " ".join(words(9) + ["x"] * 500 + words(4))), (3, " ".join(["x"] * 90 + mixed[2:] + ["x"] * 200)), (4, " ".join(mixed * 3)), (5, " ".join(["y"] * 50_000)), (6, " ".join(["x"] * 12)), (7, " ".join(["x y"] * 300))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    began = time.time()
+    found = {(r["doc_id"], r["item_id"]): (r["start"], r["length"], r["n_equal"]) for r in dc.contaminated(spark, docs, bench).collect()}
+    assert time.time() - began < 30
+    hashes = {k: dc.words_of([t]).hashes for k, t in [*((("d", d), t) for d, t in rows), *((("i", i), t) for i, t in items)]}
+    for d, _ in rows:
+        for i, _ in items:
+            text, own = hashes["d", d], hashes["i", i]
+            shapes = range(len(dc.MASKS)) if len(own) >= dc.LEAST else range(len(dc.MASKS), len(dc.SHAPES))
+            best = []
+            for diagonal in [*range(-len(own) + 1, min(len(text), 700)), *range(max(700, len(text) - 700), len(text))]:
+                a, b = max(0, diagonal), min(len(text), diagonal + len(own))
+                eq = text[a:b] == own[a - diagonal : b - diagonal]
+                if any(all(eq[p + j] for j in dc.SHAPES[s]) for s in shapes for p in range(len(eq) - dc.SPANS[s] + 1)):
+                    got = dc.overlap(text, own, diagonal)
+                    best += [got] if got else []
+            assert found.get((d, i)) == (min(best, key=lambda g: (-g[1], g[0])) if best else None), (d, i)
