@@ -319,7 +319,9 @@ def s11_automaton(spark, sf_dir):
     record = """case when seq % 397 = 0 then 'stream_end' when n % 5 = 1 then 'source_start' when n % 5 in (2, 3) then case event_type when 'view' then 'tool_call' when 'click' then 'tool_result' else 'session' end
       when n % 5 = 4 then case event_type when 'purchase' then 'source_rollback' else 'source_commit' end else 'source_root' end"""
     ends = own.groupBy("stream").agg(F.max("seq").alias("last")).selectExpr("stream", "inline(array(struct(0L as seq, 'stream_start' as record), struct(last + 1 as seq, 'stream_end' as record)))").where("seq = 0 or cast(stream as bigint) % 7 <> 0")
-    rows = automaton.placed(own.selectExpr("stream", "seq", f"{record} as record").unionByName(ends), part=1000)
+    rows, folder = automaton.placed(own.selectExpr("stream", "seq", f"{record} as record").unionByName(ends), part=1000), scratch(spark, "s11")
+    rows.write.parquet(folder)  # read by four tables
+    rows = spark.read.parquet(folder)
     kept = automaton.committed(rows).groupBy("stream").agg(F.count("*").alias("committed"), F.countDistinct("source").alias("sources"))
     every = rows.select("stream").distinct()
     return every.join(automaton.faults(rows), "stream", "left").join(kept, "stream", "left").fillna(0, ["committed", "sources"])

@@ -2,21 +2,17 @@
 
 A stream opens with ``stream_start``, may name roots, holds sources one after the other (``source_start``, records, then commit or rollback) and
 closes with ``stream_end``. A record maps each place that a stream can be in to the next; a run of records maps places
-to places likewise, and such maps compose in any grouping. So a stream is cut into parts of ``PART`` consecutive records, each part's map is
-worked out by itself, the maps are composed in order (a short row for each part), and then every part's records know where they begin.
-No task holds more than a part. A record that has no business where it stands breaks its stream: nothing after it counts.
+to places likewise (``run``). A kind of record leads to one place alone, or breaks the stream: so where a stream stands follows from the record before,
+and it is broken from the first record on that has no business after that one. A stream is cut into parts of ``PART`` places of its order; windows over
+the parts look back by a record, and a window over a stream's parts (a short row for each) says what stood before each part and whether the stream
+was whole. No window holds more than a part's records, or a stream's parts. Nothing after a breach counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values. Places: before the start, between sources, in a source, after the end, broken.
 FRESH, IDLE, INSIDE, DONE, BROKEN = range(5)
@@ -31,6 +27,8 @@ NEXT = [
     [BROKEN, BROKEN, INSIDE, BROKEN, BROKEN],  # records of a source
     [BROKEN] * 5,  # anything else
 ]
+#: The one place that a kind leads to, wherever it may stand.
+LEADS = [min(row) for row in NEXT]
 FAULTS = ["unexpected stream start", "unexpected stream end", "unexpected source start", "no active source to end", "source root outside the header", "record outside a source", "unknown record"]
 #: Records of a part.
 PART = 4096
@@ -56,39 +54,14 @@ def run(kinds: np.ndarray) -> np.ndarray:
     return places
 
 
-def _in_order(part: pa.Table) -> pa.Table:
-    return part.take(pa.compute.sort_indices(part, [("seq", "ascending")])) if part.num_rows > 1 else part
-
-
-def _map(part: pa.Table) -> pa.Table:
-    kinds = np.asarray(_in_order(part).column("kind"))
-    names = {"stream": part.column("stream").slice(0, 1), "part": part.column("part").slice(0, 1), "starts": pa.array([int((kinds == 2).sum())])}
-    return pa.table(names | {"map": pa.array([run(kinds).tolist()], pa.list_(pa.int64()))})
-
-
-def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the sorted parts of streams: the place and the number of sources with which each begins."""
-    now, place, starts = None, FRESH, 0
-    for b in batches:
-        rows = []
-        for stream, part, n, m in zip(*(b.column(c).to_pylist() for c in ("stream", "part", "starts", "map")), strict=True):
-            if stream != now:
-                now, place, starts = stream, FRESH, 0
-            rows.append((stream, part, place, starts))
-            place, starts = m[place], starts + n
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["stream", "part", "entry", "before"])
+def _leads(before: Column) -> Column:
+    """Where the kind of the record before leads, if its stream isn't broken. Nothing before: FRESH."""
+    leads = F.array(*[F.lit(k) for k in LEADS])
+    return F.coalesce(F.get(leads, before.cast("int")), F.lit(FRESH))
 
 
-def _walk(part: pa.Table) -> pa.Table:
-    part = _in_order(part)
-    kinds, place = np.asarray(part.column("kind")), part.column("entry")[0].as_py()
-    at, after = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
-    for i, k in enumerate(kinds):
-        at[i], place = place, NEXT[k][place]
-        after[i] = place
-    source = part.column("before")[0].as_py() + np.cumsum(kinds == 2)
-    return part.drop_columns(["part", "entry", "before"]).append_column("place", pa.array(at)).append_column("after", pa.array(after)).append_column("source", pa.array(source))
+def _next(kind: Column, place: Column) -> Column:
+    return F.get(F.flatten(F.array(*[F.array(*map(F.lit, row)) for row in NEXT])), (kind * 5 + place).cast("int"))
 
 
 def placed(frames: DataFrame, part: int = PART) -> DataFrame:
@@ -96,12 +69,23 @@ def placed(frames: DataFrame, part: int = PART) -> DataFrame:
 
     seq says the order and isn't to repeat in a stream; its gaps only make parts smaller.
     """
-    rows = frames.withColumns({"stream": F.col("stream").cast("string"), "seq": F.col("seq").cast("long"), "kind": _kind().cast("long"), "part": F.floor(F.col("seq") / part)})
-    maps = rows.select("stream", "seq", "kind", "part").groupBy("stream", "part").applyInArrow(_map, "stream string, part long, starts long, map array<long>")
-    entry = maps.repartition("stream").sortWithinPartitions("stream", "part").mapInArrow(_begin, "stream string, part long, entry long, before long")
-    met = rows.join(entry, ["stream", "part"]).select(*frames.columns, "kind", "part", "entry", "before")
-    schema = T.StructType([f for f in met.schema if f.name not in ("part", "entry", "before")] + [T.StructField(n, T.LongType()) for n in ("place", "after", "source")])
-    return met.groupBy("stream", "part").applyInArrow(_walk, schema)
+    rows = frames.withColumns({"stream": F.col("stream").cast("string"), "seq": F.col("seq").cast("long"), "_kind": _kind().cast("long"), "_part": F.floor(F.col("seq") / part)})
+    rows = rows.where("stream is not null and seq is not null")
+    inside, over = Window.partitionBy("stream", "_part").orderBy("seq"), Window.partitionBy("stream").orderBy("_part")
+    rows = rows.withColumns({"_before": F.lag("_kind").over(inside), "_starts": F.count_if(F.col("_kind") == 2).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    stands = lambda before: _leads(F.col(before))
+    breaks = F.when(F.col("_before").isNotNull() & (_next(F.col("_kind"), stands("_before")) == BROKEN), F.col("seq"))
+    parts = rows.groupBy("stream", "_part").agg(
+        F.min("seq").alias("begin"), F.min_by("_kind", "seq").alias("first"), F.max_by("_kind", "seq").alias("last"), F.count_if(F.col("_kind") == 2).alias("starts"), F.min(breaks).alias("breach")
+    )
+    parts = parts.withColumns({"_entry": F.lag("last").over(over), "_earlier": F.coalesce(F.sum("starts").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    own = F.when(_next(F.col("first"), stands("_entry")) == BROKEN, F.col("begin")).otherwise(F.col("breach"))
+    parts = parts.select("stream", "_part", "_entry", "_earlier", F.min(own).over(over).alias("_breach"))
+    met = rows.join(parts, ["stream", "_part"])
+    before = _leads(F.coalesce("_before", "_entry"))
+    place = F.when(F.col("_breach") < F.col("seq"), BROKEN).otherwise(before)
+    after = F.when(F.col("_breach") <= F.col("seq"), BROKEN).otherwise(_next(F.col("_kind"), before))
+    return met.select(*frames.columns, F.col("_kind").alias("kind"), place.cast("long").alias("place"), after.cast("long").alias("after"), (F.col("_starts") + F.col("_earlier")).alias("source"))
 
 
 def faults(rows: DataFrame) -> DataFrame:

@@ -30,6 +30,23 @@ def test_breaches(spark, part):
     assert placed.count() == len(rows)
 
 
+def test_sparse_streams(spark):
+    """Records far apart, so that nearly every one is a part of its own: the places are those of the fold, and no part costs a call of Python."""
+    r, kinds = random.Random(5), {**{k: n for n, k in au.KINDS.items()}, 6: "nonsense"}
+    walks = [[0, 4] * (i % 2) + [0] * (1 - i % 2) + [r.choices(range(7), [1, 1, 6, 6, 2, 8, 1])[0] if r.random() < 0.1 else k for k in [2, 5, 5, 3] * 6] + [1] for i in range(60)]
+    rows = [(f"{i}", n * (7 if i % 3 else 5000) + i, kinds[k]) for i, w in enumerate(walks) for n, k in enumerate(w)]
+    r.shuffle(rows)
+    placed = au.placed(spark.createDataFrame(rows, "stream string, seq long, record string").repartition(3), 100)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("FlatMapGroups", "Pandas", "Arrow") if x in plan]
+    found = {(x["stream"], x["seq"]): (x["place"], x["after"], x["source"]) for x in placed.collect()}
+    assert len(found) == len(rows)
+    for i, w in enumerate(walks):
+        for n in range(len(w)):
+            place, after = (int(au.run(np.array(w[:m]))[au.FRESH]) for m in (n, n + 1))
+            assert found[f"{i}", n * (7 if i % 3 else 5000) + i] == (place, after, w[: n + 1].count(2))
+
+
 def test_maps_compose():
     r = np.random.default_rng(2)
     for _ in range(200):
