@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.batches import each
 from tallyloom.operators.reduce import strip_escapes
 
 # Fixed values.
@@ -24,6 +24,9 @@ SUBJECTS = ("input", "result", "result_text", "source_output", "stdout", "stderr
 STAGES = ("before", "after")
 PRIORITY = (("stdout", "stderr"), ("result_text",), ("source_output",))
 LINE_BYTES, SOURCE_BYTES, MATCHES, RENDERED = 4096, 7168, 20, 32
+_PAYLOADS = pa.schema([("sha256", pa.string()), ("compression", pa.string()), ("bytes", pa.int64()), ("body", pa.binary())])
+_BODIES = pa.schema([("sha256", pa.string()), ("body", pa.binary()), ("fault", pa.string())])
+_FOUND = pa.schema([("call_key", pa.string()), ("subject", pa.string()), ("matches", pa.int64()), ("rendering", pa.string())])
 
 
 def store(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,37 +34,26 @@ def store(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = snapshots.withColumn("sha256", F.sha2("body", 256))
     once = named.groupBy("sha256").agg(F.first("body").alias("body"))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdCompressor(LEVEL)
-        for b in batches:
-            rows = []
-            for digest, raw in b.itertuples(index=False):
-                raw = bytes(raw)
-                small = z.compress(raw)
-                rows.append((digest, "zstd", len(raw), small) if 100 * len(small) <= KEEP_AT_MOST * len(raw) else (digest, "none", len(raw), raw))
-            yield pd.DataFrame(rows, columns=["sha256", "compression", "bytes", "body"])
-
-    payloads = once.mapInPandas(pack, "sha256 string, compression string, bytes long, body binary")
+    def pack(digest: str, raw: bytes) -> list[tuple]:
+        small = zstandard.ZstdCompressor(LEVEL).compress(raw)
+        return [(digest, "zstd", len(raw), small) if 100 * len(small) <= KEEP_AT_MOST * len(raw) else (digest, "none", len(raw), raw)]
+
+    payloads = each(once, pack, _PAYLOADS)
     return payloads, named.select("call_key", "subject", "stage", "completeness", "sha256").distinct()
 
 
 def restore(payloads: DataFrame) -> DataFrame:
     """sha256, body, fault of payloads: bodies unpacked, and what is wrong with them."""
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdDecompressor()
-        for b in batches:
-            rows = []
-            for digest, compression, size, raw in b.itertuples(index=False):
-                try:
-                    body = z.decompress(bytes(raw), max_output_size=int(size)) if compression == "zstd" else bytes(raw)
-                    fault = "length" if len(body) != size else "digest" if hashlib.sha256(body).hexdigest() != digest else None
-                except zstandard.ZstdError:
-                    body, fault = None, "compression"
-                rows.append((digest, body, fault))
-            yield pd.DataFrame(rows, columns=["sha256", "body", "fault"])
+    def unpack(digest: str, compression: str, size: int, raw: bytes) -> list[tuple]:
+        try:
+            body = zstandard.ZstdDecompressor().decompress(raw, max_output_size=size) if compression == "zstd" else raw
+            fault = "length" if len(body) != size else "digest" if hashlib.sha256(body).hexdigest() != digest else None
+        except zstandard.ZstdError:
+            body, fault = None, "compression"
+        return [(digest, body, fault)]
 
-    return payloads.select("sha256", "compression", "bytes", "body").mapInPandas(unpack, "sha256 string, body binary, fault string")
+    return each(payloads.select("sha256", "compression", "bytes", "body"), unpack, _BODIES)
 
 
 def verify(payloads: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -177,19 +169,14 @@ def sources(payloads: DataFrame, snapshots: DataFrame) -> DataFrame:
 def search(found: DataFrame, s: Search) -> DataFrame:
     """call_key, subject, matches, rendering of sources that hold a match."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for key, subject, raw in b[["call_key", "subject", "body"]].itertuples(index=False):
-                try:
-                    n, text = search_text(bytes(raw), s)
-                except UnicodeDecodeError:
-                    continue
-                if n:
-                    rows.append((key, subject, n, text))
-            yield pd.DataFrame(rows, columns=["call_key", "subject", "matches", "rendering"])
-
-    return found.mapInPandas(run, "call_key string, subject string, matches long, rendering string")
+    def run(key: str, subject: str, raw: bytes) -> list[tuple]:
+        try:
+            n, text = search_text(raw, s)
+        except UnicodeDecodeError:
+            return []
+        return [(key, subject, n, text)] if n else []
+
+    return each(found.select("call_key", "subject", "body"), run, _FOUND)
 
 
 def lifecycle(operations: DataFrame) -> DataFrame:

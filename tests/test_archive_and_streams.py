@@ -2,9 +2,11 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 
 from tallyloom.operators import archive as ar
+from tallyloom.operators.batches import pieces
 from tallyloom.streaming import ingest
 
 
@@ -21,6 +23,20 @@ def test_store_verify_prune(spark):
     assert ar.sources(payloads, named).count() == 4
 
 
+def test_bodies_in_pieces(spark):
+    """Small payloads of large bodies: a worker hands bodies on before it holds more than a piece of them, and none is lost."""
+    rows = [(f"{i}", "stdout", "before", None, bytearray(b"error %d\n" % i + b"x\n" * 500_000)) for i in range(24)]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = ar.sources(*ar.store(spark.createDataFrame(rows, "call_key string, subject string, stage string, completeness string, body binary").coalesce(1)))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    sizes = found.coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 24 and max(r["n"] for r in sizes) <= 5
+    assert {(r["call_key"], r["matches"]) for r in ar.search(found, ar.Search(("error",))).collect()} == {(f"{i}", 1) for i in range(24)}
+    payload = pa.RecordBatch.from_pydict({"n": list(range(100))})
+    out = list(pieces([payload], lambda n: [(b"z" * 1000 * n,)], pa.schema([("body", pa.binary())]), 200_000))
+    assert [len(b) for x in out for b in x.column(0).to_pylist()] == [1000 * n for n in range(100)] and max(x.nbytes for x in out) < 400_000
+
+
 def test_search_and_read():
     raw = b"one\ntwo error\nthree\nfour\nfive\nsix\nseven \xc3\xa9error\xc3\xa9\n"
     n, text = ar.search_text(raw, ar.Search(("error",), word=True, before=1, after=1))
