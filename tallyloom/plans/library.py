@@ -534,28 +534,38 @@ _RESULTS = {
     "claude": "named_struct('type', 'user', 'sessionId', session, 'message', named_struct('content', array(named_struct('type', 'tool_result', 'tool_use_id', id, 'is_error', doc_id % 7 = 0, 'content', text))))",
 }
 
+#: Documents by their ids whose lines of a source are one file.
+_PART = 1 << 20
+
+
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    """Rows that several joins read, written once."""
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
 
 @query
 def s6_agent_logs(spark, sf_dir):
     """Logs of three agents: every document a call and its result (some without the other, some results ahead of their calls), scanned, read, paired and merged (``jsonl``, ``agents``)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "cast(doc_id as string) as id", "coalesce(text, '') as text", "lang", "element_at(array('codex', 'pi', 'claude'), cast(doc_id % 3 + 1 as int)) as agent", "source")
-    docs = docs.withColumn("session", F.concat_ws("/", "agent", "source"))
-    heads = docs.select("agent", "session").distinct()
-    out, folder = None, scratch(spark, "s6")
+    docs = docs.withColumn("session", F.concat_ws("/", "agent", "source")).withColumn("part", F.expr(f"doc_id div {_PART}"))
+    line = lambda kinds: "case agent " + " ".join(f"when '{agent}' then to_json({made})" for agent, made in kinds.items()) + " end"
+    call, result = f"case when doc_id % 83 <> 0 then {line(_CALLS)} end", f"case when doc_id % 89 <> 0 then {line(_RESULTS)} end"
+    own = docs.selectExpr("agent", "session", "part", f"inline(array(struct(doc_id as n, 0 as k, {call} as value), struct(doc_id as n, if(doc_id % 10 = 4, -1, 1) as k, {result} as value)))").where("value is not null")
+    heads = docs.where("agent is not null").select("agent", "session", "part").distinct().selectExpr("agent", "session", "part", "-1L as n", "0 as k", f"{line(_HEADS)} as value")
+    file, folder = ("agent", "session", "part"), scratch(spark, "s6")
+    heads.unionByName(own).repartition(*file).sortWithinPartitions(*file, "n", "k").select(*file, "value").write.partitionBy(*file).text(f"{folder}/logs")  # a file for each source and part
+    paths, out = [r["path"] for r in jsonl.files(spark, f"{folder}/logs", "part-*.txt").select("path").collect()], None
     for agent in ("codex", "pi", "claude"):
-        own, head = docs.where(F.col("agent") == agent), heads.where(F.col("agent") == agent)
-        early = F.when(F.col("doc_id") % 10 == 4, -1).otherwise(1)
-        lines = head.select("session", F.lit(-1).cast("long").alias("n"), F.lit(0).alias("k"), F.expr(f"to_json({_HEADS[agent]})").alias("value"))
-        lines = lines.unionByName(own.where("doc_id % 83 <> 0").select("session", F.col("doc_id").alias("n"), F.lit(0).alias("k"), F.expr(f"to_json({_CALLS[agent]})").alias("value")))
-        lines = lines.unionByName(own.where("doc_id % 89 <> 0").select("session", F.col("doc_id").alias("n"), early.alias("k"), F.expr(f"to_json({_RESULTS[agent]})").alias("value")))
-        lines.repartition("session").sortWithinPartitions("session", "n", "k").select("session", "value").write.partitionBy("session").text(f"{folder}/{agent}")
-        paths = [r["path"] for r in jsonl.files(spark, f"{folder}/{agent}", "part-*.txt").select("path").collect()]  # a file for each source
-        if not paths:
+        there = [p for p in paths if f"/agent={agent}/" in p]
+        if not there:
             continue
-        found = agents.events(jsonl.lines(jsonl.scan(spark, paths)), agent)
-        results = agents.paired(found, agents.calls(found, agent))
+        found = _kept(agents.read(jsonl.lines(jsonl.scan(spark, there)), agent), f"{folder}/events-{agent}")
+        found = agents.sessions(found, few=len(there) <= agents.BROADCAST_KEYS)
+        results = _kept(agents.paired(found, agents.calls(found, agent)), f"{folder}/results-{agent}")
         merged = agents.reconcile(results).select("call_key", F.col("is_error").alias("failed"), F.sha2(F.col("output_text"), 256).alias("digest"))
-        told = results.join(merged, "call_key", "left").select(F.lit(agent).alias("agent"), "session_id", "native_call_id", "issue", F.octet_length("output_text").cast("long").alias("bytes"), "failed", "digest")
+        told = results.select("session_id", "native_call_id", "issue", F.octet_length("output_text").cast("long").alias("bytes"), "call_key")
+        told = told.join(merged, "call_key", "left").select(F.lit(agent).alias("agent"), "session_id", "native_call_id", "issue", "bytes", "failed", "digest")
         out = told if out is None else out.unionByName(told)
     return out if out is not None else spark.createDataFrame([], "agent string, session_id string, native_call_id string, issue string, bytes long, failed boolean, digest string")
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.json_text import canonical, key, millis, pruned, rendered, sha256
+from tallyloom.operators.batches import bound
 
 EVENTS = (
     "path string, line_no long, item long, role string, native_kind string, session_id string, native_call_id string, entry_id string, parent_id string, "
@@ -101,9 +102,9 @@ HEADERS = {"pi": lambda r: r.get("id") if r.get("type") == "session" and r.get("
 ADAPTERS = {"pi": pi, "codex": codex, "claude": claude}
 
 
-def events(lines: DataFrame, agent: str) -> DataFrame:
-    """Events of scanned lines (path, line_no, record, valid); a file's session is its first record's."""
-    read, head = ADAPTERS[agent], HEADERS[agent]
+def read(lines: DataFrame, agent: str) -> DataFrame:
+    """Events of scanned lines (path, line_no, record, valid), and a row of role ``header`` with the session that a file's first record names."""
+    adapt, head = ADAPTERS[agent], HEADERS[agent]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -113,15 +114,25 @@ def events(lines: DataFrame, agent: str) -> DataFrame:
                 if isinstance(r, dict):
                     if n == 1:
                         rows.append({"path": path, "line_no": n, "item": -1, "role": "header", "session_id": head(r)})
-                    rows += [{"path": path, "line_no": n} | e for e in read(r)]
+                    rows += [{"path": path, "line_no": n} | e for e in adapt(r)]
             yield pd.DataFrame(rows, columns=_NAMES).astype(object).where(lambda x: x.notna(), None)
 
-    found = lines.where("valid").mapInPandas(run, EVENTS)
+    bound(lines.sparkSession)
+    return lines.where("valid").select("path", "line_no", "record").mapInPandas(run, EVENTS)
+
+
+def sessions(found: DataFrame, few: bool = False) -> DataFrame:
+    """Events (``read``) with their sessions: their own, else that of their file; few: the files' sessions may be broadcast, so that no text moves."""
     heads = found.where("role = 'header'").groupBy("path").agg(F.max("session_id").alias("_session"))
-    out = found.where("role <> 'header'").join(heads, "path", "left")
+    out = found.where("role <> 'header'").join(F.broadcast(heads) if few else heads, "path", "left")
     return out.withColumn("session_id", F.coalesce("session_id", "_session")).drop("_session").where("session_id is not null")
 
 
+def events(lines: DataFrame, agent: str) -> DataFrame:
+    """Events of scanned lines (path, line_no, record, valid); a file's session is its first record's."""
+    return sessions(read(lines, agent))
+
+
 def followed(lines: DataFrame, agent: str) -> DataFrame:
     """Events of lines that carry their file's first record (path, byte_offset, raw, head), one line at a time: what a stream can do.
 
@@ -217,12 +228,14 @@ def merge_outputs(rows: list[dict]) -> list[dict]:
 
 #: Characters that JSON escapes by number: such texts take the way of calls with several records.
 _NUMBERED = r"[\x00-\x07\x0b\x0e-\x1f]"
+#: Keys of calls with several records that are broadcast.
+BROADCAST_KEYS = 1 << 17
 
 
 def reconcile(results: DataFrame) -> DataFrame:
     """call_key, returned_at_ms, is_error, output_text, output_json, result_sha256, result_key after merging each call's records.
 
-    A call with one record, as nearly all are, is that record; only calls with several are folded in Python.
+    A call with one record, as nearly all are, is that record; only calls with several, which are counted first, are folded in Python.
     """
     schema = "call_key string, returned_at_ms long, is_error boolean, output_text string, output_json string, result_sha256 string, result_key string"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -238,13 +251,15 @@ def reconcile(results: DataFrame) -> DataFrame:
     cols = ("call_key", "role", "native_kind", "at_ms", "line_no", "item", "is_error", "output_text", "output_json")
     own = results.where("call_key is not null").select(*cols)
     odd = F.coalesce(F.col("output_text").rlike(_NUMBERED), F.lit(False)) | F.coalesce(F.col("output_json").rlike(_NUMBERED), F.lit(False))
-    calls = own.groupBy("call_key").agg((F.count("*") + F.count_if(odd)).alias("n"), F.min_by(F.struct(*cols[1:]), F.struct("line_no", "item")).alias("r"))
-    one = calls.where("n = 1").select("call_key", F.col("r.at_ms").alias("returned_at_ms"), "r.is_error", "r.output_text", "r.output_json")
+    more = own.select("call_key", odd.alias("odd")).groupBy("call_key").agg((F.count("*") + F.count_if("odd")).alias("n")).where("n > 1").select("call_key")
+    if more.count() <= BROADCAST_KEYS:  # then no text moves
+        more = F.broadcast(more)
+    one = own.join(more, "call_key", "left_anti").select("call_key", F.col("at_ms").alias("returned_at_ms"), "is_error", "output_text", "output_json")
     text = F.to_json(F.struct(F.col("is_error"), F.col("output_json").alias("json"), F.col("output_text").alias("text")), {"ignoreNullFields": "false"})
     one = one.withColumn("result_sha256", F.sha2(text, 256))
     sized = lambda c: F.concat(F.lpad(F.hex(F.octet_length(c).cast("long")), 16, "0"), F.hex(F.encode(c, "UTF-8")))
     one = one.withColumn("result_key", F.sha2(F.unhex(F.concat(sized(F.lit("result")), sized(F.col("call_key")), F.lit("0" * 14 + "20"), "result_sha256")), 256))
-    several = own.join(calls.where("n > 1").select("call_key"), "call_key", "left_semi").groupBy("call_key").applyInPandas(run, schema)
+    several = own.join(more, "call_key", "left_semi").groupBy("call_key").applyInPandas(run, schema)
     return one.select(*names).unionByName(several)
 
 

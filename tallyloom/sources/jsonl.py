@@ -79,8 +79,7 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
     shape = "path string, block long, size long, modified timestamp, raw binary, bytes int, line_no long, byte_offset long"
     own = text.mapInArrow(_counted, shape)
-    narrow = text.drop("raw").withColumn("raw", F.lit(None).cast("binary")).select("path", "block", "size", "modified", "raw", "bytes").mapInArrow(_counted, shape)
-    splits = narrow.groupBy("path", "block").agg(F.max("line_no").alias("n"), F.max(F.col("byte_offset") + F.col("bytes") + 1).alias("b"))
+    splits = text.groupBy("path", "block").agg(F.count("*").alias("n"), F.sum(F.col("bytes").cast("long") + 1).alias("b"))
     before = lambda c: F.expr(f"coalesce(sum({c}) over (partition by path order by block rows between unbounded preceding and 1 preceding), 0)")
     bases = splits.select("path", "block", before("n").alias("lines_before"), before("b").alias("bytes_before"))
     if splits.count() <= BROADCAST_ROWS:

@@ -154,6 +154,18 @@ def test_json_rules():
     assert bounded("é" * 400).encode()[:512].decode(errors="ignore") == "é" * 256
 
 
+def test_one_pass_over_logs(spark, tmp_path):
+    """A log's splits are counted without a second pass of Python; events of a file get its session, single records their digests."""
+    (tmp_path / "a.jsonl").write_text('{"sessionId":"s"}\n' + "".join('{"message":{"content":[{"type":"tool_result","tool_use_id":"c%d","content":"t%d"}]}}\n' % (i, i) for i in range(50)))
+    scanned = jsonl.scan(spark, [str(tmp_path / "a.jsonl")])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(scanned).count("MapInArrow") == 1 and scanned.agg({"line_no": "max"}).first()[0] == 51
+    found = agents.sessions(agents.read(jsonl.lines(scanned), "claude"), few=True)
+    assert {(x["session_id"], x["native_call_id"], x["output_text"]) for x in found.collect()} == {("s", f"c{i}", f"t{i}") for i in range(50)}
+    merged = agents.reconcile(found.withColumn("call_key", found["native_call_id"]))
+    assert {(x["call_key"], x["output_text"]) for x in merged.collect()} == {(f"c{i}", f"t{i}") for i in range(50)}
+
+
 def test_single_records_as_folds(spark):
     """Calls with one record, worked out by Spark, are what the fold makes of them."""
     r = random.Random(4)
