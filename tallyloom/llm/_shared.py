@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 #: What Spark allows one Arrow batch of a Python worker by default, and what the operators here allow.
-ARROW_DEFAULT, ARROW_BYTES = "67108864b", 4 << 20
+ARROW_DEFAULT, ARROW_BYTES = "67108864b", 1 << 20
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -50,6 +51,30 @@ def tidy() -> None:
         pass
 
 
+def tidied(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function of a task's batches that tidies when they are over. Workers are used again: what the tasks of all earlier
+    stages once needed would otherwise add to the needs of this one."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
+def tidied_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``tidied`` for a function of one group."""
+
+    @functools.wraps(run)
+    def whole(table: pa.Table) -> pa.Table:
+        out = run(table)
+        tidy()
+        return out
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, a new one on a single machine, and on a cluster an error."""
     conf = spark.sparkContext.getConf()

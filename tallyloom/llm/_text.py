@@ -86,7 +86,7 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], most: int = 2_000_000):
+def chunks(texts: list[bytes], most: int = 500_000):
     """Slices (from, to) of about ``most`` bytes, each at least one text."""
     a = size = 0
     for i, t in enumerate(texts):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm._shared import Workspace
+from tallyloom.llm._shared import Workspace, tidied
 from tallyloom.llm._text import SPACE, Words, chunks, mix, odd_constants
 
 # Fixed values, found by search: 6 positions each, 4 for short items.
@@ -103,6 +103,7 @@ def overlap(words: np.ndarray, own: np.ndarray, diagonal: int) -> tuple[int, int
     return a + int(at[k]), int(size[k]), int(last[k]) - k + 1
 
 
+@tidied
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item_id, tokens): an item's word hashes."""
     for b in batches:
@@ -111,6 +112,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(rows, pa.binary())], names=["item_id", "tokens"])
 
 
+@tidied
 def _test_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(seed, item, offset) of items."""
     for b in batches:
@@ -140,6 +142,7 @@ def runs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _training_side(power: int, taken: np.ndarray, longest: int):
     """(doc_id, text_key, seed, place) of texts' seeds that pass the filter, but for those deep inside a run of one word. longest: tokens of an item."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             low = [_lower(t) for t in b.column("text").to_pylist()]
@@ -167,6 +170,7 @@ FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "item_i
 _KEYED = T.StructType([*FOUND, T.StructField("text_key", T.LongType())])
 
 
+@tidied
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The longest overlap of each text and each of its items with hits."""
     for b in batches:

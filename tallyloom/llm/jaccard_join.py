@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm._blobs import buckets, get, put, runs
-from tallyloom.llm._shared import Workspace, tidy
+from tallyloom.llm._shared import Workspace, tidied, tidied_group
 from tallyloom.llm._text import Words, chunks, mix, ngram_hashes, odd_constants, utf8
 from tallyloom.llm.components import components
 
@@ -50,6 +50,8 @@ SHARE = 20
 NUM, DEN, LIGHT_MOST = 4, 5, 14
 #: Grams are counted without these low bits: two that fall together only share a place in the order.
 COARSE = np.uint64(16)
+#: Batches in which a flush is handed on.
+SLICES = 8
 #: What an entry of a list is (near): of the prefix's tail; of the part that the smaller set of a pair
 #: must share; a subset for two sizes; a subset for sets of one size.
 TAIL, NEAR, ODD, EVEN = 0, 1, 2, 3
@@ -124,6 +126,7 @@ def subset_keys(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _named(k: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = utf8(b.column("text"))
@@ -150,7 +153,6 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[t
                 held, size = {}, 0
     if held:
         yield list(held.items())
-    tidy()
 
 
 def _bucket(keys: np.ndarray, n_buckets: int, bits: int = 64) -> np.ndarray:
@@ -158,6 +160,12 @@ def _bucket(keys: np.ndarray, n_buckets: int, bits: int = 64) -> np.ndarray:
     return ((keys >> np.uint64(bits - 32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _slices(some: list) -> Iterator[list]:
+    size = -(-len(some) // SLICES)
+    for a in range(0, len(some), size or 1):
+        yield some[a : a + size]
+
+
 def _sorted_put(keys: np.ndarray) -> bytes:
     return put(keys.view(np.int64))
 
@@ -165,20 +173,22 @@ def _sorted_put(keys: np.ndarray) -> bytes:
 def _counter(k: int, n_buckets: int):
     """(bucket, grams, counts) for the flushes of a task."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _distinct_sets(batches, k):
             grams, counts = np.unique(np.concatenate([s for _, s in sets]) >> COARSE, return_counts=True)
             bucket = _bucket(grams, n_buckets, 64 - int(COARSE))
             e = runs(bucket)
-            cut = [np.arange(a, b) for a, b in itertools.pairwise(e.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(bucket[o[0]]) for o in cut], pa.int32()), pa.array([_sorted_put(grams[o]) for o in cut], pa.binary()), pa.array([put(counts[o], delta=False) for o in cut], pa.binary())],
-                names=["bucket", "grams", "counts"],
-            )
+            for cut in _slices([slice(a, b) for a, b in itertools.pairwise(e.tolist())]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(bucket[o][0]) for o in cut], pa.int32()), pa.array([_sorted_put(grams[o]) for o in cut], pa.binary()), pa.array([put(counts[o], delta=False) for o in cut], pa.binary())],
+                    names=["bucket", "grams", "counts"],
+                )
 
     return run
 
 
+@tidied_group
 def _frequent(table: pa.Table) -> pa.Table:
     """Of one bucket: how many grams and occurrences, and the frequent grams with their counts by power of two."""
     grams = np.concatenate([get(x) for x in table.column("grams").to_pylist()])
@@ -203,6 +213,7 @@ _LISTED = "key long, set_id long, n int, near int"
 def _lister(k: int, n_buckets: int, light: int, hot: np.ndarray, hot_counts: np.ndarray):
     """(bucket, keys, names, sizes, near) for the flushes of a task."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _distinct_sets(batches, k):
             keys, names, sizes, near = [], [], [], []
@@ -232,14 +243,15 @@ def _lister(k: int, n_buckets: int, light: int, hot: np.ndarray, hot_counts: np.
             bucket = _bucket(keys, n_buckets)
             order = np.argsort(keys, kind="stable")
             e = runs(bucket[order])
-            cut = [order[a:b] for a, b in itertools.pairwise(e.tolist())]
-            rows = [(int(bucket[o[0]]), _sorted_put(keys[o]), names[o].astype("<i8").tobytes(), put(sizes[o], delta=False), near[o].astype(np.int8).tobytes()) for o in cut]
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["bucket", "keys", "names", "sizes", "near"])
+            for cut in _slices([order[a:b] for a, b in itertools.pairwise(e.tolist())]):
+                rows = [(int(bucket[o[0]]), _sorted_put(keys[o]), names[o].astype("<i8").tobytes(), put(sizes[o], delta=False), near[o].astype(np.int8).tobytes()) for o in cut]
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["bucket", "keys", "names", "sizes", "near"])
 
     return run
 
 
+@tidied_group
 def _shared(table: pa.Table) -> pa.Table:
     """Of one bucket: the entries of the lists that hold several sets."""
     cols = [table.column(n).to_pylist() for n in ("keys", "names", "sizes", "near")]
@@ -264,6 +276,7 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _sets(k: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.column("set_id").to_pylist()
@@ -275,6 +288,7 @@ def _sets(k: int):
     return run
 
 
+@tidied
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, linked) of pairs with their sets."""
     for b in batches:

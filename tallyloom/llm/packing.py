@@ -21,6 +21,7 @@ no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm._shared import Workspace, tidy
+from tallyloom.llm._shared import Workspace, tidied, tidy
 
 WINDOW = 4096
 #: Words kept in a worker's cache of encoded words (about 150 bytes each), and the length of the longest.
@@ -154,6 +155,14 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _forget() -> None:
+    """Drop this process's encoders, which their caches hold in a circle. A function of the module: a task's own function
+    would name a copy of the driver's table, and bring its encoders along."""
+    _ENCODERS.clear()
+    gc.collect()
+    tidy()
+
+
 _TOKENS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -167,6 +176,7 @@ _TOKENS = T.StructType(
 
 
 def _tokenizer(path: str, end_id: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, so_far = encoder(path), {}
         end = np.array([end_id], dtype=enc.dtype).tobytes()
@@ -296,9 +306,9 @@ def _cutter(mixture: Mixture, order: dict, width: int, with_ids: bool):
         columns = [batch.column("doc_id").take(pick), batch.column("source").take(pick), start, length, batch.column("n").take(pick), window, offset, pieces, pa.array(sums, pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=_PIECES.names)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ENCODERS.clear()  # a reused worker's, of the tokenising stage
-        tidy()
+        _forget()  # a reused worker's, of the tokenising stage
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 yield cut(b.slice(a, 512))

@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.llm._shared import tidied
+
 KINDS = ("assign", "access", "hex")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -340,14 +342,18 @@ def find(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFra
     kept = [c for c in docs.columns if c.lower() not in made]
     schema = T.StructType([docs.schema[c] for c in kept] + [SCHEMA[n] for n in made])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [scan(t) for t in b.column(text).to_pylist()]
-            columns = [pa.array([sum(x[2] == k for x in base) for base, _ in rows], pa.int64()) for k in KINDS]
-            columns.append(pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows], pa.string()))
-            columns.append(pa.array([joined(all_) for _, all_ in rows], pa.string()))
-            if redacted:
-                columns.append(pa.array([redact(t, all_) for t, (_, all_) in zip(b.column(text).to_pylist(), rows, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + columns, names=kept + made)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                texts = b.column(text).to_pylist()
+                rows = [scan(t) for t in texts]
+                columns = [pa.array([sum(x[2] == k for x in base) for base, _ in rows], pa.int64()) for k in KINDS]
+                columns.append(pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows], pa.string()))
+                columns.append(pa.array([joined(all_) for _, all_ in rows], pa.string()))
+                if redacted:
+                    columns.append(pa.array([redact(t, all_) for t, (_, all_) in zip(texts, rows, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + columns, names=kept + made)
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm._shared import Workspace
+from tallyloom.llm._shared import Workspace, tidied
 from tallyloom.llm._text import SPACE, Words, chunks, mix
 
 #: Labelled rows to fit on, at most; features kept; weight of the swapped pairs and of |w|^2.
@@ -85,6 +85,7 @@ def _bags(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+@tidied
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 500):
@@ -150,6 +151,7 @@ def evidence(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
     return F.abs(F.log(a / c) - F.log(b / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
 
+@tidied
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, pos, neg): rows of this batch that have the feature."""
     for b in batches:
@@ -174,6 +176,7 @@ def _picked(kept: np.ndarray):
         has[s[s >= 0]] = True
         return np.packbits(has).tobytes()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = [pa.array([bits(x) for x in b.column(n).to_pylist()], pa.binary()) for n in ("bag", "swapped")]
@@ -247,6 +250,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
